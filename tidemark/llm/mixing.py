@@ -35,7 +35,7 @@ def targets(sized: DataFrame, weights: Sequence[float], most: float) -> DataFram
     With the sources in order of cap / weight, the level (words a unit of weight) that the sources from here on would
     get is (total - caps before) / (weight - weights before); the first source that stays below its cap has the level.
     """
-    per = sized.groupBy("_s").agg(F.first("_src").alias("_src"), F.sum("size").alias("source_size"))
+    per = sized.groupBy("_s", "_src").agg(F.sum("size").alias("source_size"))
     everyone = Window.partitionBy(F.lit(1))
     order = everyone.orderBy(F.col("_src").isNull(), "_src")
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
