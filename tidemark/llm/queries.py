@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import dart_minhash, language_id, line_dedup, lz_fingerprint, mixing, packing, secret_scan
+from . import anisotropic_ann, dart_minhash, language_id, license_scan, line_dedup, lz_fingerprint, mixing, packing, secret_scan, token_counts
 from .common import table
 
 
@@ -43,10 +43,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["line"]).alias("line"), m["license"].alias("license"))))
+    return found.select(
+        "doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -57,7 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_anisotropic_ann": op7_anisotropic_ann,
     "op8_lz_fingerprint": op8_lz_fingerprint,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
