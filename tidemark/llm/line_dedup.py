@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import WS_CHARS, cut
 
@@ -143,8 +143,11 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     drop = dropped_lines(docs, key=key, text=text, min_docs=min_docs).select(F.col("id").alias("_id"), F.col("tx").alias("_tx"), "drop")
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_tx"), F.col(text).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     joined = own.join(drop, ["_id", "_tx"], "left").drop("_id", "_tx")
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"_key {kinds[key]}", *[f"`_carry_{c}` {kinds[c]}" for c in carry], "n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string" + ", kept_text string" * with_text])
+    kinds = {f.name: f.dataType for f in joined.schema}
+    schema = T.StructType([T.StructField("_key", kinds["_key"]), *[T.StructField(f"_carry_{c}", kinds[f"_carry_{c}"]) for c in carry]])
+    schema = schema.add("n_lines", "long").add("n_dropped", "long").add("keep_bitmap", "binary").add("kept_sha256", "string")
+    if with_text:
+        schema = schema.add("kept_text", "string")
     out = joined.mapInArrow(_apply(with_text), schema)
     return out.select(F.col("_key").alias(key), "n_lines", "n_dropped", "keep_bitmap", "kept_sha256", *(["kept_text"] if with_text else []), *[F.col(f"_carry_{c}").alias(c) for c in carry])
 

@@ -98,7 +98,7 @@ def mix(
             rows = cut(rows)
     state = _edge(rows, state, F.col("_h")).select("_s", F.col("_bucket").alias("_edge"), F.col("_rest").alias("_left"), F.col("_sum").alias("_tied"))
     goal = cut(goal.join(state, "_s", "left"))
-    base = (cut(sized.withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int"))) if carry else slim)
+    base = sized.withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int")) if carry else slim
     joined = base.join(_salted(goal), ["_s", "_salt"])
     part = F.expr("(_left * size) div _tied") if boundary == "cut" else F.when(F.col("_left") * 2 >= F.col("_tied"), F.col("size")).otherwise(F.lit(0))
     extra = F.when(F.col("_edge").isNull() | (F.col("size") == 0), F.lit(0)).when(F.col("_h") < F.col("_edge"), F.col("size")).when(F.col("_h") == F.col("_edge"), part).otherwise(F.lit(0)).cast("long")
