@@ -76,8 +76,12 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     return float(len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union))
 
 
+def packed(values: np.ndarray) -> bytes:
+    return values.astype(">u4").tobytes()
+
+
 def encode(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
+    return packed(values).hex()
 
 
 def decode(fingerprint_hex: str) -> np.ndarray:
@@ -98,10 +102,10 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
 
 
 _SCHEMA = pa.schema([
-    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()),
 ])
-_DDL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kind int, part int, text string"
+_DDL = "id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, kind int, part int, text string"
 
 
 def _compare(text: str, following: str, size: int) -> tuple[tuple, np.ndarray]:
@@ -109,7 +113,7 @@ def _compare(text: str, following: str, size: int) -> tuple[tuple, np.ndarray]:
     tail = following[: n // 3]
     own, edited = fingerprint_pair(text, n // 3, tail, size)
     sha = hashlib.sha256((text[: n - n // 3] + tail).encode()).hexdigest()
-    return (n, sha, encode(own), encode(edited), likeness(own, edited, size)), own
+    return (n, sha, packed(own), packed(edited), likeness(own, edited, size)), own
 
 
 def _chain(size: int):
@@ -166,7 +170,7 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.desc("id"), F.col("text")).sortWithinPartitions(F.desc("id"), F.col("text"))
+    dealt = rows.repartitionByRange(parts, F.desc("id")).sortWithinPartitions(F.desc("id"), F.col("text"))
     found = cut(dealt.mapInArrow(_chain(size), _DDL))
     heads = sorted(r["part"] for r in found.where("kind = 1").select("part").collect())  # one number per partition
     follows = F.create_map(*[F.lit(x) for p, q in zip(heads, heads[1:] + heads[:1], strict=True) for x in (p, q)]) if heads else F.lit(None).cast("map<int,int>")
@@ -174,4 +178,5 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     head = found.where("kind = 1").select(F.col("part").alias("to"), F.col("text").alias("following"))
     names = [f.name for f in _SCHEMA][:7]
     tails = last.join(head, "to").select("id", "text", "following").mapInArrow(_ends(size), ", ".join(_DDL.split(", ")[:7]))
-    return found.where("kind = 0").select(*names).unionByName(tails).select(F.when(F.col("id") != NO_ID, F.col("id")).alias(key), *names[1:])
+    out = found.where("kind = 0").select(*names).unionByName(tails)
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(key), *[F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in names[1:]])
