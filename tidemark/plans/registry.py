@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-MODULES = ("retrieval", "statistics")
+MODULES = ("retrieval", "statistics", "projections", "joins", "aggregates")
 
 
 def _load() -> None:
