@@ -7,8 +7,8 @@ dart of a coordinate is its value. Two documents agree on a coordinate with the
 similarity. Band keys of `ROWS` coordinates give candidates.
 
 Copies (equal shingle sets) are folded first. In each bucket of a band all members are compared with one leader, which
-differs by band; after the links found so far are closed to components, buckets that still hold several components are
-compared across components. A candidate is linked only if the Jaccard similarity of its shingle sets, counted exactly,
+differs by band; after the links found so far are closed to components, buckets that still hold several components get
+new leaders, and at last are compared across components, without the pairs that bounds on their overlap rule out. A candidate is linked only if the Jaccard similarity of its shingle sets, counted exactly,
 is at least the threshold.
 """
 
@@ -150,6 +150,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(close).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, rep, label) of the buckets that still hold several components."""
+    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    return placed.join(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "band")
+
+
+def _own_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, size, own): each set's shingles, and how many of them no other set in these buckets has."""
+    here = sets.join(mixed.select("rep").distinct(), "rep", "left_semi")
+    grams = here.select("rep", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    return here.select("rep", F.size("grams").alias("size")).join(alone, "rep", "left").na.fill(0, ["own"])
+
+
+def _across(mixed: DataFrame, sized: DataFrame, grams: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) between different components of one bucket.
+
+    Members outside a bucket's largest component are compared with all others. A set's own shingles cannot be shared,
+    so similarity is at most (size - own) / (other size + own): sets for which that is too low even against the
+    bucket's smallest set are left out. A pair is counted in its first common band only, and only links leave the join.
+    """
+    rows = cut(mixed.join(sized, "rep"))
+    per = rows.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("size").alias("least")).groupBy("band").agg(F.max(F.struct("n", F.col("label")))["label"].alias("main"), F.min("least").alias("least"))
+    few = rows.join(per, "band").where((F.col("label") != F.col("main")) & (F.col("size") - F.col("own") >= threshold * (F.col("least") + F.col("own"))) & (F.col("size") - F.col("own") >= threshold * F.col("size")))
+    few = cut(few.select(*rows.columns))
+    both = rows.join(few.select("band").distinct(), "band", "left_semi")
+    full = grams.join(sets.select("rep", "bands"), "rep")
+    x, y = (d.join(full, "rep").select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "label", "size", "own", "grams", "bands")]) for k, d in (("x", few), ("y", both)))
+    most = F.least(F.col("size_x") - F.col("own_x"), F.col("size_y") - F.col("own_y"))
+    shared = F.size(F.array_intersect("grams_x", "grams_y"))
+    near = (F.col("label_x") != F.col("label_y")) & (most >= threshold * (F.col("size_x") + F.col("size_y") - most))
+    near = near & (F.array_intersect("bands_x", "bands_y")[0] == F.col("band")) & (shared >= threshold * (F.col("size_x") + F.col("size_y") - shared))
+    return x.join(y, "band").where(near).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD,
     words: int = WORDS, weighted: bool = False, carry: tuple[str, ...] = (),
@@ -174,17 +209,22 @@ def near_duplicates(
     need = buckets.select("rep").distinct()
     named = slim.join(need, slim["_key"] == need["rep"], "left_semi").groupBy("_key").agg(F.min("_text").alias("_text"))
     grams = cut(named.mapInArrow(_sets(words), f"rep {kinds[key]}, grams array<long>"))
-    links = cut(_linked(stars, grams, threshold))
+    links, tried = cut(_linked(stars, grams, threshold)), stars
     labels = cut(components(links))
-    # buckets that still hold several components: compare across them
-    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rest = cut(placed.join(mixed, "band"))
-    x, y = (rest.select("band", F.col("rep").alias(r), F.col("label").alias(f"l{r}")) for r in ("x", "y"))
-    across = x.join(y, "band").where("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_linked(cut(across), grams, threshold))
-    if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)))
+    mixed = cut(_mixed(buckets, labels))
+    sized = cut(_own_shingles(mixed, grams))
+    # new leaders: first the sets with the fewest shingles of their own, which lie in the middle of a group; then any
+    for order in ([F.col("own"), F.xxhash64("rep", "band", F.lit(1))], [F.xxhash64("rep", "band", F.lit(2)), F.col("own")]):
+        lead = mixed.join(sized, "rep").groupBy("band").agg(F.min(F.struct(*order, F.col("rep"), F.col("label"))).alias("x")).select("band", F.col("x.rep").alias("lead"), F.col("x.label").alias("of"))
+        more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(more)
+        links = links.unionByName(cut(_linked(more, grams, threshold)))
+        labels = cut(components(links))
+        mixed = cut(_mixed(buckets, labels))
+    rest = cut(_across(mixed, sized, grams, sets, threshold))
+    if not rest.isEmpty():
+        labels = cut(components(links.unionByName(rest)))
     classes = sets.join(labels, sets["rep"] == labels["node"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
     found = signed.where("size > 0").join(classes, ["f1", "f2"]).groupBy("_key").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_shingles"))
     own = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
