@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-MODULES = ("retrieval", "statistics", "projections", "joins", "aggregates", "ordering", "text", "datasets", "search", "geometry")
+MODULES = ("retrieval", "statistics", "projections", "joins", "aggregates", "ordering", "text", "datasets", "search", "geometry", "io")
 
 
 def _load() -> None:
