@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, text
-from tidemark.operators import closure, labels, measures, ranking, stats
+from tidemark.operators import closure, labels, measures, ranking, running, stats
 
 
 def run_of(spark, docs, system="s", qid=1):
@@ -147,3 +147,19 @@ def test_recall_grows_with_k(spark):
     r = measures.binary(run_of(spark, "abcdef"), gold, ks=(1, 2, 5, 6)).where(F.col("qid") == 1).first()
     assert [r[f"recall{k}"] for k in (1, 2, 5, 6)] == [0, 0.5, 1, 1]
     assert measures.binary(run_of(spark, "abcdef"), gold).where(F.col("qid") == 2).first()["ndcg10"] == 0  # a query without a ranking counts
+
+
+def test_running_operators(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 101, float((i * 7) % 10)) for i in range(101)], "id long, o long, v double")
+    total, want = 0.0, {}
+    for i, o, v in sorted(((i, (i * 37) % 101, float((i * 7) % 10)) for i in range(101)), key=lambda r: r[1]):
+        total += v
+        want[i] = total
+    assert {r["id"]: r["t"] for r in running.totals(rows, [F.col("o")], {"t": F.col("v")}).collect()} == want
+    values = sorted(float((i * 7) % 10) for i in range(101))
+    got = {r["v"]: r["r"] for r in running.average_rank(rows, "v", "r").collect()}
+    assert got == {v: values.index(v) + (values.count(v) + 1) / 2 for v in set(values)}
+    params = spark.createDataFrame([(1, 0.0), (2, 4.0), (3, 4.0), (4, 50.0), (5, 8.0)], "k long, p double")
+    near = {r["id"]: r["nearest"] for r in running.nearest(rows, "v", params, "p", "k").collect()}
+    table = [(0.0, 1), (4.0, 2), (50.0, 4), (8.0, 5)]
+    assert near == {i: min((abs(p - (i * 7) % 10), k) for p, k in table)[1] for i in range(101)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import vectors
+from tidemark.operators import running, vectors
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -229,13 +229,7 @@ def ag33(s, d):
 SELECT round(avg(power(x - m, 3)) / power(avg(power(x - m, 2)), 1.5), 4) AS skew, round(avg(power(x - m, 4)) / power(avg(power(x - m, 2)), 2) - 3, 4) AS kurt, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r, (SELECT avg(value) AS m FROM events)""")
 def ag34(s, d):
     e = table(s, d, "events").select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-
-    def ranked(df, c):  # average ranks from counts of distinct values, which are ordered instead of the rows
-        n = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return df.join(n.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
-
-    r = ranked(ranked(e, "x"), "y")
+    r = running.average_rank(running.average_rank(e, "x", "rx"), "y", "ry")
     return r.agg(_r(F.skewness("x"), 4).alias("skew"), _r(F.kurtosis("x"), 4).alias("kurt"), _r(F.corr("x", "y")).alias("pearson"), _r(F.corr("rx", "ry")).alias("spearman"))
 
 

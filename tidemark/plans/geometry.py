@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import axes, ranking, sampling
+from tidemark.operators import axes, ranking, running, sampling
 from tidemark.operators.vectors import knn
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -82,10 +82,7 @@ def ge7(s, d):
     n = e.count()
     pairs = e.select((((F.col("vec_id") * 31 + 7) % n)).alias("other"), F.col("embedding").alias("a")).join(e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b")), "other")
     p = pairs.select(F.round(ranking.dot(F.col("a"), F.col("b")), 9).alias("x"), F.round(ranking.dot(F.slice("a", 1, 8), F.slice("b", 1, 8)), 9).alias("y"))
-    for c in "xy":
-        w = Window.orderBy(c)
-        p = p.withColumn(f"r{c}", F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0)
-    return p.agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return running.average_rank(running.average_rank(p, "x", "rx"), "y", "ry").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
 
 @query("ge8_cluster_scores", f"WITH {_KNN}, c AS (SELECT label, vec_id % 7 AS g, count(*) AS n FROM embeddings GROUP BY 1, 2), t AS (SELECT sum(n)::DOUBLE AS t FROM c) SELECT (SELECT count(DISTINCT label) FROM c) AS clusters, round((SELECT avg((a.label = b.label)::INT) FROM k10 JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = n), 6) AS together, round((SELECT sum(n * (n - 1.0)) FROM c) / (SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY label)) / ((SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY g)) / (t * (t - 1))), 6) AS lift, round((SELECT sum(m) FROM (SELECT max(n) AS m FROM c GROUP BY label)) / t, 6) AS purity FROM t")

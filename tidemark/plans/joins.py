@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import running
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -133,16 +134,7 @@ def jn19(s, d):
 
 @query("jn20_nearest_parameter", "SELECT p_partkey, (SELECT s_suppkey FROM supplier ORDER BY abs(s_acctbal - p_retailprice), s_suppkey LIMIT 1) AS nearest FROM part")
 def jn20(s, d):
-    # the nearest value below and above, by one ordered pass over both sides' values
-    sup = table(s, d, "supplier").groupBy(F.col("s_acctbal").alias("v")).agg(F.min("s_suppkey").alias("id"))
-    p = table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("v"))
-    both = p.select("v", "p_partkey", F.lit(None).cast("struct<v:double,id:bigint>").alias("x")).unionByName(sup.select("v", F.lit(None).cast("bigint").alias("p_partkey"), F.struct("v", "id").alias("x")))
-    below = Window.orderBy("v", F.col("x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.orderBy("v", F.col("x").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    both = both.select("p_partkey", "v", F.last("x", True).over(below).alias("lo"), F.first("x", True).over(above).alias("hi")).where("p_partkey IS NOT NULL")
-    gap = lambda c: F.struct(F.abs(F.col(c)["v"] - F.col("v")).alias("gap"), F.col(c)["id"].alias("id"))
-    least = F.when(F.col("lo").isNull(), gap("hi")).when(F.col("hi").isNull(), gap("lo")).otherwise(F.least(gap("lo"), gap("hi")))
-    return both.select("p_partkey", least["id"].alias("nearest"))
+    return running.nearest(table(s, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", table(s, d, "supplier"), "s_acctbal", "s_suppkey").select("p_partkey", "nearest")
 
 
 @query("jn21_precedence_merge", "SELECT k, v FROM (SELECT c_custkey AS k, 'paper' AS v FROM customer WHERE c_custkey % 3 = 0) UNION ALL SELECT c_custkey, 'ours' FROM customer WHERE c_custkey % 3 <> 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import measures, ranking
+from tidemark.operators import measures, ranking, running
 from tidemark.plans.fixtures import RUNS_SQL, gold, grades, runs
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -295,8 +295,8 @@ def mt13(s, d):
 @query("mt14_average_precision_labels", """WITH r AS (SELECT quality, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM labels JOIN documents USING (doc_id)), c AS (SELECT quality, rn, sum(quality) OVER (ORDER BY rn) AS tp FROM r)
 SELECT round(sum(quality * tp / rn::DOUBLE) / sum(quality), 6) AS ap, round(avg(CASE WHEN (rn <= 50) = (quality = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM c""")
 def mt14(s, d):
-    w = Window.orderBy(F.desc("n_chars"), "doc_id")
-    r = table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select("quality", F.row_number().over(w).alias("rn"), F.sum("quality").over(w).alias("tp"))
+    j = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    r = running.totals(j, [F.desc("n_chars"), F.col("doc_id")], {"rn": F.lit(1), "tp": F.col("quality")})
     return r.agg(F.round(F.sum(F.col("quality") * F.col("tp") / F.col("rn")) / F.sum("quality"), 6).alias("ap"), F.round(F.avg(((F.col("rn") <= 50) == (F.col("quality") == 1)).cast("double")), 6).alias("accuracy"))
 
 
