@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL on the smallest test tables."""
+"""Every registered query of the search-evaluation operators against its SQL on the smallest test tables."""
 
 import duckdb
 import numpy as np
