@@ -173,8 +173,8 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     dealt = rows.repartitionByRange(parts, F.desc("id")).sortWithinPartitions(F.desc("id"), F.col("text"))
     found = cut(dealt.mapInArrow(_chain(size), _DDL))
     heads = sorted(r["part"] for r in found.where("kind = 1").select("part").collect())  # one number per partition
-    follows = F.create_map(*[F.lit(x) for p, q in zip(heads, heads[1:] + heads[:1], strict=True) for x in (p, q)]) if heads else F.lit(None).cast("map<int,int>")
-    last = found.where("kind = 2").select("id", "text", F.element_at(follows, F.col("part")).alias("to"))
+    follows = docs.sparkSession.createDataFrame(list(zip(heads, heads[1:] + heads[:1], strict=True)), "part int, to int")
+    last = found.where("kind = 2").select("id", "text", "part").join(F.broadcast(follows), "part").select("id", "text", "to")  # one row per partition
     head = found.where("kind = 1").select(F.col("part").alias("to"), F.col("text").alias("following"))
     names = [f.name for f in _SCHEMA][:7]
     tails = last.join(head, "to").select("id", "text", "following").mapInArrow(_ends(size), ", ".join(_DDL.split(", ")[:7]))
