@@ -33,9 +33,15 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def matches(post: DataFrame, terms: DataFrame) -> DataFrame:
+def collection(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: documents that have tokens, and their mean length. Counted in the scan, without the postings."""
+    dl = F.size(tokens(F.col(text)))
+    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, term, tf, dl, df, n, avgdl): global statistics joined to the postings of query terms only."""
-    lengths = post.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    post, lengths = postings(docs), collection(docs)
     needed = post.join(terms.select("term").distinct(), "term", "left_semi")
     df = needed.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     return terms.join(needed, "term").join(df, "term").crossJoin(F.broadcast(lengths))  # lengths is one row

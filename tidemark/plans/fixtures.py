@@ -28,8 +28,7 @@ grades AS (SELECT DISTINCT qid, doc_id, (doc_id * 7 + qid * 3) % 3 AS grade FROM
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = ranking.postings(table(spark, sf_dir, "documents"))
-    matched = ranking.matches(post, ranking.query_terms(table(spark, sf_dir, "benchmark")))
+    matched = ranking.matches(table(spark, sf_dir, "documents"), ranking.query_terms(table(spark, sf_dir, "benchmark")))
     part = lambda k1, b: F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
     scored = matched.groupBy("qid", "doc_id").agg(F.round(part(1.5, 0.75), 6).alias("a"), F.round(part(0.9, 0.4), 6).alias("b"), F.count("*").cast("double").alias("c"))
     long = scored.select("qid", "doc_id", F.expr("stack(3, 'bm25', a, 'bm25_short', b, 'overlap', c) AS (system, score)"))

@@ -14,7 +14,7 @@ W = "WITH " + RUNS_SQL
 
 @query("rt1_bm25_live", W + "SELECT qid, doc_id, a AS score, hits FROM sc")
 def rt1(s: SparkSession, d: str) -> DataFrame:
-    return ranking.bm25(ranking.matches(ranking.postings(table(s, d, "documents")), ranking.query_terms(table(s, d, "benchmark"))))
+    return ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark"))))
 
 
 _GRID = [(0.9, 0.4), (0.9, 0.75), (1.5, 0.4), (1.5, 0.75)]
@@ -24,7 +24,7 @@ _GRID = [(0.9, 0.4), (0.9, 0.75), (1.5, 0.4), (1.5, 0.75)]
 s2 AS (SELECT k1, b, qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM mt, grid GROUP BY k1, b, qid, doc_id)
 SELECT * FROM (SELECT k1, b, qid, doc_id, score, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, doc_id) AS rank FROM s2) WHERE rank <= 10""")
 def rt2(s, d):
-    matched = ranking.matches(ranking.postings(table(s, d, "documents")), ranking.query_terms(table(s, d, "benchmark")))
+    matched = ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark")))
     part = lambda k1, b: F.round(F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)), 6)
     # all settings are scored in one aggregation, so the grid costs no further shuffle
     wide = matched.groupBy("qid", "doc_id").agg(*[part(k1, b).alias(f"s{i}") for i, (k1, b) in enumerate(_GRID)])
@@ -51,7 +51,7 @@ def rt4(s, d):
 SELECT qid, full_n, any_n, CASE WHEN full_n > 0 THEN 'all' ELSE 'any' END AS mode FROM al2""")
 def rt5(s, d):
     terms = ranking.query_terms(table(s, d, "benchmark"))
-    scored = ranking.bm25(ranking.matches(ranking.postings(table(s, d, "documents")), terms))
+    scored = ranking.bm25(ranking.matches(table(s, d, "documents"), terms))
     n = terms.groupBy("qid").agg(F.count("*").alias("n"))
     got = scored.join(n, "qid").groupBy("qid").agg(F.count_if(F.col("hits") == F.col("n")).alias("full_n"), F.count("*").alias("any_n"))
     return got.withColumn("mode", F.when(F.col("full_n") > 0, "all").otherwise("any"))
@@ -222,7 +222,7 @@ def mt3(s, d):
 @query("mt4_set_baseline", W + """, st2 AS (SELECT qid, doc_id FROM sc WHERE hits >= 2), n AS (SELECT qid, count(*) AS n FROM st2 GROUP BY qid), g AS (SELECT gold.qid, avg(CASE WHEN st2.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS r FROM gold LEFT JOIN st2 USING (qid, doc_id) GROUP BY gold.qid)
 SELECT round(avg(r), 6) AS recall, median(coalesce(n, 0))::DOUBLE AS median_size FROM g LEFT JOIN n USING (qid)""")
 def mt4(s, d):
-    found = ranking.bm25(ranking.matches(ranking.postings(table(s, d, "documents")), ranking.query_terms(table(s, d, "benchmark")))).where("hits >= 2").select("qid", "doc_id")
+    found = ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark")))).where("hits >= 2").select("qid", "doc_id")
     per = gold(s, d).join(found.withColumn("in", F.lit(1.0)), ["qid", "doc_id"], "left").groupBy("qid").agg(F.avg(F.coalesce("in", F.lit(0.0))).alias("r"))
     return per.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").agg(F.round(F.avg("r"), 6).alias("recall"), F.median(F.coalesce("n", F.lit(0))).alias("median_size"))
 
