@@ -220,9 +220,9 @@ def ag32(s, d):
     return vectors.centroids(table(s, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("p", "x")).select("label", (F.col("p") + 1).alias("pos"), _r("x").alias("x"))
 
 
-@query("ag33_second_moments", "SELECT i, j, round(avg(embedding[i]::DOUBLE * embedding[j]::DOUBLE), 6) AS m FROM embeddings, range(1, 9) a(i), range(1, 9) b(j) WHERE i <= j GROUP BY i, j")
+@query("ag33_second_moments", "SELECT i, j, round(avg(embedding[i]::DOUBLE * embedding[j]::DOUBLE), 6) AS m FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j")
 def ag33(s, d):
-    return vectors.second_moments(table(s, d, "embeddings"), "embedding", 8).select("i", "j", _r("m").alias("m"))
+    return vectors.second_moments(table(s, d, "embeddings"), "embedding", 64).select("i", "j", _r("m").alias("m"))
 
 
 @query("ag34_shape_statistics", """WITH r AS (SELECT value AS x, user_id::DOUBLE AS y, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rx, rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS ry FROM events)

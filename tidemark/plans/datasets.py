@@ -45,11 +45,13 @@ def db4(s, d):
     return r.groupBy("x", "y").agg(F.when(F.min("p") == 1, "ontology").otherwise("names").alias("reason"))
 
 
-@query("db5_guard", "SELECT DISTINCT q.l_orderkey AS q, g.l_partkey AS doc FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey <= 500) q JOIN lineitem g ON g.l_suppkey = q.l_suppkey WHERE g.l_returnflag = 'R'")
+@query("db5_guard", "WITH rl AS (SELECT * FROM (VALUES ('A', 'R'), ('R', 'A'), ('N', 'N')) v(x, y)) SELECT DISTINCT q.l_suppkey AS k, q.l_returnflag AS v, g.l_partkey AS doc FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem) q JOIN rl ON x = q.l_returnflag JOIN lineitem g ON g.l_suppkey = q.l_suppkey AND g.l_returnflag = y")
 def db5(s, d):
-    li = table(s, d, "lineitem")
-    q = li.where("l_orderkey <= 500").select(F.col("l_orderkey").alias("q"), "l_suppkey").distinct()  # the queries
-    return q.join(li.where("l_returnflag = 'R'").select("l_suppkey", F.col("l_partkey").alias("doc")).distinct(), "l_suppkey").select("q", "doc").distinct()
+    # documents linked to the key with a related value
+    li = table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("v"), F.col("l_partkey").alias("doc")).distinct()
+    related = s.createDataFrame([("A", "R"), ("R", "A"), ("N", "N")], "v string, w string")
+    asked = li.select("k", "v").distinct().join(F.broadcast(related), "v")  # three pairs
+    return asked.join(li.withColumnRenamed("v", "w"), ["k", "w"]).select("k", "v", "doc").distinct()
 
 
 @query("db6_negative_pools", "WITH l AS (SELECT DISTINCT l_suppkey AS k, l_returnflag AS v, l_partkey AS doc FROM lineitem) SELECT k, v, count(*) AS pool FROM (SELECT DISTINCT q.k, q.v, o.doc FROM (SELECT DISTINCT k, v FROM l) q JOIN l o ON o.k = q.k AND o.v <> q.v EXCEPT SELECT k, v, doc FROM l) GROUP BY k, v")

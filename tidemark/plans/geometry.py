@@ -11,14 +11,14 @@ from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
 _DOT = "list_sum(list_transform(list_zip({}, {}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-#: kn: the 10 nearest (cosine) of each vector whose id is divisible by 10.
+#: kn: the 10 nearest (cosine) of each vector whose id is divisible by 50.
 _KNN = f"""kn AS (SELECT q, vec_id AS n, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM (SELECT a.vec_id AS q, b.vec_id, round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 9) AS sim
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0)), k10 AS (SELECT * FROM kn WHERE r <= 10)"""
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)), k10 AS (SELECT * FROM kn WHERE r <= 10)"""
 
 
 def neighbours(s: SparkSession, d: str, k: int = 10) -> DataFrame:
     e = table(s, d, "embeddings")
-    return knn(e, e.where("vec_id % 10 = 0"), k, key="vec_id", vector="embedding")
+    return knn(e, e.where("vec_id % 50 = 0"), k, key="vec_id", vector="embedding")
 
 
 @query("ge1_knn_exact", f"WITH {_KNN} SELECT q AS query, r AS rank, n AS neighbour, round(sim, 6) AS score FROM k10")
@@ -54,11 +54,11 @@ def ge4(s, d):
 
 def map_knn(s, d, k: int = 10) -> DataFrame:
     e = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("p"))
-    return knn(e, e.where("vec_id % 10 = 0"), k, key="vec_id", vector="p")
+    return knn(e, e.where("vec_id % 50 = 0"), k, key="vec_id", vector="p")
 
 
 _MAP = f""", mn AS (SELECT q, vec_id AS n, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM (SELECT a.vec_id AS q, b.vec_id, round({_DOT.format('a.embedding[1:8]', 'b.embedding[1:8]')} / (sqrt({_DOT.format('a.embedding[1:8]', 'a.embedding[1:8]')}) * sqrt({_DOT.format('b.embedding[1:8]', 'b.embedding[1:8]')})), 9) AS sim
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0))"""
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0))"""
 
 
 @query("ge5_map_recall", f"WITH {_KNN}{_MAP} SELECT round(count(*) / (SELECT count(*) FROM k10)::DOUBLE, 6) AS kept FROM k10 JOIN mn ON mn.q = k10.q AND mn.n = k10.n AND mn.r <= 10")
@@ -96,12 +96,12 @@ def ge8(s, d):
     return pure.crossJoin(ge6(s, d).select(F.col("same_label").alias("together"))).crossJoin(lift.select(F.round(F.col("a") / F.col("b") / (F.col("c") / F.col("e")), 6).alias("lift")))
 
 
-@query("ge9_vote_assign", f"WITH {_KNN} SELECT q AS vec_id, CASE WHEN q % 20 = 0 THEN (SELECT label FROM embeddings WHERE vec_id = q) ELSE l END::BIGINT AS label FROM (SELECT q, label AS l, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS rn FROM k10 JOIN embeddings ON vec_id = n GROUP BY q, label) WHERE rn = 1")
+@query("ge9_vote_assign", f"WITH {_KNN} SELECT q AS vec_id, CASE WHEN q % 100 = 0 THEN (SELECT label FROM embeddings WHERE vec_id = q) ELSE l END::BIGINT AS label FROM (SELECT q, label AS l, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS rn FROM k10 JOIN embeddings ON vec_id = n GROUP BY q, label) WHERE rn = 1")
 def ge9(s, d):
     e = table(s, d, "embeddings").select("vec_id", "label")
     votes = neighbours(s, d).join(e.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").groupBy("query", "label").agg(F.count("*").alias("n"))
     win = votes.groupBy(F.col("query").alias("vec_id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("vote"))
-    own = e.where("vec_id % 20 = 0")  # those that have a label of their own
+    own = e.where("vec_id % 100 = 0")  # those that have a label of their own
     return win.join(own, "vec_id", "left").select("vec_id", F.coalesce("label", "vote").alias("label"))
 
 

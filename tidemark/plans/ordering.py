@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import sampling
+from tidemark.operators import running, sampling
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -115,10 +115,10 @@ def so1(s, d):
     return table(s, d, "nation").select("n_regionkey", "n_name").orderBy("n_regionkey", "n_name")
 
 
-@query("so2_numeric_sort_of_text", "SELECT id, row_number() OVER (ORDER BY id::BIGINT) AS pos FROM (SELECT s_suppkey::VARCHAR AS id FROM supplier ORDER BY s_suppkey LIMIT 50)")
+@query("so2_numeric_sort_of_text", "SELECT id, row_number() OVER (ORDER BY id::BIGINT) AS pos FROM (SELECT s_suppkey::VARCHAR AS id FROM supplier)")
 def so2(s, d):
-    ids = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id")).orderBy(F.col("id").cast("bigint")).limit(50)
-    return ids.select("id", F.row_number().over(Window.orderBy(F.col("id").cast("bigint"))).alias("pos"))
+    ids = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    return running.totals(ids, [F.col("id").cast("bigint")], {"pos": F.lit(1)})
 
 
 @query("so3_topk_stable", "SELECT label::BIGINT AS label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 2) DESC, vec_id) AS rn FROM embeddings) WHERE rn <= 5")

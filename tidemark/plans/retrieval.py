@@ -149,15 +149,14 @@ def rt16(s, d):
     return r.groupBy("qid").agg(pick("bm25").alias("before"), pick("overlap").alias("after")).withColumn("changed", F.col("before") != F.col("after"))
 
 
-@query("rt17_tier_lookup", """WITH t AS (SELECT c_custkey AS qid, s_suppkey AS doc_id, 0 AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey <= 200 UNION ALL
- SELECT c_custkey, s_suppkey, 1 FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey WHERE c_custkey <= 200)
-SELECT qid, doc_id, CASE min(tier) WHEN 0 THEN 'exact' ELSE 'parents' END AS tier FROM t GROUP BY qid, doc_id""")
+@query("rt17_tier_lookup", """WITH t AS (SELECT n_nationkey AS qid, s_suppkey AS doc_id, 0 AS tier FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL
+ SELECT a.n_nationkey, s_suppkey, 1 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey)
+SELECT qid::BIGINT AS qid, doc_id, CASE min(tier) WHEN 0 THEN 'exact' ELSE 'parents' END AS tier FROM t GROUP BY qid, doc_id""")
 def rt17(s, d):
-    c, sup, n = (table(s, d, x) for x in ("customer", "supplier", "nation"))
-    c = c.where("c_custkey <= 200").select(F.col("c_custkey").alias("qid"), "c_nationkey")  # the queries; the lookup runs over all suppliers
-    exact = c.join(sup, F.col("c_nationkey") == F.col("s_nationkey")).select("qid", F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("tier"))
-    region = n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("other"), "n_regionkey"), "n_regionkey")
-    wide = c.join(region, "c_nationkey").join(sup, F.col("other") == F.col("s_nationkey")).select("qid", F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("tier"))
+    sup, n = table(s, d, "supplier"), table(s, d, "nation")
+    exact = sup.select(F.col("s_nationkey").alias("qid"), F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("tier"))
+    region = n.select(F.col("n_nationkey").alias("qid"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "n_regionkey")
+    wide = region.join(sup, "s_nationkey").select("qid", F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("tier"))
     return exact.unionByName(wide).groupBy("qid", "doc_id").agg(F.element_at(F.array(F.lit("exact"), F.lit("parents")), F.min("tier") + 1).alias("tier"))
 
 

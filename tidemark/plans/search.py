@@ -172,7 +172,7 @@ def mp3b(s, d):
     return KMeans(k=10, seed=1, maxIter=10).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-_CORE = "co AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id % 5 <> 0), ot AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id % 5 = 0)"
+_CORE = "co AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label <> 9), ot AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label = 9)"
 
 
 @query("mp4_outlier_absorb", f"WITH {_CORE} SELECT ot.vec_id, arg_min(co.label, (round(power(co.x - ot.x, 2) + power(co.y - ot.y, 2), 9), co.vec_id))::BIGINT AS label FROM ot, co GROUP BY ot.vec_id")
@@ -180,7 +180,7 @@ def mp4(s, d):
     from tidemark.operators.vectors import knn
 
     e = table(s, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).cast("array<double>").alias("p"))
-    near = knn(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), 1, key="vec_id", vector="p", cosine=False)
+    near = knn(e.where("label <> 9"), e.where("label = 9"), 1, key="vec_id", vector="p", cosine=False)
     return near.join(e.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").select(F.col("query").alias("vec_id"), "label")
 
 

@@ -12,7 +12,7 @@ from tidemark.sources.tables import table
 # paired differences: pair = region of the customer, unit = month, diff = mean order price difference of two priorities, in thousands
 _DIFF = """dm AS (SELECT r_name AS pair, month(o_orderdate)::BIGINT AS unit, round(avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END) / 1000 - avg(CASE WHEN o_orderpriority LIKE '5%' THEN o_totalprice END) / 1000, 4) AS diff
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, month(o_orderdate)),
-df AS (SELECT * FROM dm WHERE diff IS NOT NULL AND unit <= 10)"""
+df AS (SELECT * FROM dm WHERE diff IS NOT NULL)"""
 
 
 def diffs(s: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,7 @@ def diffs(s: SparkSession, d: str) -> DataFrame:
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     mean = lambda p: F.avg(F.when(F.col("o_orderpriority").startswith(p), F.col("o_totalprice"))) / 1000
     out = j.groupBy(F.col("r_name").alias("pair"), F.month("o_orderdate").cast("long").alias("unit")).agg(F.round(mean("1") - mean("5"), 4).alias("diff"))
-    return out.where("diff IS NOT NULL AND unit <= 10")
+    return out.where("diff IS NOT NULL")
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def r6(df: DataFrame) -> DataFrame:
 
 
 @query("sg1_sign_flip_exact", "WITH " + _DIFF + """, n AS (SELECT pair, count(*) AS n, sum(diff) AS obs FROM df GROUP BY pair), pl AS (SELECT df.*, row_number() OVER (PARTITION BY pair ORDER BY unit) - 1 AS i FROM df),
-s AS (SELECT pl.pair, n, obs, p, sum(CASE WHEN ((p >> i) & 1) = 1 THEN diff ELSE -diff END) AS s FROM pl JOIN n USING (pair), range(0, 1024) t(p) WHERE p < (1 << n) GROUP BY pl.pair, n, obs, p)
+s AS (SELECT pl.pair, n, obs, p, sum(CASE WHEN ((p >> i) & 1) = 1 THEN diff ELSE -diff END) AS s FROM pl JOIN n USING (pair), range(0, 4096) t(p) WHERE p < (1 << n) GROUP BY pl.pair, n, obs, p)
 SELECT pair, n, round(obs / n, 6) AS mean, round(avg(CASE WHEN abs(s) >= abs(obs) - 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM s GROUP BY pair, n, obs""")
 def sg1(s, d):
     return r6(stats.sign_flip_exact(diffs(s, d)))
@@ -52,7 +52,7 @@ def sg3(s, d):
 
 
 _BOOT = "WITH " + _DIFF + f""", n AS (SELECT pair, count(*) AS n, avg(diff) AS mean FROM df GROUP BY pair), pl AS (SELECT df.*, row_number() OVER (PARTITION BY pair ORDER BY unit) - 1 AS i FROM df),
-dr AS (SELECT pair, n, mean, r, {_H.format("r::VARCHAR || '|' || j::VARCHAR")} % n AS i FROM n, range(0, 500) a(r), range(0, 10) b(j) WHERE j < n), m AS (SELECT dr.pair, mean, r, avg(diff) AS m FROM dr JOIN pl ON pl.pair = dr.pair AND pl.i = dr.i GROUP BY dr.pair, mean, r)"""
+dr AS (SELECT pair, n, mean, r, {_H.format("r::VARCHAR || '|' || j::VARCHAR")} % n AS i FROM n, range(0, 500) a(r), range(0, 12) b(j) WHERE j < n), m AS (SELECT dr.pair, mean, r, avg(diff) AS m FROM dr JOIN pl ON pl.pair = dr.pair AND pl.i = dr.i GROUP BY dr.pair, mean, r)"""
 
 
 @query("sg4_bootstrap_ci", _BOOT + " SELECT pair, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY pair, mean")
