@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import STEP_BYTES, text_buffer
+from .common import STEP_BYTES, slices, text_buffer
 
 GRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 _FOLD = np.full(256, 32, np.uint8)
@@ -85,7 +85,7 @@ def _logits(model: Model, column: pa.Array) -> np.ndarray:
     return sums / np.maximum(counts, 1)[:, None] + model.bias
 
 
-def train(texts: list[str], langs: list[str], *, updates: int = 900, rate: float = 4.0, seed: int = 7, tail: float = 0.001) -> Model | None:
+def train(texts: pa.Array, langs: list[str], *, updates: int = 900, rate: float = 4.0, seed: int = 7, tail: float = 0.001) -> Model | None:
     """Fit on labelled texts, with about `updates` steps of 32 texts; every tenth text only calibrates. None without any label."""
     names = tuple(sorted(set(langs)))
     if not names:
@@ -93,11 +93,10 @@ def train(texts: list[str], langs: list[str], *, updates: int = 900, rate: float
     y = np.array([names.index(x) for x in langs])
     order = np.random.default_rng(seed).permutation(len(y))
     held, fit = (order[::10], np.delete(order, np.s_[::10])) if len(y) >= 20 else (order, order)
-    data, offsets = _fold(pa.array(texts, pa.string()))
     bags = []
     for i in range(len(texts)):
-        own = data[offsets[i] : offsets[i + 1]]
-        ids, n = np.unique(np.concatenate([_grams(own, k) + g * BUCKETS for g, k in enumerate(GRAMS)]), return_counts=True)
+        own, _ = _fold(texts.slice(i, 1))
+        ids, n = np.unique(np.concatenate([_grams(own, k) + g * BUCKETS for g, k in enumerate(GRAMS)]).astype(np.int32), return_counts=True)
         bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.3, (len(GRAMS) * BUCKETS, DIM)).astype(np.float32)
@@ -123,7 +122,7 @@ def train(texts: list[str], langs: list[str], *, updates: int = 900, rate: float
             for d in range(DIM):
                 emb[uniq, d] -= lr * 8 * np.bincount(inverse, back[doc, d] * share, len(uniq)).astype(np.float32)
     model = Model(names, np.ascontiguousarray(emb @ w), b.astype(float), 1.0, 0.0)
-    z = _logits(model, pa.array([texts[i] for i in held], pa.string()))
+    z = np.concatenate([_logits(model, texts.slice(int(i), 1)) for i in held])
     grid = np.geomspace(0.02, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
@@ -155,8 +154,10 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     keep = F.lit(False)
     for r in counts:
         keep = keep | ((F.col("_lang") == r["_lang"]) & (F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * per_language // r["count"])))
-    sample = sorted((r["_key"], r["_lang"], r["_text"]) for r in rows.where(keep).collect()) if counts else []
-    return train([x[2] for x in sample], [x[1] for x in sample])
+    if not counts:
+        return None
+    sample = rows.where(keep).toArrow().sort_by([("_key", "ascending"), ("_lang", "ascending"), ("_text", "ascending")]).combine_chunks()
+    return train(sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), sample.column("_lang").to_pylist())
 
 
 def predictor(model: Model | None):
@@ -164,13 +165,13 @@ def predictor(model: Model | None):
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def predict(text: pa.Array) -> pa.Array:
-        text = text.cast(pa.string())
-        known = has_letter(text) if model is not None else np.zeros(len(text), bool)
-        if model is not None and len(text):
-            p = _softmax(_logits(model, text) / model.temperature)
-            best, score = p.argmax(1), p.max(1)
-        else:
-            best, score = np.zeros(len(text), int), np.zeros(len(text))
+        known, best, score = np.zeros(len(text), bool), np.zeros(len(text), int), np.zeros(len(text))
+        at = 0
+        for part in slices(pa.record_batch([text.cast(pa.string())], ["text"]), 0) if model is not None else ():
+            own, column = slice(at, at + part.num_rows), part.column(0)
+            p = _softmax(_logits(model, column) / model.temperature)
+            known[own], best[own], score[own] = has_letter(column), p.argmax(1), p.max(1)
+            at += part.num_rows
         names = [model.langs[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)] if model else [UNKNOWN] * len(text)
         score = np.where(known, score, 0.0)
         low = ~known | (score < (model.threshold if model else 1))
