@@ -16,8 +16,6 @@ from .common import cut
 
 #: The hash has HASH_BITS bits; each of LEVELS histograms resolves BUCKET_BITS of them.
 HASH_BITS, BUCKET_BITS, LEVELS = 60, 8, 3
-#: Parts into which each source's rows are dealt where thresholds are joined.
-SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,8 +60,13 @@ def _edge(rows: DataFrame, state: DataFrame, bucket: Column) -> DataFrame:
     return hist.select("_s", "_bucket", (F.col("_rest") - F.col("_before")).alias("_rest"), "_sum")
 
 
+def _salts(df: DataFrame) -> int:
+    """Parts into which each source's rows are dealt where thresholds are joined: some for each shuffle partition, so that a source of any share is spread over all."""
+    return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _salted(state: DataFrame) -> DataFrame:
-    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_salts(state) - 1))))
 
 
 def mix(
@@ -86,7 +89,8 @@ def mix(
         F.col(key).alias("_key"), F.col(source).alias("_src"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("_s"),
         word_count(F.col(text)).alias("size"), _hash(F.col(key), seed).alias("_h"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
-    slim = sized.select("_key", "_src", "_s", "size", "_h").withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int"))
+    salt = F.pmod(F.col("_h"), F.lit(_salts(docs))).cast("int")
+    slim = sized.select("_key", "_src", "_s", "size", "_h").withColumn("_salt", salt)
     slim = cut(slim)
     goal = cut(targets(slim, weights, max_repeat))
     rows, state, prefix = slim, goal, F.lit(0)
@@ -98,7 +102,7 @@ def mix(
             rows = cut(rows)
     state = _edge(rows, state, F.col("_h")).select("_s", F.col("_bucket").alias("_edge"), F.col("_rest").alias("_left"), F.col("_sum").alias("_tied"))
     goal = cut(goal.join(state, "_s", "left"))
-    base = sized.withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int")) if carry else slim
+    base = sized.withColumn("_salt", salt) if carry else slim
     joined = base.join(_salted(goal), ["_s", "_salt"])
     part = F.expr("(_left * size) div _tied") if boundary == "cut" else F.when(F.col("_left") * 2 >= F.col("_tied"), F.col("size")).otherwise(F.lit(0))
     extra = F.when(F.col("_edge").isNull() | (F.col("size") == 0), F.lit(0)).when(F.col("_h") < F.col("_edge"), F.col("size")).when(F.col("_h") == F.col("_edge"), part).otherwise(F.lit(0)).cast("long")
