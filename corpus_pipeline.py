@@ -43,10 +43,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest id; repeated rows of it count once."""
-    rows = dart_minhash.near_duplicates(_boxed(docs), carry=("text", "_row")).where("kept")
+    named = _boxed(docs.where(F.col("doc_id").isNotNull()))
+    rows = dart_minhash.near_duplicates(named, carry=("text", "_row")).where("kept").dropDuplicates(["doc_id"])
     rows = rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
-    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(rows.where(F.col("doc_id").isNull()))
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,11 +79,12 @@ def test_dart_agreement_is_weighted_jaccard(weighted):
     assert abs((sig[0] == sig[1]).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 203), (201, 203), (202, 203)]
-    got = {r["node"]: r["label"] for r in dart_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["label"] for r in dart_minhash.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 204)}}
-    assert dart_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert dart_minhash.components(spark.createDataFrame([], "a long, b long"), one_task).collect() == []
 
 
 def test_recall(spark, sf):

@@ -28,6 +28,10 @@ BANDS, ROWS, THRESHOLD, WORDS = 25, 5, 0.8, 5
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
+#: Links that one task may join to components; beyond, they are contracted by joins.
+ONE_TASK = 1 << 19
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -119,13 +123,37 @@ def _sets(words: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if root:
+        yield pa.record_batch([pa.array(list(root)), pa.array([find(x) for x in root])], names=["node", "label"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes with links; links (a, b), a < b.
 
-    Alternating large-star and small-star steps: each step joins links to the smallest neighbour of their ends and
-    writes shorter trees, until no link changes. Nothing is gathered on the driver.
+    Up to one_task links, which take a task some tens of MB, are joined by union-find in one task. More are contracted
+    by alternating large-star and small-star steps: each joins links to the smallest neighbour of their ends and
+    writes shorter trees, until no link changes. Both give the same labels; nothing is gathered on the driver.
     """
     edges, seen = cut(links.select("a", "b").distinct()), None
+    if edges.count() <= one_task:
+        kind = dict(edges.dtypes)["a"]
+        return edges.coalesce(1).mapInArrow(_union_find, f"node {kind}, label {kind}")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -209,19 +237,19 @@ def near_duplicates(
     need = buckets.select("rep").distinct()
     named = slim.join(need, slim["_key"] == need["rep"], "left_semi").groupBy("_key").agg(F.min("_text").alias("_text"))
     grams = cut(named.mapInArrow(_sets(words), f"rep {kinds[key]}, grams array<long>"))
-    links, tried = cut(_linked(stars, grams, threshold)), stars
+    links = cut(_linked(stars, grams, threshold))
     labels = cut(components(links))
     mixed = cut(_mixed(buckets, labels))
     sized = cut(_own_shingles(mixed, grams))
-    # new leaders: first the sets with the fewest shingles of their own, which lie in the middle of a group; then any
-    for order in ([F.col("own"), F.xxhash64("rep", "band", F.lit(1))], [F.xxhash64("rep", "band", F.lit(2)), F.col("own")]):
-        lead = mixed.join(sized, "rep").groupBy("band").agg(F.min(F.struct(*order, F.col("rep"), F.col("label"))).alias("x")).select("band", F.col("x.rep").alias("lead"), F.col("x.label").alias("of"))
-        more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        links = links.unionByName(cut(_linked(more, grams, threshold)))
-        labels = cut(components(links))
-        mixed = cut(_mixed(buckets, labels))
+    # two new leaders: the set with the fewest shingles of its own, which lies in the middle of a group, and any other
+    chance = F.xxhash64("rep", "band", F.lit(1))
+    placed = mixed.join(sized, "rep")
+    lead = placed.groupBy("band").agg(F.min(F.struct("own", chance.alias("h"), "rep", "label")).alias("x"), F.min(F.struct(chance.alias("h"), "rep", "label")).alias("y"))
+    lead = lead.select("band", F.explode(F.array(F.struct("x.rep", "x.label"), F.struct("y.rep", "y.label"))).alias("l")).select("band", F.col("l.rep").alias("lead"), F.col("l.label").alias("of"))
+    more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    links = links.unionByName(cut(_linked(cut(more.join(stars, ["a", "b"], "left_anti")), grams, threshold)))
+    labels = cut(components(links))
+    mixed = cut(_mixed(buckets, labels))
     rest = cut(_across(mixed, sized, grams, sets, threshold))
     if not rest.isEmpty():
         labels = cut(components(links.unionByName(rest)))
