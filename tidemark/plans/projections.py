@@ -17,7 +17,7 @@ def prj1(s: SparkSession, d: str) -> DataFrame:
 @query("prj2_section_after_marker", "SELECT page_id, CASE WHEN position('<p>' IN html) > 0 THEN trim(substr(html, position('<p>' IN html) + 3, 40)) ELSE '' END AS section FROM pages")
 def prj2(s, d):
     at = F.locate("<p>", "html")
-    return table(s, d, "pages").select("page_id", F.when(at > 0, F.trim(F.substr("html", at + 3, F.lit(40)))).otherwise("").alias("section"))
+    return table(s, d, "pages").select("page_id", F.when(at > 0, F.trim(F.substr("html", at + 3))).otherwise("").alias("section"))
 
 
 _DOC = "CASE WHEN doc_id % 3 <> 0 THEN source || chr(10) || chr(10) || text ELSE text END"
