@@ -1,11 +1,43 @@
 """Queries that must take all of their input, against the whole job in plain Python or DuckDB."""
 
+import hashlib
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import batches
 from tidemark.plans import registry
 
 
+def by_hash(seed, keys):
+    return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{k}".encode()).hexdigest(), k))
+
+
 def test_section_after_marker_is_whole(spark, sf):
     got = {r["page_id"]: r["section"] for r in registry.queries()["prj2_section_after_marker"](spark, sf).collect()}
     want = duckdb.sql(f"SELECT page_id, CASE WHEN position('<p>' IN html) > 0 THEN trim(substr(html, position('<p>' IN html) + 3)) ELSE '' END FROM '{sf}/pages.parquet'").fetchall()
     assert got == dict(want) and max(map(len, got.values())) > 40
+
+
+def test_guarded_batches_place_every_order(spark, sf):
+    got = registry.queries()["db24_guarded_batches"](spark, sf).collect()
+    orders = duckdb.sql(f"SELECT DISTINCT l_orderkey FROM '{sf}/lineitem.parquet'").fetchall()
+    assert sorted(r["row"] for r in got) == sorted(k for k, in orders) and len(got) > 600
+    assert max(r["batch"] for r in got) < -(-len(orders) // 16)
+
+
+@pytest.mark.parametrize("hot", [0, 0.3])
+def test_batches_over_several_runs(spark, hot):
+    rng = random.Random(3)
+    rows = {i: ({rng.randrange(60), 99 if rng.random() < hot else rng.randrange(60)}, {rng.randrange(60)}) for i in range(400)}
+    frame = spark.createDataFrame([(i, list(d), list(g)) for i, (d, g) in rows.items()], "row long, docs array<long>, guard array<long>")
+    got = {r["row"]: r["batch"] for r in batches.plan(frame, [F.col("row")], 8, 16).collect()}
+    assert set(got) == set(rows) and set(got.values()) <= {-1, *range(50)}
+    held = {b: [rows[i] for i in got if got[i] == b] for b in range(50)}
+    clash = lambda x, y: x[0] & y[0] or x[0] & y[1] or x[1] & y[0]
+    assert all(len(v) <= 8 and not any(clash(v[i], v[j]) for i in range(len(v)) for j in range(i)) for v in held.values())
+    left = [rows[i] for i in got if got[i] < 0]
+    assert all(len(v) == 8 or any(clash(r, x) for x in v) for r in left for v in held.values())  # only true conflicts
+    assert bool(left) == bool(hot)

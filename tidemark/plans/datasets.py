@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import closure, labels, sampling
+from tidemark.operators import batches, closure, labels, running, sampling
 from tidemark.plans.fixtures import RUNS_SQL, gold, runs
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -190,9 +194,8 @@ def db23(s, d):
 @query("db24_guarded_batches")
 def db24(s, d):
     rows = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("docs"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("guard"))
-    top = rows.orderBy(sampling.order_hash("batch", "l_orderkey"), "l_orderkey").limit(600).collect()  # a bounded training file
-    placed, left = closure.first_fit([(r["l_orderkey"], set(r["docs"]), set(r["guard"])) for r in top], 16, 40)
-    return s.createDataFrame(sorted(placed.items()) + [(i, -1) for i in left], "row long, batch long")
+    rows = rows.withColumnRenamed("l_orderkey", "row")
+    return batches.plan(rows, [sampling.order_hash("batch", "row"), F.col("row")], 16)
 
 
 @query("db25_wide_to_long", "SELECT c_custkey, kind, v FROM (SELECT c_custkey, 'name' AS kind, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer)")
