@@ -41,3 +41,17 @@ def test_batches_over_several_runs(spark, hot):
     left = [rows[i] for i in got if got[i] < 0]
     assert all(len(v) == 8 or any(clash(r, x) for x in v) for r in left for v in held.values())  # only true conflicts
     assert bool(left) == bool(hot)
+
+
+def test_balanced_rounds_fill_a_rare_stratum(spark, tmp_path):
+    common, rare = by_hash("round", range(1000))[:980], by_hash("round", range(1000))[980:]
+    spark.createDataFrame([(i, 1, 0) for i in common] + [(i, 0, 1) for i in rare], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.queries()["db30_balanced_rounds"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["doc_id"] for r in got if r["stratum"] == "(0, 1)"] == rare and [r["doc_id"] for r in got if r["stratum"] == "(1, 0)"] == common[:40]
+
+
+def test_repeat_order_takes_every_label(spark, sf):
+    got = registry.queries()["db32_repeat_order"](spark, sf).orderBy("place").collect()
+    first = by_hash("once", [k for k, in duckdb.sql(f"SELECT doc_id FROM '{sf}/labels.parquet'").fetchall()])
+    assert len(first) > 60
+    assert [tuple(r) for r in got] == [(i, x, 1) for i, x in enumerate(first)] + [(len(first) + i, x, 2) for i, x in enumerate(first[::4])]

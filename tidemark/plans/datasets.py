@@ -241,8 +241,9 @@ def db29(s, d):
 
 @query("db30_balanced_rounds")
 def db30(s, d):
-    # the least-filled stratum gives the next item; the items of a round are a bounded list
-    items = table(s, d, "labels").orderBy(sampling.order_hash("round", "doc_id"), "doc_id").limit(300).collect()
+    # the least-filled stratum gives the next of 60 items; no stratum can give more than its first 60
+    items = sampling.first_by_hash(table(s, d, "labels").select("doc_id", "quality", "toxic"), 60, ["quality", "toxic"], ["doc_id"], "round")
+    items = items.orderBy(sampling.order_hash("round", "doc_id"), "doc_id").collect()  # 60 rows of each stratum at most
     pools: dict[tuple, list] = {}
     for r in items:
         pools.setdefault((r["quality"], r["toxic"]), []).append(r["doc_id"])
@@ -261,10 +262,12 @@ def db31(s, d):
 
 @query("db32_repeat_order")
 def db32(s, d):
-    first = [r["doc_id"] for r in table(s, d, "labels").orderBy(sampling.order_hash("once", "doc_id"), "doc_id").limit(60).collect()]
-    again = [x for i, x in enumerate(first) if i % 4 == 0]
-    order = [(i, x, 1) for i, x in enumerate(first)] + [(len(first) + i, x, 2) for i, x in enumerate(again)]  # repeats wait for the second part
-    return s.createDataFrame(order, "place long, doc_id long, pass long")
+    labelled = table(s, d, "labels").select("doc_id")
+    order = [sampling.order_hash("once", "doc_id"), F.col("doc_id")]
+    first = running.totals(labelled, order, {"at": F.lit(1)}).select((F.col("at") - 1).alias("place"), "doc_id")
+    again = first.where("place % 4 = 0").select(F.expr("place div 4").alias("place"), "doc_id")
+    n = labelled.count()
+    return first.withColumn("pass", F.lit(1)).union(again.select(F.col("place") + n, "doc_id", F.lit(2)))  # repeats wait for the second part
 
 
 _LOG = "lg AS (SELECT user_id AS labeller, event_id % 50 AS item_id, ts, event_id, (event_id % 3)::BIGINT AS grade, value FROM events)"
