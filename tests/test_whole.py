@@ -55,3 +55,21 @@ def test_repeat_order_takes_every_label(spark, sf):
     first = by_hash("once", [k for k, in duckdb.sql(f"SELECT doc_id FROM '{sf}/labels.parquet'").fetchall()])
     assert len(first) > 60
     assert [tuple(r) for r in got] == [(i, x, 1) for i, x in enumerate(first)] + [(len(first) + i, x, 2) for i, x in enumerate(first[::4])]
+
+
+def test_paced_budget_considers_every_order(spark, sf):
+    price = dict(duckdb.sql(f"SELECT o_orderkey, o_totalprice FROM '{sf}/orders.parquet'").fetchall())
+    spent, want = 0.0, []
+    for i, k in enumerate(by_hash("pace", price)):
+        if spent + price[k] <= 50_000.0 * (i + 1):
+            spent += price[k]
+            want.append((k, round(spent, 2)))
+    assert len(price) > 500
+    assert [tuple(r) for r in registry.queries()["db9_paced_budget"](spark, sf).collect()] == want
+
+
+def test_greedy_accept_reads_on_past_a_hot_supplier(spark, tmp_path):
+    keys = by_hash("greedy", range(700))
+    spark.createDataFrame([(k, max(0, i - 598), i) for i, k in enumerate(keys)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["db8_greedy_accept"](spark, str(tmp_path)).collect()
+    assert [r["key"] for r in got] == [keys[0], *keys[599:673]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -22,8 +24,8 @@ def transitive(edges: DataFrame, child: str = "child", parent: str = "parent", r
     return paths.select(F.col("a").alias(child), F.col("b").alias("ancestor"))
 
 
-def greedy(candidates: list[tuple], limit: int) -> list[tuple]:
-    """Accept (key, value, docs) in order while key and value are unused and docs are disjoint from those accepted. For bounded lists."""
+def greedy(candidates: Iterable[tuple], limit: int) -> list[tuple]:
+    """Accept (key, value, docs) in order while key and value are unused and docs are disjoint from those accepted. Reads no further than the limit needs."""
     keys, values, docs, out = set(), set(), set(), []
     for key, value, own in candidates:
         if len(out) >= limit:
@@ -36,6 +38,15 @@ def greedy(candidates: list[tuple], limit: int) -> list[tuple]:
     return out
 
 
+def paced(rows: Iterable[tuple[int, float]], pace: float) -> Iterator[tuple[int, float]]:
+    """(key, spent) of the rows (key, price) taken: those with which the spending keeps to the pace of their place."""
+    spent = 0.0
+    for i, (key, price) in enumerate(rows):
+        if spent + price <= pace * (i + 1):
+            spent += price
+            yield key, spent
+
+
 def first_fit(rows: list[tuple[int, set, set]], size: int, most: int) -> tuple[dict[int, int], list[int]]:
     """Row id -> batch and the rows that fit none: rows of a batch share no doc, and none has a doc another guards."""
     bins: list[tuple[list[int], set, set]] = []

@@ -75,21 +75,21 @@ def db7(s, d):
 
 @query("db8_greedy_accept")
 def db8(s, d):
-    # a bounded, totally ordered candidate list
+    # candidates stream in hash order until 75 are accepted or none is left
     c = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("v"), F.collect_set("l_partkey").alias("docs"))
-    top = c.orderBy(sampling.order_hash("greedy", "l_orderkey"), "l_orderkey").limit(500).collect()
-    return s.createDataFrame([(k, v) for k, v, _ in closure.greedy([(r["l_orderkey"], r["v"], r["docs"]) for r in top], 75)], "key long, value long")
+    top = c.orderBy(sampling.order_hash("greedy", "l_orderkey"), "l_orderkey").toLocalIterator()
+    return s.createDataFrame([(k, v) for k, v, _ in closure.greedy(((r["l_orderkey"], r["v"], r["docs"]) for r in top), 75)], "key long, value long")
 
 
 @query("db9_paced_budget")
 def db9(s, d):
-    o = table(s, d, "orders").orderBy(sampling.order_hash("pace", "o_orderkey"), "o_orderkey").limit(500).collect()
-    spent, out = 0.0, []
-    for i, r in enumerate(o):  # a row is taken while the spending keeps to the pace of its place
-        if spent + r["o_totalprice"] <= 50_000.0 * (i + 1):
-            spent += r["o_totalprice"]
-            out.append((r["o_orderkey"], round(spent, 2)))
-    return s.createDataFrame(out, "o_orderkey long, spent double")
+    # each order depends on all before it: they stream in hash order, a partition at a time
+    o = table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(sampling.order_hash("pace", "o_orderkey"), "o_orderkey").toLocalIterator()
+    keys, sums = array("q"), array("d")
+    for key, total in closure.paced(((r["o_orderkey"], r["o_totalprice"]) for r in o), 50_000.0):
+        keys.append(key)
+        sums.append(round(total, 2))
+    return s.createDataFrame(pa.table({"o_orderkey": pa.array(np.asarray(keys, np.int64)), "spent": pa.array(np.asarray(sums, np.float64))}))
 
 
 @query("db10_topup", "WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS n FROM g) SELECT doc_id, 'gold' AS kind FROM g UNION ALL SELECT doc_id, 'distractor' FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('top|' || doc_id::VARCHAR), doc_id) AS rn FROM documents ANTI JOIN g USING (doc_id)), n WHERE rn <= greatest(400 - n, 0)")
