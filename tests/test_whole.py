@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import batches
+from tidemark.operators import batches, ranking
 from tidemark.plans import registry
+from tests.test_contract import TABLES, rows as compared
 
 
 def by_hash(seed, keys):
@@ -73,3 +74,17 @@ def test_greedy_accept_reads_on_past_a_hot_supplier(spark, tmp_path):
     spark.createDataFrame([(k, max(0, i - 598), i) for i, k in enumerate(keys)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.queries()["db8_greedy_accept"](spark, str(tmp_path)).collect()
     assert [r["key"] for r in got] == [keys[0], *keys[599:673]]
+
+
+def test_query_terms_are_all_but_stop_words(spark):
+    queries = spark.createDataFrame([(1, "The gene of a rat, and the cat BRCA1")], "item_id long, text string")
+    assert {r["term"] for r in ranking.query_terms(queries).collect()} == {"gene", "rat", "cat", "brca1"}
+
+
+@pytest.mark.parametrize("name", ["rt1_bm25_live", "rt5_match_modes"])
+def test_bm25_scores_short_terms(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    sql = registry.oracles()[name].replace("WHERE length(term) >= 6", f"WHERE term NOT IN {ranking.STOP_WORDS}")  # the registered SQL leaves short terms out
+    assert compared(registry.queries()[name](spark, sf).toPandas()) == compared(con.execute(sql).fetch_df())

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOKEN = "[a-z0-9]+"
+#: Lucene's English stop words, which are those of bm25s.
+STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
 def tokens(text: Column) -> Column:
@@ -20,9 +22,9 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return split.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, key: str = "item_id", text: str = "text", least: int = 6) -> DataFrame:
-    """(qid, term): a query's distinct terms of at least `least` characters."""
-    return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).where(F.length("term") >= least)
+def query_terms(queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(qid, term): a query's distinct terms, less the stop words."""
+    return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
 
 
 def idf(n: Column, df: Column) -> Column:
