@@ -1,7 +1,8 @@
 """Licence scan: normalised passages against templates by the Dice coefficient of their word bigrams.
 
 Dice >= t needs sizes within a factor of (2 - t) / t, so templates are kept by size and only those in range are
-compared. Passages are the whole text, its blocks between blank lines and its single lines.
+compared. Passages are the whole text, its blocks between blank lines, its single lines, and the runs of adjacent lines
+that come nearest to a template.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -50,20 +53,38 @@ def bigrams(passage: str) -> frozenset[tuple[str, str]]:
     return frozenset(zip(w, w[1:]))
 
 
+#: Words that a paragraph of a licence needs to be a template of its own.
+LEAST_WORDS = 12
+
+
+@cache
+def licences() -> tuple[tuple[str, str], ...]:
+    """The full texts beside this module, and their paragraphs that stand in one licence only."""
+    full = [(p.stem, p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("licences").glob("*.txt"))]
+    parts = {(name, bigrams(part)): part for name, text in full for part in re.split(r"\n\s*\n", text) if len(_WORD.findall(part)) >= LEAST_WORDS}
+    names: dict[frozenset, set[str]] = {}
+    for name, grams in parts:
+        names.setdefault(grams, set()).add(name)
+    return (*full, *[(name, part) for (name, grams), part in parts.items() if len(names[grams]) == 1])
+
+
 @dataclass
 class Matcher:
-    templates: tuple[tuple[str, str], ...] = TEMPLATES
+    templates: tuple[tuple[str, str], ...] = field(default_factory=lambda: TEMPLATES + licences())
     threshold: float = THRESHOLD
     sizes: list[int] = field(default_factory=list)
+    words: list[int] = field(default_factory=list)
     index: dict = field(default_factory=dict)
 
     def __post_init__(self):
         for t, (_, text) in enumerate(self.templates):
             grams = bigrams(text)
             self.sizes.append(len(grams))
+            self.words.append(len(_WORD.findall(text)))
             for g in grams:
                 self.index.setdefault(g, []).append(t)
         self.factor = (2 - self.threshold) / self.threshold
+        self.grams = frozenset(self.index)
         self.most_words = max(self.sizes, default=0) * self.factor + 1
 
     def best(self, passage: str) -> tuple[float, int] | None:
@@ -82,7 +103,7 @@ class Matcher:
         return found if found and found[0] >= self.threshold else None
 
     def scan(self, text: str) -> list[tuple[str, float, str, int, int]]:
-        """(licence, Dice, unit, first line, lines) of the matching passages: lines, then blocks of several lines, then the whole text."""
+        """(licence, Dice, unit, first line, lines) of the matching passages: lines, blocks of several lines, the whole text, then runs of lines that are nearer than what they overlap."""
         lines = text.split("\n")
         found, blocks, begin = [], [], 0
         for i, line in enumerate([*lines, ""]):
@@ -102,8 +123,52 @@ class Matcher:
                     continue
             if hit := self.best(passage):
                 found.append((self.templates[-hit[1]][0], hit[0], unit, at, n))
+        for dice, t, at, n in self._runs(lines):
+            if not any(d >= dice and a < at + n and at < a + m for _, d, _, a, m in found):
+                found.append((self.templates[t][0], dice, "run", at, n))
         return found
 
+    def _runs(self, lines: list[str]) -> list[tuple[float, int, int, int]]:
+        """(Dice, template, first line, lines) of the best run from each line, best first; longer, then earlier ones lead among equals.
+
+        A template needs threshold / 2 * (1 + 1 / factor) of its bigrams somewhere in the text. From each line with one
+        of its bigrams a run grows until it has more distinct bigrams than the template allows, or twice as many words.
+        """
+        text = [[] if _OWNER.match(line) else _WORD.findall(line.lower()) for line in lines]
+        flat = [w for words in text for w in words]
+        shared: dict[int, int] = {}
+        for g in self.grams.intersection(zip(flat, flat[1:])):
+            for t in self.index[g]:
+                shared[t] = shared.get(t, 0) + 1
+        need = self.threshold / 2 * (1 + 1 / self.factor)
+        near = [t for t, c in shared.items() if c >= need * self.sizes[t]]
+        if not near:
+            return []
+        rows, last = [], None  # of each line with words: its number, and its bigrams with the one that leads into it
+        for i, words in enumerate(text):
+            if words:
+                rows.append((i, [(last, words[0])] if last else [], list(zip(words, words[1:])), len(words)))
+                last = words[-1]
+        found = []
+        for t in near:
+            own = bigrams(self.templates[t][1])
+            most, most_words = self.sizes[t] * self.factor, 2 * self.factor * self.words[t]
+            for k, (i, _, first, _) in enumerate(rows):
+                if own.isdisjoint(first) and (k + 1 == len(rows) or own.isdisjoint(rows[k + 1][1])):
+                    continue
+                grams, both, words, best = set(), 0, 0, (0.0, 0)
+                for j in range(k, len(rows)):
+                    new = {*(rows[j][1] if j > k else ()), *rows[j][2]} - grams
+                    grams |= new
+                    both += len(own & new)
+                    words += rows[j][3]
+                    if len(grams) > most or words > most_words:
+                        break
+                    best = max(best, (2 * both / (len(grams) + self.sizes[t]), -rows[j][0])) if j > k else best
+                if best[0] >= self.threshold:
+                    found.append((best[0], t, i, -best[1] - i + 1))
+        return sorted(found, key=lambda x: (-x[0], -x[3], x[1], x[2]))
+
     def _small(self, passage: str) -> bool:
         """Whether a passage of many separators still has few enough distinct bigrams for some template."""
         return bool(passage) and len(bigrams(passage)) <= self.most_words
@@ -113,16 +178,16 @@ _TYPE = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("
 _DDL = "array<struct<license: string, dice: double, unit: string, line: int, lines: int>>"
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key and matches, an array of (license, dice, unit, line, lines) in order of place.
 
-    Passages are lowered and reduced to letters and digits; lines of copyright owners are left out of longer passages.
+    Without templates, those of this module and licences() are used. Passages are lowered and reduced to letters and digits; lines of copyright owners are left out of longer passages.
     Null and empty texts match nothing; ties go to the earlier template; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, threshold)
+        matcher = Matcher(TEMPLATES + licences() if templates is None else templates, threshold)
         for batch in batches:
             rows = [[dict(zip(("license", "dice", "unit", "line", "lines"), x, strict=True)) for x in matcher.scan(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, _TYPE)], names=["_key", "matches"])
