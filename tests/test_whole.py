@@ -112,3 +112,9 @@ def test_full_licences(name):
     text = dict(license_scan.licences()[:8])[name]
     got = license_scan.Matcher().scan(f"{text}\nand then code")
     assert (name, True) in [(x[0], x[1] > 0.99) for x in got]
+
+
+def test_split_text_back_returns_every_document(spark, sf):
+    docs = duckdb.sql(f"SELECT doc_id, source, text FROM '{sf}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: (r["title"], r["body"]) for r in registry.queries()["prj4_split_text_back"](spark, sf).collect()}
+    assert got == {i: (source if i % 3 else None, hashlib.md5(text.encode()).hexdigest()) for i, source, text in docs}

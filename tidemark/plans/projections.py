@@ -34,9 +34,9 @@ def prj3(s, d):
 
 @query("prj4_split_text_back", f"SELECT doc_id, split_part(t, chr(10) || chr(10), 1) AS title, md5(substr(t, length(split_part(t, chr(10) || chr(10), 1)) + 3)) AS body FROM (SELECT doc_id, {_DOC} AS t FROM documents) WHERE doc_id % 3 <> 0")
 def prj4(s, d):
-    t = table(s, d, "documents").where("doc_id % 3 <> 0").select("doc_id", _doc_text().alias("t"))
-    title = F.split_part("t", F.lit("\n\n"), F.lit(1))
-    return t.select("doc_id", title.alias("title"), F.md5(F.substr("t", F.length(title) + 3)).alias("body"))
+    t = table(s, d, "documents").select("doc_id", _doc_text().alias("t"))
+    title = F.when(F.col("doc_id") % 3 != 0, F.split_part("t", F.lit("\n\n"), F.lit(1)))  # others have none in front
+    return t.select("doc_id", title.alias("title"), F.md5(F.when(title.isNull(), F.col("t")).otherwise(F.substr("t", F.length(title) + 3))).alias("body"))
 
 
 @query("prj5_banding", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'medium' ELSE 'large' END AS band FROM part")
