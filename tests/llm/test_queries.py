@@ -66,6 +66,34 @@ def test_large_near_copy_group(spark):
     assert got == near_classes(docs)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = dart_minhash.near_duplicates(frame([(1, x), (1, y), (2, y), (3, y), (4, x)])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1} and all(r["n_shingles"] == 26 for r in got)
+    got = dart_minhash.near_duplicates(frame([(5, x), (5, y), (2, y), (3, y), (4, x), (6, None), (6, x), (6, x)]), carry=("text",)).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["class_id"]) for r in got) == sorted([(5, x, 4), (5, y, 2), (2, y, 2), (3, y, 2), (4, x, 4), (6, "", 6), (6, x, 4), (6, x, 4)])
+
+
+def test_repeated_ids_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(8):
+            words = list(base)
+            for j in rng.choice(80, int(rng.integers(0, 5)), replace=False):
+                words[j] = f"n{rng.integers(10**6)}"
+            rows.append((int(rng.integers(0, 25)), " ".join(words)))
+    rows = list(dict.fromkeys(rows))
+    want = near_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {}
+    for i, c in want.items():
+        least[c] = min(least.get(c, 99), rows[i][0])
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), carry=("text",)).collect()
+    assert {(r["doc_id"], r["text"]): r["class_id"] for r in got} == {rows[i]: least[c] for i, c in want.items()}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_dart_agreement_is_weighted_jaccard(weighted):
     rng = np.random.default_rng(3)
@@ -79,12 +107,11 @@ def test_dart_agreement_is_weighted_jaccard(weighted):
     assert abs((sig[0] == sig[1]).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.04
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components(spark, one_task):
+def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 203), (201, 203), (202, 203)]
-    got = {r["node"]: r["label"] for r in dart_minhash.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
+    got = {r["node"]: r["label"] for r in dart_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 204)}}
-    assert dart_minhash.components(spark.createDataFrame([], "a long, b long"), one_task).collect() == []
+    assert dart_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_recall(spark, sf):

@@ -6,10 +6,14 @@ and a rank limit of about k ln k over its total weight, each dart is dealt to on
 dart of a coordinate is its value. Two documents agree on a coordinate with the probability of their weighted Jaccard
 similarity. Band keys of `ROWS` coordinates give candidates.
 
-Copies (equal shingle sets) are folded first. In each bucket of a band all members are compared with one leader, which
-differs by band; after the links found so far are closed to components, buckets that still hold several components get
-new leaders, and at last are compared across components, without the pairs that bounds on their overlap rule out. A candidate is linked only if the Jaccard similarity of its shingle sets, counted exactly,
-is at least the threshold.
+Copies (equal shingle sets, named by 128 bits of their content) are folded first. In each bucket of a band all members
+are compared with one leader, the least name, so that a group's bands mostly share one; the links found so far are
+closed to components. Buckets that still hold several components get two other leaders, and at last are compared across
+components, without the pairs that bounds on their overlap rule out. A candidate is linked only if the Jaccard
+similarity of its shingle sets, counted exactly, is at least the threshold.
+
+Small aggregates (leaders, least neighbours, classes) are written before rows are joined to them: a join whose two sides
+come straight from shuffles is one that adaptive execution can split where one bucket, hub or text holds many rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, slices, text_buffer
 from .shingles import mix, shingle_sets
@@ -28,10 +32,6 @@ BANDS, ROWS, THRESHOLD, WORDS = 25, 5, 0.8, 5
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-#: Links that one task may join to components; beyond, they are contracted by joins.
-ONE_TASK = 1 << 19
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -107,7 +107,7 @@ def _sketch(bands: int, rows: int, words: int, weighted: bool):
                 np.add.at(f1, owner, salted)
                 np.add.at(f2, owner, mix(salted ^ _C1))
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
-                yield pa.record_batch([batch.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], names=["_key", "f1", "f2", "size", "bands"])
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], names=["_key", "_th", "f1", "f2", "size", "bands"])
 
     return run
 
@@ -118,99 +118,104 @@ def _sets(words: int):
             for batch in slices(whole, 1):
                 owner, h, _ = shingle_sets(*text_buffer(pc.utf8_lower(batch.column(1).fill_null(""))), words)
                 offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["rep", "grams"])
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["node", "grams"])
 
     return run
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    root: dict = {}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root.setdefault(a, a)
-            root.setdefault(b, b)
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    if root:
-        yield pa.record_batch([pa.array(list(root)), pa.array([find(x) for x in root])], names=["node", "label"])
+def _stars(edges: DataFrame) -> bool:
+    """Whether links (a, b) are stars: every b has one a, and no a is a b."""
+    several = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    return several.unionByName(edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi")).isEmpty()
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes with links; links (a, b), a < b.
 
-    Up to one_task links, which take a task some tens of MB, are joined by union-find in one task. More are contracted
-    by alternating large-star and small-star steps: each joins links to the smallest neighbour of their ends and
-    writes shorter trees, until no link changes. Both give the same labels; nothing is gathered on the driver.
+    Large-star and small-star steps alternate until only stars are left: each joins links to the smallest neighbour of
+    their ends and writes shorter trees. Nothing is gathered in one task or on the driver.
     """
-    edges, seen = cut(links.select("a", "b").distinct()), None
-    if edges.count() <= one_task:
-        kind = dict(edges.dtypes)["a"]
-        return edges.coalesce(1).mapInArrow(_union_find, f"node {kind}, label {kind}")
-    while True:
+    edges = cut(links.select("a", "b").distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()  # b > a >= m
         down = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
-        small = large.join(down, large["b"] == down["n"]).select(F.col("m"), "a", "b")
-        nxt = small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(down.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
-        edges = cut(nxt)
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+        small = large.join(down, large["b"] == down["n"]).select("m", "a").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = cut(small.unionByName(down.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct())
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
+def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels with the components of pairs (a, b) of labels made one; pairs are few beside the labels."""
+    if pairs.isEmpty():
+        return labels
+    new = cut(components(pairs)).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    held = labels.join(new, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return cut(held.unionByName(new.select(F.col("label").alias("node"), F.col("_to").alias("label"))).distinct())  # a label may be a node without earlier links
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least the threshold."""
-    a = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
+    """The rows of pairs (a, b, ...) whose sets' Jaccard similarity is at least the threshold."""
+    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     close = (F.size("ga") >= threshold * F.size("gb")) & (F.size("gb") >= threshold * F.size("ga"))
-    return pairs.join(a, "a").join(b, "b").where(close).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(close).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).drop("ga", "gb")
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, label) of the buckets that still hold several components."""
-    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    return placed.join(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "band")
+    """(band, node, label) of the buckets that still hold several components."""
+    placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    several = cut(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"))
+    return cut(placed.join(several, "band"))
 
 
 def _own_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, size, own): each set's shingles, and how many of them no other set in these buckets has."""
-    here = sets.join(mixed.select("rep").distinct(), "rep", "left_semi")
-    grams = here.select("rep", F.explode("grams").alias("gram"))
-    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    return here.select("rep", F.size("grams").alias("size")).join(alone, "rep", "left").na.fill(0, ["own"])
+    """(node, size, own): each set's shingles, and how many of them no other set in these buckets has."""
+    here = sets.join(mixed.select("node").distinct(), "node", "left_semi")
+    grams = here.select("node", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return here.select("node", F.size("grams").alias("size")).join(alone, "node", "left").na.fill(0, ["own"])
 
 
-def _across(mixed: DataFrame, sized: DataFrame, grams: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The links (a, b) between different components of one bucket.
+def _across(mixed: DataFrame, sized: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of components with a link within one bucket.
 
     Members outside a bucket's largest component are compared with all others. A set's own shingles cannot be shared,
     so similarity is at most (size - own) / (other size + own): sets for which that is too low even against the
     bucket's smallest set are left out. A pair is counted in its first common band only, and only links leave the join.
     """
-    rows = cut(mixed.join(sized, "rep"))
+    rows = cut(mixed.join(sized, "node"))
     per = rows.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("size").alias("least")).groupBy("band").agg(F.max(F.struct("n", F.col("label")))["label"].alias("main"), F.min("least").alias("least"))
-    few = rows.join(per, "band").where((F.col("label") != F.col("main")) & (F.col("size") - F.col("own") >= threshold * (F.col("least") + F.col("own"))) & (F.col("size") - F.col("own") >= threshold * F.col("size")))
+    few = rows.join(cut(per), "band").where((F.col("label") != F.col("main")) & (F.col("size") - F.col("own") >= threshold * (F.col("least") + F.col("own"))) & (F.col("size") - F.col("own") >= threshold * F.col("size")))
     few = cut(few.select(*rows.columns))
     both = rows.join(few.select("band").distinct(), "band", "left_semi")
-    full = grams.join(sets.select("rep", "bands"), "rep")
-    x, y = (d.join(full, "rep").select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "label", "size", "own", "grams", "bands")]) for k, d in (("x", few), ("y", both)))
+    full = grams.join(bands, "node")
+    x, y = (d.join(full, "node").select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("label", "size", "own", "grams", "bands")]) for k, d in (("x", few), ("y", both)))
     most = F.least(F.col("size_x") - F.col("own_x"), F.col("size_y") - F.col("own_y"))
     shared = F.size(F.array_intersect("grams_x", "grams_y"))
     near = (F.col("label_x") != F.col("label_y")) & (most >= threshold * (F.col("size_x") + F.col("size_y") - most))
     near = near & (F.array_intersect("bands_x", "bands_y")[0] == F.col("band")) & (shared >= threshold * (F.col("size_x") + F.col("size_y") - shared))
-    return x.join(y, "band").where(near).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    return x.join(y, "band").where(near).select(F.least("label_x", "label_y").alias("a"), F.greatest("label_x", "label_y").alias("b")).distinct()
+
+
+def _ends(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _settle(buckets: DataFrame, mixed: DataFrame, labels: DataFrame, stars: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+    """labels after all links within the buckets that hold several components."""
+    sized = cut(_own_shingles(mixed, grams))
+    # two new leaders: the set with the fewest shingles of its own, which lies in the middle of a group, and any other
+    chance = F.xxhash64("node", "band", F.lit(1))
+    lead = mixed.join(sized, "node").groupBy("band").agg(F.min(F.struct("own", chance.alias("h"), "node", "label")).alias("x"), F.min(F.struct(chance.alias("h"), "node", "label")).alias("y"))
+    lead = cut(lead.select("band", F.explode(F.array(F.struct("x.node", "x.label"), F.struct("y.node", "y.label"))).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("of")))
+    more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(*_ends("node", "lead"), F.least("label", "of").alias("x"), F.greatest("label", "of").alias("y")).distinct()
+    more = _linked(cut(more.join(stars, ["a", "b"], "left_anti")), grams, threshold)
+    labels = _joined(labels, cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+    mixed = _mixed(buckets, labels)
+    return labels if mixed.isEmpty() else _joined(labels, cut(_across(mixed, sized, grams, bands, threshold)))
 
 
 def near_duplicates(
@@ -222,41 +227,35 @@ def near_duplicates(
 
     Words are lowered runs without white space; a text of fewer words than `words` is one shingle. weighted=True signs
     shingles by their number of occurrences; links are always checked on shingle sets. Texts without words (null,
-    empty) are classes of their own, and so are rows with a null key. Repeated rows have one key and one class; all of
-    them are `kept` if it is theirs. An empty table gives no rows.
+    empty) are classes of their own, and so are rows with a null key. Each row is classed by its own text, also where a
+    key repeats with other texts; classes that share their smallest key share a name. Repeated rows have one class; all
+    of them are `kept` if it has their key. An empty table gives no rows.
     """
     kinds = dict(docs.dtypes)
-    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = cut(slim.where(F.col("_key").isNotNull()).mapInArrow(_sketch(bands, rows, words, weighted), f"_key {kinds[key]}, f1 long, f2 long, size long, bands array<long>"))
-    sets = signed.where("size > 0").groupBy("f1", "f2").agg(F.min("_key").alias("rep"), F.min("bands").alias("bands"))
-    sets = cut(sets.groupBy("rep").agg(F.min(F.struct("f1", "f2", "bands")).alias("x")).select("rep", "x.*"))  # one set per representative, even where keys repeat
-    dealt = sets.select("rep", F.explode("bands").alias("band"))
-    lead = dealt.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    buckets = cut(dealt.join(lead, "band"))
-    stars = cut(buckets.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
-    need = buckets.select("rep").distinct()
-    named = slim.join(need, slim["_key"] == need["rep"], "left_semi").groupBy("_key").agg(F.min("_text").alias("_text"))
-    grams = cut(named.mapInArrow(_sets(words), f"rep {kinds[key]}, grams array<long>"))
-    links = cut(_linked(stars, grams, threshold))
-    labels = cut(components(links))
-    mixed = cut(_mixed(buckets, labels))
-    sized = cut(_own_shingles(mixed, grams))
-    # two new leaders: the set with the fewest shingles of its own, which lies in the middle of a group, and any other
-    chance = F.xxhash64("rep", "band", F.lit(1))
-    placed = mixed.join(sized, "rep")
-    lead = placed.groupBy("band").agg(F.min(F.struct("own", chance.alias("h"), "rep", "label")).alias("x"), F.min(F.struct(chance.alias("h"), "rep", "label")).alias("y"))
-    lead = lead.select("band", F.explode(F.array(F.struct("x.rep", "x.label"), F.struct("y.rep", "y.label"))).alias("l")).select("band", F.col("l.rep").alias("lead"), F.col("l.label").alias("of"))
-    more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    links = links.unionByName(cut(_linked(cut(more.join(stars, ["a", "b"], "left_anti")), grams, threshold)))
-    labels = cut(components(links))
-    mixed = cut(_mixed(buckets, labels))
-    rest = cut(_across(mixed, sized, grams, sets, threshold))
-    if not rest.isEmpty():
-        labels = cut(components(links.unionByName(rest)))
-    classes = sets.join(labels, sets["rep"] == labels["node"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
-    found = signed.where("size > 0").join(classes, ["f1", "f2"]).groupBy("_key").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_shingles"))
-    own = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    out = own.join(found, "_key", "left").withColumn("class_id", F.coalesce("class_id", "_key"))
+    th = F.xxhash64(F.col(text))  # tells the texts of one key apart
+    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), th.alias("_th")).where(F.col("_key").isNotNull())
+    signed = cut(slim.mapInArrow(_sketch(bands, rows, words, weighted), f"_key {kinds[key]}, _th long, f1 long, f2 long, size long, bands array<long>"))
+    node = F.struct("f1", "f2")
+    sets = cut(signed.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("_key", "_th")).alias("rep"), F.min("bands").alias("bands")))
+    dealt = sets.select("f1", F.explode("bands").alias("band"))  # half of the name is enough to find shared buckets
+    shared = cut(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    buckets = cut(dealt.join(shared, "band").join(sets.select("f1", "f2"), "f1").select("band", node.alias("node")).distinct())
+    named = cut(sets.join(buckets.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).distinct(), ["f1", "f2"]).select("rep._key", "rep._th", node.alias("node"), "bands"))
+    texts = slim.join(named.drop("bands"), ["_key", "_th"]).groupBy("_key", "_th", "node").agg(F.min("_text").alias("_text"))
+    grams = cut(texts.select("node", "_text").mapInArrow(_sets(words), "node struct<f1: long, f2: long>, grams array<long>"))
+    lead = cut(buckets.groupBy("band").agg(F.min("node").alias("lead")))
+    stars = cut(buckets.join(lead, "band").where("node <> lead").select(*_ends("node", "lead")).distinct())
+    labels = cut(components(_linked(stars, grams, threshold)))
+    mixed = _mixed(buckets, labels)
+    if not mixed.isEmpty():
+        labels = _settle(buckets, mixed, labels, stars, grams, named.select("node", "bands"), threshold)
+    placed = labels.select("label", F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).join(sets.select("f1", "f2", F.col("rep._key").alias("rep")), ["f1", "f2"])
+    names = cut(placed.groupBy("label").agg(F.min("rep").alias("class_id")))
+    linked = placed.join(names, "label").select("f1", "f2", "class_id")
+    classes = cut(sets.select("f1", "f2", F.col("rep._key").alias("rep")).join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("class_id", "rep").alias("class_id")))
+    found = signed.where("size > 0").join(classes, ["f1", "f2"]).groupBy("_key", "_th").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_shingles"))
+    own = docs.select(F.col(key).alias("_key"), th.alias("_th"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    out = own.join(found, ["_key", "_th"], "left").withColumn("class_id", F.coalesce("class_id", "_key"))
     return out.select(
         F.col("_key").alias(key), "class_id", (F.col("_key").isNull() | (F.col("class_id") == F.col("_key"))).alias("kept"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"),
         *[F.col(f"_carry_{c}").alias(c) for c in carry],
