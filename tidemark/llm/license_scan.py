@@ -16,6 +16,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 THRESHOLD = 0.8
 # Licence notices as published, each with its identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -45,7 +47,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 _WORD = re.compile(r"[^\W_]+")
-_OWNER = re.compile(r"(?im)^\W*(?:copyright|\(c\)|©).*\d{4}.*$")
+_OWNER = re.compile(r"(?i)\W*(?:copyright|\(c\)|©)")
+_YEAR = re.compile(r"\d{4}")
+
+
+def owner(line: str) -> bool:
+    """Whether a line names a copyright owner and a year. Linear in the line, like all that follows."""
+    m = _OWNER.match(line)
+    return bool(m and _YEAR.search(line, m.end()))
 
 
 def bigrams(passage: str) -> frozenset[tuple[str, str]]:
@@ -105,6 +114,7 @@ class Matcher:
     def scan(self, text: str) -> list[tuple[str, float, str, int, int]]:
         """(licence, Dice, unit, first line, lines) of the matching passages: lines, blocks of several lines, the whole text, then runs of lines that are nearer than what they overlap."""
         lines = text.split("\n")
+        owned = [owner(line) for line in lines]
         found, blocks, begin = [], [], 0
         for i, line in enumerate([*lines, ""]):
             if not line.strip():
@@ -115,26 +125,24 @@ class Matcher:
         if len(lines) > 1:
             units.append(("text", 0, len(lines)))
         for unit, at, n in units:
-            passage = "\n".join(lines[at : at + n]) if n > 1 else lines[at]
-            if n > 1:
-                passage = _OWNER.sub("", passage) if len(passage) < 1 << 16 else passage
+            passage = "\n".join(["" if o else x for x, o in zip(lines[at : at + n], owned[at : at + n], strict=True)]) if n > 1 else lines[at]
             if not passage or passage.count(" ") + passage.count("\n") > 4 * self.most_words:
                 if not self._small(passage):
                     continue
             if hit := self.best(passage):
                 found.append((self.templates[-hit[1]][0], hit[0], unit, at, n))
-        for dice, t, at, n in self._runs(lines):
+        for dice, t, at, n in self._runs(lines, owned):
             if not any(d >= dice and a < at + n and at < a + m for _, d, _, a, m in found):
                 found.append((self.templates[t][0], dice, "run", at, n))
         return found
 
-    def _runs(self, lines: list[str]) -> list[tuple[float, int, int, int]]:
+    def _runs(self, lines: list[str], owned: list[bool]) -> list[tuple[float, int, int, int]]:
         """(Dice, template, first line, lines) of the best run from each line, best first; longer, then earlier ones lead among equals.
 
         A template needs threshold / 2 * (1 + 1 / factor) of its bigrams somewhere in the text. From each line with one
         of its bigrams a run grows until it has more distinct bigrams than the template allows, or twice as many words.
         """
-        text = [[] if _OWNER.match(line) else _WORD.findall(line.lower()) for line in lines]
+        text = [[] if o else _WORD.findall(line.lower()) for line, o in zip(lines, owned, strict=True)]
         flat = [w for words in text for w in words]
         shared: dict[int, int] = {}
         for g in self.grams.intersection(zip(flat, flat[1:])):
@@ -188,7 +196,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(TEMPLATES + licences() if templates is None else templates, threshold)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [[dict(zip(("license", "dice", "unit", "line", "lines"), x, strict=True)) for x in matcher.scan(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, _TYPE)], names=["_key", "matches"])
 

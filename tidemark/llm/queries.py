@@ -57,7 +57,8 @@ def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
-    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["line"]).alias("line"), m["license"].alias("license"))))
+    # a licence is named before a mere reservation of rights, however near the latter
+    best = F.array_max(F.transform("matches", lambda m: F.struct((m["license"] != "proprietary").alias("named"), m["dice"].alias("dice"), (-m["line"]).alias("line"), m["license"].alias("license"))))
     return found.select(
         "doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
