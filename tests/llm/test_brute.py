@@ -153,7 +153,7 @@ def test_pipeline_against_brute_force(spark, sf, docs):
     for s in sources:
         budget = int(np.floor(target[s] + 0.5))
         whole, rest = divmod(budget, total[s])
-        own = sorted((int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:15], 16), i) for i in kept if docs[i]["source"] == s)
+        own = sorted((int(hashlib.md5(f"mix|{i}|{hashlib.md5(kept[i].encode()).hexdigest()}".encode()).hexdigest()[:15], 16), i) for i in kept if docs[i]["source"] == s)
         for _, i in own:
             take = size[i] > 0 and (rest >= size[i] or (rest > 0 and 2 * rest >= size[i]))
             copies[i] = whole + take

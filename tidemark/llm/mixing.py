@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms (DataFrame functions only).
 
-Each document has a 60-bit hash of its id. A source's budget is whole repeats of everything plus a rest; the documents
+Each document has a 60-bit hash of its id and text, so null and repeated ids are drawn apart. A source's budget is whole repeats of everything plus a rest; the documents
 with the smallest hashes fill the rest. The threshold is found without sorting: words are summed by source and the
 hash's first byte, the bucket that holds the budget's edge is refined by the next byte, twice, and the few hashes left
 in the edge bucket are ordered exactly. One filter against the thresholds then decides every document.
@@ -23,8 +23,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash(key: Column, seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _hash(key: Column, text: Column, seed: str) -> Column:
+    named = F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(text), F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sized: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -80,14 +81,15 @@ def mix(
     target stops at max_repeat times its size and the excess is reshared. A source's documents are all taken
     floor(target / size) times; those with the smallest hashes once more until the target is met. The document at the
     edge gives its first words (boundary="cut"), or is taken whole if at least half of it fits ("nearest").
-    Rows at the edge with one hash (repeated ids) share the rest in proportion to their sizes, rounded down.
-    Null or empty text has size 0 and is never taken; null ids hash alike; an empty table gives no rows.
+    Rows at the edge with one hash (equal in id and text) share the rest in proportion to their sizes, rounded down.
+    Null or empty text has size 0 and is never taken; rows with null or repeated ids differ by their texts; an empty
+    table gives no rows.
     """
     if boundary not in ("cut", "nearest"):
         raise ValueError("boundary is 'cut' or 'nearest'")
     sized = docs.select(
         F.col(key).alias("_key"), F.col(source).alias("_src"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("_s"),
-        word_count(F.col(text)).alias("size"), _hash(F.col(key), seed).alias("_h"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
+        word_count(F.col(text)).alias("size"), _hash(F.col(key), F.col(text), seed).alias("_h"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     salt = F.pmod(F.col("_h"), F.lit(_salts(docs))).cast("int")
     slim = sized.select("_key", "_src", "_s", "size", "_h").withColumn("_salt", salt)
@@ -118,7 +120,7 @@ def mix(
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, source_size * 3.0::DOUBLE AS cap,
              CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
