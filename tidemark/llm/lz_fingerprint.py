@@ -18,7 +18,6 @@ from .common import cut
 from .shingles import spans_hash
 
 SIZE = 128
-NO_ID = -(2**63)
 
 
 def parse(text: str, known: set[str], ends: list[int], at: int = 0) -> int:
@@ -165,12 +164,14 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """One row per row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A row's edited text has its last third (rounded down) replaced by as many first characters of the next row, in
-    descending key order (repeated keys: by text; null keys last; after the last row: the first). A lone row is its own
-    next. Null text is empty. Rows are range-partitioned once; each partition hands on its first and last row only.
+    descending key order (repeated keys: by a hash of the text; null keys last; after the last row: the first). A lone
+    row is its own next. Null text is empty. Rows are range-partitioned once, by key and text; each partition hands on
+    its first and last row only.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.desc("id")).sortWithinPartitions(F.desc("id"), F.col("text"))
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]  # rows that share a key are dealt by their texts
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text"))
     found = cut(dealt.mapInArrow(_chain(size), _DDL))
     heads = sorted(r["part"] for r in found.where("kind = 1").select("part").collect())  # one number per partition
     follows = docs.sparkSession.createDataFrame(list(zip(heads, heads[1:] + heads[:1], strict=True)), "part int, to int")
@@ -179,4 +180,4 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     names = [f.name for f in _SCHEMA][:7]
     tails = last.join(head, "to").select("id", "text", "following").mapInArrow(_ends(size), ", ".join(_DDL.split(", ")[:7]))
     out = found.where("kind = 0").select(*names).unionByName(tails)
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(key), *[F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in names[1:]])
+    return out.select(F.col("id").alias(key), *[F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in names[1:]])
