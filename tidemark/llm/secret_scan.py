@@ -7,18 +7,21 @@ the rule versions that the ledger does not hold for it; findings are then joined
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import slices
+
 
 @dataclass(frozen=True)
 class Rule:
     """Matches of pattern, leftmost and not overlapping; those whose `group` is shorter than `least` are dropped.
 
-    Texts (lowered) without any of `needs` hold no match and are not searched.
+    Texts (lowered) without any of `needs` hold no match and are not searched. `spans` finds the same matches where the
+    pattern itself would search a long run once for each of its characters; every rule is linear in the text.
     """
 
     kind: str
@@ -27,22 +30,53 @@ class Rule:
     group: int = 0
     least: int = 1
     needs: tuple[str, ...] = ()
+    spans: Callable[[str], Iterator[tuple[int, int]]] | None = None
 
     @property
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
 
+_LOGIN, _SCHEME = re.compile(r"://[^\s/:@]+:[^\s/@]+@"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def url_logins(text: str) -> Iterator[tuple[int, int]]:
+    """A scheme's characters run back from '://' and stop at any other, so no two schemes share one; it starts at its first letter."""
+    for m in _LOGIN.finditer(text):
+        at = m.start()
+        while at and text[at - 1] in _SCHEME:
+            at -= 1
+        while at < m.start() and not "a" <= text[at] <= "z":
+            at += 1
+        if at < m.start():
+            yield at, m.end()
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three whole runs joined by dots, the first from its first 'eyJ' that eight characters follow."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    i = 0
+    while i + 2 < len(runs):
+        (a, b), (c, d), (e, f) = runs[i : i + 3]
+        at = text.find("eyJ", a, b)
+        if 0 <= at <= b - 11 and c == b + 1 and text[b] == "." and d - c >= 8 and e == d + 1 and text[d] == "." and f - e >= 8:
+            yield at, f
+            i += 3
+        else:
+            i += 1
+
+
 BASE_KINDS = ("assign", "access", "hex")
 RULES: tuple[Rule, ...] = (
     Rule("assign", 1, r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("passw", "secret", "token", "apikey", "api_key")),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", needs=("akia",)),  # runs are matched whole, so the length can stand in the pattern
     Rule("hex", 1, r"[0-9a-f]{24,}"),
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", needs=("private key-----",)),
-    Rule("json_web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyj",)),
+    Rule("json_web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyj",), spans=web_tokens),
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", needs=("xox",)),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", needs=("://",)),
+    Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", needs=("://",), spans=url_logins),
 )
 _SPANS = "array<struct<kind: string, start: int, end: int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -54,6 +88,9 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int, str]]:
     for i, r in enumerate(rules):
         if r.needs and not any(x in lowered for x in r.needs):
             continue
+        if r.spans:
+            found += [(a, i, b, r.kind) for a, b in r.spans(text)]
+            continue
         for m in re.finditer(r.pattern, text):
             if len(m[r.group]) >= r.least:
                 found.append((m.start(), i, m.end(), r.kind))
@@ -62,7 +99,7 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int, str]]:
 
 def _scan(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("_text"))):
             spans, names = [], []
             for text, seen in zip(batch.column("_text").to_pylist(), batch.column("_seen").to_pylist(), strict=True):
                 todo = tuple(r for r in rules if r.name not in set(seen or ()))
