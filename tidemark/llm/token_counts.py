@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
 from .shingles import mix, powers
 
-#: Words longer than this many characters are segmented one at a time; words in one trie; words remembered at most.
-DEEP, TRIE_WORDS, CACHE = 48, 20_000, 300_000
+#: Words of one trie; its cells (words x longest word); words remembered at most, none longer than DEEP characters.
+TRIE_WORDS, CELLS, CACHE, DEEP = 20_000, 1 << 20, 300_000, 48
 
 
 @dataclass(frozen=True)
@@ -138,17 +139,26 @@ class Trie:
             best[d][rows], count[d][rows] = top[node], least[node]
         return dict(zip(words, count[lengths, np.arange(len(words))].tolist(), strict=True))
 
-    def learn(self, words: set[str]) -> None:
+    def counts(self, words: set[str]) -> dict[str, int]:
+        """Tokens of each word. Words up to DEEP characters are remembered; longer ones are counted anew, so memory is bounded."""
         if len(self.memory) > CACHE:
             self.memory = {}
-        new = [w for w in words if w not in self.memory]
-        for w in new:
-            if len(w) + len(self.v.prefix) > DEEP:
-                self.memory[w] = segment(self.v.prefix + w, self.v, self.longest)
-        short = sorted(self.v.prefix + w for w in new if len(w) + len(self.v.prefix) <= DEEP)
+        long = sorted((w for w in words if len(w) + len(self.v.prefix) > DEEP), key=lambda w: (len(w), w))
+        short = sorted(self.v.prefix + w for w in words if w not in self.memory and len(w) + len(self.v.prefix) <= DEEP)
         for at in range(0, len(short), TRIE_WORDS):
             for w, n in self._count(short[at : at + TRIE_WORDS]).items():
                 self.memory[w[len(self.v.prefix) :]] = n
+        if not long:
+            return self.memory
+        out = {w: self.memory[w] for w in words if len(w) + len(self.v.prefix) <= DEEP}
+        while long:
+            deep = len(long[-1]) + len(self.v.prefix)
+            own = [self.v.prefix + w for w in long[-max(1, min(TRIE_WORDS, CELLS // deep)) :]]
+            del long[-len(own) :]
+            # a trie of one or a few branches is its words: without levels to share, they are walked one at a time
+            got = self._count(own) if len(own) >= 16 else {w: segment(w, self.v, self.longest) for w in own}
+            out |= {w[len(self.v.prefix) :]: n for w, n in got.items()}
+        return out
 
 
 _TRIES: dict[str, Trie] = {}
@@ -169,11 +179,9 @@ def _counts(path: str):
             _TRIES[path] = Trie(piece_vocabulary(path))
         trie = _TRIES[path]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                own = batch.slice(lo, 512)
+            for own in slices(batch, 1):
                 split = [(t or "").split() for t in own.column(1).to_pylist()]
-                trie.learn(set().union(*split))
-                get = trie.memory.__getitem__
+                get = trie.counts(set().union(*split)).__getitem__
                 yield pa.record_batch([own.column(0), pa.array([len(x) for x in split], pa.int64()), pa.array([sum(map(get, x)) for x in split], pa.int64())], names=["_key", "n_words", "n_tokens"])
 
     return run
