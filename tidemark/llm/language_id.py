@@ -8,7 +8,7 @@ kept out of training calibrates the score, and scores under nearly all correct o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,14 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Model:
+    """table is (grams * BUCKETS, langs), embeddings x weights; of more languages than DIM it is the embeddings, and weights stand apart."""
+
     langs: tuple[str, ...]
-    table: np.ndarray  # (grams * BUCKETS, langs): embeddings x weights
+    table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    weights: np.ndarray | None = None
 
 
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +85,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _logits(model: Model, column: pa.Array) -> np.ndarray:
     sums, counts = _sums(*_fold(column), model.table)
-    return sums / np.maximum(counts, 1)[:, None] + model.bias
+    mean = sums / np.maximum(counts, 1)[:, None]
+    return (mean if model.weights is None else mean @ model.weights) + model.bias
 
 
 def train(texts: pa.Array, langs: list[str], *, updates: int = 900, rate: float = 4.0, seed: int = 7, tail: float = 0.001) -> Model | None:
@@ -121,7 +125,7 @@ def train(texts: pa.Array, langs: list[str], *, updates: int = 900, rate: float
             uniq, inverse = np.unique(ids, return_inverse=True)
             for d in range(DIM):
                 emb[uniq, d] -= lr * 8 * np.bincount(inverse, back[doc, d] * share, len(uniq)).astype(np.float32)
-    model = Model(names, np.ascontiguousarray(emb @ w), b.astype(float), 1.0, 0.0)
+    model = Model(names, emb @ w, b.astype(float), 1.0, 0.0) if len(names) <= DIM else Model(names, emb, b.astype(float), 1.0, 0.0, w)
     z = np.concatenate([_logits(model, texts.slice(int(i), 1)) for i in held])
     grid = np.geomspace(0.02, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
@@ -129,7 +133,7 @@ def train(texts: pa.Array, langs: list[str], *, updates: int = 900, rate: float
     p = _softmax(z / t)
     right = p.max(1)[p.argmax(1) == y[held]]
     cut = float(min(0.5, np.quantile(right, tail) * 0.9)) if len(right) else 0.0
-    return Model(names, model.table, model.bias, t, cut)
+    return replace(model, temperature=t, threshold=cut)
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
@@ -142,22 +146,29 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1000, max_chars: int = 20_000, max_languages: int = 64) -> Model | None:
-    """Train on a bounded sample of labelled rows whose crc32(key as text) mod 3 is not 1.
+def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1000, max_chars: int = 20_000, most_chars: int = 32_000_000) -> DataFrame:
+    """(_key, _lang, _text): a bounded sample of labelled rows whose crc32(key as text) mod 3 is not 1, of every language.
 
-    Bounds: about per_language rows of each of the max_languages most frequent languages (by a hash of the key, so that
-    reruns agree), each of at most max_chars characters; larger ones are left out of training, not shortened.
+    Bounds: about per_language rows of a language, and about most_chars characters in all, shared evenly between the
+    languages; texts over max_chars characters are left out of training, not shortened. Rows are drawn by a 62-bit hash
+    of key and text, so reruns agree and no language is too common to be drawn; the row with a language's least hash is
+    always in. Repeated rows count once.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.shiftrightunsigned(F.xxhash64(key, text), 2).alias("_h"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.crc32(F.col("_key").cast("string")) % 3 != 1) & (F.length("_text").between(1, max_chars)))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("_lang") == r["_lang"]) & (F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * per_language // r["count"])))
-    if not counts:
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("chars"), F.min("_h").alias("least")).collect()  # a row per language, of which the model keeps weights
+    share = most_chars / max(1, len(counts))
+    below = [(r["_lang"], max(r["least"] + 1, int(2.0**62 * min(1.0, per_language / r["n"], share / r["chars"])))) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(below, "_lang string, _below long"))  # the same rows
+    return rows.join(limits, "_lang").where("_h < _below").select("_key", "_lang", "_text").dropDuplicates()
+
+
+def fit(docs: DataFrame, **how) -> Model | None:
+    """Train on the sample() of docs, which takes the same parameters. None without a labelled row."""
+    got = sample(docs, **how).toArrow().sort_by([("_key", "ascending"), ("_lang", "ascending"), ("_text", "ascending")]).combine_chunks()
+    if not got.num_rows:
         return None
-    sample = rows.where(keep).toArrow().sort_by([("_key", "ascending"), ("_lang", "ascending"), ("_text", "ascending")]).combine_chunks()
-    return train(sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string()), sample.column("_lang").to_pylist())
+    return train(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
 
 
 def predictor(model: Model | None):
