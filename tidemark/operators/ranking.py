@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.running import cut
+
 TOKEN = "[a-z0-9]+"
 #: Lucene's English stop words, which are those of bm25s.
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
@@ -16,12 +18,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): occurrences of each term and the document's length in tokens, counted before the shuffle by key."""
-    split = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
-    return split.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(qid, term): a query's distinct terms, less the stop words."""
     return queries.select(F.col(key).alias("qid"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
@@ -35,18 +31,22 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def collection(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: documents that have tokens, and their mean length. Counted in the scan, without the postings."""
-    dl = F.size(tokens(F.col(text)))
-    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, term, tf) of the given terms, and a row with the empty term for each document, which no token is.
+
+    Read in one scan and written once; tokens that are not asked for leave before anything is shuffled.
+    """
+    asked = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    split = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    return cut(split.join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, doc_id, term, tf, dl, df, n, avgdl): global statistics joined to the postings of query terms only."""
-    post, lengths = postings(docs), collection(docs)
-    needed = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = needed.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    return terms.join(needed, "term").join(df, "term").crossJoin(F.broadcast(lengths))  # lengths is one row
+    """(qid, doc_id, term, tf, dl, df, n, avgdl): the postings of query terms, with the statistics of the whole collection."""
+    post = postings(docs, terms)
+    lengths = post.where("term = '' AND dl > 0").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    return terms.join(post, "term").join(df, "term").crossJoin(F.broadcast(lengths))  # lengths is one row
 
 
 def bm25(matched: DataFrame, k1: float = 1.5, b: float = 0.75, by: tuple[str, ...] = ("qid", "doc_id")) -> DataFrame:

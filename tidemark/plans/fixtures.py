@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import ranking
+from tidemark.operators.running import cut
 from tidemark.sources.tables import table
 
 #: CTEs: tf, dl, qt (query terms), runs (system, qid, doc_id, score, rank), gold (qid, doc_id), grades (qid, doc_id, grade).
@@ -12,7 +13,7 @@ RUNS_SQL = """
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
 dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
-qt AS (SELECT * FROM (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark) WHERE length(term) >= 6),
+qt AS (SELECT * FROM (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark) WHERE NOT list_contains(@STOP@, term)),
 st AS (SELECT count(*)::DOUBLE AS n, avg(dl)::DOUBLE AS avgdl FROM dl),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
 mt AS (SELECT qid, doc_id, term, tf, df, dl, n, avgdl FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st),
@@ -22,9 +23,9 @@ al AS (SELECT 'bm25' AS system, qid, doc_id, a AS score, row_number() OVER (PART
        SELECT 'bm25_short', qid, doc_id, b, row_number() OVER (PARTITION BY qid ORDER BY b DESC, doc_id) FROM sc UNION ALL
        SELECT 'overlap', qid, doc_id, c, row_number() OVER (PARTITION BY qid ORDER BY c DESC, doc_id) FROM sc),
 runs AS (SELECT * FROM al WHERE rank <= 100),
-gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> ''),
 grades AS (SELECT DISTINCT qid, doc_id, (doc_id * 7 + qid * 3) % 3 AS grade FROM runs WHERE rank <= 20 AND (doc_id + qid) % 5 <> 0)
-"""
+""".replace("@STOP@", "[" + ", ".join(f"'{w}'" for w in ranking.STOP_WORDS) + "]")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,19 +33,37 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k1, b: F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
     scored = matched.groupBy("qid", "doc_id").agg(F.round(part(1.5, 0.75), 6).alias("a"), F.round(part(0.9, 0.4), 6).alias("b"), F.count("*").cast("double").alias("c"))
     long = scored.select("qid", "doc_id", F.expr("stack(3, 'bm25', a, 'bm25_short', b, 'overlap', c) AS (system, score)"))
-    return ranking.top_k(long, 100, by=("system", "qid")).select("system", "qid", "doc_id", "score", F.col("rank").cast("long"))
+    # written once: measures read it several times
+    return cut(ranking.top_k(long, 100, by=("system", "qid")).select("system", "qid", "doc_id", "score", F.col("rank").cast("long")))
+
+
+def _grams(text: Column, width: int) -> Column:
+    """The distinct runs of `width` characters, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, doc_id): documents that hold the query's passage. Joined on the passage's longest token, then compared whole."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    """(qid, doc_id): documents that hold the query's passage; an empty or null passage is in none.
+
+    Joined on the passage's longest inner token, which is a whole token of the document too (the first and last may be
+    cut from longer ones), or on its first characters if it has none; then compared whole.
+    """
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")).where("passage <> ''")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.filter(ranking.tokens(F.col("text")), lambda t: F.length(t) >= 6))).alias("term"))
-    # inner tokens of the passage are tokens of the document, except that the first and last may be cut from longer ones
-    inner = F.slice(ranking.tokens(F.col("passage")), 2, F.greatest(F.size(ranking.tokens(F.col("passage"))) - 2, F.lit(1)))
+    words = ranking.tokens(F.col("passage"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
-    found = q.withColumn("term", longest).join(terms, "term").select("qid", "passage", "doc_id")
-    return found.join(docs, "doc_id").where(F.contains("text", "passage")).select("qid", "doc_id").distinct()
+    q = q.withColumn("term", longest)
+    found = _holding(docs, q.where("term IS NOT NULL"), ranking.tokens(F.col("text")))
+    bare = q.where("term IS NULL").withColumn("width", F.least(F.length("passage"), F.lit(3)))
+    for width in sorted(r["width"] for r in bare.select("width").distinct().collect()):  # 1, 2 or 3
+        found = found.unionByName(_holding(docs, bare.where(F.col("width") == width).withColumn("term", F.substring("passage", 1, width)), _grams(F.col("text"), width)))
+    return cut(found.join(docs, "doc_id").where(F.contains("text", "passage")).select("qid", "doc_id").distinct())
+
+
+def _holding(docs: DataFrame, q: DataFrame, terms: Column) -> DataFrame:
+    held = docs.select("doc_id", F.explode(F.array_distinct(terms)).alias("term"))
+    return q.select("qid", "passage", "term").join(held, "term").select("qid", "passage", "doc_id")
 
 
 def grades(run: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def prj1(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select(q.alias("qid"), F.split_part(q, F.lit("|"), F.lit(1)).alias("target"))
 
 
-@query("prj2_section_after_marker", "SELECT page_id, CASE WHEN position('<p>' IN html) > 0 THEN trim(substr(html, position('<p>' IN html) + 3, 40)) ELSE '' END AS section FROM pages")
+@query("prj2_section_after_marker", "SELECT page_id, CASE WHEN position('<p>' IN html) > 0 THEN trim(substr(html, position('<p>' IN html) + 3)) ELSE '' END AS section FROM pages")
 def prj2(s, d):
     at = F.locate("<p>", "html")
     return table(s, d, "pages").select("page_id", F.when(at > 0, F.trim(F.substr("html", at + 3))).otherwise("").alias("section"))
@@ -32,7 +32,7 @@ def prj3(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(_doc_text()).alias("h"), F.length(_doc_text()).alias("n"))
 
 
-@query("prj4_split_text_back", f"SELECT doc_id, split_part(t, chr(10) || chr(10), 1) AS title, md5(substr(t, length(split_part(t, chr(10) || chr(10), 1)) + 3)) AS body FROM (SELECT doc_id, {_DOC} AS t FROM documents) WHERE doc_id % 3 <> 0")
+@query("prj4_split_text_back", f"SELECT doc_id, title, md5(CASE WHEN title IS NULL THEN t ELSE substr(t, length(title) + 3) END) AS body FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN split_part(t, chr(10) || chr(10), 1) END AS title FROM (SELECT doc_id, {_DOC} AS t FROM documents))")
 def prj4(s, d):
     t = table(s, d, "documents").select("doc_id", _doc_text().alias("t"))
     title = F.when(F.col("doc_id") % 3 != 0, F.split_part("t", F.lit("\n\n"), F.lit(1)))  # others have none in front
