@@ -1,8 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
 import hashlib
+import re
+import time
 import zlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +161,59 @@ def test_secret_failing_matches_hide_what_they_cover():
     assert secret_scan.find("AKIAABCDEFGHIJKLMNO", secret_scan.RULES) == []
 
 
+def test_secret_rules_against_their_patterns():
+    rng = np.random.default_rng(5)
+    parts = [*"eyJabz09-_.:/@ +\n", "eyJ", "://", "eyJabcdefgh.", "abcdefgh.", "ghp_", "a" * 40, "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "xoxb-", "token=", "AKIA" + "A1" * 9]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 40))))
+        for r in secret_scan.RULES:
+            want = [m.span() for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least]
+            assert [(a, b) for a, _, b, _ in secret_scan.find(text, (r,))] == want
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6, "eyJ" * 333_333, "eyJabcdefgh." * 90_000, "a://b:" * 160_000, "-----BEGIN " + "A" * 10**6, "0123456789abcdef0123456 " * 40_000])
+def test_secret_rules_are_linear(text):
+    for r in secret_scan.RULES:
+        began = time.process_time()
+        secret_scan.find(text, (r,))
+        assert time.process_time() - began < 1.0, r.kind
+
+
+def test_mixing_null_and_repeated_ids_meet_their_targets(spark):
+    rows = [(None, f"word {i} " * 10, "a" if i % 4 else "b") for i in range(80)] + [(7, f"other {i} " * 10, "a") for i in range(20)]
+    for boundary, off in (("cut", 1), ("nearest", 20)):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), boundary=boundary, carry=("source",)).collect()
+        for s in "ab":
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= off
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{'abc'[i % 3] * 3} {'xyz'[i % 3] * 4} words", f"l{i % 3}") for i in range(60)] + [(1000 + i, f"q{i % 7}z text", f"rare{i}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["_lang"] for r in language_id.sample(docs, per_language=5, most_chars=10).collect()}
+    assert got == {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    model = language_id.fit(docs, per_language=5)
+    assert len(model.langs) > language_id.DIM and model.weights is not None
+    pred = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.limit(30), model=model).collect()}
+    assert set(pred.values()) <= set(model.langs)
+
+
+def test_license_whole_texts_name_themselves():
+    m = license_scan.Matcher()
+    for p in sorted(Path(license_scan.__file__).with_name("licences").glob("*.txt")):
+        text = p.read_text("utf-8")
+        for form in (text, " ".join(text.split()), "\n".join(text.split("\n"))):
+            assert max((x[0] != "proprietary", x[1], x[4], x[0]) for x in m.scan(form))[3] == p.stem, p.stem
+
+
+def test_license_behind_many_owner_lines():
+    m, header = license_scan.Matcher(), dict((i, t) for i, t in license_scan.TEMPLATES if len(t) > 400)["Apache-2.0"]
+    for n in (400, 1500, 4000):  # on each side of 65,536 characters
+        text = "\n".join(f"Copyright (c) {1900 + i % 100} Owner {i}" for i in range(n)) + "\n" + header
+        assert any(x[0] == "Apache-2.0" and x[1] == 1.0 and x[2] == "block" for x in m.scan(text))
+
+
 def test_language_rules(spark, edge):
     got = {r["doc_id"]: r for r in OPERATORS["language"](edge).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[6]["lang_pred"] == "und"
@@ -223,7 +280,7 @@ def test_token_counts_against_plain_dynamic_programming():
     import itertools
 
     words = {"".join(w) for n in range(1, 6) for w in itertools.product("abcé", repeat=n)} | {"abc" * 40}
-    trie.learn(words)
+    got = trie.counts(words)
 
     def best(word):  # over all segmentations
         table = [(0.0, 0)] + [None] * len(word)
@@ -240,4 +297,12 @@ def test_token_counts_against_plain_dynamic_programming():
             table[d] = (top, min(o[1] for o in options if o[0] == top))
         return table[-1][1]
 
-    assert all(trie.memory[w] == best("▁" + w) for w in words)
+    assert all(got[w] == best("▁" + w) for w in words) and all(len(w) < token_counts.DEEP for w in trie.memory)
+
+
+def test_long_words_share_a_trie():
+    v = token_counts.Vocabulary.ranked(["▁", "a", "b", "ab", "aba", "語", "語日", "日"])
+    rng = np.random.default_rng(2)
+    words = {"".join(rng.choice(list("ab語日x"), int(n))) for n in rng.choice([1, 20, 46, 47, 48, 49, 300, 2000], 200)}
+    got = token_counts.Trie(v).counts(words)
+    assert all(got[w] == token_counts.segment("▁" + w, v, 3) for w in words)

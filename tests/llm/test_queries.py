@@ -5,7 +5,9 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import anisotropic_ann, dart_minhash, queries
 
@@ -126,6 +128,21 @@ def test_recall(spark, sf):
     assert hits >= 0.9 * len(got)
 
 
+def test_recall_on_many_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50_000, 32)).astype(np.float32)
+    x[1000:1400] = x[1000]  # copies
+    v = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))}))
+    got = anisotropic_ann.nearest(v, F.col("id") % 1000 == 0).toPandas()
+    assert len(got) == 500
+    hits, x = 0, x.astype(float)
+    for q, own in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), d))[:10]) & set(own.vec_id))
+    assert hits >= 0.95 * len(got)
+
+
 def test_anisotropic_codes_lower_their_loss():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 16))

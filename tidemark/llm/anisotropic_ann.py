@@ -2,8 +2,9 @@
 
 Vectors are cut into two-dimensional parts, each coded by one of 16 centres. Codes and centres minimise
 |r|^2 + (eta - 1) (r . x/|x|)^2 of the residual r, so the residual along the vector, which is what moves large inner
-products, costs eta times as much. A query builds a 16-entry table for each part; a block of codes is scored by table
-look-ups, the best few of the block are reranked with exact distances, and the blocks' answers are merged.
+products, costs eta times as much. Codes are stored two to a byte. A block of queries meets a block of codes in one
+task: each query scores the block by look-ups in its tables and keeps the best few; the best of all blocks are reranked
+with exact distances. Vectors and queries stay in DataFrames; only the sample that the centres are fitted on is gathered.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut
+
 CENTRES, PART = 16, 2
-#: Queries that one pass over the codes serves; their vectors are sent to all tasks, so this bounds the broadcast.
-QUERY_BLOCK = 8192
-#: Rows of codes scanned at once.
-CODE_BLOCK = 8192
+#: Queries and rows that meet in one task, about; both bound its memory.
+QUERY_BLOCK, CODE_BLOCK = 1024, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -108,69 +109,93 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([under, np.flatnonzero(scores == edge)[: k - len(under)]])
 
 
-def _scan(book: Book, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
-    tables = -2 * np.einsum("qmd,mcd->qmc", _parts(queries, len(book.centres)), book.centres).astype(np.float32)
+def _encoded(book: Book):
+    """Rows (id, v) as (id, norm, code): two parts' codes to a byte, the first in the low half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1))
+            codes = encode(book, x)
+            if codes.shape[1] % 2:
+                codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
+            packed = codes[:, ::2] | codes[:, 1::2] << 4
+            code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array((x**2).sum(1).astype(np.float32)), code], names=["id", "norm", "code"])
+
+    return run
 
-    def answer(own_ids: np.ndarray, x: np.ndarray, best: list) -> None:
-        order = np.argsort(own_ids, kind="stable")
-        own_ids, x = own_ids[order], x[order]
-        codes, norms = encode(book, x).T.astype(np.intp), (x**2).sum(1).astype(np.float32)
+
+def _scan(book: Book, rerank: int):
+    """A block of queries (id, v) and a block of codes (id, norm, code): each query's `rerank` best by the tables."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("approx", pa.float32())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        queries, ids = matrix(asked.column("v")), asked.column("id").to_numpy()
+        own = held.column("id").to_numpy()
+        order = np.argsort(own, kind="stable")
+        own, norms = own[order], held.column("norm").to_numpy()[order]
+        codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(own), -1)[order].T.copy()
+        tables = -2 * np.einsum("qmd,mcd->qmc", _parts(queries, len(book.centres)), book.centres).astype(np.float32)
+        if tables.shape[1] % 2:
+            tables = np.concatenate([tables, np.zeros((len(tables), 1, CENTRES), np.float32)], 1)
+        pairs = (tables[:, ::2, None, :] + tables[:, 1::2, :, None]).reshape(len(tables), -1, CENTRES * CENTRES)
+        out = []
         for q in range(len(ids)):
             approx = norms.copy()
             for m in range(len(codes)):
-                approx += tables[q, m][codes[m]]
-            near = _top(approx, rerank)
-            near = near[own_ids[near] != ids[q]]
-            exact = np.sqrt(((x[near] - queries[q]) ** 2).sum(1))
-            held = best[q]
-            d, i = np.concatenate([held[0], exact]), np.concatenate([held[1], own_ids[near]])
-            top = np.lexsort((i, d))[:k]
-            best[q] = (d[top], i[top])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, CODE_BLOCK):
-                own = batch.slice(lo, CODE_BLOCK)
-                answer(own.column(0).to_numpy(), matrix(own.column(1)), best)
-        n = [len(b[0]) for b in best]
-        if sum(n):
-            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names=["query_id", "id", "score"])
+                approx += pairs[q, m].take(codes[m])
+            near = _top(approx, rerank + 1)
+            near = near[own[near] != ids[q]]
+            out.append((np.full(len(near), ids[q]), own[near], approx[near]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
 def nearest(
-    vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, rerank: int = 256,
+    vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, rerank: int = 512,
     sample_rows: int = 10_000, threshold: float = 0.2,
 ) -> DataFrame:
     """Each query's k nearest other rows by Euclidean distance: query_id, rank (from 1), the key and score.
 
-    is_query: a condition on the column `id`. Centres are fitted on about sample_rows rows (by a hash of the key);
-    every row is coded and scanned. Each block of CODE_BLOCK rows reranks its best `rerank` exactly. Nulls, zero
-    vectors, null or non-finite components and vectors of another length than the commonest take no part; equal
+    is_query: a condition on the column `id`. Centres are fitted on about sample_rows rows (by a hash of key and
+    vector); every row is coded and scanned, and each query's best `rerank` rows of all are compared exactly. Nulls,
+    zero vectors, null or non-finite components and vectors of another length than the commonest take no part; equal
     distances go to the smaller key; rows with the query's key are never its neighbours; a repeated query key is one
-    query (its smallest vector); without usable rows the result is empty.
+    query (its smallest vector), and a repeated neighbour is one neighbour for each vector it has; without usable rows
+    the result is empty.
     """
     rows = usable(vectors, key=key, vector=vector)
     n = rows.count()
+    draw = F.shiftrightunsigned(F.xxhash64("id", "v"), 2)
     share = min(1.0, sample_rows / max(1, n))
-    sample = sorted((r["id"], r["v"]) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()) if n else []
+    sample = sorted((r["id"], r["v"]) for r in rows.where(draw < int(share * 2.0**62)).dropDuplicates().collect()) if n else []
     if not sample:
         sample = [(r["id"], r["v"]) for r in rows.orderBy("id").limit(CENTRES).collect()]
     schema = f"query_id long, rank int, {key} long, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
     book = train(np.array([v for _, v in sample]), threshold=threshold)
-    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):  # one pass over the codes for each bounded block of queries
-        got = sorted((r["id"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect())
-        if got:
-            part = rows.mapInArrow(_scan(book, np.array([i for i, _ in got], np.int64), np.array([v for _, v in got]), k, rerank), "query_id long, id long, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+    asked = cut(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
+    # of equal vectors only the k + 1 smallest keys can be answers, so copies do not crowd the rest out
+    rows = cut(rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r"))
+    codes = cut(rows.mapInArrow(_encoded(book), "id long, norm float, code binary"))
+    # tiles: every block of queries with every block of codes, at least two for each shuffle partition
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, -(-asked.count() // QUERY_BLOCK))
+    down = max(-(-n // CODE_BLOCK), min(-(-n // 1024), -(-2 * parts // across)))
+    number = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = asked.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("_d", number(down))
+    right = codes.withColumn("_d", F.pmod(F.xxhash64("code", "id"), F.lit(down))).withColumn("_a", number(across))
+    tile = [F.col("_a").cast("long"), F.col("_d").cast("long")]
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_scan(book, rerank), "query_id long, id long, approx float")
+    first = Window.partitionBy("query_id").orderBy("approx", "id")
+    best = cut(found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "id").distinct())
+    exact = best.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    exact = exact.select("query_id", "id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
