@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, text
-from tidemark.operators import closure, labels, measures, ranking, running, stats
+from tidemark.operators import batches, closure, labels, measures, ranking, running, stats
 
 
 def run_of(spark, docs, system="s", qid=1):
@@ -111,12 +111,12 @@ def test_latest_label(spark):
 @given(st.lists(st.tuples(st.sets(st.integers(0, 30), max_size=4), st.sets(st.integers(0, 30), max_size=3)), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_guarded_batches(rows):
-    rows = [(i, d, g) for i, (d, g) in enumerate(rows)]
-    placed, left = closure.first_fit(rows, 5, 12)
-    assert set(placed) | set(left) == {i for i, _, _ in rows}
-    for a, b in itertools.combinations([r for r in rows if r[0] in placed], 2):
-        if placed[a[0]] == placed[b[0]]:
-            assert a[1].isdisjoint(b[1]) and a[1].isdisjoint(b[2]) and b[1].isdisjoint(a[2])
+    got = batches.fit(rows, [(0, (), ())] * 12, 5)
+    assert len(got) == len(rows) and all(-1 <= j < 12 for j in got)
+    for (j, a), (k, b) in itertools.combinations(zip(got, rows), 2):
+        if j == k >= 0:
+            assert a[0].isdisjoint(b[0]) and a[0].isdisjoint(b[1]) and b[0].isdisjoint(a[1])
+    assert all(got.count(j) <= 5 for j in range(12))
 
 
 @given(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12))
@@ -130,9 +130,10 @@ def test_indel_ratio(a, b):
     assert text.indel_ratio(a, b) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("reply, want", [("```json\n[3, 1, 2]\n```", [3, 1, 2]), ('{"ranking": [2, 2, 9]}', [2]), ("first 3 then 1", [3, 1]), ("", []), (None, []), ("[]", [])])
-def test_parse_ranking(reply, want):
-    assert text.parse_ranking(reply, 5) == want
+def test_listed_places(spark):
+    cases = [("```json\n[3, 1, 2]\n```", [3, 1, 2]), ('{"ranking": [2, 2, 9]}', [2]), ("first 3 then 1", [3, 1]), ("", []), (None, []), ("[]", []), ('{"best": 4}', []), ('["4", 2.5, "x", 1]', [4, 1]), ("5", [5])]
+    got = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, reply string").select("i", text.listed_places(F.col("reply"), 5).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def test_letters_and_spans_and_config():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
@@ -97,26 +96,23 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_token_sort_ratio, "double")(a, b)
 
 
-def parse_ranking(reply: str | None, n: int) -> list[int]:
-    """Places 1..n that a reply lists, without repeats: JSON (a list, or an object that holds one), fenced or not, or any numbers."""
-    reply = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", reply or "")
-    try:
-        found = json.loads(reply)
-        if isinstance(found, dict):
-            found = next((v for v in found.values() if isinstance(v, list)), [])
-    except ValueError:
-        found = re.findall(r"\d+", reply)
-    if not isinstance(found, list):
-        found = [found]
-    numbers = [int(x) for x in found if re.fullmatch(r"\s*\d+\s*", str(x))]
-    return [x for x in dict.fromkeys(numbers) if 1 <= x <= n]
+def unfenced(reply: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(reply, F.lit("")), r"^\s*```\w*\s*", ""), r"\s*```\s*$", "")
 
 
-def ranking_parser(n: int):
-    def parse(reply: pd.Series) -> pd.Series:
-        return reply.map(lambda r: parse_ranking(r, n))
+def listed_places(reply: Column, n: int) -> Column:
+    """array<bigint>: the places 1 to n that a reply lists, each once, in its order.
 
-    return F.pandas_udf(parse, "array<int>")
+    Of a JSON array its whole-number elements (also as strings), of a JSON object those of its first array, of any other
+    text all numbers. Built-in functions only.
+    """
+    body = unfenced(reply)
+    first = F.get(F.filter(F.map_values(F.from_json(body, "map<string,string>")), lambda v: F.startswith(v, F.lit("["))), F.lit(0))
+    inner = F.when(F.ltrim(body).startswith("["), body).when(F.ltrim(body).startswith("{"), F.coalesce(first, F.lit("[]")))
+    whole = F.filter(F.coalesce(F.from_json(inner, "array<string>"), F.array(body)), lambda x: x.rlike(r"^\s*\d+\s*$"))
+    words = F.when(F.try_parse_json(body).isNotNull(), whole).otherwise(F.regexp_extract_all(body, F.lit(r"\d+"), F.lit(0)))
+    return F.array_distinct(F.filter(F.transform(words, lambda x: F.trim(x).try_cast("bigint")), lambda x: x.between(1, n)))
 
 
 def longest_spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.running import cut
+
 
 def transitive(edges: DataFrame, child: str = "child", parent: str = "parent", rounds: int = 64) -> DataFrame:
     """(child, ancestor) pairs, self excluded, cycles allowed: paths double in length each round until none is new."""
@@ -14,9 +16,7 @@ def transitive(edges: DataFrame, child: str = "child", parent: str = "parent", r
     for _ in range(rounds):
         longer = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).where("a <> b")
         paths = paths.union(longer).distinct()
-        spark = paths.sparkSession
-        if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-            paths = paths.checkpoint()
+        paths = cut(paths)
         m = paths.count()
         if m == n:
             break
@@ -24,6 +24,17 @@ def transitive(edges: DataFrame, child: str = "child", parent: str = "parent", r
     return paths.select(F.col("a").alias(child), F.col("b").alias("ancestor"))
 
 
+def mixed(twins: DataFrame, edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, related), itself included: what twin edges lead to together with steps up only, or with steps down only."""
+    flat = edges.select(F.col(child).alias("a"), F.col(parent).alias("b"))
+    pairs = twins.toDF("a", "b")
+    pairs = pairs.union(pairs.select("b", "a"))
+    up = transitive(pairs.union(flat), "a", "b")
+    down = transitive(pairs.union(flat.select("b", "a")), "a", "b")
+    nodes = flat.select("a").union(flat.select("b")).union(pairs.select("a")).distinct()
+    return up.union(down).union(nodes.select("a", "a")).distinct().toDF("node", "related")
+
+
 def greedy(candidates: Iterable[tuple], limit: int) -> list[tuple]:
     """Accept (key, value, docs) in order while key and value are unused and docs are disjoint from those accepted. Reads no further than the limit needs."""
     keys, values, docs, out = set(), set(), set(), []
@@ -45,25 +56,3 @@ def paced(rows: Iterable[tuple[int, float]], pace: float) -> Iterator[tuple[int,
         if spent + price <= pace * (i + 1):
             spent += price
             yield key, spent
-
-
-def first_fit(rows: list[tuple[int, set, set]], size: int, most: int) -> tuple[dict[int, int], list[int]]:
-    """Row id -> batch and the rows that fit none: rows of a batch share no doc, and none has a doc another guards."""
-    bins: list[tuple[list[int], set, set]] = []
-    placed, left = {}, []
-    for i, docs, guard in rows:
-        for b, (ids, held, guarded) in enumerate(bins):
-            if len(ids) < size and docs.isdisjoint(held) and docs.isdisjoint(guarded) and guard.isdisjoint(held):
-                break
-        else:
-            if len(bins) >= most:
-                left.append(i)
-                continue
-            b = len(bins)
-            bins.append(([], set(), set()))
-        ids, held, guarded = bins[b]
-        ids.append(i)
-        held |= docs
-        guarded |= guard
-        placed[i] = b
-    return placed, left

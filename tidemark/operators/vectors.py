@@ -40,39 +40,63 @@ def second_moments(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
     return sums.select(i.cast("long").alias("i"), j.cast("long").alias("j"), "m").where("i <= j")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, cosine: bool = True, block: int = 4096) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks()
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+
+
+def _best(query: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller key."""
+    order = np.lexsort((near, -score, query))
+    query, near, score = query[order], near[order], score[order]
+    start = np.searchsorted(query, query, "left")
+    top = np.arange(len(query)) - start < k
+    return query[top], near[top], score[top]
+
+
+def _tile(k: int, cosine: bool, step: int):
+    """The k best rows (id, v) of one block for each query (id, v) of another; `step` rows are compared at once."""
+    schema = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        q, x = _matrix(asked.column("v")), _matrix(held.column("v"))
+        qi, xi = asked.column("id").to_numpy(), held.column("id").to_numpy()
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if cosine:
+            q, x = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, x))
+        for at in range(0, len(x), step):
+            part, ids = x[at : at + step], xi[at : at + step]
+            s = np.round(q @ part.T, 9) if cosine else 2 * (q @ part.T) - (part**2).sum(1) - (q**2).sum(1)[:, None]
+            s[qi[:, None] == ids] = -np.inf
+            s[np.isnan(s)] = -np.inf
+            edge = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+            # distances by products are only near: what they may misplace is kept, and measured exactly
+            slack = 0.0 if cosine else 1e-9 * (1 + (part**2).sum(1).max() + (q**2).sum(1))
+            r, c = np.nonzero((s >= (edge - slack)[:, None]) & (s > -np.inf))
+            exact = s[r, c] if cosine else -np.sqrt(((q[r] - part[c]) ** 2).sum(1))
+            best = _best(*(np.concatenate(z) for z in zip(best, (qi[r], ids[c], exact), strict=True)), k)
+        return pa.Table.from_arrays([pa.array(z) for z in best], schema=schema)
+
+    return run
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, *, key: str, vector: str, cosine: bool = True, block: int = 1024, rows: int = 1 << 16) -> DataFrame:
     """(query, rank, neighbour, score): exact nearest rows of each query row, itself left out.
 
-    Queries are taken in bounded blocks; each task multiplies its rows by a block and keeps k for each query, so only
-    k rows per query and partition are shuffled. Ties go to the smaller key.
+    Blocks of about `block` queries meet blocks of about `rows` rows, each pair in one task, which keeps k rows for each
+    query; only those are merged. Neither vectors nor queries pass through the driver. Ties go to the smaller key.
     """
-    spark, out = vectors.sparkSession, None
-    n = queries.count()
-    for b in range(-(-n // block)):
-        own = sorted((r[key], r[vector]) for r in queries.where(F.pmod(F.xxhash64(key), F.lit(-(-n // block))) == b).select(key, vector).collect())
-        if not own:
-            continue
-        ids, q = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best: list[tuple] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, xi = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1), batch.column(0).to_numpy()
-                s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9) if cosine else -np.sqrt(np.maximum(((q[:, None, :] - x[None]) ** 2).sum(2), 0))
-                s[ids[:, None] == xi[None]] = -np.inf
-                for r in range(len(ids)):
-                    top = np.lexsort((xi, -s[r]))[: k + 1]
-                    best.append((np.full(len(top), ids[r]), xi[top], s[r][top]))
-            if best:
-                a, c, sc = (np.concatenate(z) for z in zip(*best, strict=True))
-                keep = np.isfinite(sc)
-                yield pa.record_batch([pa.array(a[keep]), pa.array(c[keep]), pa.array(sc[keep])], names=["query", "neighbour", "score"])
-
-        part = vectors.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, "query long, neighbour long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query long, rank int, neighbour long, score double")
+    pick = lambda d: d.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    held, asked = pick(vectors), pick(queries)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = held.count()
+    across = max(1, -(-asked.count() // block))
+    down = max(1, -(-n // rows), min(-(-n // 1024), -(-2 * parts // across)))
+    number = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = asked.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(across)).cast("long")).withColumn("_d", number(down))
+    right = held.withColumn("_d", F.pmod(F.xxhash64("id"), F.lit(down)).cast("long")).withColumn("_a", number(across))
+    found = left.groupBy("_a", "_d").cogroup(right.groupBy("_a", "_d")).applyInArrow(_tile(k, cosine, max(k + 1, 4096)), "query long, neighbour long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "score")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import measures, ranking, running
+from tidemark.functions import text as tx
+from tidemark.operators import closure, measures, ranking, running
 from tidemark.plans.fixtures import RUNS_SQL, gold, grades, runs
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -57,26 +60,38 @@ def rt5(s, d):
     return got.withColumn("mode", F.when(F.col("full_n") > 0, "all").otherwise("any"))
 
 
-_DENSE = """WITH q AS (SELECT label, min(vec_id) AS qid FROM embeddings GROUP BY label), qv AS (SELECT q.label, qid, embedding AS qe FROM q JOIN embeddings e ON e.vec_id = q.qid),
-c AS (SELECT qid, vec_id AS doc_id, round(list_sum(list_transform(list_zip(qe, embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM qv JOIN embeddings e ON e.label = qv.label AND e.vec_id <> qid)"""
+_VECS = """, ev AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)"""
+_COS = "round(list_sum(list_transform(list_zip(q.e, x.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (q.norm * x.norm), 6)"
+
 
+def _similar(s, d, pairs: DataFrame) -> DataFrame:
+    """pairs (qid, doc_id, ...) with the cosine of the vectors of both; null where either has none."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("e"), ranking.norm(F.col("embedding")).alias("norm"))
+    of = lambda key, side: e.select(F.col("vec_id").alias(key), F.col("e").alias(f"e_{side}"), F.col("norm").alias(f"n_{side}"))
+    both = pairs.join(of("doc_id", "x"), "doc_id", "left").join(of("qid", "q"), "qid", "left")
+    return both.withColumn("cosine", F.round(ranking.dot(F.col("e_q"), F.col("e_x")) / (F.col("n_q") * F.col("n_x")), 6)).drop("e_q", "e_x", "n_q", "n_x")
 
-def _dense(s, d):
-    e = table(s, d, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qe"), F.min("vec_id").alias("qid"))
-    return e.join(F.broadcast(q), "label").where(F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("doc_id"), F.round(ranking.dot(F.col("qe"), F.col("embedding")), 6).alias("score"))  # one row per label
 
+def _matched(s, d) -> DataFrame:
+    return ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark"))))
 
-@query("rt6_dense_rank", _DENSE + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 20")
+
+@query("rt6_dense_rank", W + _VECS + f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM
+ (SELECT qid, doc_id, {_COS} AS score FROM sc JOIN ev q ON q.vec_id = qid JOIN ev x ON x.vec_id = doc_id)) WHERE rank <= 1000""")
 def rt6(s, d):
-    return ranking.top_k(_dense(s, d), 20)
+    # every query against all its candidates: the documents that share a term with it
+    return ranking.top_k(_similar(s, d, _matched(s, d).select("qid", "doc_id")).where("cosine IS NOT NULL").withColumnRenamed("cosine", "score"), 1000)
 
 
-@query("rt7_semantic_scores", W + """, e AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings)
-SELECT qid, doc_id, rank, round(v, 6) AS semantic, v IS NOT NULL AS ok FROM runs LEFT JOIN e ON doc_id = vec_id WHERE system = 'bm25' AND rank <= 10""")
+@query("rt7_semantic_scores", W + _VECS + f""", cap AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY a DESC, doc_id DESC) <= 100 AS within FROM sc), sm AS (SELECT cap.*, CASE WHEN within THEN {_COS} END AS s FROM cap LEFT JOIN ev q ON q.vec_id = qid LEFT JOIN ev x ON x.vec_id = doc_id)
+SELECT qid, doc_id, coalesce(s, 'NaN'::DOUBLE) AS semantic, s IS NOT NULL AS ok, within, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY qid ORDER BY s DESC NULLS LAST, doc_id DESC) END AS sem_rank FROM sm""")
 def rt7(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("v"))
-    return runs(s, d).where("system = 'bm25' AND rank <= 10").join(e, "doc_id", "left").select("qid", "doc_id", "rank", F.round("v", 6).alias("semantic"), F.col("v").isNotNull().alias("ok"))
+    # the best keyword matches, then the newest, are compared; others have no score, and neither have those without a vector
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("doc_id"))
+    kept = _matched(s, d).select("qid", "doc_id", (F.row_number().over(w) <= 100).alias("within"))
+    found = _similar(s, d, kept).withColumn("s", F.when(F.col("within"), F.col("cosine")))
+    order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("s"), F.desc("doc_id"))
+    return found.select("qid", "doc_id", F.coalesce("s", F.lit(float("nan"))).alias("semantic"), F.col("s").isNotNull().alias("ok"), "within", F.when(F.col("s").isNotNull(), F.row_number().over(order)).alias("sem_rank"))
 
 
 @query("rt8_rrf", W + """SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM
@@ -123,10 +138,31 @@ def rt12(s, d):
     return ranking.listwise_merge(runs(s, d).where("system = 'bm25'"), answers, 20)
 
 
-@query("rt13_parse_ranking", r"""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x AS BIGINT)), lambda x: x BETWEEN 1 AND 50), lambda x: x::VARCHAR), ',') AS picked FROM conversations""")
+#: rp: replies of several forms, made from conversations.
+_REPLIES = """rp AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '```json' || chr(10) || '[3, ' || turn || ', "2", 3, 99, "x", 2.5]' || chr(10) || '```' WHEN 1 THEN '{"note": "x", "ranking": [' || conv_id % 60 || ', 1, 1], "more": [5]}'
+ WHEN 2 THEN 'first ' || conv_id % 7 || ' then 12, 12 and 3.' WHEN 3 THEN '{"best": 4}' WHEN 4 THEN '[]' ELSE text END AS reply FROM conversations)"""
+
+
+def replies(s, d) -> DataFrame:
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    forms = {
+        0: F.concat(F.lit("```json\n[3, "), t, F.lit(', "2", 3, 99, "x", 2.5]\n```')), 1: F.concat(F.lit('{"note": "x", "ranking": ['), (F.col("conv_id") % 60).cast("string"), F.lit(', 1, 1], "more": [5]}')),
+        2: F.concat(F.lit("first "), (F.col("conv_id") % 7).cast("string"), F.lit(" then 12, 12 and 3.")), 3: F.lit('{"best": 4}'), 4: F.lit("[]"),
+    }
+    form, reply = (F.col("conv_id") + F.col("turn")) % 6, F.col("text")
+    for k, text in forms.items():
+        reply = F.when(form == k, text).otherwise(reply)
+    return table(s, d, "conversations").select("conv_id", "turn", reply.alias("reply"))
+
+
+@query("rt13_parse_ranking", "WITH " + _REPLIES + r""", b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(reply, '^\s*```\w*\s*', ''), '\s*```\s*$', '') AS body FROM rp), j AS (SELECT *, try_cast(body AS JSON) AS js FROM b),
+l AS (SELECT conv_id, turn, CASE WHEN js IS NULL THEN regexp_extract_all(body, '[0-9]+') WHEN json_type(js) = 'ARRAY' THEN json_extract_string(js, '$[*]')
+ WHEN json_type(js) = 'OBJECT' THEN json_extract_string(list_filter(list_transform(json_keys(js), lambda k: json_extract(js, '$."' || k || '"')), lambda v: json_type(v) = 'ARRAY')[1], '$[*]') ELSE [body] END AS l FROM j),
+n AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(coalesce(l, []), lambda x: regexp_full_match(x, '\s*[0-9]+\s*')), lambda x: try_cast(trim(x) AS BIGINT)), lambda x: x BETWEEN 1 AND 50) AS n FROM l)
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(n, lambda x, i: list_position(n, x) = i), lambda x: x::VARCHAR), ',') AS picked FROM n""")
 def rt13(s, d):
-    n = F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("bigint"))
-    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(F.filter(n, lambda x: x.between(1, 50)), lambda x: x.cast("string")), ",").alias("picked"))
+    places = tx.listed_places(F.col("reply"), 50)
+    return replies(s, d).select("conv_id", "turn", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("picked"))
 
 
 @query("rt14_list_to_scores", "WITH " + _ANSWERS + " SELECT qid, unnest(o) AS place, (len(o) - generate_subscripts(o, 1) + 1)::DOUBLE AS score FROM an")
@@ -149,15 +185,27 @@ def rt16(s, d):
     return r.groupBy("qid").agg(pick("bm25").alias("before"), pick("overlap").alias("after")).withColumn("changed", F.col("before") != F.col("after"))
 
 
-@query("rt17_tier_lookup", """WITH t AS (SELECT n_nationkey AS qid, s_suppkey AS doc_id, 0 AS tier FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL
- SELECT a.n_nationkey, s_suppkey, 1 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey)
-SELECT qid::BIGINT AS qid, doc_id, CASE min(tier) WHEN 0 THEN 'exact' ELSE 'parents' END AS tier FROM t GROUP BY qid, doc_id""")
+# topics are nations under regions under the world; a paper is a supplier, tagged with its nation and (a fourth) its region, and with the brands it ships
+@query("rt17_tier_lookup", """WITH RECURSIVE ed AS (SELECT 'N' || n_nationkey::VARCHAR AS child, 'R' || n_regionkey::VARCHAR AS parent FROM nation UNION SELECT 'R' || r_regionkey::VARCHAR, 'W' FROM region), cl AS (SELECT child, parent AS ancestor FROM ed UNION SELECT cl.child, ed.parent FROM cl JOIN ed ON cl.ancestor = ed.child),
+rl AS (SELECT DISTINCT child AS topic, child AS rel, 0 AS tier FROM ed UNION ALL SELECT 'W', 'W', 0 UNION ALL SELECT ancestor, child, 1 FROM cl UNION ALL SELECT child, parent, 2 FROM ed UNION ALL SELECT child, ancestor, 3 FROM cl), dm AS (SELECT topic, rel, min(tier) AS tier FROM rl GROUP BY ALL),
+tg AS (SELECT s_suppkey AS doc_id, 'N' || s_nationkey::VARCHAR AS rel FROM supplier UNION ALL SELECT s_suppkey, 'R' || n_regionkey::VARCHAR FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 0),
+br AS (SELECT DISTINCT p_brand AS brand, l_suppkey AS doc_id FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT topic || '|' || brand AS qid, doc_id, ['exact', 'descendants', 'parents', 'ancestors'][min(tier) + 1] AS tier FROM dm JOIN tg USING (rel) JOIN br USING (doc_id) GROUP BY topic, brand, doc_id""")
 def rt17(s, d):
-    sup, n = table(s, d, "supplier"), table(s, d, "nation")
-    exact = sup.select(F.col("s_nationkey").alias("qid"), F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("tier"))
-    region = n.select(F.col("n_nationkey").alias("qid"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "n_regionkey")
-    wide = region.join(sup, "s_nationkey").select("qid", F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("tier"))
-    return exact.unionByName(wide).groupBy("qid", "doc_id").agg(F.element_at(F.array(F.lit("exact"), F.lit("parents")), F.min("tier") + 1).alias("tier"))
+    n, sup = table(s, d, "nation"), table(s, d, "supplier")
+    code = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    up = n.select(code("N", "n_nationkey").alias("child"), code("R", "n_regionkey").alias("parent")).union(table(s, d, "region").select(code("R", "r_regionkey"), F.lit("W")))
+    above = closure.transitive(up)
+    topics = up.select(F.col("child").alias("topic")).union(up.select("parent")).distinct()
+    related = [topics.select("topic", F.col("topic").alias("rel")), above.select(F.col("ancestor").alias("topic"), F.col("child").alias("rel")), up.select(F.col("child").alias("topic"), F.col("parent").alias("rel")), above.select(F.col("child").alias("topic"), F.col("ancestor").alias("rel"))]
+    reach = reduce(DataFrame.union, [r.withColumn("tier", F.lit(i)) for i, r in enumerate(related)]).groupBy("topic", "rel").agg(F.min("tier").alias("tier"))
+    tags = sup.select(F.col("s_suppkey").alias("doc_id"), code("N", "s_nationkey").alias("rel"))
+    tags = tags.union(sup.where("s_suppkey % 4 = 0").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", code("R", "n_regionkey")))
+    brands = table(s, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("doc_id")).distinct().join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("brand"), "doc_id").distinct()
+    # the best tier of a paper for a topic is settled before its brands multiply it
+    best = reach.join(tags, "rel").groupBy("topic", "doc_id").agg(F.min("tier").alias("tier"))
+    names = F.array(*map(F.lit, ("exact", "descendants", "parents", "ancestors")))
+    return best.join(brands, "doc_id").select(F.concat_ws("|", "topic", "brand").alias("qid"), "doc_id", F.element_at(names, F.col("tier") + 1).alias("tier"))
 
 
 @query("rt18_difficulty", W + """, g AS (SELECT r.qid, min(r.rank) AS rank FROM runs r JOIN gold USING (qid, doc_id) WHERE system = 'bm25' GROUP BY r.qid), q AS (SELECT DISTINCT qid FROM gold)
@@ -177,14 +225,32 @@ def rt19(s, d):
     return want.join(listed, "qid").select("qid", hit.alias("hit_any"), F.round(F.when(hit, 1.0 / F.size("listed")).otherwise(0.0), 6).alias("hit1_tiebreak"))
 
 
-@query("rt20_resolve_cascade", """WITH m AS (SELECT n_nationkey AS entity, n_name AS name, 0 AS reason FROM nation WHERE n_name = 'CHINA' UNION ALL SELECT n_nationkey, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'
- UNION ALL SELECT n_nationkey, n_name, 2 FROM nation WHERE n_name LIKE 'C%')
-SELECT entity, name, min(reason) AS reason FROM m GROUP BY entity, name""")
+_RESOLVE = """WITH en AS (SELECT n_nationkey AS entity, n_name AS symbol, r_name AS alias, n_name || ', ' || r_name AS name, coalesce(n, 0) AS cited FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey),
+qs AS (SELECT symbol AS q FROM en UNION SELECT alias FROM en UNION SELECT name FROM en UNION SELECT substr(symbol, 1, 2) FROM en UNION SELECT substr(alias, 1, 1) FROM en UNION SELECT split_part(symbol, ' ', 2) FROM en WHERE symbol LIKE '% %'),
+hit AS (SELECT q, entity, cited, 0 AS reason FROM qs JOIN en ON symbol = q UNION ALL SELECT q, entity, cited, 1 FROM qs JOIN en ON alias = q UNION ALL SELECT q, entity, cited, 2 FROM qs JOIN en ON name = q UNION ALL SELECT q, entity, cited, 3 FROM qs JOIN en ON starts_with(symbol, q)
+ UNION ALL SELECT q, entity, cited, 4 FROM qs JOIN en ON starts_with(alias, q) UNION ALL SELECT q, entity, cited, 5 FROM qs JOIN en ON len(list_filter(regexp_split_to_array(name, '[ ,]+'), lambda x: starts_with(x, q))) > 0),
+bst AS (SELECT q, entity, cited, min(reason) AS reason FROM hit GROUP BY ALL), lv AS (SELECT *, min(least(reason, 3)) OVER (PARTITION BY q) AS level FROM bst), rk AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY q) AS n FROM lv WHERE least(reason, 3) = level WINDOW w AS (PARTITION BY q ORDER BY reason, cited DESC, entity))
+SELECT q, entity::BIGINT AS entity, reason, place, level = 3 AS partial, CASE WHEN level = 3 THEN greatest(n - 5, 0) ELSE 0 END AS n_more FROM rk WHERE level < 3 OR place <= 5"""
+
+
+@query("rt20_resolve_cascade", _RESOLVE)
 def rt20(s, d):
-    n = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region has five rows
-    ways = [F.col("n_name") == "CHINA", F.col("r_name") == "ASIA", F.col("n_name").startswith("C")]
-    reason = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(ways)])
-    return n.select(F.col("n_nationkey").alias("entity"), F.col("n_name").alias("name"), reason.alias("reason")).where("reason IS NOT NULL")
+    # symbol, else alias, else full name, else beginnings of any of them (a pick list of five, with the count of more); the most cited first
+    cited = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("cited"))
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(cited, "n_nationkey", "left")
+    en = n.select(F.col("n_nationkey").alias("entity"), F.col("n_name").alias("symbol"), F.col("r_name").alias("alias"), F.concat_ws(", ", "n_name", "r_name").alias("name"), F.coalesce("cited", F.lit(0)).alias("cited"))
+    asked = [F.col("symbol"), F.col("alias"), F.col("name"), F.substring("symbol", 1, 2), F.substring("alias", 1, 1), F.when(F.contains("symbol", F.lit(" ")), F.split_part("symbol", F.lit(" "), F.lit(2)))]
+    asked = en.select(F.explode(F.array_compact(F.array(*asked))).alias("q")).distinct()
+    # beginnings are joined by equality: each name brings all of its own
+    starts = lambda words: F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, F.lit(1), i)))))
+    ways = [F.array("symbol"), F.array("alias"), F.array("name"), starts(F.array("symbol")), starts(F.array("alias")), starts(F.filter(F.split("name", "[ ,]+"), lambda w: w != ""))]
+    ranked = lambda i: lambda q: F.struct(q.alias("q"), F.lit(i).alias("reason"))
+    hits = en.select("entity", "cited", F.explode(F.flatten(F.array(*[F.transform(w, ranked(i)) for i, w in enumerate(ways)]))).alias("x"))
+    best = hits.select("entity", "cited", "x.*").join(asked, "q").groupBy("q", "entity", "cited").agg(F.min("reason").alias("reason"))
+    by = Window.partitionBy("q")
+    best = best.withColumn("level", F.min(F.least("reason", F.lit(3))).over(by)).where(F.least("reason", F.lit(3)) == F.col("level"))
+    best = best.withColumns({"place": F.row_number().over(by.orderBy("reason", F.desc("cited"), "entity")), "n": F.count("*").over(by)}).where("level < 3 OR place <= 5")
+    return best.select("q", "entity", "reason", "place", (F.col("level") == 3).alias("partial"), F.when(F.col("level") == 3, F.greatest(F.col("n") - 5, F.lit(0))).otherwise(0).alias("n_more"))
 
 
 # measures
