@@ -29,6 +29,8 @@ from .common import cut, slices, text_buffer
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS, THRESHOLD, WORDS = 25, 5, 0.8, 5
+#: Rows (of a name and a number) that are worth a task of their own.
+ROWS_A_TASK = 20_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -129,30 +131,30 @@ def _stars(edges: DataFrame) -> bool:
     return several.unionByName(edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi")).isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int = 8) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes with links; links (a, b), a < b.
 
     Large-star and small-star steps alternate until only stars are left: each joins links to the smallest neighbour of
-    their ends and writes shorter trees. Nothing is gathered in one task or on the driver.
+    their ends and writes shorter trees, in `tasks` tasks at most. Nothing is gathered in one task or on the driver.
     """
-    edges = cut(links.select("a", "b").distinct())
+    edges = cut(links.select("a", "b").distinct()).coalesce(tasks)
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks))
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()  # b > a >= m
         down = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(down, large["b"] == down["n"]).select("m", "a").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = cut(small.unionByName(down.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct())
+        edges = cut(small.unionByName(down.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct().coalesce(tasks))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def _joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, pairs: DataFrame, tasks: int) -> DataFrame:
     """labels with the components of pairs (a, b) of labels made one; pairs are few beside the labels."""
     if pairs.isEmpty():
         return labels
-    new = cut(components(pairs)).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    new = cut(components(pairs, tasks)).select(F.col("node").alias("label"), F.col("label").alias("_to"))
     held = labels.join(new, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
-    return cut(held.unionByName(new.select(F.col("label").alias("node"), F.col("_to").alias("label"))).distinct())  # a label may be a node without earlier links
+    return cut(held.unionByName(new.select(F.col("label").alias("node"), F.col("_to").alias("label"))).distinct().coalesce(tasks))  # a label may be a node without earlier links
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -164,11 +166,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(close).where(both >= threshold * (F.size("ga") + F.size("gb") - both)).drop("ga", "gb")
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame, tasks: int) -> DataFrame:
     """(band, node, label) of the buckets that still hold several components."""
     placed = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    several = cut(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"))
-    return cut(placed.join(several, "band"))
+    several = cut(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band").coalesce(tasks))
+    return cut(placed.join(several, "band").coalesce(tasks))
 
 
 def _own_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -179,17 +181,17 @@ def _own_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return here.select("node", F.size("grams").alias("size")).join(alone, "node", "left").na.fill(0, ["own"])
 
 
-def _across(mixed: DataFrame, sized: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+def _across(mixed: DataFrame, sized: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """The pairs (a, b) of components with a link within one bucket.
 
     Members outside a bucket's largest component are compared with all others. A set's own shingles cannot be shared,
     so similarity is at most (size - own) / (other size + own): sets for which that is too low even against the
     bucket's smallest set are left out. A pair is counted in its first common band only, and only links leave the join.
     """
-    rows = cut(mixed.join(sized, "node"))
+    rows = cut(mixed.join(sized, "node").coalesce(tasks))
     per = rows.groupBy("band", "label").agg(F.count("*").alias("n"), F.min("size").alias("least")).groupBy("band").agg(F.max(F.struct("n", F.col("label")))["label"].alias("main"), F.min("least").alias("least"))
-    few = rows.join(cut(per), "band").where((F.col("label") != F.col("main")) & (F.col("size") - F.col("own") >= threshold * (F.col("least") + F.col("own"))) & (F.col("size") - F.col("own") >= threshold * F.col("size")))
-    few = cut(few.select(*rows.columns))
+    few = rows.join(cut(per.coalesce(tasks)), "band").where((F.col("label") != F.col("main")) & (F.col("size") - F.col("own") >= threshold * (F.col("least") + F.col("own"))) & (F.col("size") - F.col("own") >= threshold * F.col("size")))
+    few = cut(few.select(*rows.columns).coalesce(tasks))
     both = rows.join(few.select("band").distinct(), "band", "left_semi")
     full = grams.join(bands, "node")
     x, y = (d.join(full, "node").select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("label", "size", "own", "grams", "bands")]) for k, d in (("x", few), ("y", both)))
@@ -204,18 +206,18 @@ def _ends(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _settle(buckets: DataFrame, mixed: DataFrame, labels: DataFrame, stars: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+def _settle(buckets: DataFrame, mixed: DataFrame, labels: DataFrame, stars: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """labels after all links within the buckets that hold several components."""
     sized = cut(_own_shingles(mixed, grams))
     # two new leaders: the set with the fewest shingles of its own, which lies in the middle of a group, and any other
     chance = F.xxhash64("node", "band", F.lit(1))
     lead = mixed.join(sized, "node").groupBy("band").agg(F.min(F.struct("own", chance.alias("h"), "node", "label")).alias("x"), F.min(F.struct(chance.alias("h"), "node", "label")).alias("y"))
-    lead = cut(lead.select("band", F.explode(F.array(F.struct("x.node", "x.label"), F.struct("y.node", "y.label"))).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("of")))
+    lead = cut(lead.select("band", F.explode(F.array(F.struct("x.node", "x.label"), F.struct("y.node", "y.label"))).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("of")).coalesce(tasks))
     more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(*_ends("node", "lead"), F.least("label", "of").alias("x"), F.greatest("label", "of").alias("y")).distinct()
-    more = _linked(cut(more.join(stars, ["a", "b"], "left_anti")), grams, threshold)
-    labels = _joined(labels, cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
-    mixed = _mixed(buckets, labels)
-    return labels if mixed.isEmpty() else _joined(labels, cut(_across(mixed, sized, grams, bands, threshold)))
+    more = _linked(cut(more.join(stars, ["a", "b"], "left_anti").coalesce(tasks)), grams, threshold)
+    labels = _joined(labels, cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).coalesce(tasks), tasks)
+    mixed = _mixed(buckets, labels, tasks)
+    return labels if mixed.isEmpty() else _joined(labels, cut(_across(mixed, sized, grams, bands, threshold, tasks)).coalesce(tasks), tasks)
 
 
 def near_duplicates(
@@ -240,17 +242,20 @@ def near_duplicates(
     dealt = sets.select("f1", F.explode("bands").alias("band"))  # half of the name is enough to find shared buckets
     shared = cut(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
     buckets = cut(dealt.join(shared, "band").join(sets.select("f1", "f2"), "f1").select("band", node.alias("node")).distinct())
+    # what follows is at most a few times as long; small tables go in few tasks, as every task of every step writes a file for each step that reads it
+    tasks = max(8, -(-buckets.count() // ROWS_A_TASK))
+    buckets = buckets.coalesce(tasks)
     named = cut(sets.join(buckets.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).distinct(), ["f1", "f2"]).select("rep._key", "rep._th", node.alias("node"), "bands"))
     texts = slim.join(named.drop("bands"), ["_key", "_th"]).groupBy("_key", "_th", "node").agg(F.min("_text").alias("_text"))
     grams = cut(texts.select("node", "_text").mapInArrow(_sets(words), "node struct<f1: long, f2: long>, grams array<long>"))
-    lead = cut(buckets.groupBy("band").agg(F.min("node").alias("lead")))
-    stars = cut(buckets.join(lead, "band").where("node <> lead").select(*_ends("node", "lead")).distinct())
-    labels = cut(components(_linked(stars, grams, threshold)))
-    mixed = _mixed(buckets, labels)
+    lead = cut(buckets.groupBy("band").agg(F.min("node").alias("lead")).coalesce(tasks))
+    stars = cut(buckets.join(lead, "band").where("node <> lead").select(*_ends("node", "lead")).distinct().coalesce(tasks))
+    labels = cut(components(_linked(stars, grams, threshold), tasks))
+    mixed = _mixed(buckets, labels, tasks)
     if not mixed.isEmpty():
-        labels = _settle(buckets, mixed, labels, stars, grams, named.select("node", "bands"), threshold)
+        labels = _settle(buckets, mixed, labels, stars, grams, named.select("node", "bands"), threshold, tasks)
     placed = labels.select("label", F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).join(sets.select("f1", "f2", F.col("rep._key").alias("rep")), ["f1", "f2"])
-    names = cut(placed.groupBy("label").agg(F.min("rep").alias("class_id")))
+    names = cut(placed.groupBy("label").agg(F.min("rep").alias("class_id")).coalesce(tasks))
     linked = placed.join(names, "label").select("f1", "f2", "class_id")
     classes = cut(sets.select("f1", "f2", F.col("rep._key").alias("rep")).join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("class_id", "rep").alias("class_id")))
     found = signed.where("size > 0").join(classes, ["f1", "f2"]).groupBy("_key", "_th").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_shingles"))
