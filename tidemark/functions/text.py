@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Names of Greek letters in search terms.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"}
@@ -115,11 +117,44 @@ def listed_places(reply: Column, n: int) -> Column:
     return F.array_distinct(F.filter(F.transform(words, lambda x: F.trim(x).try_cast("bigint")), lambda x: x.between(1, n)))
 
 
+def reply_grades(reply: Column) -> Column:
+    """map<string,int>: the grades 0 to 2 that a reply gives to what it was shown as A, B, ...
+
+    The reply is a JSON object, fenced or not, or holds one between other words; a value is a grade or an object with
+    one; names such as `Abstract_B` are read as B. What is no grade is left out. Built-in functions only.
+    """
+    body = unfenced(reply)
+    object_ = F.when(F.try_parse_json(body).isNotNull(), F.when(F.ltrim(body).startswith("{"), body)).otherwise(F.regexp_extract(body, r"(?s)\{.*\}", 0))
+    given = F.from_json(F.when(F.try_parse_json(object_).isNotNull(), object_), "map<string,string>")
+    shown = lambda k: F.upper(F.regexp_replace(F.regexp_replace(k, r"(?i)^[\W_]*(abstract[\W_]*)?", ""), r"[\W_]+$", ""))
+    grade = lambda v: F.when(F.startswith(v, F.lit("{")), F.get_json_object(v, "$.grade")).otherwise(v)
+    read = F.transform(F.map_entries(given), lambda e: F.struct(shown(e["key"]).alias("key"), grade(e["value"]).alias("value")))
+    kept = F.filter(read, lambda e: e["key"].rlike("^[A-Z]$") & e["value"].isin("0", "1", "2"))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"].cast("int"))))
+
+
 def longest_spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:
     """(start, end, phrase) of whole-word matches; the longest of overlapping ones wins, then the earlier."""
     found = [(m.start(), m.end(), p) for p in phrases for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", text, re.I)]
-    kept: list[tuple[int, int, str]] = []
+    taken, kept = bytearray(len(text)), []
     for a, b, p in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if all(b <= c or a >= d for c, d, _ in kept):
+        if not (taken[a] or taken[b - 1] or any(taken[a:b])):
+            taken[a:b] = b"\1" * (b - a)
             kept.append((a, b, p))
     return sorted(kept)
+
+
+def spans(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
+    """(key, start, stop, phrase): the longest_spans of every text, in Arrow batches."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own = batch.slice(at, 256)
+                got = [(i, *x) for i, t in enumerate(own.column(1).to_pylist()) for x in longest_spans(t or "", phrases)]
+                if got:
+                    i, a, b, p = zip(*got, strict=True)
+                    yield pa.record_batch([own.column(0).take(pa.array(i)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p, pa.string())], names=[key, "start", "stop", "phrase"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start int, stop int, phrase string")

@@ -39,6 +39,35 @@ def totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataF
     return out.withColumns({k: F.sum(f"_s_{k}").over(w) + F.col(f"_b_{k}") for k in sums}).drop("_part", *[f"_{x}_{k}" for k in sums for x in "sb"])
 
 
+def ranks(df: DataFrame, by: list[str], order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """Adds the row number in each group (and the group's size), in an order that must be total; no task needs a whole group.
+
+    Rows are range-partitioned by group and order. Only groups that reach over a partition's edge need counts from
+    elsewhere, and there are at most two of them for each partition.
+    """
+    d = dealt(df, *[F.col(c) for c in by], *order)
+    own, across = Window.partitionBy("_part", *by), Window.partitionBy(*(by or [F.lit(1)]))
+    per = d.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    per = per.select("_part", F.struct(F.lit(0), *by).alias("_by"), F.count("*").over(across).alias("_parts"), F.sum("_n").over(across).alias("_total"), F.coalesce(F.sum("_n").over(across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    edges = F.broadcast(per.where("_parts > 1").withColumnRenamed("_part", "_p"))  # at most two rows per partition
+    out = d.join(edges, (F.col("_part") == F.col("_p")) & F.struct(F.lit(0), *by).eqNullSafe(F.col("_by")), "left")
+    out = out.withColumn(name, F.row_number().over(own.orderBy(*order)) + F.coalesce("_b", F.lit(0)))
+    if size:
+        out = out.withColumn(size, F.coalesce("_total", F.count("*").over(own)))
+    return out.drop("_part", "_p", "_by", "_parts", "_total", "_b")
+
+
+def quantiles(df: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """Per group the exact quantiles of value, between two values in proportion; nulls take no part. No buffer holds a group."""
+    r = ranks(df.select(*by, value.cast("double").alias("_v")).where("_v IS NOT NULL"), by, [F.col("_v")], "_i", "_n")
+    at = {k: (F.col("_n") - 1) * p for k, p in shares.items()}
+    ends = [e for x in at.values() for e in (F.floor(x), F.ceil(x))]
+    r = r.withColumn("_i", F.col("_i") - 1).where(F.col("_i").isin(*ends))
+    pick = lambda e: F.max(F.when(F.col("_i") == e, F.col("_v")))
+    out = r.groupBy(*by, "_n").agg(*[f for k, x in at.items() for f in (pick(F.floor(x)).alias(f"_lo_{k}"), pick(F.ceil(x)).alias(f"_hi_{k}"))])
+    return out.select(*by, *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (x - F.floor(x))).alias(k) for k, x in at.items()])
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the rank of value from 1, ties sharing their mean; only distinct values are ordered."""
     n = df.groupBy(value).agg(F.count("*").alias("_n"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators import running
+
 
 def order_hash(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
@@ -15,6 +17,8 @@ def hash_uniform(seed: str, *keys: str) -> Column:
 
 
 def first_by_hash(df: DataFrame, n: int | Column, by: list[str], keys: list[str], seed: str) -> DataFrame:
-    """The first n rows of each group in hash order; keys make the order total."""
+    """The first n rows of each group in hash order; keys make the order total. A number that differs by group may be large: groups are not held whole."""
+    if isinstance(n, Column):
+        return running.ranks(df.withColumn("_h", order_hash(seed, *keys)), by, [F.col("_h"), *map(F.col, keys)], "_rn").where(F.col("_rn") <= n).drop("_rn", "_h")
     w = Window.partitionBy(*by).orderBy(order_hash(seed, *keys), *keys)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.running import totals
+
 
 def hash32(*parts: Column) -> Column:
     """A portable integer below 2^32 from the md5 of the parts."""
@@ -11,8 +13,11 @@ def hash32(*parts: Column) -> Column:
 
 
 def sign_flip_exact(diffs: DataFrame, by: str = "pair", unit: str = "unit", value: str = "diff") -> DataFrame:
-    """(by, n, mean, p): all 2^n sign patterns of each group; meant for n up to about 16."""
+    """(by, n, mean, p): all 2^n sign patterns of each group, of at most 16 units; larger groups are for sign_flip_sampled."""
     n = diffs.groupBy(by).agg(F.count("*").alias("n"), F.sum(value).alias("obs"))
+    most = n.agg(F.max("n")).first()[0] or 0
+    if most > 16:
+        raise ValueError(f"a group has {most} units: 2^{most} sign patterns are too many, use sign_flip_sampled")
     placed = diffs.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(unit)) - 1).join(n, by)
     flipped = placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("n")).cast("int") - 1)))
     bit = F.expr("shiftright(p, i) & 1")
@@ -51,7 +56,7 @@ def bootstrap(diffs: DataFrame, draws: int, by: str = "pair", unit: str = "unit"
 def cluster_bootstrap(rows: DataFrame, draws: int, cluster: str, value: str) -> DataFrame:
     """(r, mean): means over clusters drawn with replacement, as weights on cluster sums."""
     per = rows.groupBy(cluster).agg(F.sum(value).alias("x"), F.count("*").alias("k"))
-    placed = per.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(cluster)) - 1)
+    placed = totals(per, [F.col(cluster)], {"_at": F.lit(1)}).withColumn("i", (F.col("_at") - 1).cast("int")).drop("_at")
     n = per.agg(F.count("*").alias("n"))
     drawn = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     drawn = drawn.withColumn("i", (hash32(F.col("r").cast("string"), F.col("j").cast("string")) % F.col("n")).cast("int"))
@@ -61,8 +66,14 @@ def cluster_bootstrap(rows: DataFrame, draws: int, cluster: str, value: str) ->
 def mcnemar(table: DataFrame, b: str = "b", c: str = "c") -> DataFrame:
     """Adds p: the exact two-sided binomial test of b against c, 1 when both are 0."""
     n, k = F.col(b) + F.col(c), F.least(b, c)
-    up_to = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(up_to(n) - up_to(i) - up_to(n - i) - n * F.log(F.lit(2.0))))
+    # each term from the one before: log C(n, i) = log C(n, i - 1) + log (n - i + 1) - log i
+    first = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("log"), (s["sum"] + F.exp(term)).alias("sum"))
+
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), first, add)["sum"]
     return table.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
@@ -84,15 +95,28 @@ def pareto(points: DataFrame, cost: str, score: str, tie: str) -> DataFrame:
 
 
 def letters(names: list[str], different: set[tuple[str, str]]) -> dict[str, str]:
-    """Compact letter display by insert and absorb: names that share a letter are not different. For a few systems."""
-    columns = [set(names)]
-    for a, b in sorted(different):
-        split = []
-        for c in columns:
-            split += [c - {a}, c - {b}] if {a, b} <= c else [c]
-        columns = []
-        for c in sorted(split, key=lambda c: (-len(c), sorted(c))):
-            if not any(c <= o for o in columns):
-                columns.append(c)
-    columns.sort(key=lambda c: [n not in c for n in names])
-    return {n: "".join(chr(97 + i) for i, c in enumerate(columns) if n in c) for n in names}
+    """Compact letter display: one letter for each largest set of names of which no two differ.
+
+    Those sets are the maximal cliques of the graph of pairs that do not differ, found by branching on the neighbours of
+    a pivot; a letter for every one of them is what inserting and absorbing columns ends in.
+    """
+    apart = {n: set() for n in names}
+    for a, b in different:
+        if a in apart and b in apart:
+            apart[a].add(b)
+            apart[b].add(a)
+    near = {n: {m for m in names if m != n} - apart[n] for n in names}
+    found, stack = [], [(frozenset(), set(names), set())]
+    while stack:
+        held, open_, shut = stack.pop()
+        if not open_ and not shut:
+            found.append(held)
+            continue
+        pivot = max(sorted(open_ | shut), key=lambda n: len(near[n] & open_))
+        for n in sorted(open_ - near[pivot]):
+            stack.append((held | {n}, open_ & near[n], shut & near[n]))
+            open_ = open_ - {n}
+            shut = shut | {n}
+    found.sort(key=lambda c: [n not in c for n in names])
+    sign = lambda i: (sign(i // 26 - 1) if i >= 26 else "") + chr(97 + i % 26)
+    return {n: "".join(sign(i) for i, c in enumerate(found) if n in c) for n in names}

@@ -77,8 +77,8 @@ def ag11(s, d):
 
 @query("ag12_percentiles", "SELECT event_type, round(median(value), 6) AS med, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def ag12(s, d):
-    q = table(s, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"))
-    return q.select("event_type", *[_r(F.col("q")[i]).alias(n) for i, n in enumerate(("med", "p5", "p95"))])
+    q = running.quantiles(table(s, d, "events"), ["event_type"], F.col("value"), {"med": 0.5, "p5": 0.05, "p95": 0.95})
+    return q.select("event_type", *[_r(n).alias(n) for n in ("med", "p5", "p95")])
 
 
 @query("ag13_macro_micro", "SELECT round(avg(r / n::DOUBLE), 6) AS macro, round(sum(r) / sum(n)::DOUBLE, 6) AS micro FROM (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -185,8 +185,9 @@ def ag27(s, d):
 
 @query("ag28_throughput", "SELECT l_suppkey AS model, round(quantile_cont(l_extendedprice / l_quantity, 0.05), 4) AS p5, round(median(l_extendedprice / l_quantity), 4) AS med, round(0.48 / median(l_extendedprice / l_quantity) / 3600 * 1e6, 6) AS per_mtok FROM lineitem GROUP BY 1")
 def ag28(s, d):
-    q = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("model")).agg(F.percentile(F.col("l_extendedprice") / F.col("l_quantity"), F.array(F.lit(0.05), F.lit(0.5))).alias("q"))
-    return q.select("model", _r(F.col("q")[0], 4).alias("p5"), _r(F.col("q")[1], 4).alias("med"), _r(0.48 / F.col("q")[1] / 3600 * 1e6).alias("per_mtok"))
+    li = table(s, d, "lineitem").withColumnRenamed("l_suppkey", "model")
+    q = running.quantiles(li, ["model"], F.col("l_extendedprice") / F.col("l_quantity"), {"p5": 0.05, "med": 0.5})
+    return q.select("model", _r("p5", 4).alias("p5"), _r("med", 4).alias("med"), _r(0.48 / F.col("med") / 3600 * 1e6).alias("per_mtok"))
 
 
 @query("ag29_job_durations", """WITH e AS (SELECT user_id, event_id, ts, event_type, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM events)
@@ -201,18 +202,26 @@ def ag29(s, d):
 @query("ag30_estimate_missing", "WITH m AS (SELECT median(l_extendedprice / l_quantity) AS r FROM lineitem WHERE l_linenumber <> 3) SELECT l_orderkey, l_partkey, round(CASE WHEN l_linenumber = 3 THEN l_quantity * r ELSE l_extendedprice END, 4) AS price FROM lineitem, m")
 def ag30(s, d):
     li = table(s, d, "lineitem")
-    m = li.where("l_linenumber <> 3").agg(F.median(F.col("l_extendedprice") / F.col("l_quantity")).alias("r"))
+    m = running.quantiles(li.where("l_linenumber <> 3"), [], F.col("l_extendedprice") / F.col("l_quantity"), {"r": 0.5})
     return li.crossJoin(F.broadcast(m)).select("l_orderkey", "l_partkey", _r(F.when(F.col("l_linenumber") == 3, F.col("l_quantity") * F.col("r")).otherwise(F.col("l_extendedprice")), 4).alias("price"))  # m is one row
 
 
-@query("ag31_cluster_card", """WITH n AS (SELECT label, l, count(*) AS n FROM (SELECT label, vec_id % 7 AS l FROM embeddings) GROUP BY 1, 2), t AS (SELECT l, sum(n) / (SELECT count(*) FROM embeddings)::DOUBLE AS base FROM n GROUP BY l), z AS (SELECT label, sum(n) AS size FROM n GROUP BY label)
-SELECT n.label::BIGINT AS label, size::BIGINT AS size, l AS item, round(n / size::DOUBLE / base, 6) AS lift FROM n JOIN t USING (l) JOIN z USING (label) QUALIFY row_number() OVER (PARTITION BY n.label ORDER BY round(n / size::DOUBLE / base, 6) DESC, l) <= 3""")
+@query("ag31_cluster_card", """WITH e AS (SELECT label, vec_id, vec_id % 7 AS item, vec_id % 5 AS field, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT label, item, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT item, sum(n) / (SELECT count(*) FROM e)::DOUBLE AS base FROM n GROUP BY item), z AS (SELECT label, count(*) AS size, round(avg((x > 0)::INT), 6) AS core, round(median(x), 6) AS x, round(median(y), 6) AS y FROM e GROUP BY label),
+top AS (SELECT label, string_agg(item::VARCHAR, ' ' ORDER BY n DESC, item) AS items FROM (SELECT n.label, item, n FROM n JOIN t USING (item) JOIN z USING (label) WHERE round(n / size::DOUBLE / base, 6) >= 1.1 QUALIFY row_number() OVER (PARTITION BY n.label ORDER BY n DESC, item) <= 3) GROUP BY label),
+f AS (SELECT label, arg_min(field, (-n, field)) AS field FROM (SELECT label, field, count(*) AS n FROM e WHERE field > 0 GROUP BY 1, 2) GROUP BY label)
+SELECT z.label::BIGINT AS label, size, core, x, y, coalesce(items, '') AS items, field FROM z LEFT JOIN top USING (label) LEFT JOIN f USING (label)""")
 def ag31(s, d):
-    n = table(s, d, "embeddings").groupBy("label", (F.col("vec_id") % 7).alias("item")).agg(F.count("*").alias("n"))
+    e = table(s, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("item"), (F.col("vec_id") % 5).alias("field"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    size = e.groupBy("label").agg(F.count("*").alias("size"), _r(F.avg((F.col("x") > 0).cast("double"))).alias("core"))
+    for c in "xy":
+        size = size.join(running.quantiles(e, ["label"], F.col(c), {c: 0.5}).withColumn(c, _r(c)), "label")
+    n = e.groupBy("label", "item").agg(F.count("*").alias("n"))
     by = lambda c: F.sum("n").over(Window.partitionBy(*c))
     lift = _r(F.col("n") / by(["label"]) / (by(["item"]) / by([F.lit(1)])))  # label x item counts only
-    n = n.select("label", by(["label"]).alias("size"), "item", lift.alias("lift"))
-    return n.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("lift"), "item"))).where("rn <= 3").drop("rn")
+    top = n.withColumn("lift", lift).where("lift >= 1.1").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "item"))).where("rn <= 3")
+    top = top.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "item"))), lambda z: z["item"].cast("string")), " ").alias("items"))
+    field = e.where("field > 0").groupBy("label", "field").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("field", F.struct(-F.col("n"), "field")).alias("field"))
+    return size.join(top, "label", "left").join(field, "label", "left").select("label", "size", "core", "x", "y", F.coalesce("items", F.lit("")).alias("items"), "field")
 
 
 @query("ag32_centroid", "SELECT label::BIGINT AS label, i AS pos, round(avg(embedding[i]::DOUBLE), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2")

@@ -33,8 +33,7 @@ _DIST = ", ds AS (SELECT q, r, acos(least(1.0, sim)) AS dist FROM k10)"
 def ge2(s, d):
     k = neighbours(s, d, 2).withColumn("dist", F.acos(F.least(F.lit(1.0), "score")))
     mu = k.groupBy("query").agg((F.max(F.when(F.col("rank") == 2, F.col("dist"))) / F.max(F.when(F.col("rank") == 1, F.col("dist")))).alias("mu")).where("mu > 0")
-    w = Window.orderBy("mu", "query")  # one row per query
-    o = mu.select(F.log("mu").alias("x"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n")).where("i <= 0.9 * n")
+    o = running.ranks(mu, [], [F.col("mu"), F.col("query")], "i", "n").withColumn("x", F.log("mu")).where("i <= 0.9 * n")
     y = -F.log(1 - F.col("i") / F.col("n"))
     return o.agg(F.round(F.sum(F.col("x") * y) / F.sum(F.col("x") * F.col("x")), 4).alias("dimension"))
 
@@ -85,15 +84,33 @@ def ge7(s, d):
     return running.average_rank(running.average_rank(p, "x", "rx"), "y", "ry").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
 
-@query("ge8_cluster_scores", f"WITH {_KNN}, c AS (SELECT label, vec_id % 7 AS g, count(*) AS n FROM embeddings GROUP BY 1, 2), t AS (SELECT sum(n)::DOUBLE AS t FROM c) SELECT (SELECT count(DISTINCT label) FROM c) AS clusters, round((SELECT avg((a.label = b.label)::INT) FROM k10 JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = n), 6) AS together, round((SELECT sum(n * (n - 1.0)) FROM c) / (SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY label)) / ((SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY g)) / (t * (t - 1))), 6) AS lift, round((SELECT sum(m) FROM (SELECT max(n) AS m FROM c GROUP BY label)) / t, 6) AS purity FROM t")
+# label 9 is noise
+_TOGETHER = f"""{_KNN}, lb AS (SELECT vec_id, CASE WHEN label = 9 THEN -1 ELSE label END AS l FROM embeddings), tq AS (SELECT q, max(a.l) AS l, avg(CASE WHEN b.l >= 0 THEN (a.l = b.l)::INT END) AS t, avg((a.l = b.l AND a.l >= 0)::INT) AS t_all FROM k10 JOIN lb a ON a.vec_id = q JOIN lb b ON b.vec_id = n GROUP BY q)"""
+
+
+def together(s, d, near: DataFrame) -> DataFrame:
+    """One row: over the queries of near, the share of neighbours in the query's cluster, without noise and with it (a noise query scores 0), and their number."""
+    l = table(s, d, "embeddings").select("vec_id", F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("l"))  # noqa: E741
+    j = near.join(l.toDF("query", "a"), "query").join(l.toDF("neighbour", "b"), "neighbour")
+    same = (F.col("a") == F.col("b")).cast("double")
+    q = j.groupBy("query", "a").agg(F.avg(F.when(F.col("b") >= 0, same)).alias("t"), F.avg(F.when(F.col("a") >= 0, same).otherwise(0.0)).alias("t_all"))
+    return q.agg(F.round(F.avg(F.when(F.col("a") >= 0, F.col("t"))), 6).alias("together"), F.round(F.avg("t_all"), 6).alias("together_all"), F.count("*").alias("queries"))
+
+
+@query("ge8_cluster_scores", f"""WITH {_TOGETHER}, c AS (SELECT label, vec_id % 7 AS g, count(*) AS n FROM embeddings WHERE label <> 9 GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT label) FROM c) AS clusters, round((SELECT count(*) FILTER (WHERE label = 9) / count(*)::DOUBLE FROM embeddings), 6) AS noise, (SELECT round(avg(CASE WHEN l >= 0 THEN t END), 6) FROM tq) AS together, (SELECT round(avg(t_all), 6) FROM tq) AS together_all,
+ round((SELECT sum(n * (n - 1.0)) FROM c) / (SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY label)) / ((SELECT sum(l * (l - 1.0)) FROM (SELECT sum(n) AS l FROM c GROUP BY g)) / (SELECT sum(n) * (sum(n) - 1.0) FROM c)), 6) AS lift,
+ (SELECT round(sum(m) / sum(n)::DOUBLE, 6) FROM (SELECT max(n) AS m, sum(n) AS n FROM c GROUP BY label)) AS purity""")
 def ge8(s, d):
     e = table(s, d, "embeddings")
-    c = e.groupBy("label", (F.col("vec_id") % 7).alias("g")).agg(F.count("*").alias("n"))
+    c = e.where("label <> 9").groupBy("label", (F.col("vec_id") % 7).alias("g")).agg(F.count("*").alias("n"))
+    # lift is exact over all pairs: P(share | same cluster) over P(share), from counts of counts
     pairs = lambda df, key: df.groupBy(*key).agg(F.sum("n").alias("l")).agg(F.sum(F.col("l") * (F.col("l") - 1.0)).alias("p"))
     both, lab, grp, every = pairs(c, ["label", "g"]), pairs(c, ["label"]), pairs(c, ["g"]), pairs(c, [])
     lift = both.withColumnRenamed("p", "a").crossJoin(lab.withColumnRenamed("p", "b")).crossJoin(grp.withColumnRenamed("p", "c")).crossJoin(every.withColumnRenamed("p", "e"))  # one row each
     pure = c.groupBy("label").agg(F.max("n").alias("m"), F.sum("n").alias("n")).agg(F.count("*").alias("clusters"), F.round(F.sum("m") / F.sum("n"), 6).alias("purity"))
-    return pure.crossJoin(ge6(s, d).select(F.col("same_label").alias("together"))).crossJoin(lift.select(F.round(F.col("a") / F.col("b") / (F.col("c") / F.col("e")), 6).alias("lift")))
+    noise = e.agg(F.round(F.count_if(F.col("label") == 9) / F.count("*"), 6).alias("noise"))
+    return pure.crossJoin(noise).crossJoin(together(s, d, neighbours(s, d)).drop("queries")).crossJoin(lift.select(F.round(F.col("a") / F.col("b") / (F.col("c") / F.col("e")), 6).alias("lift")))
 
 
 @query("ge9_vote_assign", f"WITH {_KNN} SELECT q AS vec_id, CASE WHEN q % 100 = 0 THEN (SELECT label FROM embeddings WHERE vec_id = q) ELSE l END::BIGINT AS label FROM (SELECT q, label AS l, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS rn FROM k10 JOIN embeddings ON vec_id = n GROUP BY q, label) WHERE rn = 1")
@@ -105,12 +122,10 @@ def ge9(s, d):
     return win.join(own, "vec_id", "left").select("vec_id", F.coalesce("label", "vote").alias("label"))
 
 
-@query("ge12_held_out_scores", f"WITH {_KNN} SELECT round(avg((a.label = b.label)::INT), 6) AS together, count(DISTINCT q) AS queries FROM k10 JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = n WHERE q % 30 <> 0")
+@query("ge12_held_out_scores", f"WITH {_TOGETHER} SELECT round(avg(CASE WHEN l >= 0 THEN t END), 6) AS together, round(avg(t_all), 6) AS together_all, count(*) AS queries FROM tq WHERE q % 30 <> 0")
 def ge12(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "label")
-    fitted = e.where("vec_id % 30 = 0").select(F.col("vec_id").alias("query"))
-    j = neighbours(s, d).join(fitted, "query", "left_anti").join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(e.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("b")), "neighbour")
-    return j.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("together"), F.countDistinct("query").alias("queries"))
+    fitted = table(s, d, "embeddings").where("vec_id % 30 = 0").select(F.col("vec_id").alias("query"))
+    return together(s, d, neighbours(s, d).join(fitted, "query", "left_anti"))
 
 
 @query("ge13_vector_subset", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings SEMI JOIN labels ON doc_id = vec_id")
@@ -172,8 +187,7 @@ def ax4(s, d):
 
 @query("ax5_axis_ends", f"WITH {_POS}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round(x, 8), vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM ps) SELECT label::BIGINT AS label, vec_id, CASE WHEN i <= 0.1 * n THEN 'low' ELSE 'high' END AS pole FROM o WHERE i <= 0.1 * n OR i > 0.9 * n")
 def ax5(s, d):
-    w = Window.partitionBy("label")
-    o = _positions(s, d).select("label", "vec_id", F.row_number().over(w.orderBy(F.round("x", 8), "vec_id")).alias("i"), F.count("*").over(w).alias("n"))
+    o = running.ranks(_positions(s, d).select("label", "vec_id", F.round("x", 8).alias("x")), ["label"], [F.col("x"), F.col("vec_id")], "i", "n")
     low = F.col("i") <= 0.1 * F.col("n")
     return o.where(low | (F.col("i") > 0.9 * F.col("n"))).select("label", "vec_id", F.when(low, "low").otherwise("high").alias("pole"))
 

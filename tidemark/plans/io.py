@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators import labels
@@ -83,9 +85,17 @@ def src10(s, d):
     return s.sql("SELECT c_custkey FROM src10_customer WHERE c_custkey IN (SELECT explode(:ids))", args={"ids": F.array(*map(F.lit, (2, 4, 8, 16)))})
 
 
-@query("src11_row_store", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("src11_row_store", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def src11(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))  # readers.jdbc gives the same frame from a database
+    # a database in this process's memory stands for the file: rows go in through its driver and come out through a query that it runs
+    e = table(s, d, "events").select("user_id", "event_type", "value")
+    if s.sparkContext.master.startswith("local["):
+        url, name = f"jdbc:derby:memory:{uuid.uuid4().hex}", "events"
+        e.coalesce(1).write.format("jdbc").option("url", f"{url};create=true").option("dbtable", name).option("createTableColumnTypes", "event_type varchar(32)").save()
+        e = readers.jdbc(s, url, "SELECT \"user_id\", \"value\" FROM events WHERE \"event_type\" <> 'view'")
+    else:  # executors of a cluster have memories of their own
+        e = e.where("event_type <> 'view'")
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
 @query("src12_markup_rows", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, coalesce(length(array_to_string(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda p: regexp_replace(p, '<[^>]*>', '', 'g')), chr(10))), 0)::BIGINT AS n FROM pages")
@@ -125,17 +135,19 @@ def snk1(s, d):
     return s.read.parquet(path)
 
 
-@query("snk2_arrow_batches", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+@query("snk2_arrow_batches", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def snk2(s, d):
-    return s.createDataFrame(table(s, d, "region").select("r_regionkey", "r_name").toArrow())
+    path, o = sinks.scratch(s), table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    sinks.write_arrow(o, path)
+    return sinks.read_arrow(s, path, o.schema)
 
 
-@query("snk3_atomic_replace", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_regionkey = 1")
+@query("snk3_atomic_replace", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_regionkey = 2")
 def snk3(s, d):
     path, n = sinks.scratch(s), table(s, d, "nation").select("n_nationkey", "n_regionkey")
-    for key in (0, 1):
+    for key in (0, 1, 2):
         sinks.replace(n.where(F.col("n_regionkey") == key).select("n_nationkey"), path)
-    return s.read.parquet(path)
+    return s.read.parquet(sinks.current(s, path))
 
 
 @query("snk4_resumable_fill", "SELECT s_suppkey, s_suppkey % 2 = 0 AS first_pass, (s_suppkey * 3) % 11 AS score FROM supplier")
@@ -148,8 +160,10 @@ def snk4(s, d):
 
 @query("snk5_upsert", "SELECT c_custkey, 'new' AS v FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 4 <> 0")
 def snk5(s, d):
-    c = table(s, d, "customer").select("c_custkey")
-    return labels.upsert(c.withColumn("v", F.lit("old")), c.where("c_custkey % 4 = 0").withColumn("v", F.lit("new")), ["c_custkey"])
+    path, c = sinks.scratch(s), table(s, d, "customer").select("c_custkey")
+    sinks.upsert(c.withColumn("v", F.lit("old")), path, ["c_custkey"])
+    sinks.upsert(c.where("c_custkey % 4 = 0").withColumn("v", F.lit("new")), path, ["c_custkey"])
+    return s.read.parquet(sinks.current(s, path))
 
 
 @query("snk6_append_absent", "SELECT * FROM (VALUES ('a', 1), ('b', 2)) v(name, x)")
@@ -188,6 +202,16 @@ def sm1(s, d):
     return x.select("user_id", "n", F.round("value", 4).alias("value"), F.unix_timestamp("start").alias("start"))
 
 
+@query("sm1_tumbling", "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def sm1c(s, d):
+    return twins.tumbling(twins.events(s, d, stream=False)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("sm1_sliding", "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT - 86400 * k AS start, event_type, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY 1, 2")
+def sm1d(s, d):
+    return twins.sliding(twins.events(s, d, stream=False)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
 @query("sm1_label_state_stream", "SELECT user_id AS labeller, event_id % 50 AS item_id, arg_max(event_id % 3, (ts, event_id)) AS grade FROM events GROUP BY 1, 2")
 def sm1b(s, d):
     path = sinks.scratch(s)

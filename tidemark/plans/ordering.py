@@ -41,7 +41,10 @@ def wn4(s, d):
 
 @query("wn5_ntile", "SELECT c_mktsegment, c_custkey, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS quartile FROM customer")
 def wn5(s, d):
-    return table(s, d, "customer").select("c_mktsegment", "c_custkey", F.ntile(4).over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")).alias("quartile"))
+    # a segment may hold a third of all rows: places come from range partitions, and quarters from places
+    r = running.ranks(table(s, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal"), ["c_mktsegment"], [F.col("c_acctbal"), F.col("c_custkey")], "i", "n")
+    more = F.col("n") % 4 * (F.expr("n div 4") + 1)  # rows in the quarters that have one more
+    return r.select("c_mktsegment", "c_custkey", F.when(F.col("i") <= more, F.expr("(i - 1) div (n div 4 + 1)") + 1).otherwise(F.expr("(i - n % 4 * (n div 4 + 1) - 1) div greatest(n div 4, 1) + n % 4 + 1")).cast("int").alias("quartile"))
 
 
 @query("wn6_rerank_after_removal", "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rank FROM lineitem WHERE l_returnflag <> 'R'")
@@ -62,8 +65,8 @@ def wn8(s, d):
 @query("wn9_null_aware_rank", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN row_number() OVER (PARTITION BY source, quality IS NULL ORDER BY quality DESC, doc_id) END AS rank FROM documents LEFT JOIN labels USING (doc_id)")
 def wn9(s, d):
     j = table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels"), "doc_id", "left")
-    missing = F.col("quality").isNull()
-    return j.select("doc_id", F.when(~missing, _rn(["source", missing], [F.desc("quality"), "doc_id"])).alias("rank"))
+    ranked = running.ranks(j.where("quality IS NOT NULL"), ["source"], [F.desc("quality"), F.col("doc_id")], "rank").select("doc_id", "rank")
+    return ranked.unionByName(j.where("quality IS NULL").select("doc_id", F.lit(None).cast("int").alias("rank")))
 
 
 @query("wn10_head", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 2")
@@ -135,7 +138,8 @@ def so4(s, d):
 @query("so5_nulls_last", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY quality ASC NULLS LAST, doc_id) AS up, row_number() OVER (PARTITION BY source ORDER BY quality DESC NULLS LAST, doc_id) AS down FROM documents LEFT JOIN labels USING (doc_id)")
 def so5(s, d):
     j = table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels"), "doc_id", "left")
-    return j.select("source", "doc_id", _rn(["source"], [F.asc_nulls_last("quality"), "doc_id"]).alias("up"), _rn(["source"], [F.desc_nulls_last("quality"), "doc_id"]).alias("down"))
+    up = running.ranks(j, ["source"], [F.asc_nulls_last("quality"), F.col("doc_id")], "up")
+    return running.ranks(up, ["source"], [F.desc_nulls_last("quality"), F.col("doc_id")], "down").select("source", "doc_id", "up", "down")
 
 
 @query("so6_count_then_id", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20")
@@ -143,14 +147,22 @@ def so6(s, d):
     return table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)
 
 
-@query("so7_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+#: Pages asked for: a common one, one before the first and one behind the last.
+_PAGES = (3, 0, 10**9)
+
+
+@query("so7_page", f"WITH n AS (SELECT greatest(1, (count(*) + 49) // 50) AS n_pages FROM orders), p AS (SELECT asked, least(greatest(asked, 1), n_pages) AS page, n_pages FROM n, (VALUES {', '.join(f'({p})' for p in _PAGES)}) v(asked)), o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) SELECT asked::BIGINT AS asked, page::BIGINT AS page, n_pages::BIGINT AS n_pages, o_orderkey, o_totalprice FROM p JOIN o ON i > 50 * (page - 1) AND i <= 50 * page")
 def so7(s, d):
-    return table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
+    o = table(s, d, "orders").select("o_orderkey", "o_totalprice")
+    n_pages = max(1, -(-o.count() // 50))
+    pages = s.createDataFrame([(p, min(max(p, 1), n_pages), n_pages) for p in _PAGES], "asked long, page long, n_pages long")
+    ranked = running.totals(o, [F.desc("o_totalprice"), F.col("o_orderkey")], {"i": F.lit(1)})
+    return ranked.withColumn("page", F.expr("(i - 1) div 50 + 1")).join(F.broadcast(pages), "page").select("asked", "page", "n_pages", "o_orderkey", "o_totalprice")  # three rows
 
 
 @query("so8_multiplicative_hash_sample", "SELECT doc_id FROM documents ORDER BY (doc_id * 2654435761) % 4294967296, doc_id LIMIT 100")
 def so8(s, d):
-    return table(s, d, "documents").select("doc_id").orderBy((F.col("doc_id") * F.lit(2654435761)) % F.lit(4294967296), "doc_id").limit(100)
+    return table(s, d, "documents").select("doc_id").orderBy(F.expr("pmod(cast(pmod(doc_id, 4294967296) as decimal(20, 0)) * 2654435761, 4294967296)"), "doc_id").limit(100)
 
 
 @query("so9_seeded_sample", "SELECT c_custkey FROM customer ORDER BY md5('42|' || c_custkey::VARCHAR), c_custkey LIMIT 75")

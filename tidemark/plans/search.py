@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import ranking
+from tidemark.operators import ranking, running
 from tidemark.operators.vectors import centroids
 from tidemark.plans.registry import query
+from tidemark.sources import sinks
 from tidemark.sources.tables import table
 
 # subject = supplier, paper = order, tag = part; the year of a paper is its order year
@@ -17,8 +20,30 @@ def links(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("source")).distinct()
 
 
-@query("ix1_index_tables", "WITH " + _LINKS + " SELECT 'papers' AS tbl, count(*) AS n FROM orders UNION ALL SELECT 'links', count(*) FROM lk UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'names', count(*) FROM part UNION ALL SELECT 'subjects', count(*) FROM supplier")
+_INDEX = "WITH " + _LINKS + """ SELECT 'papers' AS tbl, count(*) AS n, min(o_orderkey)::BIGINT AS first, max(o_orderkey)::BIGINT AS last FROM orders UNION ALL SELECT 'links', count(*), min(subject), max(subject) FROM lk UNION ALL SELECT 'tags', count(*), min(l_orderkey), max(l_orderkey) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+ UNION ALL SELECT 'tag_index', count(*), min(l_partkey), max(l_partkey) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'names', count(*), min(p_partkey), max(p_partkey) FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) FROM part)
+ UNION ALL SELECT 'subjects', count(*), min(s_suppkey), max(s_suppkey) FROM supplier UNION ALL SELECT 'topics', count(*), min(n_nationkey), max(n_nationkey) FROM nation UNION ALL SELECT 'arrow', count(*), min(o_orderkey), max(o_orderkey) FROM orders"""
+
+
+@query("ix1_index_tables", _INDEX)
 def ix1(s, d):
+    # the eight steps write their tables, in the order of their keys; the report reads what was written
+    root = sinks.scratch(s)
+    tags = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    steps = {
+        "papers": table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "links": links(s, d), "tags": tags, "tag_index": tags.select("l_partkey", "l_orderkey"),
+        "names": table(s, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("name")), "subjects": table(s, d, "supplier").select("s_suppkey", "s_name"), "topics": table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"),
+    }
+    for name, step in steps.items():
+        sinks.write_sorted(step, f"{root}/{name}")
+    sinks.write_arrow(s.read.parquet(f"{root}/papers"), f"{root}/arrow")
+    built = {name: s.read.parquet(f"{root}/{name}") for name in steps} | {"arrow": sinks.read_arrow(s, f"{root}/arrow", steps["papers"].schema)}
+    report = [b.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"), F.min(b.columns[0]).cast("long").alias("first"), F.max(b.columns[0]).cast("long").alias("last")) for name, b in built.items()]
+    return reduce(DataFrame.unionByName, report)
+
+
+@query("ix1b_index_sizes", "WITH " + _LINKS + " SELECT 'papers' AS tbl, count(*) AS n FROM orders UNION ALL SELECT 'links', count(*) FROM lk UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'names', count(*) FROM part UNION ALL SELECT 'subjects', count(*) FROM supplier")
+def ix1b(s, d):
     tables = {"papers": table(s, d, "orders"), "links": links(s, d), "tags": table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct(), "names": table(s, d, "part"), "subjects": table(s, d, "supplier")}
     out = None
     for name, df in tables.items():
@@ -106,7 +131,7 @@ def fc5(s, d):
 
 @query("fc6_map_facet_positions", "SELECT label::BIGINT AS label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings")
 def fc6(s, d):
-    return table(s, d, "embeddings").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("pos"))
+    return running.ranks(table(s, d, "embeddings").select("label", "vec_id"), ["label"], [F.col("vec_id")], "pos").withColumn("pos", F.col("pos") - 1)
 
 
 @query("fc7_sources_page", "SELECT source, count(*) AS docs, round(avg(n_chars), 4) AS chars, count(*) FILTER (WHERE lang = 'en') AS english FROM documents GROUP BY source")
@@ -175,13 +200,17 @@ def mp3b(s, d):
 _CORE = "co AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label <> 9), ot AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label = 9)"
 
 
-@query("mp4_outlier_absorb", f"WITH {_CORE} SELECT ot.vec_id, arg_min(co.label, (round(power(co.x - ot.x, 2) + power(co.y - ot.y, 2), 9), co.vec_id))::BIGINT AS label FROM ot, co GROUP BY ot.vec_id")
+@query("mp4_outlier_absorb", f"""WITH {_CORE}, nr AS (SELECT ot.vec_id, arg_min(co.label, (round(power(co.x - ot.x, 2) + power(co.y - ot.y, 2), 9), co.vec_id)) AS label, round(sqrt(min(power(co.x - ot.x, 2) + power(co.y - ot.y, 2))), 9) AS far FROM ot, co GROUP BY ot.vec_id)
+SELECT vec_id, CASE WHEN far < (SELECT quantile_cont(far, 0.9) FROM nr) THEN label ELSE -1 END::BIGINT AS label FROM nr""")
 def mp4(s, d):
     from tidemark.operators.vectors import knn
 
     e = table(s, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).cast("array<double>").alias("p"))
     near = knn(e.where("label <> 9"), e.where("label = 9"), 1, key="vec_id", vector="p", cosine=False)
-    return near.join(e.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").select(F.col("query").alias("vec_id"), "label")
+    near = near.join(e.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").select(F.col("query").alias("vec_id"), "label", F.round(-F.col("score"), 9).alias("far"))
+    # the tenth that lies farthest from any core point stays without a topic
+    edge = running.quantiles(near, [], F.col("far"), {"edge": 0.9})
+    return near.crossJoin(F.broadcast(edge)).select("vec_id", F.when(F.col("far") < F.col("edge"), F.col("label")).otherwise(-1).alias("label"))  # edge is one row
 
 
 @query("mp5_typical_members", "WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), dd AS (SELECT e.label, vec_id, round(sum(power(embedding[c.i]::DOUBLE - c.c, 2)), 8) AS dist FROM embeddings e JOIN c ON c.label = e.label GROUP BY 1, 2) SELECT label::BIGINT AS label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rn FROM dd) WHERE rn <= 6")
@@ -199,9 +228,16 @@ def mp6(s, d):
     return n.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("new"))  # a row per cluster
 
 
-@query("mp7_drill_in", "SELECT vec_id, (label * 10 + vec_id % 3)::BIGINT AS sub FROM embeddings WHERE label = 2")
+@query("mp7_drill_in", """WITH a AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 2), b AS (SELECT * FROM a WHERE (e[1]::DOUBLE >= (SELECT median(e[1]::DOUBLE) FROM a))), c AS (SELECT * FROM b WHERE NOT (e[2]::DOUBLE >= (SELECT median(e[2]::DOUBLE) FROM b)))
+SELECT vec_id, (e[3]::DOUBLE >= (SELECT median(e[3]::DOUBLE) FROM c))::BIGINT AS topic FROM c""")
 def mp7(s, d):
-    return table(s, d, "embeddings").where("label = 2").select("vec_id", (F.col("label") * 10 + F.col("vec_id") % 3).alias("sub"))
+    # the path 2 > 1 > 0: each step keeps a topic's members and divides them anew, here at the median of the next axis
+    here = table(s, d, "embeddings").withColumn("topic", F.col("label").cast("long"))
+    for depth, topic in enumerate((2, 1, 0)):
+        here = running.cut(here.where(F.col("topic") == topic).select("vec_id", "embedding"))
+        x = F.col("embedding")[depth].cast("double")
+        here = here.crossJoin(F.broadcast(running.quantiles(here, [], x, {"mid": 0.5}))).withColumn("topic", (x >= F.col("mid")).cast("long")).drop("mid")  # one row
+    return here.select("vec_id", "topic")
 
 
 @query("mp8_density_grid", "WITH g AS (SELECT floor(embedding[1]::DOUBLE * 10)::BIGINT AS x, floor(embedding[2]::DOUBLE * 10)::BIGINT AS y, count(*) AS n, sum(label) AS c FROM embeddings GROUP BY 1, 2) SELECT x + dx AS x, y + dy AS y, sum(n)::BIGINT AS n, round(sum(c) / sum(n)::DOUBLE, 6) AS colour FROM g, range(-1, 2) a(dx), range(-1, 2) b(dy) GROUP BY 1, 2")
@@ -214,5 +250,6 @@ def mp8(s, d):
 
 @query("mp9_field_centre", "SELECT label::BIGINT AS label, round(median(embedding[1]::DOUBLE), 6) AS x, round(median(embedding[2]::DOUBLE), 6) AS y, count(*) AS n FROM embeddings GROUP BY label")
 def mp9(s, d):
-    at = lambda i: F.round(F.median(F.col("embedding")[i].cast("double")), 6)
-    return table(s, d, "embeddings").groupBy("label").agg(at(0).alias("x"), at(1).alias("y"), F.count("*").alias("n"))
+    e = table(s, d, "embeddings")
+    at = lambda i, name: running.quantiles(e, ["label"], F.col("embedding")[i], {name: 0.5}).withColumn(name, F.round(name, 6))
+    return e.groupBy("label").agg(F.count("*").alias("n")).join(at(0, "x"), "label").join(at(1, "y"), "label")

@@ -95,7 +95,7 @@ def sg8(s, d):
 @query("sg9_letter_display")
 def sg9(s, d):
     # a handful of systems: their mean scores and the pairs that differ by more than a margin
-    means = diffs(s, d).groupBy("pair").agg(F.avg("diff").alias("m")).orderBy(F.desc("m"), "pair").limit(26).collect()
+    means = diffs(s, d).groupBy("pair").agg(F.avg("diff").alias("m")).orderBy(F.desc("m"), "pair").collect()
     far = {(a["pair"], b["pair"]) for i, a in enumerate(means) for b in means[i + 1 :] if abs(a["m"] - b["m"]) > 2}
     shown = stats.letters([r["pair"] for r in means], far)
     return s.createDataFrame(sorted(shown.items()), "system string, letters string")
@@ -139,14 +139,20 @@ def sg13(s, d):
     return judged(s, d).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("direction", F.when(F.col("b") > F.col("a"), "up").when(F.col("b") < F.col("a"), "down").otherwise("same"))
 
 
-@query("sg14_inter_rater", """WITH l AS (SELECT event_id % 97 AS item, user_id % 6 AS labeller, max_by(event_id % 3, event_id) AS grade FROM events GROUP BY 1, 2)
-SELECT x.labeller AS a, y.labeller AS b, count(*) AS n, round(avg((x.grade = y.grade)::INT), 6) AS agree FROM l x JOIN l y ON x.item = y.item AND x.labeller < y.labeller GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("sg14_inter_rater", """WITH r AS (SELECT event_id % 97 AS item, user_id % 6 AS labeller, event_id % 2 AS pass, max_by(event_id % 3, event_id) AS grade FROM events GROUP BY 1, 2, 3), l AS (SELECT * FROM r WHERE pass = 0),
+p AS (SELECT x.labeller AS a, y.labeller AS b, x.grade AS ga, y.grade AS gb, 'inter' AS kind FROM l x JOIN l y ON x.item = y.item AND x.labeller < y.labeller UNION ALL SELECT x.labeller, x.labeller, x.grade, y.grade, 'intra' FROM r x JOIN r y ON x.item = y.item AND x.labeller = y.labeller AND x.pass = 0 AND y.pass = 1)
+SELECT kind, a, b, count(*) AS n, round(avg((ga = gb)::INT), 6) AS agree FROM p GROUP BY kind, a, b HAVING count(*) >= 5 OR kind = 'intra'""")
 def sg14(s, d):
     e = table(s, d, "events")
-    lab = e.groupBy((F.col("event_id") % 97).alias("item"), (F.col("user_id") % 6).alias("labeller")).agg(F.max_by(F.col("event_id") % 3, "event_id").alias("grade"))
+    key = ["item", "labeller"]
+    lab = e.groupBy((F.col("event_id") % 97).alias("item"), (F.col("user_id") % 6).alias("labeller"), (F.col("event_id") % 2).alias("pass")).agg(F.max_by(F.col("event_id") % 3, "event_id").alias("grade"))
+    first = lab.where("pass = 0")
+    agree = (F.count("*").alias("n"), F.round(F.avg((F.col("ga") == F.col("gb")).cast("double")), 6).alias("agree"))
+    again = first.select(*key, F.col("grade").alias("ga")).join(lab.where("pass = 1").select(*key, F.col("grade").alias("gb")), key)
+    intra = again.groupBy(F.lit("intra").alias("kind"), F.col("labeller").alias("a"), F.col("labeller").alias("b")).agg(*agree)
     # pairs are made inside an item, whose labellers are few
-    x, y = lab.select("item", F.col("labeller").alias("a"), F.col("grade").alias("ga")), lab.select("item", F.col("labeller").alias("b"), F.col("grade").alias("gb"))
-    return x.join(y, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("ga") == F.col("gb")).cast("double")), 6).alias("agree")).where("n >= 5")
+    x, y = first.select("item", F.col("labeller").alias("a"), F.col("grade").alias("ga")), first.select("item", F.col("labeller").alias("b"), F.col("grade").alias("gb"))
+    return x.join(y, "item").where("a < b").groupBy(F.lit("inter").alias("kind"), "a", "b").agg(*agree).where("n >= 5").unionByName(intra)
 
 
 @query("sg15_merged_grade", "WITH " + _J + " SELECT item, (a + b) // 2 AS merged, a AS without_b, b AS without_a FROM jj WHERE a IS NOT NULL AND b IS NOT NULL")

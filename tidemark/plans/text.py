@@ -45,9 +45,9 @@ def fn7(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(tx.fold(F.col("text"))).alias("h"))
 
 
-@query("fn8_hyphen_join", "SELECT page_id, regexp_replace(lower(url), '([a-z0-9])-([a-z0-9])', '\\1\\2', 'g') AS u FROM pages")
+@query("fn8_hyphen_join", "SELECT page_id, regexp_replace(regexp_replace(lower(url) || '/a-b-c--d', '([a-z0-9])-([a-z0-9])', '\\1\\2', 'g'), '([a-z0-9])-([a-z0-9])', '\\1\\2', 'g') AS u FROM pages")
 def fn8(s, d):
-    return table(s, d, "pages").select("page_id", F.regexp_replace(F.lower("url"), "([a-z0-9])-([a-z0-9])", "$1$2").alias("u"))
+    return table(s, d, "pages").select("page_id", F.regexp_replace(F.concat(F.lower("url"), F.lit("/a-b-c--d")), "(?<=[a-z0-9])-(?=[a-z0-9])", "").alias("u"))
 
 
 @query("fn9_tokens", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words, len(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')) AS terms FROM documents")
@@ -114,14 +114,7 @@ def fn18(s, d):
 
 @query("fn19_longest_spans")
 def fn19(s, d):
-    @F.udtf(returnType="start: int, stop: int, phrase: string")
-    class Spans:
-        def eval(self, text: str):
-            yield from tx.longest_spans(text or "", ["the", "of the", "in the", "of"])
-
-    s.udtf.register("longest_spans", Spans)
-    table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("fn19_documents")
-    return s.sql("SELECT doc_id, start, stop, phrase FROM fn19_documents, LATERAL longest_spans(text)")
+    return tx.spans(table(s, d, "documents"), "doc_id", "text", ["the", "of the", "in the", "of"])
 
 
 @query("fn20_truncate_words", r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:20], ' ') || CASE WHEN len(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) > 20 THEN ' ...' ELSE '' END AS t FROM documents")
@@ -196,6 +189,26 @@ def fn31(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.regexp_extract("props", "[0-9]+", 0).try_cast("bigint").alias("by_regex"))
 
 
+#: gr: graded replies of several forms, made from conversations.
+_GRADES = """gr AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN '```json' || chr(10) || '{"A": {"grade": ' || turn % 4 || ', "reason": "x"}, "Abstract_B": 1, "c": "0", "D": 7}' || chr(10) || '```' WHEN 1 THEN 'Here: {"A": ' || conv_id % 3 || ', "[B]": "2"} as asked' WHEN 2 THEN '{"A": 1, ' WHEN 3 THEN '[1, 2]' ELSE text END AS reply FROM conversations)"""
+
+
+@query("fn31b_reply_grades", "WITH " + _GRADES + r""", b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(reply, '^\s*```\w*\s*', ''), '\s*```\s*$', '') AS body FROM gr), o AS (SELECT conv_id, turn, coalesce(CASE WHEN json_type(try_cast(body AS JSON)) = 'OBJECT' THEN try_cast(body AS JSON) END, CASE WHEN try_cast(body AS JSON) IS NULL THEN try_cast(regexp_extract(body, '(?s)\{.*\}') AS JSON) END) AS js FROM b),
+k AS (SELECT conv_id, turn, js, unnest(json_keys(js)) AS k FROM o WHERE json_type(js) = 'OBJECT'), v AS (SELECT conv_id, turn, upper(regexp_replace(regexp_replace(k, '(?i)^[\W_]*(abstract[\W_]*)?', ''), '[\W_]+$', '')) AS shown, coalesce(json_extract_string(js, '$."' || k || '".grade'), json_extract_string(js, '$."' || k || '"')) AS g FROM k)
+SELECT conv_id, turn, shown, try_cast(g AS BIGINT) AS grade FROM v WHERE regexp_full_match(shown, '[A-Z]') AND g IN ('0', '1', '2')""")
+def fn31b(s, d):
+    c, t = F.col("conv_id"), F.col("turn")
+    forms = [
+        F.concat(F.lit('```json\n{"A": {"grade": '), (t % 4).cast("string"), F.lit(', "reason": "x"}, "Abstract_B": 1, "c": "0", "D": 7}\n```')), F.concat(F.lit('Here: {"A": '), (c % 3).cast("string"), F.lit(', "[B]": "2"} as asked')),
+        F.lit('{"A": 1, '), F.lit("[1, 2]"),
+    ]
+    reply = F.col("text")
+    for k, form in enumerate(forms):
+        reply = F.when((c + t) % 5 == k, form).otherwise(reply)
+    graded = table(s, d, "conversations").select("conv_id", "turn", F.explode(tx.reply_grades(reply)).alias("shown", "grade"))
+    return graded.select("conv_id", "turn", "shown", F.col("grade").cast("long"))
+
+
 @query("fn32_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS sq, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64, 6) AS mean FROM embeddings")
 def fn32(s, d):
     e = F.col("embedding")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from tidemark.operators import labels
 
 
 def scratch(spark: SparkSession) -> str:
@@ -28,34 +32,118 @@ def write_tsv(df: DataFrame, path: str, *, header: bool = False, compression: st
     df.write.mode("overwrite").option("sep", "\t").option("header", header).option("quote", "").option("compression", compression).csv(path)
 
 
+class _Sink(io.RawIOBase):
+    """A file of any store that Spark writes to, as Arrow wants it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = _path(spark, path)
+        self._out = _store(spark, at).create(at, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytes(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+        super().close()
+
+
 def write_arrow(df: DataFrame, path: str, rows: int = 1_000_000) -> int:
-    """An Arrow stream file on the driver, for exports that fit there; returns the rows written."""
-    import pyarrow as pa
+    """One Arrow stream file in batches of at most `rows` rows; returns the rows written. The driver holds a partition's batch at a time."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as w:
+                w.write_table(t)
+            return pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                if n + part.num_rows > rows:
+                    yield flush()
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield flush()
+
+    total, writer = 0, None
+    with _Sink(df.sparkSession, path) as out:
+        for r in df.mapInArrow(packed, "ipc binary").toLocalIterator():
+            t = pa.ipc.open_stream(r["ipc"]).read_all()
+            writer = writer or pa.ipc.new_stream(out, t.schema)
+            writer.write_table(t, max_chunksize=rows)
+            total += t.num_rows
+        if writer is None:
+            writer = pa.ipc.new_stream(out, pa.Schema.from_pandas(df.limit(0).toPandas(), preserve_index=False))
+        writer.close()
+    return total
 
-    data = df.toArrow()
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_stream(f, data.schema) as w:
-        for batch in data.to_batches(max_chunksize=rows):
-            w.write_batch(batch)
-    return data.num_rows
+
+def read_arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of Arrow stream files."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                yield from pa.ipc.open_stream(content.as_buffer())
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(opened, schema)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the table that replace() put at path; None before the first."""
+    return f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}" if exists(spark, f"{path}/CURRENT") else None
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then rename: readers see the old table or the new one."""
+    """Write a new version beside the old, then move the pointer to it in one atomic rename: readers of current() see the old table or the new one.
+
+    The version before stays for those who are reading it; older ones are deleted.
+    """
     spark = df.sparkSession
-    staging = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot rename {staging}")
+    old, name = current(spark, path), f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    with _Sink(spark, f"{path}/.{name}") as f:
+        f.write(name.encode())
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    how[0] = fs.Options.Rename.OVERWRITE
+    target = _path(spark, f"{path}/CURRENT")
+    fs.FileContext.getFileContext(_store(spark, target).getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(_path(spark, f"{path}/.{name}"), target, how)
+    for entry in _store(spark, target).listStatus(_path(spark, path)):
+        at = entry.getPath()
+        if at.getName().startswith("v-") and at.getName() not in (name, (old or "").rsplit("/", 1)[-1]):
+            _store(spark, at).delete(at, True)
+
+
+def upsert(new: DataFrame, path: str, keys: list[str]) -> None:
+    """Put the rows of new into the table at path in place of those with their keys, in the order of all columns."""
+    at = current(new.sparkSession, path)
+    rows = new if at is None else labels.upsert(new.sparkSession.read.parquet(at), new, keys)
+    replace(rows.orderBy(*rows.columns), path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p = _path(spark, path)
+    return _store(spark, p).exists(p)
 
 
 def fill(pairs: DataFrame, cache: str, keys: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -28,13 +28,21 @@ def tumbling(ev: DataFrame, width: str = "1 day", delay: str = "1 hour") -> Data
     return marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def sliding(ev: DataFrame, width: str = "2 days", slide: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """(start, event_type, n): windows that overlap; an event counts in each that holds it."""
+    marked = ev.withWatermark("ts", delay) if ev.isStreaming else ev
+    return marked.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
 def label_state(log: DataFrame, path: str, checkpoint: str) -> str:
     """Keep the latest label per (labeller, item_id) at path/<version>, and return the last version's path: each micro-batch is merged by event time, so late rows never overwrite newer ones."""
     keys, last = ["labeller", "item_id"], [""]
 
     def merge(batch: DataFrame, version: int) -> None:
         new = batch.groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "grade")).alias("x"))
-        if version and exists(batch.sparkSession, f"{path}/{version - 1}"):
+        if version:
+            if not exists(batch.sparkSession, f"{path}/{version - 1}"):
+                raise FileNotFoundError(f"{path}/{version - 1}: the state before version {version} is gone")
             new = new.unionByName(batch.sparkSession.read.parquet(f"{path}/{version - 1}")).groupBy(*keys).agg(F.max("x").alias("x"))
         last[0] = f"{path}/{version}"
         new.write.mode("overwrite").parquet(last[0])
@@ -48,4 +56,4 @@ def replay(df: DataFrame, path: str, checkpoint: str) -> None:
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-__all__ = ["events", "sessions", "tumbling", "label_state", "replay"]
+__all__ = ["events", "sessions", "tumbling", "sliding", "label_state", "replay"]
