@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import ranking, running
+from tidemark.functions import text as tx
+from tidemark.operators import dictionary, ranking, running
 from tidemark.operators.vectors import centroids
 from tidemark.plans.registry import query
+from tidemark.plans.text import _NAMES, names
 from tidemark.sources import sinks
 from tidemark.sources.tables import table
 
@@ -122,11 +124,16 @@ def fc4(s, d):
     return li.select("l_orderkey", "l_partkey").distinct().join(g, "l_partkey").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_join(tags, ",").alias("tags"))
 
 
-@query("fc5_named_in_text", "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents), e AS (SELECT DISTINCT term AS name FROM w WHERE term LIKE 'tho%' AND length(term) >= 6) SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM e JOIN w ON w.term = e.name GROUP BY name")
+@query("fc5_named_in_text", "WITH " + _NAMES + r""", ok AS (SELECT DISTINCT entity, regexp_replace(name, '[\s\-]+', '-', 'g') AS name FROM nm WHERE length(name) >= 4), t AS (SELECT doc_id, regexp_replace(lower(text), '[\s\-]+', '-', 'g') AS text FROM documents),
+c AS MATERIALIZED (SELECT n.name, doc_id, text FROM (SELECT DISTINCT name FROM ok) n JOIN t ON contains(text, name)), m AS (SELECT name, doc_id FROM c WHERE regexp_matches(text, '(?:^|[^\pL\pN_])' || regexp_escape(name) || '(?:[^\pL\pN_]|$)'))
+SELECT entity, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc FROM ok JOIN m USING (name) GROUP BY entity""")
 def fc5(s, d):
-    w = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(ranking.tokens(F.col("text")))).alias("name"))
-    names = w.where("name LIKE 'tho%' AND length(name) >= 6").select("name").distinct()
-    return w.join(names, "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    # all names of all entities at once; a document names an entity if it has any of its names, with any gap between their words
+    fold = lambda c: F.lower(tx.loose(c))
+    known = names(s, d).where(F.length("name") >= 4).withColumn("folded", fold(F.col("name")))
+    docs = table(s, d, "documents").select("doc_id", "text")
+    found = dictionary.hits(docs, known, fold=fold).select("doc_id", "folded").distinct()
+    return found.join(known, "folded").select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("fc6_map_facet_positions", "SELECT label::BIGINT AS label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import ranking
+from tidemark.operators import dictionary, ranking
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -77,13 +77,21 @@ def fn12(s, d):
     return counts.groupBy("bigram").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs >= 20")
 
 
-@query("fn13_phrase_dictionary", r"SELECT doc_id, p AS phrase FROM documents, (VALUES ('of the'), ('in the'), ('the and')) v(p) WHERE regexp_matches(lower(text), '\b' || p || '\b')")
+#: nm: names of benchmark passages: their first word, first two and first three, and one with signs in it.
+_NAMES = """nm AS (SELECT DISTINCT item_id AS entity, unnest([array_to_string(w[1:1], ' '), array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' '), 'of the', 'a.b']) AS name FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))"""
+
+
+def names(s, d):
+    w = ranking.tokens(F.col("text"))
+    lead = [F.array_join(F.slice(w, 1, n), " ") for n in (1, 2, 3)]
+    return table(s, d, "benchmark").select(F.col("item_id").alias("entity"), F.explode(F.array(*lead, F.lit("of the"), F.lit("a.b"))).alias("name")).distinct()
+
+
+@query("fn13_phrase_dictionary", "WITH " + _NAMES + r""", al AS (SELECT '\b(?:' || string_agg(regexp_escape(name), '|' ORDER BY length(name) DESC, name) || ')\b' AS p FROM (SELECT DISTINCT name FROM nm)), x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7f]', 'x', 'g') || ' a.b', p)) AS phrase FROM documents, al)
+SELECT doc_id, phrase, count(*) AS n FROM x GROUP BY doc_id, phrase""")
 def fn13(s, d):
-    # the dictionary's words are matched as token windows, joined by equality
-    phrases = s.createDataFrame([("of the",), ("in the",), ("the and",)], "phrase string")
-    hits = [F.when(F.lower("text").rlike(rf"\b{p}\b"), F.lit(p)) for p in ("of the", "in the", "the and")]
-    found = table(s, d, "documents").select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("phrase"))
-    return found.join(F.broadcast(phrases), "phrase", "left_semi").select("doc_id", "phrase")
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.regexp_replace(F.lower("text"), r"[^\x00-\x7f]", "x"), F.lit(" a.b")).alias("text"))  # the SQL's boundaries know ASCII only
+    return dictionary.mentions(docs, names(s, d)).groupBy("doc_id", F.col("folded").alias("phrase")).agg(F.count("*").alias("n"))
 
 
 @query("fn14_case_rule", r"SELECT doc_id, len(regexp_extract_all(text, '\bThe\b')) AS exact, len(regexp_extract_all(text, '(?i)\bthorre')) AS any_case FROM documents")
@@ -96,10 +104,24 @@ def fn15(s, d):
     return table(s, d, "documents").select("doc_id", F.col("text").rlike(r"(?:^|[^\p{L}\p{N}])été(?:[^\p{L}\p{N}]|$)").alias("hit"))
 
 
-@query("fn16_greek_loose", "SELECT * FROM (VALUES ('TGF-beta-1', 'TGF-beta-1'), ('TNF alpha', 'TNF-alpha'), ('p38–gamma', 'p38-gamma')) v(name, loose)")
+#: wr: texts that write a Greek letter and gaps in different ways.
+_WRITTEN = """wr AS (SELECT p_partkey, 'see TNF' || CASE p_partkey % 4 WHEN 0 THEN '-α' WHEN 1 THEN ' Alpha' WHEN 2 THEN '–alpha' ELSE ' alphas' END || ' and ' || CASE p_partkey % 3 WHEN 0 THEN 'IL 1beta' WHEN 1 THEN 'IL−1β' ELSE 'IL1β' END || ' with ' || replace(p_name, ' ', CASE p_partkey % 2 WHEN 0 THEN '-' ELSE '  ' END) AS text FROM part)"""
+
+
+@query("fn16_greek_loose", "WITH " + _WRITTEN + r""", nm(name, p) AS (VALUES ('TNF alpha', 'TNF[\s\-–−]+(?:alpha|α)'), ('IL-1β', 'IL[\s\-–−]+1(?:beta|β)'))
+SELECT p_partkey, name FROM wr, nm WHERE regexp_matches(text, '(?i)(?:^|[^\pL\pN])' || p || '(?:[^\pL\pN]|$)') UNION ALL SELECT p_partkey, 'own' FROM wr""")
 def fn16(s, d):
-    names = s.createDataFrame([("TGF-beta-1", "TGF-β 1"), ("TNF alpha", "TNF α"), ("p38–gamma", "p38–γ")], "name string, written string")
-    return names.select("name", tx.loose(F.col("written")).alias("loose"))
+    n = F.col("p_partkey")
+    greek = F.when(n % 4 == 0, "-α").when(n % 4 == 1, " Alpha").when(n % 4 == 2, "–alpha").otherwise(" alphas")
+    other = F.when(n % 3 == 0, "IL 1beta").when(n % 3 == 1, "IL−1β").otherwise("IL1β")
+    own = F.replace("p_name", F.lit(" "), F.when(n % 2 == 0, "-").otherwise("  "))
+    written = table(s, d, "part").select("p_partkey", F.concat(F.lit("see TNF"), greek, F.lit(" and "), other, F.lit(" with "), own).alias("text"), "p_name")
+    fold = lambda c: F.lower(tx.loose(c))
+    wanted = s.createDataFrame([("TNF alpha",), ("IL-1β",)], "name string").withColumn("folded", fold(F.col("name")))
+    found = dictionary.hits(written, wanted, key="p_partkey", fold=fold).select("p_partkey", "folded").distinct().join(wanted, "folded").select("p_partkey", "name")
+    # every part's own name, however its gaps are written
+    named = dictionary.hits(written, written.select(F.col("p_name").alias("name")), key="p_partkey", fold=fold).join(written.select("p_partkey", fold(F.col("p_name")).alias("folded")), ["p_partkey", "folded"], "left_semi")
+    return found.unionByName(named.select("p_partkey", F.lit("own").alias("name")).distinct())
 
 
 @query("fn17_regex_count", "SELECT doc_id, len(regexp_extract_all(text, '[aeiou]+')) AS n FROM documents")
