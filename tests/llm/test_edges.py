@@ -142,6 +142,17 @@ def test_line_dedup_against_brute_force(spark, parts):
         assert "\n".join(x for x, k in zip(lines, keep) if k) == r["kept_text"]
 
 
+def test_least_ids_and_null_ids_are_apart(spark):
+    line, least = "A line that stands in several documents", -(2**63)
+    docs = [(None, line), (least, line), (5, line), (None, "another text\n" + line)]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), carry=("text",)).collect()
+    assert {(r["doc_id"], r["text"]): r["n_dropped"] for r in got} == {(None, line): 1, (least, line): 1, (5, line): 0, (None, docs[3][1]): 1}
+    two = line_dedup.line_dedup(spark.createDataFrame(docs[:2] + docs[3:], "doc_id long, text string")).collect()
+    assert all(r["n_dropped"] == 0 for r in two)  # rows with null ids are one document
+    chain = {r["doc_id"]: r["n_chars"] for r in lz_fingerprint.edited_likeness(spark.createDataFrame([(None, "ab"), (least, "abc")], "doc_id long, text string")).collect()}
+    assert chain == {None: 2, least: 3}
+
+
 def test_secret_ledger_is_incremental(spark):
     v1 = spark.createDataFrame([(1, "token = abcdef123"), (2, "token = abcdef123"), (3, None)], "doc_id long, text string")
     first = secret_scan.scan_new(v1)

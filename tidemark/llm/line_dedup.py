@@ -16,13 +16,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WS_CHARS, cut
+from .common import WS_CHARS, cut, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Stands for a null id: below all others.
-NO_ID = -(2**63)
 _KEYS = "h1 long, h2 long, id long, tx long, pos array<int>"
 _RUNS = "kind int, h1 long, h2 long, id long, tx long, pos array<int>, n long"
+_START = object()  # before a run's first document, whose id may be null
 _ARROW = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("tx", pa.int64()), ("pos", pa.list_(pa.int32())), ("n", pa.int64())])
 
 
@@ -33,7 +32,7 @@ def line_key(line: str) -> bytes | None:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         h, ids, txs, pos = [], [], [], []
         for doc, tx, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             own: dict[bytes, list[int]] = {}
@@ -53,7 +52,7 @@ def _runs(least: int):
     """Streams sorted rows. kind 0: drop these lines; 1: belongs to an edge run that is settled later; 2: an edge run's summary (id: its largest document)."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, first, docs, top, last = None, True, 0, None, None
+        run, first, docs, top, last = None, True, 0, None, _START
         held: list[tuple] = []  # rows of a run's documents while they are fewer than `least`
         for batch in batches:
             out: list[tuple] = []
@@ -64,7 +63,7 @@ def _runs(least: int):
                     if run is not None and first:
                         out.append((2, *run, top, 0, [], docs))
                     first = run is None
-                    run, docs, top, last, held = (h1, h2), 0, doc, None, []
+                    run, docs, top, last, held = (h1, h2), 0, doc, _START, []
                 if doc != last:
                     docs, last = docs + 1, doc
                 if first:
@@ -86,15 +85,15 @@ def _runs(least: int):
 
 
 def dropped_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, tx, drop array<int>): 0-based lines to drop, by document id (NO_ID for null) and xxhash64 of the text."""
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tx"), F.col(text).alias("text"))
+    """(id, tx, drop array<int>): 0-based lines to drop, by document id and xxhash64 of the text."""
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.col(text).alias("text"))
     keys = slim.mapInArrow(_keys, _KEYS)
-    order = [F.col("h1"), F.col("h2"), F.col("id").desc()]
+    order = [F.col("h1"), F.col("h2"), F.col("id").desc_nulls_last()]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = cut(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_runs(min_docs), _RUNS))
     edges = runs.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("id").alias("top")).where(F.col("docs") >= min_docs)
     # at most two summary rows for each range partition, so the broadcast is bounded by twice the partition count
-    late = runs.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where(F.col("id") != F.col("top"))
+    late = runs.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("top")))
     drop = runs.where("kind = 0").select("id", "tx", "pos").unionByName(late.select("id", "tx", "pos"))
     return drop.groupBy("id", "tx").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("drop"))
 
@@ -109,7 +108,7 @@ def unpack_bitmap(bitmap: bytes, n_lines: int) -> np.ndarray:
 
 def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("_text"))):
             out = []
             for text, drop in zip(batch.column("_text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
@@ -141,8 +140,9 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     empty table gives no rows.
     """
     drop = dropped_lines(docs, key=key, text=text, min_docs=min_docs).select(F.col("id").alias("_id"), F.col("tx").alias("_tx"), "drop")
-    own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_tx"), F.col(text).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    joined = own.join(drop, ["_id", "_tx"], "left").drop("_id", "_tx")
+    own = docs.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_tx"), F.col(text).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    drop = drop.select(F.col("_id").alias("_id2"), F.col("_tx").alias("_tx2"), "drop")
+    joined = own.join(drop, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tx") == F.col("_tx2")), "left").drop("_id", "_tx", "_id2", "_tx2")
     kinds = {f.name: f.dataType for f in joined.schema}
     schema = T.StructType([T.StructField("_key", kinds["_key"]), *[T.StructField(f"_carry_{c}", kinds[f"_carry_{c}"]) for c in carry]])
     schema = schema.add("n_lines", "long").add("n_dropped", "long").add("keep_bitmap", "binary").add("kept_sha256", "string")

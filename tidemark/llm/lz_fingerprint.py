@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, slices
 from .shingles import spans_hash
 
 SIZE = 128
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(fingerprint(t, size)) for t in texts], pa.string())], names=["_key", "n_chars", "fingerprint"])
 
@@ -122,7 +122,7 @@ def _chain(size: int):
         from pyspark import TaskContext
 
         part, held, waiting, head = TaskContext.get().partitionId(), None, None, True
-        for batch in batches:
+        for batch in (own for whole in batches for own in slices(whole, 1)):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if head:
