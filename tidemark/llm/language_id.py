@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import STEP_BYTES, slices, text_buffer
 
-GRAMS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
+GRAMS, BUCKETS, DIM, VIEW = (2, 3, 4), 1 << 16, 16, 400
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -90,49 +90,62 @@ def _logits(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def train(texts: pa.Array, langs: list[str], *, updates: int = 900, rate: float = 4.0, seed: int = 7, tail: float = 0.001) -> Model | None:
-    """Fit on labelled texts, with about `updates` steps of 32 texts; every tenth text only calibrates. None without any label."""
+    """Fit on labelled texts, with about `updates` steps of 32 texts; every tenth text only calibrates. None without any label.
+
+    A step sees a random VIEW of the distinct subwords of each of its texts, drawn anew each time from the whole text.
+    """
     names = tuple(sorted(set(langs)))
     if not names:
         return None
     y = np.array([names.index(x) for x in langs])
     order = np.random.default_rng(seed).permutation(len(y))
     held, fit = (order[::10], np.delete(order, np.s_[::10])) if len(y) >= 20 else (order, order)
-    bags = []
+    bags, rng = [], np.random.default_rng(seed)
     for i in range(len(texts)):
         own, _ = _fold(texts.slice(i, 1))
         ids, n = np.unique(np.concatenate([_grams(own, k) + g * BUCKETS for g, k in enumerate(GRAMS)]).astype(np.int32), return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-    rng = np.random.default_rng(seed)
+        mixed = rng.permutation(len(ids))
+        bags.append((ids[mixed], n[mixed].astype(np.float32)))
     emb = rng.normal(0, 0.3, (len(GRAMS) * BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     onehot = np.eye(len(names), dtype=np.float32)
     epochs = max(4, -(-updates * 32 // max(1, len(fit))))
+    seen, place = np.zeros(len(emb), bool), np.zeros(len(emb), np.int64)
     for epoch in range(epochs):
         lr, shuffled = np.float32(rate * (1 - epoch / epochs)), rng.permutation(fit)
         for at in range(0, len(shuffled), 32):
             own = shuffled[at : at + 32]
-            ids = np.concatenate([bags[i][0] for i in own])
-            share = np.concatenate([bags[i][1] for i in own])
-            doc = np.repeat(np.arange(len(own)), [len(bags[i][0]) for i in own])
-            x = np.zeros((len(own), DIM), np.float32)
-            weighted = emb[ids] * share[:, None]
-            for d in range(DIM):
-                x[:, d] = np.bincount(doc, weighted[:, d], len(own))
+            views = []
+            for i in own:
+                ids, n = bags[i]
+                from_ = int(rng.integers(max(1, len(ids) - VIEW + 1)))
+                n = n[from_ : from_ + VIEW]
+                views.append((ids[from_ : from_ + VIEW], n / max(1.0, float(n.sum()))))
+            ids = np.concatenate([v[0] for v in views])
+            seen[ids] = True
+            used = np.flatnonzero(seen)
+            seen[used] = False
+            place[used] = np.arange(len(used))
+            shares = np.zeros((len(own), len(used)), np.float32)  # of each text's subwords, over those of the step
+            shares[np.repeat(np.arange(len(own)), [len(v[0]) for v in views]), place[ids]] = np.concatenate([v[1] for v in views])
+            x = shares @ emb[used]
             err = (_softmax(x @ w + b) - onehot[y[own]]) / np.float32(len(own))
             back = err @ w.T
             w -= lr * (x.T @ err)
             b -= lr * np.float32(0.1) * err.sum(0)
-            uniq, inverse = np.unique(ids, return_inverse=True)
-            for d in range(DIM):
-                emb[uniq, d] -= lr * 8 * np.bincount(inverse, back[doc, d] * share, len(uniq)).astype(np.float32)
+            emb[used] -= lr * 8 * (shares.T @ back)
     model = Model(names, emb @ w, b.astype(float), 1.0, 0.0) if len(names) <= DIM else Model(names, emb, b.astype(float), 1.0, 0.0, w)
     z = np.concatenate([_logits(model, texts.slice(int(i), 1)) for i in held])
     grid = np.geomspace(0.02, 5, 60)
-    loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
+    # one more text is taken to be wrong than are: without it, no error among those held would mean certainty on any text
+    goal = np.full(z.shape, 1.0 / (len(held) + 1) / max(1, len(names) - 1))
+    goal[np.arange(len(held)), y[held]] = len(held) / (len(held) + 1) if len(names) > 1 else 1.0
+    loss = [-(goal * np.log(np.maximum(_softmax(z / t), 1e-12))).sum(1).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     p = _softmax(z / t)
     right = p.max(1)[p.argmax(1) == y[held]]
-    cut = float(min(0.5, np.quantile(right, tail) * 0.9)) if len(right) else 0.0
+    chance = 1.0 / len(names)
+    cut = float(min(chance + 0.2 * (1 - chance), np.quantile(right, tail) * 0.9)) if len(right) else 0.0
     return replace(model, temperature=t, threshold=cut)
 
 
