@@ -210,10 +210,20 @@ def ax7(s, d):
 
 @query("ax8_axis_families")
 def ax8(s, d):
-    # principal axes of each half of the rows: how stable they are
-    e = table(s, d, "embeddings")
-    halves = [axes.principal(e.where(sampling.hash_uniform("half", "vec_id").between(a, b)), "embedding", 3)[1] for a, b in ((0.0, 0.4999999), (0.5, 1.0))]
-    return s.createDataFrame([(i + 1, round(float(abs(halves[0] @ halves[1].T).max(1)[i]), 4)) for i in range(3)], "axis long, stability double")
+    # each family is fitted on both halves of the rows: how alike its axes come out tells how stable they are
+    e = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    two = lambda h: h.where("label IN (0, 1)")
+    families = {
+        "principal": lambda h: axes.principal(h, "embedding", 3)[1], "varimax": lambda h: axes.varimax(axes.principal(h, "embedding", 3)[1]), "independent": lambda h: axes.independent(h, "embedding", 3),
+        "contrastive": lambda h: axes.contrastive(h.where("label = 3"), h, "embedding", 2)[1], "ridge_time": lambda h: axes.ridge(h, "embedding", F.col("vec_id")), "discriminant": lambda h: axes.discriminant(h, "embedding", "label", 3),
+        "fisher": lambda h: axes.discriminant(two(h), "embedding", "label", 1), "concept": lambda h: axes.contrast(h.where("label = 0"), h.where("label = 1"), "embedding"),
+    }
+    halves = [e.where(sampling.hash_uniform("half", "vec_id").between(a, b)) for a, b in ((0.0, 0.4999999), (0.5, 1.0))]
+    out = []
+    for name, fit in families.items():
+        a, b = (fit(h) for h in halves)
+        out += [(name, i + 1, round(float(x), 4)) for i, x in enumerate(abs(a @ b.T).max(1))]
+    return s.createDataFrame(out, "family string, axis long, stability double")
 
 
 @query("ax9_concept_tags", f"WITH {_KNN}, t AS (SELECT q, b.label AS concept, count(*) AS n FROM k10 JOIN embeddings b ON b.vec_id = n GROUP BY 1, 2) SELECT concept::BIGINT AS concept, count(*) AS tagged, round(count(*) / (SELECT count(DISTINCT q) FROM k10)::DOUBLE, 6) AS share FROM t GROUP BY concept")
