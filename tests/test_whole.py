@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import axes, batches, ranking, running, stats, vectors
-from tidemark.plans import fixtures, registry
+from tidemark.plans import fixtures, registry, search
 from tests.test_contract import TABLES, rows as compared
 
 
@@ -225,4 +225,21 @@ def test_topics_of_separate_clouds(spark, tmp_path):
     owners = {}
     for r in got:
         owners.setdefault(r["cluster"], set()).add(r["vec_id"] % 3)
-    assert len(got) == 90 and all(len(x) == 1 for x in owners.values())  # no topic mixes clouds
+    assert len(got) == 90 and all(len(x) == 1 for c, x in owners.items() if c >= 0)  # no topic mixes clouds
+    assert sum(r["cluster"] < 0 for r in got) <= 9
+
+
+def test_even_clusterings_score_higher(spark):
+    rows = [(1, i % 4) for i in range(80)] + [(2, 0 if i < 77 else i) for i in range(80)] + [(3, i % 4 if i < 40 else None) for i in range(80)]
+    got = {r["g"]: r["score"] for r in search.evenness(spark.createDataFrame(rows, "g int, cluster int")).collect()}
+    assert got[1] == pytest.approx(4) and got[3] == pytest.approx(2) and got[2] < 1.3
+
+
+def test_topic_terms_say_something_of_their_own(spark, sf):
+    assert search.apart(["protein", "proteins", "cystic", "fibrosis", "cystic fibrosis", "lung cancer", "cell lung", "gene"]) == ["protein", "cystic fibrosis", "lung cancer", "gene"]
+    got = {}
+    for r in registry.queries()["mp1c_topic_terms"](spark, sf).collect():
+        got.setdefault(r["class"], []).append(r["term"])
+    for own in got.values():
+        stems = [{text.porter_like(w) for w in t.split()} for t in own]
+        assert len(own) <= 6 and all(not (a & b) for i, a in enumerate(stems) for b in stems[i + 1 :])

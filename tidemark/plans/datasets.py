@@ -117,7 +117,7 @@ def db12(s, d):
     return sampling.first_by_hash(docs.join(quota, "lang"), F.col("q"), ["lang"], ["doc_id"], "bal").select("doc_id")
 
 
-@query("db13_matched_negatives")
+@query("db13_matched_negatives", "WITH q AS (SELECT p_brand AS ns, count(*) AS q FROM part WHERE p_partkey % 10 = 0 GROUP BY 1), o AS (SELECT p_brand AS ns, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY md5('neg|' || p_partkey::VARCHAR), p_partkey) AS rn FROM part WHERE p_partkey % 10 <> 0) SELECT ns, id FROM o JOIN q USING (ns) WHERE rn <= q")
 def db13(s, d):
     p = table(s, d, "part").select(F.col("p_brand").alias("ns"), F.col("p_partkey").alias("id"))
     pos = p.where("id % 10 = 0")
@@ -242,20 +242,14 @@ def db29(s, d):
     return table(s, d, "events").where("value > 1").groupBy("user_id", "event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("grade"))
 
 
-@query("db30_balanced_rounds")
+# the i-th item of a stratum comes in round i; within a round, strata come in the order of their names
+@query("db30_balanced_rounds", "WITH p AS (SELECT doc_id, '(' || quality || ', ' || toxic || ')' AS stratum, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('round|' || doc_id::VARCHAR), doc_id) AS i FROM labels), o AS (SELECT row_number() OVER (ORDER BY i, stratum) - 1 AS place, doc_id, stratum FROM p) SELECT place, doc_id, stratum FROM o WHERE place < 60")
 def db30(s, d):
-    # the least-filled stratum gives the next of 60 items; no stratum can give more than its first 60
-    items = sampling.first_by_hash(table(s, d, "labels").select("doc_id", "quality", "toxic"), 60, ["quality", "toxic"], ["doc_id"], "round")
-    items = items.orderBy(sampling.order_hash("round", "doc_id"), "doc_id").collect()  # 60 rows of each stratum at most
-    pools: dict[tuple, list] = {}
-    for r in items:
-        pools.setdefault((r["quality"], r["toxic"]), []).append(r["doc_id"])
-    filled, out = {k: 0 for k in pools}, []
-    while any(pools.values()) and len(out) < 60:
-        k = min((k for k in pools if pools[k]), key=lambda k: (filled[k], str(k)))
-        out.append((len(out), pools[k].pop(0), str(k)))
-        filled[k] += 1
-    return s.createDataFrame(out, "place long, doc_id long, stratum string")
+    # always taking from the least-filled stratum is taking in rounds; no stratum can give more than its first 60
+    items = table(s, d, "labels").select("doc_id", F.format_string("(%s, %s)", "quality", "toxic").alias("stratum"), sampling.order_hash("round", "doc_id").alias("h"))
+    items = items.withColumn("i", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "doc_id"))).where("i <= 60")
+    first = items.orderBy("i", "stratum").limit(60)
+    return first.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("i", "stratum")) - 1).alias("place"), "doc_id", "stratum")  # 60 rows
 
 
 @query("db31_block_schedule", "SELECT b AS block, s AS slot, 20 * (s % 6) + b AS item FROM range(0, 20) a(b), range(0, 12) c(s)")
@@ -263,7 +257,7 @@ def db31(s, d):
     return s.range(20).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("slot")).select("block", "slot", labels.block_item(F.col("slot"), 20, 6, F.col("block")).alias("item"))
 
 
-@query("db32_repeat_order")
+@query("db32_repeat_order", "WITH f AS (SELECT row_number() OVER (ORDER BY md5('once|' || doc_id::VARCHAR), doc_id) - 1 AS place, doc_id FROM labels) SELECT place, doc_id, 1 AS pass FROM f UNION ALL SELECT place // 4 + (SELECT count(*) FROM f), doc_id, 2 FROM f WHERE place % 4 = 0")
 def db32(s, d):
     labelled = table(s, d, "labels").select("doc_id")
     order = [sampling.order_hash("once", "doc_id"), F.col("doc_id")]

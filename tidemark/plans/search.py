@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import dictionary, ranking, running
@@ -146,16 +146,34 @@ def fc7(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg("n_chars"), 4).alias("chars"), F.count_if(F.col("lang") == "en").alias("english"))
 
 
-_CT = """ct AS (SELECT lang AS class, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, doc_id FROM documents), dfq AS (SELECT term FROM ct GROUP BY term HAVING count(DISTINCT doc_id) >= 10),
+_STOP = "[" + ", ".join(f"'{w}'" for w in ranking.STOP_WORDS) + "]"
+#: sc (class, term, score): words and word pairs; a pair spans neither punctuation nor a stop word. Rare terms, in fewer documents than the floor, are left out.
+_CT = rf"""ph AS (SELECT coalesce(lang, 'und') AS class, doc_id, unnest(regexp_split_to_array(lower(text), '[^\w\s''-]+')) AS ph FROM documents), wd AS (SELECT class, doc_id, regexp_extract_all(ph, '\b[a-z][a-z0-9-]+\b') AS w FROM ph),
+ct AS (SELECT class, doc_id, unnest(list_filter(w, lambda x: NOT list_contains({_STOP}, x))) AS term FROM wd UNION ALL SELECT class, doc_id, unnest(list_transform(list_filter(range(1, len(w)), lambda i: NOT list_contains({_STOP}, w[i]) AND NOT list_contains({_STOP}, w[i + 1])), lambda i: w[i] || ' ' || w[i + 1])) FROM wd),
+dfq AS (SELECT term FROM ct GROUP BY term HAVING count(DISTINCT doc_id) >= (SELECT greatest(3, count(*) // 2000) FROM documents)),
 cn AS (SELECT class, term, count(*) AS n FROM ct SEMI JOIN dfq USING (term) GROUP BY class, term), tt AS (SELECT term, sum(n) AS tt FROM cn GROUP BY term), cc AS (SELECT class, sum(n) AS cs FROM cn GROUP BY class), al AS (SELECT sum(n) AS t, count(DISTINCT class) AS k FROM cn),
 sc AS (SELECT class, term, round(n / cs::DOUBLE * ln(1 + t / k::DOUBLE / tt), 8) AS score FROM cn JOIN tt USING (term) JOIN cc USING (class), al)"""
 
 
+def terms(text: Column) -> Column:
+    """Words and word pairs of a text, lower-cased, without stop words."""
+    stop = F.array(*map(F.lit, ranking.STOP_WORDS))
+    words = F.transform(F.split(F.lower(text), r"[^\w\s'-]+"), lambda p: F.regexp_extract_all(p, F.lit(r"\b[a-z][a-z0-9-]+\b"), F.lit(0)))
+    plain = lambda w: ~F.array_contains(stop, w)
+    rest = lambda w, at: F.slice(w, F.lit(at), F.greatest(F.size(w) - 1, F.lit(0)))
+    pairs = F.transform(words, lambda w: F.zip_with(rest(w, 1), rest(w, 2), lambda a, b: F.when(plain(a) & plain(b), F.concat(a, F.lit(" "), b))))
+    return F.concat(F.filter(F.flatten(words), plain), F.array_compact(F.flatten(pairs)))
+
+
 def ctfidf(s, d) -> DataFrame:
     """(class, term, score): share of the term in its class times ln(1 + mean class size / uses of the term)."""
-    t = table(s, d, "documents").select(F.col("lang").alias("class"), "doc_id", F.explode(ranking.tokens(F.col("text"))).alias("term")).groupBy("class", "doc_id", "term").agg(F.count("*").alias("n"))
+    docs = table(s, d, "documents")
+    # counted for each document before anything is summed, so a common term is one row a document
+    t = docs.select(F.coalesce("lang", F.lit("und")).alias("class"), "doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("class", "doc_id", "term").agg(F.count("*").alias("n"))
     n = t.groupBy("class", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    n = n.withColumn("df", F.sum("docs").over(Window.partitionBy("term"))).where("df >= 10")  # a document has one class
+    floor = docs.agg(F.greatest(F.lit(3), F.expr("count(*) div 2000")).alias("floor"))
+    n = n.withColumn("df", F.sum("docs").over(Window.partitionBy("term"))).crossJoin(F.broadcast(floor)).where("df >= floor")  # a document has one class; floor is one row
+    n = running.cut(n.select("class", "term", "n"))  # read for the classes' sizes, for the total and for the scores
     size = n.groupBy("class").agg(F.sum("n").alias("cs"))
     all_ = size.agg(F.sum("cs").alias("t"), F.count("*").alias("k"))
     n = n.withColumn("tt", F.sum("n").over(Window.partitionBy("term"))).join(F.broadcast(size), "class").crossJoin(F.broadcast(all_))  # a row per class, and one row
@@ -164,8 +182,34 @@ def ctfidf(s, d) -> DataFrame:
 
 @query("mp1_ctfidf", f"WITH {_CT} SELECT class, term, score FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, term) AS rn FROM sc) WHERE rn <= 6")
 def mp1(s, d):
-    w = Window.partitionBy("class").orderBy(F.desc("score"), "term")
-    return ctfidf(s, d).withColumn("rn", F.row_number().over(w)).where("rn <= 6").drop("rn")
+    return ranking.top_k(ctfidf(s, d), 6, by=("class",), tie="term").drop("rank")
+
+
+def apart(scored: list[str], most: int = 6) -> list[str]:
+    """Of terms, best first, those that say something of their own.
+
+    A pair takes the place of the words it is made of; a term that shares a stem with another kept one is left out.
+    """
+    kept: list[tuple[frozenset, str]] = []
+    for term in scored:
+        own = frozenset(map(tx.porter_like, term.split()))
+        near = [k for k in kept if k[0] & own]
+        if any(not k[0] < own for k in near):
+            continue
+        if near:
+            kept = [(own, term) if k is near[0] else k for k in kept if k is near[0] or k not in near]
+        elif len(kept) < most:
+            kept.append((own, term))
+    return [term for _, term in kept]
+
+
+@query("mp1c_topic_terms")
+def mp1c(s, d):
+    # the fifty best of each class are looked through in order
+    best = ranking.top_k(ctfidf(s, d), 50, by=("class",), tie="term")
+    rows = best.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("scored"))
+    chosen = F.pandas_udf(lambda lists: lists.map(lambda x: apart(list(x))), "array<string>")
+    return rows.select("class", F.posexplode(chosen("scored")).alias("place", "term"))
 
 
 @query("mp1b_pole_terms", """WITH b AS (SELECT doc_id, text, CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars > 4000 THEN 'high' ELSE 'middle' END AS pole FROM documents), t AS (SELECT pole, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM b), n AS (SELECT pole, term, count(*) AS n FROM t GROUP BY 1, 2), z AS (SELECT pole, sum(n) AS z FROM n GROUP BY 1), u AS (SELECT term, sum(n) AS u FROM n GROUP BY 1), m AS (SELECT avg(z) AS m FROM z),
@@ -195,13 +239,34 @@ def mp3(s, d):
     return c.groupBy("g").agg((F.exp(-F.sum(share * F.log(share))) * F.max("t")).alias("x")).crossJoin(F.broadcast(e.agg(F.count("*").alias("all")))).select("g", F.round(F.col("x") / F.col("all"), 6).alias("score"))  # one row
 
 
+def evenness(labelled: DataFrame) -> DataFrame:
+    """(g, score): of each labelling (g, cluster, null: none) the effective number of clusters, exp of the entropy of their sizes, times the share of rows in one."""
+    n = labelled.groupBy("g", "cluster").agg(F.count("*").alias("n"))
+    n = n.withColumns({"all": F.sum("n").over(Window.partitionBy("g"))}).where("cluster IS NOT NULL").withColumn("t", F.sum("n").over(Window.partitionBy("g")))  # a row per cluster
+    share = F.col("n") / F.col("t")
+    return n.groupBy("g").agg((F.exp(-F.sum(share * F.log(share))) * F.max(F.col("t") / F.col("all"))).alias("score"))
+
+
 @query("mp3b_kmeans_topics")
 def mp3b(s, d):
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: F401
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    e = table(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=1, maxIter=10).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+    # every clustering of the grid, less the tenth of the rows that lies farthest from its centres; the most even one is taken
+    e = running.cut(table(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    out = None
+    for k in (5, 10, 20):
+        model = KMeans(k=k, seed=1, maxIter=10).fit(e)
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+        near = model.transform(e).select("vec_id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
+        off = F.zip_with("v", F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
+        near = near.select("vec_id", "cluster", F.aggregate(off, F.lit(0.0), lambda a, x: a + x).alias("far"))
+        edge = running.quantiles(near, [], F.col("far"), {"edge": 0.9})
+        one = near.crossJoin(F.broadcast(edge)).select(F.lit(k).alias("g"), "vec_id", F.when(F.col("far") <= F.col("edge"), F.col("cluster")).alias("cluster"))  # edge is one row
+        out = one if out is None else out.unionByName(one)
+    out = running.cut(out)
+    best = evenness(out).orderBy(F.desc("score"), "g").limit(1)
+    return out.join(F.broadcast(best.select("g")), "g").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))  # one row
 
 
 _CORE = "co AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label <> 9), ot AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label = 9)"
