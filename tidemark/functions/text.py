@@ -41,6 +41,13 @@ def fold(text: Column) -> Column:
     return F.pandas_udf(_fold, "string")(text)
 
 
+#: Endings in the order they are tried, with what takes their place.
+ENDINGS = (
+    ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"),
+    ("entli", "ent"), ("ousli", "ous"), ("alli", "al"), ("ment", ""), ("ness", ""),
+)
+
+
 def porter_like(word: str) -> str:
     """English suffix stripping by steps: plurals, -ed and -ing, derivational endings, final e."""
     if len(word) <= 3:
@@ -59,13 +66,22 @@ def porter_like(word: str) -> str:
             elif len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz":
                 word = word[:-1]
             break
-    for old, new in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("entli", "ent"), ("ousli", "ous"), ("alli", "al"), ("ment", ""), ("ness", "")):
+    for old, new in ENDINGS:
         if word.endswith(old) and len(word) - len(old) > 2:
             word = word[: len(word) - len(old)] + new
             break
     return word[:-1] if word.endswith("e") and len(word) > 4 else word
 
 
+def stem_sql(words: str) -> str:
+    """CTEs that end in st (form, stem), for DuckDB, of a relation's column `form`: porter_like in SQL."""
+    ends = " ".join(f"WHEN regexp_matches(w, '[aeiouy].*{e}$') THEN left(w, -{len(e)})" for e in ("ingly", "edly", "ing", "ed"))
+    last = " ".join(f"WHEN ends_with(w, '{old}') AND length(w) > {len(old) + 2} THEN left(w, -{len(old)}) || '{new}'" for old, new in ENDINGS)
+    return f"""s1 AS (SELECT DISTINCT form, CASE WHEN ends_with(form, 'sses') OR ends_with(form, 'ies') THEN left(form, -2) WHEN ends_with(form, 's') AND NOT ends_with(form, 'ss') THEN left(form, -1) ELSE form END AS w FROM {words}),
+s2 AS (SELECT form, w, CASE {ends} END AS t FROM s1), s3 AS (SELECT form, CASE WHEN t IS NULL THEN w WHEN regexp_matches(t, '(at|bl|iz)$') THEN t || 'e' WHEN length(t) > 2 AND right(t, 1) = left(right(t, 2), 1) AND right(t, 1) NOT IN ('l', 's', 'z') THEN left(t, -1) ELSE t END AS w FROM s2),
+s4 AS (SELECT form, CASE {last} ELSE w END AS w FROM s3), st AS (SELECT form, CASE WHEN length(form) <= 3 THEN form WHEN ends_with(w, 'e') AND length(w) > 4 THEN left(w, -1) ELSE w END AS stem FROM s4)"""
+
+
 def _stems(words: pd.Series) -> pd.Series:
     memory: dict[str, str] = {}
     return words.map(lambda ws: None if ws is None else [memory[w] if w in memory else memory.setdefault(w, porter_like(w)) for w in ws])

@@ -22,7 +22,8 @@ def binary(runs: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (10, 100)) ->
         *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks],
         F.sum(F.when(F.col("rank") <= 10, discount(F.col("rank"))).otherwise(0.0)).alias("dcg"), F.min("rank").alias("first"),
     )
-    every = runs.select("system").distinct().crossJoin(n_gold)  # systems are few
+    systems = runs.agg(F.collect_set("system").alias("systems"))  # one row, of names that people gave
+    every = n_gold.crossJoin(F.broadcast(systems)).select(F.explode("systems").alias("system"), "qid", "n_gold")
     per = every.join(per, ["system", "qid"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return per.select(

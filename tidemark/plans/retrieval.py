@@ -43,11 +43,13 @@ def rt3(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("full_text"), F.array_join(F.array_distinct(lowered(4)), " ").isNotNull().alias("has_terms"), F.array_join(lowered(2), " ").alias("symbol"))
 
 
-@query("rt4_stem_forms", """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents)
-SELECT regexp_replace(form, '(tion|ing|ed|ly|es|s)$', '') AS stem, count(*) AS n_forms, min(form) AS first_form FROM v GROUP BY 1 HAVING count(*) > 1""")
+@query("rt4_stem_forms", "WITH wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), qw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM benchmark), al AS (SELECT form FROM wd UNION SELECT form FROM qw), " + tx.stem_sql("al") + """
+SELECT stem, count(*) AS n_forms, string_agg(form, ' ' ORDER BY form) AS forms FROM st JOIN wd USING (form) WHERE stem IN (SELECT stem FROM st JOIN qw USING (form)) GROUP BY stem""")
 def rt4(s, d):
-    forms = table(s, d, "documents").select(F.explode(F.array_distinct(ranking.tokens(F.col("text")))).alias("form")).distinct()
-    return forms.groupBy(F.regexp_replace("form", "(tion|ing|ed|ly|es|s)$", "").alias("stem")).agg(F.count("*").alias("n_forms"), F.min("form").alias("first_form")).where("n_forms > 1")
+    # each distinct word is stemmed once; the query's stems pick their forms from the vocabulary
+    forms = lambda t: table(s, d, t).select(F.explode(F.array_distinct(ranking.tokens(F.col("text")))).alias("form")).distinct().withColumn("stem", F.get(tx.stems(F.array("form")), F.lit(0)))
+    found = forms("documents").join(forms("benchmark").select("stem").distinct(), "stem", "left_semi")
+    return found.groupBy("stem").agg(F.count("*").alias("n_forms"), F.array_join(F.array_sort(F.collect_list("form")), " ").alias("forms"))
 
 
 @query("rt5_match_modes", W + """, nt AS (SELECT qid, count(*) AS n FROM qt GROUP BY qid), al2 AS (SELECT qid, count(*) FILTER (WHERE hits = n) AS full_n, count(*) AS any_n FROM sc JOIN nt USING (qid) GROUP BY qid)

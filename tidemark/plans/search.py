@@ -290,7 +290,7 @@ def mp5(s, d):
     e = table(s, d, "embeddings")
     c = centroids(e, "label", "embedding")
     diff = F.zip_with("embedding", "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    near = e.join(F.broadcast(c), "label").select("label", "vec_id", F.round(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x), 8).alias("dist"))  # a row per cluster
+    near = e.join(running.cut(c), "label").select("label", "vec_id", F.round(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x), 8).alias("dist"))  # written first, so that a hot cluster's rows can be split
     return near.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("dist", "vec_id"))).where("rn <= 6").select("label", "vec_id")
 
 

@@ -62,7 +62,7 @@ def fn10(s, d):
     return table(s, d, "documents").select("doc_id", F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda t: ~F.array_contains(stop, t))).alias("kept"))
 
 
-@query("fn11_stems")
+@query("fn11_stems", "WITH wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), " + tx.stem_sql("wd") + " SELECT d.doc_id, count(DISTINCT stem) AS n_stems, count(DISTINCT form) AS n_words FROM documents d LEFT JOIN (SELECT doc_id, form, stem FROM wd JOIN st USING (form)) w ON w.doc_id = d.doc_id GROUP BY d.doc_id")
 def fn11(s, d):
     words = F.array_distinct(ranking.tokens(F.col("text")))
     return table(s, d, "documents").select("doc_id", F.size(F.array_distinct(tx.stems(words))).alias("n_stems"), F.size(words).alias("n_words"))
