@@ -225,6 +225,27 @@ def test_license_behind_many_owner_lines():
         assert any(x[0] == "Apache-2.0" and x[1] == 1.0 and x[2] == "block" for x in m.scan(text))
 
 
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "near_dedup", "mix"])
+def test_pipeline_stages_on_edge_rows(spark, stage):
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    some = [(i, t, lang, source, len(t or "")) for i, t, lang, source, *_ in EDGE if i != 3] + [(None, "no id here at all", "fr", "b", 17), (9, "other words of one repeated id", "en", "a", 30), (9, "entirely different text under the same id", "en", "a", 41)]
+    docs = spark.createDataFrame(some, columns)
+    got = run(spark, docs, "").collect()
+    texts = [r["text"] for r in got]
+    assert run(spark, docs.limit(0), "").collect() == []
+    if stage == "language_id":  # documents without letters go, copies and null ids stay
+        assert texts.count("no id here at all") == 2 and None not in texts and "" not in texts and len(got) == 8
+    elif stage == "line_dedup":
+        assert sorted(map(str, texts)) == sorted(str(t) for _, t, *_ in some)  # two ids with one line are too few for it to go
+    elif stage == "near_dedup":  # one of the rows 4, 4 and 5; both texts of 9; rows without an id are not compared
+        assert texts.count("the same text of five words") == 1 and sum(r["doc_id"] == 9 for r in got) == 2 and texts.count("no id here at all") == 2
+    else:
+        assert {r["doc_id"] for r in got} <= {i for i, *_ in some} and set(texts) <= {t for _, t, *_ in some}
+
+
 def test_language_rules(spark, edge):
     got = {r["doc_id"]: r for r in OPERATORS["language"](edge).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[6]["lang_pred"] == "und"

@@ -82,7 +82,7 @@ def mix(
     floor(target / size) times; those with the smallest hashes once more until the target is met. The document at the
     edge gives its first words (boundary="cut"), or is taken whole if at least half of it fits ("nearest").
     Rows at the edge with one hash (equal in id and text) share the rest in proportion to their sizes, rounded down.
-    Null or empty text has size 0 and is never taken; rows with null or repeated ids differ by their texts; an empty
+    Null or empty text has size 0 and adds no words, however often its source repeats; rows with null or repeated ids differ by their texts; an empty
     table gives no rows.
     """
     if boundary not in ("cut", "nearest"):
