@@ -70,8 +70,13 @@ STAGES = [
 ]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what lies between is written to the shared checkpoint folder."""
+    """All stages over the documents of sf_dir; what lies between is written to the shared checkpoint folder, and deleted when the next stage is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -80,4 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:  # what this stage was made from is read no more
+                _delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
