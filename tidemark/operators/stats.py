@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.running import totals
@@ -120,3 +121,14 @@ def letters(names: list[str], different: set[tuple[str, str]]) -> dict[str, str]
     found.sort(key=lambda c: [n not in c for n in names])
     sign = lambda i: (sign(i // 26 - 1) if i >= 26 else "") + chr(97 + i % 26)
     return {n: "".join(sign(i) for i, c in enumerate(found) if n in c) for n in names}
+
+
+def letter_display(margin: float):
+    """An aggregate of (system, mean) rows: array<struct<system, letters>>, where means that differ by more than the margin share no letter."""
+
+    def show(names: pd.Series, means: pd.Series) -> list:
+        order = sorted(zip(names, means), key=lambda x: (-x[1], x[0]))
+        far = {(a, b) for i, (a, x) in enumerate(order) for b, y in order[i + 1 :] if abs(x - y) > margin}
+        return [{"system": n, "letters": l} for n, l in letters([n for n, _ in order], far).items()]
+
+    return F.pandas_udf(show, "array<struct<system: string, letters: string>>", F.PandasUDFType.GROUPED_AGG)

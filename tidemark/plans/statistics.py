@@ -92,13 +92,18 @@ def sg8(s, d):
     return h.select("pair", (F.col("p_holm") > 0.05).alias("tied"), ((F.col("p_holm") - 2 * F.col("se") > 0.05) != (F.col("p_holm") + 2 * F.col("se") > 0.05)).alias("borderline"))
 
 
-@query("sg9_letter_display")
+#: Means of systems differ when they are farther apart than this, so systems that share a letter are runs in the order of their means; the SQL finds the largest runs.
+_MARGIN = 2
+
+
+@query("sg9_letter_display", "WITH " + _DIFF + f""", mn AS (SELECT 'all' AS grp, pair, avg(diff) AS m FROM df GROUP BY pair UNION ALL SELECT 'even', pair, avg(diff) FROM df WHERE unit % 2 = 0 GROUP BY pair), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY m DESC, pair) AS i FROM mn),
+e AS (SELECT a.grp, a.i AS s, max(b.i) AS e FROM r a JOIN r b ON a.grp = b.grp AND b.i >= a.i AND abs(a.m - b.m) <= {_MARGIN} GROUP BY a.grp, a.i), k AS (SELECT grp, s, e, row_number() OVER (PARTITION BY grp ORDER BY s) AS c FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.grp = x.grp AND y.s < x.s AND y.e >= x.e))
+SELECT r.grp, pair AS system, string_agg(chr((96 + c)::INT), '' ORDER BY c) AS letters FROM r JOIN k ON k.grp = r.grp AND i BETWEEN s AND e GROUP BY r.grp, pair""")
 def sg9(s, d):
-    # a handful of systems: their mean scores and the pairs that differ by more than a margin
-    means = diffs(s, d).groupBy("pair").agg(F.avg("diff").alias("m")).orderBy(F.desc("m"), "pair").collect()
-    far = {(a["pair"], b["pair"]) for i, a in enumerate(means) for b in means[i + 1 :] if abs(a["m"] - b["m"]) > 2}
-    shown = stats.letters([r["pair"] for r in means], far)
-    return s.createDataFrame(sorted(shown.items()), "system string, letters string")
+    df = diffs(s, d)
+    means = df.groupBy(F.lit("all").alias("grp"), "pair").agg(F.avg("diff").alias("m")).unionByName(df.where("unit % 2 = 0").groupBy(F.lit("even").alias("grp"), "pair").agg(F.avg("diff").alias("m")))
+    shown = stats.letter_display(_MARGIN)("pair", "m")  # an aggregate: each group is a handful of systems
+    return means.groupBy("grp").agg(shown.alias("x")).select("grp", F.inline("x"))
 
 
 @query("sg10_claim_table", "WITH " + _DIFF + _P + """, pl AS (SELECT * FROM (VALUES ('ASIA'), ('EUROPE'), ('ATLANTIS')) c(pair)) SELECT pl.pair, CASE WHEN p IS NULL THEN 'not run' ELSE 'ready' END AS status, CASE WHEN p IS NULL THEN NULL WHEN p < 0.05 THEN 'supported' ELSE 'not supported' END AS decision FROM pl LEFT JOIN o USING (pair)""")
