@@ -96,6 +96,28 @@ def test_op9(spark, sf, docs):
         assert (got[i]["dice"] or 0.0) == pytest.approx(best if best >= 0.8 else 0.0)
 
 
+def test_op9_against_all_segments(spark, sf, docs):
+    """The best licence of short documents, over every line and every run of lines."""
+    templates = [(i, license_scan.bigrams(t)) for i, t in license_scan.TEMPLATES + license_scan.licences()]
+    known = frozenset().union(*[g for _, g in templates])
+    got = {r["doc_id"]: r for r in queries.op9_license_scan(spark, sf).collect()}
+    tried = 0
+    for i, r in docs.items():
+        lines = (r["text"] or "").split("\n")
+        if len(lines) > 40 or len(r["text"] or "") > 20_000:
+            continue
+        tried += 1
+        plain = ["" if re.match(r"(?i)\W*(?:copyright|\(c\)|©).*\d{4}", x) else x for x in lines]
+        segments = lines + ["\n".join(plain[a:b]) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)]
+        best = (False, 0.0)
+        for passage in set(segments):
+            own = license_scan.bigrams(passage)
+            if own and not known.isdisjoint(own):
+                best = max(best, *[(name != "proprietary", d) for name, g in templates if (d := 2 * len(own & g) / (len(own) + len(g))) >= 0.8] or [best])
+        assert (got[i]["dice"] or 0.0) == pytest.approx(best[1]), i
+    assert tried > 50
+
+
 def test_op10_prediction_is_the_linear_model(spark, sf, docs):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.fit(table)

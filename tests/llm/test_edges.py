@@ -267,6 +267,8 @@ def test_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in anisotropic_ann.nearest(v, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 100), (100, 1, 2), (100, 2, 2), (100, 3, 0), (100, 4, 1)]
     assert anisotropic_ann.nearest(v.limit(0), F.col("id") % 100 == 0).collect() == []
+    clash = v.withColumns({c: F.lit("x") for c in ("id", "v", "norm", "code", "_a", "_d", "query_id", "score", "approx", "q", "rank")})
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in anisotropic_ann.nearest(clash, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()] == got
 
 
 def test_lz_likeness():
