@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import labels
 from tidemark.plans.registry import query
 from tidemark.sources import readers, sinks
 from tidemark.sources.tables import table

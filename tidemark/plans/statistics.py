@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import measures, stats
-from tidemark.plans.fixtures import RUNS_SQL, gold, runs
+from tidemark.operators import stats
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
