@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import anisotropic_ann, dart_minhash, queries
+from tidemark.llm import anisotropic_ann, dart_minhash, queries, secret_scan
 
 
 def near_classes(docs, threshold=0.8):
@@ -116,6 +116,19 @@ def test_components(spark):
     assert dart_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_kept_ledger_gives_what_a_whole_scan_gives(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {(r["path"]["doc_id"], r["path"]["version"]): r["text"] for r in queries.two_versions(docs).collect()}
+    got = {(r["doc_id"], r["version"]): r["spans"] for r in queries.secret_ledger_rescan(spark, sf).collect()}
+    assert {v for _, v in got} == {1, 2} and set(got) == set(text)
+    for k, t in text.items():
+        assert sorted(filter(None, got[k].split(","))) == sorted(f"{kind}:{a}:{b}" for a, _, b, kind in secret_scan.find(t or "", secret_scan.RULES))
+    base = secret_scan.RULES[:3]
+    known = secret_scan.scan_new(docs, rules=base).cache()
+    again = secret_scan.scan_new(docs, known).collect()
+    assert again and all(set(r["rules"]) == {x.name for x in secret_scan.RULES[3:]} for r in again)
+
+
 def test_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()

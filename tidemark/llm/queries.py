@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import anisotropic_ann, dart_minhash, language_id, license_scan, line_dedup, lz_fingerprint, mixing, packing, secret_scan, token_counts
-from .common import table
+from .common import cut, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +35,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, secret_scan.BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def two_versions(docs: DataFrame) -> DataFrame:
+    """(path, text): every document, and a later version of the English ones with a line more."""
+    later = F.concat("text", F.lit("\ntoken = "), F.substring(F.md5("text"), 1, 20))
+    path = lambda n: F.struct("doc_id", F.lit(n).alias("version")).alias("path")
+    return docs.select(path(1), "text").unionByName(docs.where("lang = 'en'").select(path(2), later.alias("text")))
+
+
+def secret_ledger_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules scan the documents; then all rules scan all versions, of which only unseen blobs and rules are read."""
+    versions = two_versions(table(spark, sf_dir, "documents"))
+    base = tuple(r for r in secret_scan.RULES if r.kind in secret_scan.BASE_KINDS)
+    known = cut(secret_scan.scan_new(versions.where("path.version = 1"), rules=base))
+    ledger = cut(secret_scan.merge_ledger(known, cut(secret_scan.scan_new(versions, known))))
+    found = secret_scan.findings(versions, ledger, key="path")
+    return found.select("path.doc_id", F.col("path.version").cast("long").alias("version"), F.size("spans").cast("long").alias("n_spans"), _joined(F.col("spans")).alias("spans"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -73,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pack_windows": op2_pack_windows,
     "op3_secret_scan": op3_secret_scan,
+    "secret_ledger_rescan": secret_ledger_rescan,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
