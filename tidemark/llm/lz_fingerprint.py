@@ -8,7 +8,7 @@ Jaccard similarity of two phrase sets is estimated (exactly, if both sets are sm
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,17 +101,17 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
 
 
 _SCHEMA = pa.schema([
-    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
+    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()),
 ])
-_DDL = "id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, kind int, part int, text string"
+_DDL = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, kind int, part int, text string"
 
 
 def _compare(text: str, following: str, size: int) -> tuple[tuple, np.ndarray]:
     n = len(text)
     tail = following[: n // 3]
     own, edited = fingerprint_pair(text, n // 3, tail, size)
-    sha = hashlib.sha256((text[: n - n // 3] + tail).encode()).hexdigest()
+    sha = hashlib.sha256((text[: n - n // 3] + tail).encode()).digest()
     return (n, sha, packed(own), packed(edited), likeness(own, edited, size)), own
 
 
@@ -180,4 +180,4 @@ def edited_likeness(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     names = [f.name for f in _SCHEMA][:7]
     tails = last.join(head, "to").select("id", "text", "following").mapInArrow(_ends(size), ", ".join(_DDL.split(", ")[:7]))
     out = found.where("kind = 0").select(*names).unionByName(tails)
-    return out.select(F.col("id").alias(key), *[F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in names[1:]])
+    return out.select(F.col("id").alias(key), *[F.lower(F.hex(c)).alias(c) if c.endswith(("fingerprint", "sha256")) else F.col(c) for c in names[1:]])
