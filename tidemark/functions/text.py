@@ -25,6 +25,12 @@ def loose(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s\p{Pd}−]+", "-")
 
 
+def counted(terms: str) -> Column:
+    """array<struct<term, n, docs>> of a document's terms: a use of each, and one more row for each distinct one. Summed by term they are uses and documents."""
+    use = lambda n, docs: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
+    return F.concat(F.transform(terms, use(1, 0)), F.transform(F.array_distinct(terms), use(0, 1)))
+
+
 def contains_all(text: Column, words: list[str]) -> Column:
     out = F.lit(True)
     for w in words:

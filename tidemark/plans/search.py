@@ -168,9 +168,8 @@ def terms(text: Column) -> Column:
 def ctfidf(s, d) -> DataFrame:
     """(class, term, score): share of the term in its class times ln(1 + mean class size / uses of the term)."""
     docs = table(s, d, "documents")
-    # counted for each document before anything is summed, so a common term is one row a document
-    t = docs.select(F.coalesce("lang", F.lit("und")).alias("class"), "doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("class", "doc_id", "term").agg(F.count("*").alias("n"))
-    n = t.groupBy("class", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    # a document gives its terms, and each of them once more for itself: uses and documents are summed before the shuffle
+    n = docs.select(F.coalesce("lang", F.lit("und")).alias("class"), terms(F.col("text")).alias("t")).select("class", F.inline(tx.counted("t"))).groupBy("class", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     floor = docs.agg(F.greatest(F.lit(3), F.expr("count(*) div 2000")).alias("floor"))
     n = n.withColumn("df", F.sum("docs").over(Window.partitionBy("term"))).crossJoin(F.broadcast(floor)).where("df >= floor")  # a document has one class; floor is one row
     n = running.cut(n.select("class", "term", "n"))  # read for the classes' sizes, for the total and for the scores

@@ -70,11 +70,10 @@ def fn11(s, d):
 
 @query("fn12_bigrams", "WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z ]+')) AS part FROM documents), w AS (SELECT doc_id, regexp_extract_all(part, '[a-z]+') AS w FROM p), x AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w), b AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS bigram FROM x) SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram HAVING count(DISTINCT doc_id) >= 20")
 def fn12(s, d):
-    part = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z ]+"), F.lit(0)))
-    w = table(s, d, "documents").select("doc_id", part.alias("p")).select("doc_id", F.regexp_extract_all("p", F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    counts = w.select("doc_id", F.explode(pairs).alias("bigram")).groupBy("bigram", "doc_id").agg(F.count("*").alias("n"))
-    return counts.groupBy("bigram").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs >= 20")
+    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z ]+"), F.lit(0)), lambda p: F.regexp_extract_all(p, F.lit("[a-z]+"), F.lit(0)))
+    w = table(s, d, "documents").select(F.filter(words, lambda w: F.size(w) > 1).alias("w"))
+    pairs = F.flatten(F.transform("w", lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+    return w.select(pairs.alias("t")).select(F.inline(tx.counted("t"))).groupBy(F.col("term").alias("bigram")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs >= 20")
 
 
 #: nm: names of benchmark passages: their first word, first two and first three, and one with signs in it.
