@@ -29,6 +29,11 @@ def _unboxed(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rows.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+def _few(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows in no more tasks than docs is read in, or eight a core: a stage keeps or repeats rows, and every task writes a file."""
+    return rows.coalesce(max(docs.rdd.getNumPartitions(), 8 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected, unchanged."""
     rows = language_id.identify(_boxed(docs), carry=("text", "_row")).where(~F.col("rejected"))
@@ -38,7 +43,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those that lose every line go."""
     rows = line_dedup.line_dedup(_boxed(docs), carry=("_row",), with_text=True)
-    return _unboxed(rows.where(F.col("n_dropped") < F.col("n_lines")), docs, "kept_text")
+    return _few(_unboxed(rows.where(F.col("n_dropped") < F.col("n_lines")), docs, "kept_text"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +51,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = _boxed(docs.where(F.col("doc_id").isNotNull()))
     rows = dart_minhash.near_duplicates(named, carry=("text", "_row")).where("kept").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
     rows = rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    return _few(rows.unionByName(docs.where(F.col("doc_id").isNull())), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole."""
     rows = mixing.mix(_boxed(docs), boundary="nearest", carry=("text", "_row")).where("copies > 0")
     rows = rows.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return _few(rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,3 +340,32 @@ def test_long_words_share_a_trie():
     words = {"".join(rng.choice(list("ab語日x"), int(n))) for n in rng.choice([1, 20, 46, 47, 48, 49, 300, 2000], 200)}
     got = token_counts.Trie(v).counts(words)
     assert all(got[w] == token_counts.segment("▁" + w, v, 3) for w in words)
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    """Every file that a step writes starts processes beside the executor, however few rows it holds."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{g}x{i}" for i in range(40)) + f" tail{k // 2}" for g in range(12) for k in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources)
+    before = [sorted(stage(spark, docs, "").collect()) for stage in stages]
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old, files = [spark.conf.get(n) for n in names], []
+    for module in (dart_minhash, mixing):
+        def counted(df, cut=module.cut):
+            files.append((out := cut(df)).rdd.getNumPartitions())
+            return out
+
+        monkeypatch.setattr(module, "cut", counted)
+    try:
+        for name, value in zip(names, ("97", "false"), strict=True):
+            spark.conf.set(name, value)
+        got = [stage(spark, docs, "") for stage in stages]
+        out = [d.rdd.getNumPartitions() for d in got]
+        assert [sorted(d.collect()) for d in got] == before
+    finally:
+        for name, value in zip(names, old, strict=True):
+            spark.conf.set(name, value)
+    most = 8 * spark.sparkContext.defaultParallelism
+    assert len(before[0]) == 12 and len(files) > 10 and max(files) <= most and max(out) <= most

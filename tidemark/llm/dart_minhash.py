@@ -29,8 +29,8 @@ from .common import cut, slices, text_buffer
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS, THRESHOLD, WORDS = 25, 5, 0.8, 5
-#: Rows (of a name and a number) that are worth a task of their own.
-ROWS_A_TASK = 20_000
+#: Rows (of a name and a number, or of a text's bands) and shingles that are worth a task of their own.
+ROWS_A_TASK, SHINGLES_A_TASK = 20_000, 4_000_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -137,7 +137,7 @@ def components(links: DataFrame, tasks: int = 8) -> DataFrame:
     Large-star and small-star steps alternate until only stars are left: each joins links to the smallest neighbour of
     their ends and writes shorter trees, in `tasks` tasks at most. Nothing is gathered in one task or on the driver.
     """
-    edges = cut(links.select("a", "b").distinct()).coalesce(tasks)
+    edges = cut(links.select("a", "b").distinct().coalesce(tasks))
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks))
@@ -152,7 +152,7 @@ def _joined(labels: DataFrame, pairs: DataFrame, tasks: int) -> DataFrame:
     """labels with the components of pairs (a, b) of labels made one; pairs are few beside the labels."""
     if pairs.isEmpty():
         return labels
-    new = cut(components(pairs, tasks)).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    new = cut(components(pairs, tasks).coalesce(tasks)).select(F.col("node").alias("label"), F.col("label").alias("_to"))
     held = labels.join(new, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
     return cut(held.unionByName(new.select(F.col("label").alias("node"), F.col("_to").alias("label"))).distinct().coalesce(tasks))  # a label may be a node without earlier links
 
@@ -208,16 +208,16 @@ def _ends(x: str, y: str) -> tuple[Column, Column]:
 
 def _settle(buckets: DataFrame, mixed: DataFrame, labels: DataFrame, stars: DataFrame, grams: DataFrame, bands: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """labels after all links within the buckets that hold several components."""
-    sized = cut(_own_shingles(mixed, grams))
+    sized = cut(_own_shingles(mixed, grams).coalesce(tasks))
     # two new leaders: the set with the fewest shingles of its own, which lies in the middle of a group, and any other
     chance = F.xxhash64("node", "band", F.lit(1))
     lead = mixed.join(sized, "node").groupBy("band").agg(F.min(F.struct("own", chance.alias("h"), "node", "label")).alias("x"), F.min(F.struct(chance.alias("h"), "node", "label")).alias("y"))
     lead = cut(lead.select("band", F.explode(F.array(F.struct("x.node", "x.label"), F.struct("y.node", "y.label"))).alias("l")).select("band", F.col("l.node").alias("lead"), F.col("l.label").alias("of")).coalesce(tasks))
     more = mixed.join(lead, "band").where(F.col("label") != F.col("of")).select(*_ends("node", "lead"), F.least("label", "of").alias("x"), F.greatest("label", "of").alias("y")).distinct()
     more = _linked(cut(more.join(stars, ["a", "b"], "left_anti").coalesce(tasks)), grams, threshold)
-    labels = _joined(labels, cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).coalesce(tasks), tasks)
+    labels = _joined(labels, cut(more.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(tasks)), tasks)
     mixed = _mixed(buckets, labels, tasks)
-    return labels if mixed.isEmpty() else _joined(labels, cut(_across(mixed, sized, grams, bands, threshold, tasks)).coalesce(tasks), tasks)
+    return labels if mixed.isEmpty() else _joined(labels, cut(_across(mixed, sized, grams, bands, threshold, tasks).coalesce(tasks)), tasks)
 
 
 def near_duplicates(
@@ -238,26 +238,29 @@ def near_duplicates(
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), th.alias("_th")).where(F.col("_key").isNotNull())
     signed = cut(slim.mapInArrow(_sketch(bands, rows, words, weighted), f"_key {kinds[key]}, _th long, f1 long, f2 long, size long, bands array<long>"))
     node = F.struct("f1", "f2")
-    sets = cut(signed.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("_key", "_th")).alias("rep"), F.min("bands").alias("bands")))
+    # small tables go in few tasks, as every task of every step writes a file and starts processes for it; these numbers follow the table
+    held = signed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
+    wide, long = max(8, -(-held["rows"] // ROWS_A_TASK)), max(8, -(-held["rows"] // ROWS_A_TASK), -(-held["shingles"] // SHINGLES_A_TASK))
+    sets = cut(signed.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("_key", "_th")).alias("rep"), F.min("bands").alias("bands")).coalesce(wide))
     dealt = sets.select("f1", F.explode("bands").alias("band"))  # half of the name is enough to find shared buckets
-    shared = cut(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
-    buckets = cut(dealt.join(shared, "band").join(sets.select("f1", "f2"), "f1").select("band", node.alias("node")).distinct())
-    # what follows is at most a few times as long; small tables go in few tasks, as every task of every step writes a file for each step that reads it
+    shared = cut(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band").coalesce(wide))
+    buckets = cut(dealt.join(shared, "band").join(sets.select("f1", "f2"), "f1").select("band", node.alias("node")).distinct().coalesce(wide))
+    # what follows is at most a few times as long
     tasks = max(8, -(-buckets.count() // ROWS_A_TASK))
     buckets = buckets.coalesce(tasks)
-    named = cut(sets.join(buckets.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).distinct(), ["f1", "f2"]).select("rep._key", "rep._th", node.alias("node"), "bands"))
+    named = cut(sets.join(buckets.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).distinct(), ["f1", "f2"]).select("rep._key", "rep._th", node.alias("node"), "bands").coalesce(wide))
     texts = slim.join(named.drop("bands"), ["_key", "_th"]).groupBy("_key", "_th", "node").agg(F.min("_text").alias("_text"))
-    grams = cut(texts.select("node", "_text").mapInArrow(_sets(words), "node struct<f1: long, f2: long>, grams array<long>"))
+    grams = cut(texts.select("node", "_text").mapInArrow(_sets(words), "node struct<f1: long, f2: long>, grams array<long>").coalesce(long))
     lead = cut(buckets.groupBy("band").agg(F.min("node").alias("lead")).coalesce(tasks))
     stars = cut(buckets.join(lead, "band").where("node <> lead").select(*_ends("node", "lead")).distinct().coalesce(tasks))
-    labels = cut(components(_linked(stars, grams, threshold), tasks))
+    labels = cut(components(_linked(stars, grams, threshold), tasks).coalesce(tasks))
     mixed = _mixed(buckets, labels, tasks)
     if not mixed.isEmpty():
         labels = _settle(buckets, mixed, labels, stars, grams, named.select("node", "bands"), threshold, tasks)
     placed = labels.select("label", F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2")).join(sets.select("f1", "f2", F.col("rep._key").alias("rep")), ["f1", "f2"])
     names = cut(placed.groupBy("label").agg(F.min("rep").alias("class_id")).coalesce(tasks))
     linked = placed.join(names, "label").select("f1", "f2", "class_id")
-    classes = cut(sets.select("f1", "f2", F.col("rep._key").alias("rep")).join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("class_id", "rep").alias("class_id")))
+    classes = cut(sets.select("f1", "f2", F.col("rep._key").alias("rep")).join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("class_id", "rep").alias("class_id")).coalesce(wide))
     found = signed.where("size > 0").join(classes, ["f1", "f2"]).groupBy("_key", "_th").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_shingles"))
     own = docs.select(F.col(key).alias("_key"), th.alias("_th"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     out = own.join(found, ["_key", "_th"], "left").withColumn("class_id", F.coalesce("class_id", "_key"))

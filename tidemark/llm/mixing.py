@@ -16,6 +16,8 @@ from .common import cut
 
 #: The hash has HASH_BITS bits; each of LEVELS histograms resolves BUCKET_BITS of them.
 HASH_BITS, BUCKET_BITS, LEVELS = 60, 8, 3
+#: Tasks that write a row for each source; and shuffle partitions that one task writes of the rows in the edge buckets, about a 256th of the table.
+SOURCE_TASKS, EDGE_PARTS = 8, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,16 +96,16 @@ def mix(
     salt = F.pmod(F.col("_h"), F.lit(_salts(docs))).cast("int")
     slim = sized.select("_key", "_src", "_s", "size", "_h").withColumn("_salt", salt)
     slim = cut(slim)
-    goal = cut(targets(slim, weights, max_repeat))
+    goal = cut(targets(slim, weights, max_repeat).coalesce(SOURCE_TASKS))
     rows, state, prefix = slim, goal, F.lit(0)
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - BUCKET_BITS * level
-        state = cut(_edge(rows, state, F.shiftright("_h", shift)))
+        state = cut(_edge(rows, state, F.shiftright("_h", shift)).coalesce(SOURCE_TASKS))
         rows = rows.join(_salted(state.select("_s", F.col("_bucket").alias("_in"))), ["_s", "_salt"]).where(F.shiftright("_h", shift) == F.col("_in")).drop("_in")
         if level == 1:
-            rows = cut(rows)
+            rows = cut(rows.coalesce(max(SOURCE_TASKS, _salts(docs) // (4 * EDGE_PARTS))))
     state = _edge(rows, state, F.col("_h")).select("_s", F.col("_bucket").alias("_edge"), F.col("_rest").alias("_left"), F.col("_sum").alias("_tied"))
-    goal = cut(goal.join(state, "_s", "left"))
+    goal = cut(goal.join(state, "_s", "left").coalesce(SOURCE_TASKS))
     base = sized.withColumn("_salt", salt) if carry else slim
     joined = base.join(_salted(goal), ["_s", "_salt"])
     part = F.expr("(_left * size) div _tied") if boundary == "cut" else F.when(F.col("_left") * 2 >= F.col("_tied"), F.col("size")).otherwise(F.lit(0))
