@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -63,3 +63,21 @@ def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES) -> Iterator
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def finite(vectors: DataFrame, *, key: str, vector: str) -> DataFrame:
+    """(_key, v array<double>) of the vectors that are not null or empty and hold no null and no non-finite component."""
+    v = vectors.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    return v.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, all of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

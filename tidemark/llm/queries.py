@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import anisotropic_ann, dart_minhash, language_id, license_scan, line_dedup, lz_fingerprint, mixing, packing, secret_scan, token_counts
+from . import anisotropic_ann, dart_minhash, exponion, language_id, license_scan, line_dedup, lz_fingerprint, mixing, ngram_join, packing, secret_scan, token_counts, whitening
 from .common import cut, table
 
 
@@ -86,6 +86,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # null where a deviation exceeds a long; the operator gives all its digits
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_pack_windows": op2_pack_windows,
@@ -98,9 +111,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lz_fingerprint": op8_lz_fingerprint,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_exponion_clusters": op11_exponion_clusters,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_exact_whitening": op13_exact_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_exponion_clusters": exponion.oracle_sql(),
+    "op12_ngram_join": ngram_join.ORACLE_SQL,
 }
