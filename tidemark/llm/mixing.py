@@ -16,8 +16,8 @@ from .common import cut
 
 #: The hash has HASH_BITS bits; each of LEVELS histograms resolves BUCKET_BITS of them.
 HASH_BITS, BUCKET_BITS, LEVELS = 60, 8, 3
-#: Tasks that write a row for each source; and shuffle partitions that one task writes of the rows in the edge buckets, about a 256th of the table.
-SOURCE_TASKS, EDGE_PARTS = 8, 16
+#: Tasks that write a row for each source; and sources up to which their thresholds, a row of a few numbers each, are broadcast.
+SOURCE_TASKS, FEW_SOURCES = 8, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,8 +68,12 @@ def _salts(df: DataFrame) -> int:
     return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _salted(state: DataFrame) -> DataFrame:
-    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_salts(state) - 1))))
+def _met(rows: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """rows with their source's state: by broadcast if the sources, counted, are few; else each source is dealt over salts."""
+    if few:
+        return rows.join(F.broadcast(state), "_s")
+    salts = F.sequence(F.lit(0), F.lit(_salts(state) - 1))
+    return rows.withColumn("_salt", F.pmod(F.col("_h"), F.lit(_salts(state))).cast("int")).join(state.withColumn("_salt", F.explode(salts)), ["_s", "_salt"]).drop("_salt")
 
 
 def mix(
@@ -93,21 +97,19 @@ def mix(
         F.col(key).alias("_key"), F.col(source).alias("_src"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("_s"),
         word_count(F.col(text)).alias("size"), _hash(F.col(key), F.col(text), seed).alias("_h"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
-    salt = F.pmod(F.col("_h"), F.lit(_salts(docs))).cast("int")
-    slim = sized.select("_key", "_src", "_s", "size", "_h").withColumn("_salt", salt)
-    slim = cut(slim)
+    slim = cut(sized.select("_key", "_src", "_s", "size", "_h"))
     goal = cut(targets(slim, weights, max_repeat).coalesce(SOURCE_TASKS))
-    rows, state, prefix = slim, goal, F.lit(0)
+    few = goal.count() <= FEW_SOURCES
+    rows, state = slim, goal
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - BUCKET_BITS * level
         state = cut(_edge(rows, state, F.shiftright("_h", shift)).coalesce(SOURCE_TASKS))
-        rows = rows.join(_salted(state.select("_s", F.col("_bucket").alias("_in"))), ["_s", "_salt"]).where(F.shiftright("_h", shift) == F.col("_in")).drop("_in")
+        rows = _met(rows, state.select("_s", F.col("_bucket").alias("_in")), few).where(F.shiftright("_h", shift) == F.col("_in")).drop("_in")
         if level == 1:
-            rows = cut(rows.coalesce(max(SOURCE_TASKS, _salts(docs) // (4 * EDGE_PARTS))))
+            rows = cut(rows.select("_s", "size", "_h"))  # about a 256th of the table
     state = _edge(rows, state, F.col("_h")).select("_s", F.col("_bucket").alias("_edge"), F.col("_rest").alias("_left"), F.col("_sum").alias("_tied"))
     goal = cut(goal.join(state, "_s", "left").coalesce(SOURCE_TASKS))
-    base = sized.withColumn("_salt", salt) if carry else slim
-    joined = base.join(_salted(goal), ["_s", "_salt"])
+    joined = _met(sized if carry else slim, goal, few)
     part = F.expr("(_left * size) div _tied") if boundary == "cut" else F.when(F.col("_left") * 2 >= F.col("_tied"), F.col("size")).otherwise(F.lit(0))
     extra = F.when(F.col("_edge").isNull() | (F.col("size") == 0), F.lit(0)).when(F.col("_h") < F.col("_edge"), F.col("size")).when(F.col("_h") == F.col("_edge"), part).otherwise(F.lit(0)).cast("long")
     joined = joined.withColumn("_extra", extra)
