@@ -127,8 +127,8 @@ def _sets(words: int):
 
 def _stars(edges: DataFrame) -> bool:
     """Whether links (a, b) are stars: every b has one a, and no a is a b."""
-    several = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-    return several.unionByName(edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi")).isEmpty()
+    ends = edges.select(F.col("b").alias("n"), F.lit(1).alias("under"), F.lit(0).alias("over")).unionByName(edges.select(F.col("a").alias("n"), F.lit(0).alias("under"), F.lit(1).alias("over")))
+    return ends.groupBy("n").agg(F.sum("under").alias("under"), F.max("over").alias("over")).where("under > 1 OR under = 1 AND over = 1").isEmpty()
 
 
 def components(links: DataFrame, tasks: int = 8) -> DataFrame:
