@@ -8,6 +8,7 @@ kept out of training calibrates the score, and scores under nearly all correct o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -159,7 +160,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return found
 
 
-def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1000, max_chars: int = 20_000, most_chars: int = 32_000_000) -> DataFrame:
+def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1000, max_chars: int = 20_000, most_chars: int = 16_000_000) -> DataFrame:
     """(_key, _lang, _text): a bounded sample of labelled rows whose crc32(key as text) mod 3 is not 1, of every language.
 
     Bounds: about per_language rows of a language, and about most_chars characters in all, shared evenly between the
@@ -176,12 +177,26 @@ def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: st
     return rows.join(limits, "_lang").where("_h < _below").select("_key", "_lang", "_text").dropDuplicates()
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample (_key, _lang, _text), all in one task, as one row: the model's parts as bytes."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        rows = pa.Table.from_batches(got).sort_by([("_key", "ascending"), ("_lang", "ascending"), ("_text", "ascending")]).combine_chunks()
+        model = train(rows.column("_text").combine_chunks(), rows.column("_lang").to_pylist())
+        arrays = [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in (model.table, model.bias, model.weights)]
+        yield pa.record_batch([pa.array([model.langs], pa.list_(pa.string())), pa.array([model.temperature]), pa.array([model.threshold]), *arrays], names=["langs", "temperature", "threshold", "table", "bias", "weights"])
+
+
 def fit(docs: DataFrame, **how) -> Model | None:
-    """Train on the sample() of docs, which takes the same parameters. None without a labelled row."""
-    got = sample(docs, **how).toArrow().sort_by([("_key", "ascending"), ("_lang", "ascending"), ("_text", "ascending")]).combine_chunks()
-    if not got.num_rows:
+    """Train in one task on the sample() of docs, which takes the same parameters. None without a labelled row."""
+    parts = "langs array<string>, temperature double, threshold double, table binary, bias binary, weights binary"
+    row = sample(docs, **how).repartition(1).mapInArrow(_trained, parts).first()
+    if row is None:
         return None
-    return train(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
+    matrix = lambda raw: np.frombuffer(bytes(raw), np.float32).reshape(-1, len(row["langs"]))
+    if row["weights"] is None:
+        return Model(tuple(row["langs"]), matrix(row["table"]), np.frombuffer(bytes(row["bias"])), row["temperature"], row["threshold"])
+    return Model(tuple(row["langs"]), np.frombuffer(bytes(row["table"]), np.float32).reshape(-1, DIM), np.frombuffer(bytes(row["bias"])), row["temperature"], row["threshold"], matrix(row["weights"]))
 
 
 def predictor(model: Model | None):
