@@ -47,9 +47,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest id; of rows equal in id and text one stays."""
+    """One document of each near-duplicate class, the one with the smallest id; of rows equal in id and text the least stays."""
     named = _boxed(docs.where(F.col("doc_id").isNotNull()))
-    rows = dart_minhash.near_duplicates(named, carry=("text", "_row")).where("kept").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
+    rows = dart_minhash.near_duplicates(named, carry=("text", "_row")).where("kept").withColumn("_th", F.xxhash64("text"))
+    rows = rows.groupBy("doc_id", "_th").agg(F.min_by(F.struct("text", "_row"), F.to_json("_row")).alias("_one")).select("_one.*")
     rows = rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
     return _few(rows.unionByName(docs.where(F.col("doc_id").isNull())), docs)
 
