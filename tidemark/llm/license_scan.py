@@ -1,18 +1,21 @@
 """Licence scan: normalised passages against templates by the Dice coefficient of their word bigrams.
 
 Dice >= t needs sizes within a factor of (2 - t) / t, so templates are kept by size and only those in range are
-compared. Passages are the whole text, its blocks between blank lines, its single lines, and the runs of adjacent lines
-that come nearest to a template.
+compared. Passages are the whole text, its blocks between blank lines, its single lines, windows of words within a line
+as long as a template, and the runs of adjacent lines that come nearest to a template. How many distinct bigrams a
+window holds follows from each bigram's previous place, so all windows of a length take one pass.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -77,6 +80,52 @@ def licences() -> tuple[tuple[str, str], ...]:
     return (*full, *[(name, part) for (name, grams), part in parts.items() if len(names[grams]) == 1])
 
 
+class _Words:
+    """A text's words in one row: where each bigram stood before, and which line a word is of."""
+
+    def __init__(self, text: list[list[str]], index: dict):
+        self.lines = len(text)
+        counts = np.array([len(w) for w in text], np.int64)
+        self.line = np.repeat(np.arange(self.lines), counts)
+        self.rows = np.flatnonzero(counts)  # lines with words
+        self.start = np.concatenate([[0], np.cumsum(counts)])  # of each line, and the end
+        flat = [w for words in text for w in words]
+        pairs, numbers = list(zip(flat, flat[1:])), {}
+        ids = np.array([numbers.setdefault(g, len(numbers)) for g in pairs], np.int64)
+        self.names = [g for g in numbers if g in index]
+        places, order = np.arange(len(ids)), np.argsort(ids, kind="stable")
+        same = np.flatnonzero(ids[order[1:]] == ids[order[:-1]])
+        self.before = np.full(len(ids), -1)
+        self.before[order[same + 1]] = order[same]
+        self.templates: dict[int, list[int]] = {}
+        for g in self.names:
+            for t in index[g]:
+                self.templates.setdefault(t, []).append(numbers[g])
+        self.ids, self.places = ids, places
+
+    def of(self, index: dict, t: int) -> np.ndarray:
+        """Which places hold a bigram of template t."""
+        own = np.zeros(int(self.ids.max(initial=-1)) + 1, bool)
+        own[self.templates.get(t, [])] = True
+        return own[self.ids]
+
+    def distinct(self, length: int, only: np.ndarray | None = None) -> np.ndarray:
+        """Distinct bigrams in each window of `length` places: a place counts where the bigram's place before lies outside."""
+        n = len(self.before) - length + 1
+        p = self.places if only is None else np.flatnonzero(only)
+        a = np.maximum(np.maximum(self.before[p] + 1, p - length + 1), 0)
+        ok = a < np.minimum(p + 1, n)
+        steps = np.bincount(a[ok], minlength=n + 1) - np.bincount(np.minimum(p[ok] + 1, n), minlength=n + 1)
+        return np.cumsum(steps)[:n]
+
+    def final(self, own: np.ndarray) -> np.ndarray:
+        """For a start at each place, where the last of the bigrams in `own` that follow first appears; -1 if none does."""
+        out = np.full(len(own), -1)
+        for p in np.flatnonzero(own).tolist():
+            out[self.before[p] + 1 : p + 1] = p
+        return out
+
+
 @dataclass
 class Matcher:
     templates: tuple[tuple[str, str], ...] = field(default_factory=lambda: TEMPLATES + licences())
@@ -131,50 +180,102 @@ class Matcher:
                     continue
             if hit := self.best(passage):
                 found.append((self.templates[-hit[1]][0], hit[0], unit, at, n))
-        for dice, t, at, n in self._runs(lines, owned):
+        words = _Words([[] if o else _WORD.findall(line.lower()) for line, o in zip(lines, owned, strict=True)], self.index)
+        near = self._near(words)
+        near_by: list[tuple[int, int]] = []  # places of the windows named so far, none over another
+        best = np.zeros(len(lines))
+        for _, d, _, at, n in found:
+            best[at : at + n] = np.maximum(best[at : at + n], d)
+        for dice, t, at in sorted((w for t in near for w in self._windows(words, t)), key=lambda x: (-x[0], x[1], x[2])):
+            line, span = int(words.line[at]), (at, at + self.words[t])
+            k = bisect_left(near_by, span)
+            if best[line] < dice and (k == 0 or near_by[k - 1][1] <= at) and (k == len(near_by) or near_by[k][0] >= span[1]):
+                near_by.insert(k, span)
+                found.append((self.templates[t][0], dice, "words", line, 1))
+        for dice, t, at, n in self._runs(words, near, [x[3:] for x in found if x[1] == 1.0]):
             if not any(d >= dice and a < at + n and at < a + m for _, d, _, a, m in found):
                 found.append((self.templates[t][0], dice, "run", at, n))
         return found
 
-    def _runs(self, lines: list[str], owned: list[bool]) -> list[tuple[float, int, int, int]]:
-        """(Dice, template, first line, lines) of the best run from each line, best first; longer, then earlier ones lead among equals.
-
-        A template needs threshold / 2 * (1 + 1 / factor) of its bigrams somewhere in the text. From each line with one
-        of its bigrams a run grows until it has more distinct bigrams than the template allows, or twice as many words.
-        """
-        text = [[] if o else _WORD.findall(line.lower()) for line, o in zip(lines, owned, strict=True)]
-        flat = [w for words in text for w in words]
+    def _near(self, words: _Words) -> list[int]:
+        """The templates of which the whole text has the threshold / 2 * (1 + 1 / factor) of bigrams that Dice needs."""
         shared: dict[int, int] = {}
-        for g in self.grams.intersection(zip(flat, flat[1:])):
+        for g in words.names:
             for t in self.index[g]:
                 shared[t] = shared.get(t, 0) + 1
         need = self.threshold / 2 * (1 + 1 / self.factor)
-        near = [t for t, c in shared.items() if c >= need * self.sizes[t]]
-        if not near:
+        return sorted(t for t, c in shared.items() if c >= need * self.sizes[t])
+
+    def _windows(self, words: _Words, t: int) -> list[tuple[float, int, int]]:
+        """(Dice, template, first word) of the windows of the template's length within a line, best first, that overlap no better one; the earlier leads among equals."""
+        length = self.words[t] - 1
+        n = len(words.before) - length + 1
+        if n <= 0 or length <= 0:
+            return []
+        inside = words.line[:n] == words.line[length : length + n]  # the window's first and last word
+        if not inside.any():
+            return []
+        both = words.distinct(length, words.of(self.index, t))[inside]
+        dice = 2 * both / (words.distinct(length)[inside] + self.sizes[t])
+        hits = np.flatnonzero(dice >= self.threshold)
+        places = np.flatnonzero(inside)[hits]
+        out, taken = [], []
+        for i in np.lexsort((places, -dice[hits])).tolist():
+            at = int(places[i])
+            k = bisect_left(taken, at)
+            if (k == 0 or at - taken[k - 1] > length) and (k == len(taken) or taken[k] - at > length):
+                taken.insert(k, at)
+                out.append((float(dice[hits[i]]), t, at))
+        return out
+
+    def _runs(self, words: _Words, near: list[int], exact: list[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
+        """(Dice, template, first line, lines) of the best run from each line, best first; longer, then earlier ones lead among equals.
+
+        Runs stay between the lines that a passage equal to a template covers (`exact`), as no run over these can be
+        nearer. A run from a line with one of the template's bigrams ends at the latest where the last of them first
+        appears, or where it has more distinct bigrams than the template allows.
+        """
+        covered = np.zeros(words.lines + 1, np.int64)
+        for at, n in exact:
+            covered[at] += 1
+            covered[at + n] -= 1
+        closed = np.cumsum(covered)[:-1] > 0
+        rows = words.rows[~closed[words.rows]]
+        if len(rows) < 2:
             return []
-        rows, last = [], None  # of each line with words: its number, and its bigrams with the one that leads into it
-        for i, words in enumerate(text):
-            if words:
-                rows.append((i, [(last, words[0])] if last else [], list(zip(words, words[1:])), len(words)))
-                last = words[-1]
         found = []
+        piece = np.searchsorted(np.flatnonzero(closed), rows)  # runs stay between covered lines
+        first, last = words.start[rows], words.start[rows + 1] - 2  # the bigrams within a line; last + 1 leads into the next
         for t in near:
-            own = bigrams(self.templates[t][1])
-            most, most_words = self.sizes[t] * self.factor, 2 * self.factor * self.words[t]
-            for k, (i, _, first, _) in enumerate(rows):
-                if own.isdisjoint(first) and (k + 1 == len(rows) or own.isdisjoint(rows[k + 1][1])):
+            own = words.of(self.index, t)
+            held = np.concatenate([[0], np.cumsum(own)])
+            final, most = words.final(own), int(self.sizes[t] * self.factor)
+            for k in np.flatnonzero(held[np.minimum(last + 2, len(own))] > held[np.minimum(first, len(own))]).tolist():
+                end = k + int(np.searchsorted(piece[k:], piece[k], "right")) - 1
+                a = int(first[k])
+                stop, step, distinct, both = min(int(last[end]), int(final[a])), 256, [], []
+                if end == k or stop < a:
                     continue
-                grams, both, words, best = set(), 0, 0, (0.0, 0)
-                for j in range(k, len(rows)):
-                    new = {*(rows[j][1] if j > k else ()), *rows[j][2]} - grams
-                    grams |= new
-                    both += len(own & new)
-                    words += rows[j][3]
-                    if len(grams) > most or words > most_words:
-                        break
-                    best = max(best, (2 * both / (len(grams) + self.sizes[t]), -rows[j][0])) if j > k else best
-                if best[0] >= self.threshold:
-                    found.append((best[0], t, i, -best[1] - i + 1))
+                d = s = 0
+                at = a
+                while at <= stop and d <= most:
+                    to = min(stop + 1, at + step)
+                    new = words.before[at:to] < a
+                    distinct.append(d + np.cumsum(new))
+                    both.append(s + np.cumsum(new & own[at:to]))
+                    d, s, at, step = int(distinct[-1][-1]), int(both[-1][-1]), to, 2 * step
+                d, s = np.concatenate(distinct), np.concatenate(both)
+                # lines that end here, and the first that ends beyond the last bigram that counts
+                ends = last[k + 1 : end + 1] - a
+                n = int(np.searchsorted(ends, len(d) - 1, "right"))
+                whole = ends[:n]
+                dice = np.where((whole >= 0) & (d[whole] <= most), 2 * s[whole] / (d[whole] + self.sizes[t]), 0.0)
+                if n < len(ends) and at > stop:
+                    more = d[-1] + int((words.before[a + len(d) : a + int(ends[n]) + 1] < a).sum())
+                    dice = np.append(dice, 2 * s[-1] / (more + self.sizes[t]) if more <= most else 0.0)
+                if len(dice) and dice.max() >= self.threshold:
+                    j = k + 1 + int(dice.argmax())
+                    found.append((float(dice.max()), t, int(rows[k]), int(rows[j] - rows[k]) + 1))
         return sorted(found, key=lambda x: (-x[0], -x[3], x[1], x[2]))
 
     def _small(self, passage: str) -> bool:
