@@ -79,7 +79,9 @@ RULES: tuple[Rule, ...] = (
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", needs=("://",), spans=url_logins),
 )
 _SPANS = "array<struct<kind: string, start: int, end: int>>"
-_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+#: A ledger's spans name the rule and version that found them.
+_HELD = "array<struct<rule: string, kind: string, start: int, end: int>>"
+_HELD_TYPE = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int, str]]:
@@ -103,9 +105,9 @@ def _scan(rules: tuple[Rule, ...]):
             spans, names = [], []
             for text, seen in zip(batch.column("_text").to_pylist(), batch.column("_seen").to_pylist(), strict=True):
                 todo = tuple(r for r in rules if r.name not in set(seen or ()))
-                spans.append([{"kind": k, "start": a, "end": b} for a, _, b, k in find(text, todo)])
+                spans.append([{"rule": todo[i].name, "kind": k, "start": a, "end": b} for a, i, b, k in find(text, todo)])
                 names.append([r.name for r in todo])
-            yield pa.record_batch([batch.column("blob"), pa.array(names, pa.list_(pa.string())), pa.array(spans, _SPAN_TYPE)], names=["blob", "rules", "spans"])
+            yield pa.record_batch([batch.column("blob"), pa.array(names, pa.list_(pa.string())), pa.array(spans, _HELD_TYPE)], names=["blob", "rules", "spans"])
 
     return run
 
@@ -127,22 +129,28 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, *, text: str
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
         names = F.array(*[F.lit(r.name) for r in rules])
         blobs = blobs.join(seen, "blob", "left").where(F.col("_seen").isNull() | (F.size(F.array_except(names, F.col("_seen"))) > 0))
-    return blobs.mapInArrow(_scan(rules), f"blob binary, rules array<string>, spans {_SPANS}")
+    return blobs.mapInArrow(_scan(rules), f"blob binary, rules array<string>, spans {_HELD}")
 
 
 def findings(versions: DataFrame, ledger: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of versions: key, blob and spans (by start, then the rules' order), of the given rule versions."""
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    """One row per row of versions: key, blob and spans (by start, then the rules' order), of exactly the given rule versions.
+
+    What other versions of a rule found stays in the ledger and is left out. The ledger may hold several rows of a blob,
+    as a union of scan_new's results does, and a rule's spans more than once.
+    """
     names = F.array(*[F.lit(r.name) for r in rules])
-    held = ledger.where(F.arrays_overlap("rules", names)).select("blob", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans"))
+    asked = F.filter("spans", lambda s: F.array_contains(names, s["rule"]))
+    held = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(asked))).alias("spans"))
+    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["rule"]).alias("rule"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.transform(F.array_sort(placed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     own = versions.select(F.col(key).alias("_key"), address(F.col(text)).alias("blob"))
-    return own.join(held, "blob", "left").select(F.col("_key").alias(key), "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return own.join(held.select("blob", spans.alias("spans")), "blob", "left").select(F.col("_key").alias(key), "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def merge_ledger(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One ledger row per blob. Spans are put in order of start; kinds at one start by name."""
-    both = old.unionByName(new).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return both.withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)))
+    """One ledger row per blob, with every rule version's spans, by start and rule."""
+    both = old.unionByName(new).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return both.withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(a["end"] - b["end"])))
 
 
 def scan(versions: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
