@@ -31,9 +31,14 @@ UP, DOWN = 1 + 1e-12, 1 - 1e-12
 SMALL = 1 << 26
 
 
-def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _wide(x: np.ndarray) -> bool:
+    """Whether squared distances need Python's integers."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0))) > SMALL or x.shape[-1] > 256
+
+
+def _squared(x: np.ndarray, c: np.ndarray, wide: bool) -> np.ndarray:
     """Exact squared distances of the rows of x from c."""
-    if max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) > SMALL or x.shape[1] > 256:
+    if wide:
         x, c = x.astype(object), c.astype(object)
         return ((x - c) ** 2).sum(1) if len(x) else np.zeros(0, object)
     away = x - c
@@ -51,15 +56,16 @@ class Centroids:
 
     @staticmethod
     def of(at: np.ndarray, before: np.ndarray | None = None) -> Centroids:
-        apart = np.stack([np.sqrt(_squared(at, c).astype(float)) for c in at])
+        wide = _wide(at) or before is not None and _wide(before)
+        apart = np.stack([np.sqrt(_squared(at, c, wide).astype(float)) for c in at])
         order = np.argsort(apart, axis=1, kind="stable")
-        moved = np.zeros(len(at)) if before is None else np.sqrt([float(_squared(a[None], b)[0]) for a, b in zip(at, before, strict=True)])
+        moved = np.zeros(len(at)) if before is None else np.sqrt([float(_squared(a[None], b, wide)[0]) for a, b in zip(at, before, strict=True)])
         return Centroids(at, order, np.take_along_axis(apart, order, 1), moved)
 
 
 def assign(x: np.ndarray, a: np.ndarray, u: np.ndarray, low: np.ndarray, c: Centroids) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each vector's nearest centroid (the smaller number in a tie), new bounds, and how many distances it took."""
-    k = len(c.at)
+    k, wide = len(c.at), _wide(x) or _wide(c.at)
     a, scans = a.copy(), np.zeros(len(x), np.int64)
     others = np.array([np.delete(c.moved, j).max(initial=0.0) for j in range(k)])
     u = (u + c.moved[a]) * UP
@@ -69,19 +75,18 @@ def assign(x: np.ndarray, a: np.ndarray, u: np.ndarray, low: np.ndarray, c: Cent
     live = np.flatnonzero(~settled(slice(None)))
     for j in np.unique(a[live]):
         i = live[a[live] == j]
-        u[i] = np.sqrt(_squared(x[i], c.at[j]).astype(float)) * UP
+        u[i] = np.sqrt(_squared(x[i], c.at[j], wide).astype(float)) * UP
         scans[i] += 1
     live = live[~settled(live)]
     for j in np.unique(a[live]):
         i = live[a[live] == j]
         reach = np.searchsorted(c.away[j] * DOWN, (2 * u[i] + (next_to[j] if k > 1 else 0.0)) * UP, "right")
-        dtype = object if any(_squared(v, c.at[j]).dtype == object for v in (x[i], c.at)) else np.int64
-        best, second, near = np.empty(len(i), dtype), np.full(len(i), np.inf), np.full(len(i), -1)
+        best, second, near = np.empty(len(i), object if wide else np.int64), np.full(len(i), np.inf), np.full(len(i), -1)
         for place, m in enumerate(c.order[j]):
             inside = np.flatnonzero(reach > place)
             if not len(inside):
                 break
-            d = _squared(x[i[inside]], c.at[m])
+            d = _squared(x[i[inside]], c.at[m], wide)
             scans[i[inside]] += 1
             if not place:
                 best[inside], near[inside] = d, m
@@ -106,12 +111,12 @@ def _passed(c: Centroids, last: bool, schema: pa.Schema):
             x, (a, u, low, scans) = matrix(batch.column(1)), (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
             a, u, low, took = assign(x, a.astype(np.int64), u, low, c)
             n += np.bincount(a, minlength=k)
-            wide = np.abs(x).max() > SMALL
+            wide = _wide(x) or _wide(c.at)
             away = np.zeros(len(x), object)
             for j in np.unique(a):
                 sums[j] += (x[a == j].astype(object) if wide else x[a == j]).sum(0).astype(object)
                 if last:
-                    away[a == j] = d = _squared(x[a == j], c.at[j])
+                    away[a == j] = d = _squared(x[a == j], c.at[j], wide)
                     far[j] += int(d.sum())
             distance = pa.array([int(d) if d < 1 << 63 else None for d in away] if last else [None] * len(x), pa.int64())
             none = pa.nulls(len(x))
