@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, text
-from tidemark.operators import batches, closure, labels, measures, ranking, running, stats
+from tidemark.operators import automaton, batches, closure, labels, measures, ranking, running, stats
 
 
 def run_of(spark, docs, system="s", qid=1):
@@ -139,7 +139,7 @@ def test_listed_places(spark):
 def test_letters_and_spans_and_config():
     assert stats.letters(["a", "b", "c"], {("a", "c")}) == {"a": "a", "b": "ab", "c": "b"}
     assert stats.letters(["a", "b"], set()) == {"a": "a", "b": "a"}
-    assert text.longest_spans("one of the few", ["the", "of the", "of"]) == [(4, 10, "of the")]
+    assert automaton.Marker([automaton.Phrase(p, "k") for p in ("the", "of the", "of")], ("k",)).spans("one of the few") == [(4, 10, "k", "of the")]
     assert config.errors({"n": 0, "x": 1}, {"n": int, "seed": int}) == [("n", "is not positive"), ("seed", "is missing"), ("x", "is unknown")]
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # Names of Greek letters in search terms.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"}
@@ -47,56 +44,6 @@ def fold(text: Column) -> Column:
     return F.pandas_udf(_fold, "string")(text)
 
 
-#: Endings in the order they are tried, with what takes their place.
-ENDINGS = (
-    ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"),
-    ("entli", "ent"), ("ousli", "ous"), ("alli", "al"), ("ment", ""), ("ness", ""),
-)
-
-
-def porter_like(word: str) -> str:
-    """English suffix stripping by steps: plurals, -ed and -ing, derivational endings, final e."""
-    if len(word) <= 3:
-        return word
-    vowel = re.compile("[aeiouy]")
-    for old, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(old):
-            word = word[: len(word) - len(old)] + new
-            break
-    for end in ("ingly", "edly", "ing", "ed"):
-        stem = word[: -len(end)]
-        if word.endswith(end) and vowel.search(stem):
-            word = stem
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz":
-                word = word[:-1]
-            break
-    for old, new in ENDINGS:
-        if word.endswith(old) and len(word) - len(old) > 2:
-            word = word[: len(word) - len(old)] + new
-            break
-    return word[:-1] if word.endswith("e") and len(word) > 4 else word
-
-
-def stem_sql(words: str) -> str:
-    """CTEs that end in st (form, stem), for DuckDB, of a relation's column `form`: porter_like in SQL."""
-    ends = " ".join(f"WHEN regexp_matches(w, '[aeiouy].*{e}$') THEN left(w, -{len(e)})" for e in ("ingly", "edly", "ing", "ed"))
-    last = " ".join(f"WHEN ends_with(w, '{old}') AND length(w) > {len(old) + 2} THEN left(w, -{len(old)}) || '{new}'" for old, new in ENDINGS)
-    return f"""s1 AS (SELECT DISTINCT form, CASE WHEN ends_with(form, 'sses') OR ends_with(form, 'ies') THEN left(form, -2) WHEN ends_with(form, 's') AND NOT ends_with(form, 'ss') THEN left(form, -1) ELSE form END AS w FROM {words}),
-s2 AS (SELECT form, w, CASE {ends} END AS t FROM s1), s3 AS (SELECT form, CASE WHEN t IS NULL THEN w WHEN regexp_matches(t, '(at|bl|iz)$') THEN t || 'e' WHEN length(t) > 2 AND right(t, 1) = left(right(t, 2), 1) AND right(t, 1) NOT IN ('l', 's', 'z') THEN left(t, -1) ELSE t END AS w FROM s2),
-s4 AS (SELECT form, CASE {last} ELSE w END AS w FROM s3), st AS (SELECT form, CASE WHEN length(form) <= 3 THEN form WHEN ends_with(w, 'e') AND length(w) > 4 THEN left(w, -1) ELSE w END AS stem FROM s4)"""
-
-
-def _stems(words: pd.Series) -> pd.Series:
-    memory: dict[str, str] = {}
-    return words.map(lambda ws: None if ws is None else [memory[w] if w in memory else memory.setdefault(w, porter_like(w)) for w in ws])
-
-
-def stems(words: Column) -> Column:
-    return F.pandas_udf(_stems, "array<string>")(words)
-
-
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 LCS / (lengths), by the bit-parallel longest common subsequence."""
     if not a or not b:
@@ -111,6 +58,10 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
+def indel_column(a: Column, b: Column) -> Column:
+    return F.pandas_udf(lambda x, y: pd.Series([indel_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64"), "double")(a, b)
+
+
 def _token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(" ".join(sorted(x.lower().split())), " ".join(sorted(y.lower().split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -153,30 +104,3 @@ def reply_grades(reply: Column) -> Column:
     read = F.transform(F.map_entries(given), lambda e: F.struct(shown(e["key"]).alias("key"), grade(e["value"]).alias("value")))
     kept = F.filter(read, lambda e: e["key"].rlike("^[A-Z]$") & e["value"].isin("0", "1", "2"))
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"].cast("int"))))
-
-
-def longest_spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:
-    """(start, end, phrase) of whole-word matches; the longest of overlapping ones wins, then the earlier."""
-    found = [(m.start(), m.end(), p) for p in phrases for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", text, re.I)]
-    taken, kept = bytearray(len(text)), []
-    for a, b, p in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if not (taken[a] or taken[b - 1] or any(taken[a:b])):
-            taken[a:b] = b"\1" * (b - a)
-            kept.append((a, b, p))
-    return sorted(kept)
-
-
-def spans(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
-    """(key, start, stop, phrase): the longest_spans of every text, in Arrow batches."""
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
-                got = [(i, *x) for i, t in enumerate(own.column(1).to_pylist()) for x in longest_spans(t or "", phrases)]
-                if got:
-                    i, a, b, p = zip(*got, strict=True)
-                    yield pa.record_batch([own.column(0).take(pa.array(i)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p, pa.string())], names=[key, "start", "stop", "phrase"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start int, stop int, phrase string")

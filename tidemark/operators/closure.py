@@ -1,9 +1,7 @@
-"""Set closure over edges, guards and greedy selection."""
+"""Set closure over edges."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.running import cut
@@ -33,26 +31,3 @@ def mixed(twins: DataFrame, edges: DataFrame, child: str = "child", parent: str
     down = transitive(pairs.union(flat.select("b", "a")), "a", "b")
     nodes = flat.select("a").union(flat.select("b")).union(pairs.select("a")).distinct()
     return up.union(down).union(nodes.select("a", "a")).distinct().toDF("node", "related")
-
-
-def greedy(candidates: Iterable[tuple], limit: int) -> list[tuple]:
-    """Accept (key, value, docs) in order while key and value are unused and docs are disjoint from those accepted. Reads no further than the limit needs."""
-    keys, values, docs, out = set(), set(), set(), []
-    for key, value, own in candidates:
-        if len(out) >= limit:
-            break
-        if key not in keys and value not in values and docs.isdisjoint(own):
-            out.append((key, value, own))
-            keys.add(key)
-            values.add(value)
-            docs |= set(own)
-    return out
-
-
-def paced(rows: Iterable[tuple[int, float]], pace: float) -> Iterator[tuple[int, float]]:
-    """(key, spent) of the rows (key, price) taken: those with which the spending keeps to the pace of their place."""
-    spent = 0.0
-    for i, (key, price) in enumerate(rows):
-        if spent + price <= pace * (i + 1):
-            spent += price
-            yield key, spent

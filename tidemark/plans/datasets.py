@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from array import array
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import batches, closure, labels, running, sampling
+from tidemark.operators import batches, closure, greedy, labels, running, sampling
+from tidemark.operators.running import cut
 from tidemark.plans.fixtures import RUNS_SQL, gold, runs
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -76,23 +73,59 @@ def db7(s, d):
     return g.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: Queries of each instance; negatives of each pool; instances, by the seed of their order.
+DB8_QUERIES, DB8_NEEDS, DB8_SEEDS = 25, {"same_key": 3, "same_value": 2}, ("one", "two")
+
+
+def pair_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (key, value) with one gold document, and what each touches: supplier and part, with the orders that hold both.
+
+    Guarded are the other orders of the supplier with a part of the same brand. The pools are the supplier's and the part's
+    other orders; a candidate needs enough of both outside its guard.
+    """
+    held = cut(table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("value"), "p_brand", F.col("l_orderkey").alias("doc")).distinct())
+    gold = held.groupBy("key", "value", "p_brand").agg(F.count("*").alias("n"), F.min("doc").alias("gold")).where("n = 1").drop("n")
+    per = held.groupBy("key").agg(F.countDistinct("doc").alias("k")), held.groupBy("value").agg(F.countDistinct("doc").alias("v")), held.groupBy("key", "p_brand").agg(F.countDistinct("doc").alias("g"))
+    # a bound from counts: what the guard leaves of the supplier's orders, and the part's orders but the gold and the guard
+    wide = gold.join(per[0], "key").join(per[1], "value").join(per[2], ["key", "p_brand"]).where((F.col("k") - F.col("g") >= DB8_NEEDS["same_key"]) & (F.col("v") - 1 >= DB8_NEEDS["same_value"]))
+    return wide.select("key", "value", "p_brand", "gold"), held
+
+
+def touched(some: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, doc, role) of candidates (id, key, value, p_brand, gold)."""
+    by_key = some.join(held.select("key", F.col("p_brand").alias("b"), "doc"), "key").where("doc <> gold")
+    guard = by_key.where("b = p_brand").select("id", "doc", F.lit("guard").alias("role"))
+    same_key = by_key.where("b <> p_brand").select("id", "doc", F.lit("same_key").alias("role"))
+    same_value = some.join(held.select("value", "doc"), "value").where("doc <> gold").select("id", "doc", F.lit("same_value").alias("role"))
+    return some.select("id", F.col("gold").alias("doc"), F.lit("gold").alias("role")).unionByName(guard).unionByName(same_key).unionByName(same_value).distinct()
+
+
 @query("db8_greedy_accept")
 def db8(s, d):
-    # candidates stream in hash order until 75 are accepted or none is left
-    c = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("v"), F.collect_set("l_partkey").alias("docs"))
-    top = c.orderBy(sampling.order_hash("greedy", "l_orderkey"), "l_orderkey").toLocalIterator()
-    return s.createDataFrame([(k, v) for k, v, _ in closure.greedy(((r["l_orderkey"], r["v"], r["docs"]) for r in top), 75)], "key long, value long")
+    wide, held = pair_candidates(s, d)
+    used, out = None, None
+    for seed in DB8_SEEDS:  # an instance uses no key of an earlier one
+        free = wide if used is None else wide.join(used, "key", "left_anti")
+        # ranks of an order by hash are its places; only those that the slices read are looked at
+        order = free.withColumn("id", F.struct("key", "value")).withColumn("place", F.concat(sampling.order_hash(seed, "key", "value"), F.lit("|"), F.format_string("%012d|%012d", "key", "value")))
+        order = cut(order.withColumn("marks", F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("v"), "value"))))
+        got = cut(greedy.accept(order.select("id", "place", "marks"), order, greedy.Rules(DB8_NEEDS, F.md5(F.concat_ws("|", F.lit(seed), F.col("id.key"), F.col("id.value"), F.col("doc")))), DB8_QUERIES, touch=lambda some: touched(some, held)))
+        keys = got.select(F.col("id.key").alias("key")).distinct()
+        used = keys if used is None else used.unionByName(keys)
+        rows = got.select(F.lit(seed).alias("instance"), "id.key", "id.value", "doc", "role")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: Accepted orders wanted, and how many parts they may use together.
+DB9_TARGET, DB9_BUDGET = 100, 250
 
 
 @query("db9_paced_budget")
 def db9(s, d):
-    # each order depends on all before it: they stream in hash order, a partition at a time
-    o = table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(sampling.order_hash("pace", "o_orderkey"), "o_orderkey").toLocalIterator()
-    keys, sums = array("q"), array("d")
-    for key, total in closure.paced(((r["o_orderkey"], r["o_totalprice"]) for r in o), 50_000.0):
-        keys.append(key)
-        sums.append(round(total, 2))
-    return s.createDataFrame(pa.table({"o_orderkey": pa.array(np.asarray(keys, np.int64)), "spent": pa.array(np.asarray(sums, np.float64))}))
+    # orders of two to six parts, by hash; each must keep the union of parts on the pace of the orders accepted
+    held = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_set("l_partkey").alias("docs")).where(F.size("docs").between(2, 6))
+    return greedy.pace(held, [sampling.order_hash("pace", "key"), F.col("key")], DB9_BUDGET, DB9_TARGET)
 
 
 @query("db10_topup", "WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS n FROM g) SELECT doc_id, 'gold' AS kind FROM g UNION ALL SELECT doc_id, 'distractor' FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('top|' || doc_id::VARCHAR), doc_id) AS rn FROM documents ANTI JOIN g USING (doc_id)), n WHERE rn <= greatest(400 - n, 0)")

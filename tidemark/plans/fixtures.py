@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators import ranking
+from tidemark.operators import inverted, ranking
 from tidemark.operators.running import cut
 from tidemark.sources.tables import table
 
@@ -28,10 +28,20 @@ grades AS (SELECT DISTINCT qid, doc_id, (doc_id * 7 + qid * 3) % 3 AS grade FROM
 """.replace("@STOP@", "[" + ", ".join(f"'{w}'" for w in ranking.STOP_WORDS) + "]")
 
 
+def index(spark: SparkSession, sf_dir: str, analyzer: str = "words") -> inverted.Index:
+    """The stored index of the documents."""
+    return inverted.stored(spark, f"{sf_dir}/documents.parquet", analyzer=analyzer)
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the benchmark's terms, with all statistics."""
+    return index(spark, sf_dir).matches(ranking.query_terms(table(spark, sf_dir, "benchmark")))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = ranking.matches(table(spark, sf_dir, "documents"), ranking.query_terms(table(spark, sf_dir, "benchmark")))
+    held = matched(spark, sf_dir)
     part = lambda k1, b: F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
-    scored = matched.groupBy("qid", "doc_id").agg(F.round(part(1.5, 0.75), 6).alias("a"), F.round(part(0.9, 0.4), 6).alias("b"), F.count("*").cast("double").alias("c"))
+    scored = held.groupBy("qid", "doc_id").agg(F.round(part(1.5, 0.75), 6).alias("a"), F.round(part(0.9, 0.4), 6).alias("b"), F.count("*").cast("double").alias("c"))
     long = scored.select("qid", "doc_id", F.expr("stack(3, 'bm25', a, 'bm25_short', b, 'overlap', c) AS (system, score)"))
     # written once: measures read it several times
     return cut(ranking.top_k(long, 100, by=("system", "qid")).select("system", "qid", "doc_id", "score", F.col("rank").cast("long")))

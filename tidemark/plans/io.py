@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.functions import bpe
 from tidemark.plans.registry import query
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, shards, sinks
 from tidemark.sources.tables import table
 from tidemark.streaming import twins
 
@@ -117,14 +118,36 @@ def src14(s, d):
     return readers.key_range(table(s, d, "documents"), "doc_id", 50, 120).select("doc_id", "n_chars")
 
 
-@query("src15_random_access", "SELECT place, doc_id, lang FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) v(place, id) JOIN documents ON doc_id = id")
+def _shards(df: DataFrame, key: str, **options) -> str:
+    """The rows in Arrow shards, in the order of the key; the path."""
+    s, path = df.sparkSession, sinks.scratch(df.sparkSession)
+    shards.register(s)
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, key).sortWithinPartitions(key).write.format("arrow_shards").mode("overwrite").options(key=key, **options).save(path)
+    return path
+
+
+@query("src15_random_access", "SELECT l.doc_id AS place, d.doc_id, d.lang FROM labels l JOIN (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) d ON d.n = l.doc_id * 13 % (SELECT count(*) + 50 FROM documents)")
 def src15(s, d):
-    return readers.take(table(s, d, "documents").select("doc_id", "lang"), "doc_id", [7, 3, 7, 11]).select("place", "doc_id", "lang")
+    docs = table(s, d, "documents").select("doc_id", "lang")
+    path = _shards(docs, "doc_id", batch=1000)
+    n = docs.agg((F.count("*") + 50).alias("n"))  # fifty numbers are beyond the last row
+    asked = table(s, d, "labels").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("place"), (F.col("doc_id") * 13 % F.col("n")).alias("number"))  # one row
+    return shards.take(s, path, asked, ["doc_id", "lang"])
 
 
-@query("src16_vector_gather", "SELECT doc_id, vec_id IS NOT NULL AS ok FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+@query("src16_vector_gather", "SELECT doc_id, vec_id IS NOT NULL AS ok, round(embedding[1], 2) AS first FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def src16(s, d):
-    return readers.gather(table(s, d, "documents").select("doc_id"), table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding").select("doc_id", "ok")
+    path = _shards(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", batch=1000, half="embedding")
+    ids = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"))
+    return shards.gather(s, path, ids, "vec_id", ["embedding"]).select(F.col("vec_id").alias("doc_id"), "ok", F.round(F.get("embedding", F.lit(0)), 2).alias("first"))
+
+
+@query("src16b_shards_by_id", "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE vec_id >= 100 AND vec_id < 300")
+def src16b(s, d):
+    # the filters reach the shards, of which only those in the range are read
+    path = _shards(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", batch=100, half="embedding")
+    return s.read.format("arrow_shards").load(path).where("vec_id >= 100 AND vec_id < 300").select("vec_id", F.size("embedding").alias("n"))
 
 
 @query("snk1_sorted_parquet", "SELECT s_suppkey, s_name FROM supplier ORDER BY ALL")
@@ -136,9 +159,8 @@ def snk1(s, d):
 
 @query("snk2_arrow_batches", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def snk2(s, d):
-    path, o = sinks.scratch(s), table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    sinks.write_arrow(o, path)
-    return sinks.read_arrow(s, path, o.schema)
+    path = _shards(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
+    return s.read.format("arrow_shards").load(path)
 
 
 @query("snk3_atomic_replace", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_regionkey = 2")
@@ -235,6 +257,13 @@ def xp7(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.sum(F.ceil(F.length("text") / 4.0)).alias("tokens"))
 
 
+@query("xp7b_token_counts")
+def xp7b(s, d):
+    import public_tokenizers
+
+    return bpe.token_counts(table(s, d, "documents"), "source", str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 # measured here only
 
 @query("ex1_weighted_miss_rate", "SELECT l_suppkey, round(sum(w * hit) / sum(w), 6) AS estimate FROM (SELECT l_suppkey, count(*) OVER (PARTITION BY l_suppkey, l_returnflag)::DOUBLE AS w, (l_discount > 0.05)::INT AS hit FROM lineitem) GROUP BY l_suppkey")

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import text as tx
-from tidemark.operators import closure, measures, ranking, running
-from tidemark.plans.fixtures import RUNS_SQL, gold, grades, runs
+from tidemark.functions import english
+from tidemark.operators import closure, inverted, measures, ranking, running
+from tidemark.plans.fixtures import RUNS_SQL, gold, grades, index, matched, runs
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -17,22 +17,44 @@ W = "WITH " + RUNS_SQL
 
 @query("rt1_bm25_live", W + "SELECT qid, doc_id, a AS score, hits FROM sc")
 def rt1(s: SparkSession, d: str) -> DataFrame:
-    return ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark"))))
+    return ranking.bm25(matched(s, d))
 
 
 _GRID = [(0.9, 0.4), (0.9, 0.75), (1.5, 0.4), (1.5, 0.75)]
 
 
-@query("rt2_bm25_grid", W + """, grid AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.4::DOUBLE), (0.9, 0.75), (1.5, 0.4), (1.5, 0.75)) g(k1, b)),
-s2 AS (SELECT k1, b, qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM mt, grid GROUP BY k1, b, qid, doc_id)
-SELECT * FROM (SELECT k1, b, qid, doc_id, score, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, doc_id) AS rank FROM s2) WHERE rank <= 10""")
+#: Each query's candidates are the documents with its first word in the alphabet; words are stemmed; scores and lengths are those of the whole collection.
+_STEMMED = """, fm AS (SELECT DISTINCT term AS form FROM tf UNION SELECT term FROM qt), """ + english.stem_sql("fm", "sm") + """,
+lw AS (SELECT qid, min(term) AS term FROM qt GROUP BY qid), cd AS (SELECT qid, doc_id FROM lw JOIN tf USING (term)),
+tf2 AS (SELECT doc_id, stem AS term, sum(tf) AS tf FROM tf JOIN sm ON form = term WHERE NOT list_contains(@STOP@, term) GROUP BY doc_id, stem), qt2 AS (SELECT DISTINCT qid, stem AS term FROM qt JOIN sm ON form = term),
+dl2 AS (SELECT doc_id, sum(tf) AS dl FROM tf2 GROUP BY doc_id), st2 AS (SELECT count(*)::DOUBLE AS n, avg(dl)::DOUBLE AS avgdl FROM dl2), df2 AS (SELECT term, count(*)::DOUBLE AS df FROM tf2 GROUP BY term),
+mt2 AS (SELECT qid, doc_id, tf, df, dl, n, avgdl FROM qt2 JOIN tf2 USING (term) JOIN df2 USING (term) JOIN dl2 USING (doc_id), st2),
+grid AS (SELECT * FROM (VALUES (0.9::DOUBLE, 0.4::DOUBLE), (0.9, 0.75), (1.5, 0.4), (1.5, 0.75)) g(k1, b)),
+s2 AS (SELECT k1, b, qid, doc_id, round(coalesce(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 0), 6) AS score FROM (SELECT * FROM cd, grid) LEFT JOIN mt2 USING (qid, doc_id) GROUP BY k1, b, qid, doc_id)
+""".replace("@STOP@", "[" + ", ".join(f"'{w}'" for w in ranking.STOP_WORDS) + "]")
+
+
+def grid_search(s: SparkSession, d: str, k: int, limited: bool = True) -> inverted.Found:
+    """BM25 of stems for each query and setting, over the query's candidates or all documents."""
+    terms = ranking.query_terms(table(s, d, "benchmark"))
+    first = terms.groupBy("qid").agg(F.min("term").alias("term"))
+    mention = index(s, d).blocks.join(first, "term").select("qid", F.inline("postings")).select("qid", "doc_id")
+    grid = F.explode(F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1, b in _GRID]))
+    stems = terms.groupBy("qid").agg(F.collect_set("term").alias("t")).select("qid", F.explode(english.stems(F.col("t"))).alias("term")).distinct()
+    asked = stems.select("qid", "term", grid.alias("g")).select("qid", "term", "g.*")
+    return inverted.search(index(s, d, "stemmed"), asked, k, by=("qid", "k1", "b"), k1=F.col("k1"), b=F.col("b"), candidates=running.cut(mention) if limited else None)
+
+
+@query("rt2_bm25_grid", W + _STEMMED + "SELECT * FROM (SELECT k1, b, qid, doc_id, score, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, doc_id) AS rank FROM s2) WHERE rank <= 1000")
 def rt2(s, d):
-    matched = ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark")))
-    part = lambda k1, b: F.round(F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)), 6)
-    # all settings are scored in one aggregation, so the grid costs no further shuffle
-    wide = matched.groupBy("qid", "doc_id").agg(*[part(k1, b).alias(f"s{i}") for i, (k1, b) in enumerate(_GRID)])
-    long = wide.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, (k1, b) in enumerate(_GRID)])).alias("x")).select("qid", "doc_id", "x.*")
-    return ranking.top_k(long, 10, by=("k1", "b", "qid"))
+    return grid_search(s, d, 1000).top
+
+
+@query("rt2b_block_search", W + _STEMMED + """, s3 AS (SELECT k1, b, qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM mt2, grid GROUP BY k1, b, qid, doc_id)
+SELECT * FROM (SELECT k1, b, qid, doc_id, score, row_number() OVER (PARTITION BY k1, b, qid ORDER BY score DESC, doc_id) AS rank FROM s3) WHERE rank <= 10""")
+def rt2b(s, d):
+    # the ten best of all documents, for which most blocks of common terms stay unread
+    return grid_search(s, d, 10, limited=False).top
 
 
 @query("rt3_query_formats", """SELECT item_id AS qid, text AS full_text, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:4], lambda x: lower(x))), ' ') IS NOT NULL AS has_terms,
@@ -43,11 +65,11 @@ def rt3(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("full_text"), F.array_join(F.array_distinct(lowered(4)), " ").isNotNull().alias("has_terms"), F.array_join(lowered(2), " ").alias("symbol"))
 
 
-@query("rt4_stem_forms", "WITH wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), qw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM benchmark), al AS (SELECT form FROM wd UNION SELECT form FROM qw), " + tx.stem_sql("al") + """
+@query("rt4_stem_forms", "WITH wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), qw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM benchmark), al AS (SELECT form FROM wd UNION SELECT form FROM qw), " + english.stem_sql("al") + """
 SELECT stem, count(*) AS n_forms, string_agg(form, ' ' ORDER BY form) AS forms FROM st JOIN wd USING (form) WHERE stem IN (SELECT stem FROM st JOIN qw USING (form)) GROUP BY stem""")
 def rt4(s, d):
     # each distinct word is stemmed once; the query's stems pick their forms from the vocabulary
-    forms = lambda t: table(s, d, t).select(F.explode(F.array_distinct(ranking.tokens(F.col("text")))).alias("form")).distinct().withColumn("stem", F.get(tx.stems(F.array("form")), F.lit(0)))
+    forms = lambda t: table(s, d, t).select(F.explode(F.array_distinct(ranking.tokens(F.col("text")))).alias("form")).distinct().withColumn("stem", F.get(english.stems(F.array("form")), F.lit(0)))
     found = forms("documents").join(forms("benchmark").select("stem").distinct(), "stem", "left_semi")
     return found.groupBy("stem").agg(F.count("*").alias("n_forms"), F.array_join(F.array_sort(F.collect_list("form")), " ").alias("forms"))
 
@@ -56,7 +78,7 @@ def rt4(s, d):
 SELECT qid, full_n, any_n, CASE WHEN full_n > 0 THEN 'all' ELSE 'any' END AS mode FROM al2""")
 def rt5(s, d):
     terms = ranking.query_terms(table(s, d, "benchmark"))
-    scored = ranking.bm25(ranking.matches(table(s, d, "documents"), terms))
+    scored = ranking.bm25(index(s, d).matches(terms))
     n = terms.groupBy("qid").agg(F.count("*").alias("n"))
     got = scored.join(n, "qid").groupBy("qid").agg(F.count_if(F.col("hits") == F.col("n")).alias("full_n"), F.count("*").alias("any_n"))
     return got.withColumn("mode", F.when(F.col("full_n") > 0, "all").otherwise("any"))
@@ -75,7 +97,7 @@ def _similar(s, d, pairs: DataFrame) -> DataFrame:
 
 
 def _matched(s, d) -> DataFrame:
-    return ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark"))))
+    return ranking.bm25(matched(s, d))
 
 
 @query("rt6_dense_rank", W + _VECS + f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM
@@ -289,7 +311,7 @@ def mt3(s, d):
 @query("mt4_set_baseline", W + """, st2 AS (SELECT qid, doc_id FROM sc WHERE hits >= 2), n AS (SELECT qid, count(*) AS n FROM st2 GROUP BY qid), g AS (SELECT gold.qid, avg(CASE WHEN st2.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS r FROM gold LEFT JOIN st2 USING (qid, doc_id) GROUP BY gold.qid)
 SELECT round(avg(r), 6) AS recall, median(coalesce(n, 0))::DOUBLE AS median_size FROM g LEFT JOIN n USING (qid)""")
 def mt4(s, d):
-    found = ranking.bm25(ranking.matches(table(s, d, "documents"), ranking.query_terms(table(s, d, "benchmark")))).where("hits >= 2").select("qid", "doc_id")
+    found = ranking.bm25(matched(s, d)).where("hits >= 2").select("qid", "doc_id")
     per = gold(s, d).join(found.withColumn("in", F.lit(1.0)), ["qid", "doc_id"], "left").groupBy("qid").agg(F.avg(F.coalesce("in", F.lit(0.0))).alias("r"))
     return per.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").agg(F.round(F.avg("r"), 6).alias("recall"), F.median(F.coalesce("n", F.lit(0))).alias("median_size"))
 

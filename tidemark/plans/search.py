@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import text as tx
+from tidemark.functions import english, text as tx
 from tidemark.operators import dictionary, ranking, running
 from tidemark.operators.vectors import centroids
 from tidemark.plans.registry import query
 from tidemark.plans.text import _NAMES, names
-from tidemark.sources import sinks
+from tidemark.sources import shards, sinks
 from tidemark.sources.tables import table
 
 # subject = supplier, paper = order, tag = part; the year of a paper is its order year
@@ -38,8 +38,9 @@ def ix1(s, d):
     }
     for name, step in steps.items():
         sinks.write_sorted(step, f"{root}/{name}")
-    sinks.write_arrow(s.read.parquet(f"{root}/papers"), f"{root}/arrow")
-    built = {name: s.read.parquet(f"{root}/{name}") for name in steps} | {"arrow": sinks.read_arrow(s, f"{root}/arrow", steps["papers"].schema)}
+    shards.register(s)
+    s.read.parquet(f"{root}/papers").sortWithinPartitions("o_orderkey").write.format("arrow_shards").mode("overwrite").option("key", "o_orderkey").save(f"{root}/arrow")
+    built = {name: s.read.parquet(f"{root}/{name}") for name in steps} | {"arrow": s.read.format("arrow_shards").load(f"{root}/arrow")}
     report = [b.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"), F.min(b.columns[0]).cast("long").alias("first"), F.max(b.columns[0]).cast("long").alias("last")) for name, b in built.items()]
     return reduce(DataFrame.unionByName, report)
 
@@ -171,11 +172,13 @@ def ctfidf(s, d) -> DataFrame:
     # a document gives its terms, and each of them once more for itself: uses and documents are summed before the shuffle
     n = docs.select(F.coalesce("lang", F.lit("und")).alias("class"), terms(F.col("text")).alias("t")).select("class", F.inline(tx.counted("t"))).groupBy("class", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     floor = docs.agg(F.greatest(F.lit(3), F.expr("count(*) div 2000")).alias("floor"))
-    n = n.withColumn("df", F.sum("docs").over(Window.partitionBy("term"))).crossJoin(F.broadcast(floor)).where("df >= floor")  # a document has one class; floor is one row
-    n = running.cut(n.select("class", "term", "n"))  # read for the classes' sizes, for the total and for the scores
+    # one shuffle by term gives its uses and documents in all classes, as a document has one class, and a list of a class each
+    per = n.groupBy("term").agg(F.sum("n").alias("tt"), F.sum("docs").alias("df"), F.collect_list(F.struct("class", "n")).alias("c"))
+    n = per.crossJoin(F.broadcast(floor)).where("df >= floor").select("term", "tt", F.inline("c"))  # floor is one row
+    n = running.cut(n)  # read for the classes' sizes, for the total and for the scores
     size = n.groupBy("class").agg(F.sum("n").alias("cs"))
     all_ = size.agg(F.sum("cs").alias("t"), F.count("*").alias("k"))
-    n = n.withColumn("tt", F.sum("n").over(Window.partitionBy("term"))).join(F.broadcast(size), "class").crossJoin(F.broadcast(all_))  # a row per class, and one row
+    n = n.join(size, "class").crossJoin(F.broadcast(all_))  # one row
     return n.select("class", "term", F.round(F.col("n") / F.col("cs") * F.log(1 + F.col("t") / F.col("k") / F.col("tt")), 8).alias("score"))
 
 
@@ -184,31 +187,29 @@ def mp1(s, d):
     return ranking.top_k(ctfidf(s, d), 6, by=("class",), tie="term").drop("rank")
 
 
-def apart(scored: list[str], most: int = 6) -> list[str]:
-    """Of terms, best first, those that say something of their own.
+def apart(ranked: DataFrame, most: int = 6) -> DataFrame:
+    """(class, place, term): of a class's ranked terms (class, rank, term) the best that say something of their own.
 
-    A pair takes the place of the words it is made of; a term that shares a stem with another kept one is left out.
+    A word goes where some pair of words holds its stem, or a better word shares it; a pair goes where a better pair
+    shares a stem with it.
     """
-    kept: list[tuple[frozenset, str]] = []
-    for term in scored:
-        own = frozenset(map(tx.porter_like, term.split()))
-        near = [k for k in kept if k[0] & own]
-        if any(not k[0] < own for k in near):
-            continue
-        if near:
-            kept = [(own, term) if k is near[0] else k for k in kept if k is near[0] or k not in near]
-        elif len(kept) < most:
-            kept.append((own, term))
-    return [term for _, term in kept]
-
-
-@query("mp1c_topic_terms")
+    words = F.split("term", " ")
+    held = ranked.select("class", "rank", "term", (F.size(words) > 1).alias("pair"), F.explode(F.array_distinct(english.stems(words))).alias("stem"))
+    by_stem = held.groupBy("class", "stem").agg(F.min(F.when(F.col("pair"), F.col("rank"))).alias("_pair"), F.min(F.when(~F.col("pair"), F.col("rank"))).alias("_word"))
+    better = F.coalesce(F.col("_pair") < F.col("rank"), F.lit(False))
+    said = F.when(F.col("pair"), better).otherwise(F.col("_pair").isNotNull() | (F.col("_word") < F.col("rank")))
+    gone = held.join(by_stem, ["class", "stem"]).where(said).select("class", "rank").distinct()
+    order = Window.partitionBy("class").orderBy("rank")
+    return ranked.join(gone, ["class", "rank"], "left_anti").select("class", (F.row_number().over(order) - 1).alias("place"), "term").where(F.col("place") < most)
+
+
+@query("mp1c_topic_terms", f"WITH {_CT}, b AS (SELECT class, term, rn FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, term) AS rn FROM sc) WHERE rn <= 50), fm AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS form FROM b), " + english.stem_sql("fm") + """,
+x AS (SELECT class, rn, contains(term, ' ') AS pair, stem FROM (SELECT class, rn, term, unnest(string_split(term, ' ')) AS form FROM b) JOIN st USING (form)), m AS (SELECT class, stem, min(rn) FILTER (WHERE pair) AS p, min(rn) FILTER (WHERE NOT pair) AS w FROM x GROUP BY class, stem),
+dr AS (SELECT DISTINCT class, rn FROM x JOIN m USING (class, stem) WHERE CASE WHEN pair THEN p < rn ELSE p IS NOT NULL OR w < rn END)
+SELECT * FROM (SELECT class, row_number() OVER (PARTITION BY class ORDER BY rn) - 1 AS place, term FROM b ANTI JOIN dr USING (class, rn)) WHERE place < 6""")
 def mp1c(s, d):
-    # the fifty best of each class are looked through in order
-    best = ranking.top_k(ctfidf(s, d), 50, by=("class",), tie="term")
-    rows = best.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("scored"))
-    chosen = F.pandas_udf(lambda lists: lists.map(lambda x: apart(list(x))), "array<string>")
-    return rows.select("class", F.posexplode(chosen("scored")).alias("place", "term"))
+    # of the fifty best of each class
+    return apart(running.cut(ranking.top_k(ctfidf(s, d), 50, by=("class",), tie="term").select("class", "rank", "term")))
 
 
 @query("mp1b_pole_terms", """WITH b AS (SELECT doc_id, text, CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars > 4000 THEN 'high' ELSE 'middle' END AS pole FROM documents), t AS (SELECT pole, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM b), n AS (SELECT pole, term, count(*) AS n FROM t GROUP BY 1, 2), z AS (SELECT pole, sum(n) AS z FROM n GROUP BY 1), u AS (SELECT term, sum(n) AS u FROM n GROUP BY 1), m AS (SELECT avg(z) AS m FROM z),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import text as tx
-from tidemark.operators import dictionary, ranking
+from tidemark.functions import english, text as tx
+from tidemark.operators import automaton, dictionary, fuzzy, ranking
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -62,10 +62,10 @@ def fn10(s, d):
     return table(s, d, "documents").select("doc_id", F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda t: ~F.array_contains(stop, t))).alias("kept"))
 
 
-@query("fn11_stems", "WITH wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), " + tx.stem_sql("wd") + " SELECT d.doc_id, count(DISTINCT stem) AS n_stems, count(DISTINCT form) AS n_words FROM documents d LEFT JOIN (SELECT doc_id, form, stem FROM wd JOIN st USING (form)) w ON w.doc_id = d.doc_id GROUP BY d.doc_id")
+@query("fn11_stems", "WITH wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS form FROM documents), " + english.stem_sql("wd") + " SELECT d.doc_id, count(DISTINCT stem) AS n_stems, count(DISTINCT form) AS n_words FROM documents d LEFT JOIN (SELECT doc_id, form, stem FROM wd JOIN st USING (form)) w ON w.doc_id = d.doc_id GROUP BY d.doc_id")
 def fn11(s, d):
     words = F.array_distinct(ranking.tokens(F.col("text")))
-    return table(s, d, "documents").select("doc_id", F.size(F.array_distinct(tx.stems(words))).alias("n_stems"), F.size(words).alias("n_words"))
+    return table(s, d, "documents").select("doc_id", F.size(F.array_distinct(english.stems(words))).alias("n_stems"), F.size(words).alias("n_words"))
 
 
 @query("fn12_bigrams", "WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z ]+')) AS part FROM documents), w AS (SELECT doc_id, regexp_extract_all(part, '[a-z]+') AS w FROM p), x AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w), b AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS bigram FROM x) SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram HAVING count(DISTINCT doc_id) >= 20")
@@ -135,7 +135,11 @@ def fn18(s, d):
 
 @query("fn19_longest_spans")
 def fn19(s, d):
-    return tx.spans(table(s, d, "documents"), "doc_id", "text", ["the", "of the", "in the", "of"])
+    # names of passages in two kinds: of several words, and single words, which count inside sentences only; the former lead
+    n = names(s, d).select(F.col("name").alias("phrase")).distinct()
+    several = F.contains("phrase", F.lit(" "))
+    phrases = n.select("phrase", F.when(several, "name").otherwise("word").alias("kind"), F.lit(False).alias("cased"), (~several).alias("inside"))
+    return automaton.marked(table(s, d, "documents"), phrases, ("name", "word"))
 
 
 @query("fn20_truncate_words", r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:20], ' ') || CASE WHEN len(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) > 20 THEN ' ...' ELSE '' END AS t FROM documents")
@@ -157,8 +161,8 @@ def fn22(s, d):
 
 @query("fn23_fuzzy_title")
 def fn23(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_name", F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("other"))
-    return p.where("other IS NOT NULL").select("p_partkey", F.round(tx.token_sort_ratio(F.col("p_name"), F.col("other")), 4).alias("ratio"))
+    # every name's others at a ratio of 90 or more
+    return fuzzy.links(table(s, d, "part"), "p_partkey", "p_name").withColumn("best_ratio", F.round("best_ratio", 4))
 
 
 @query("fn24_digits_only", r"SELECT c_custkey, regexp_replace(c_name, '\D', '', 'g') AS digits FROM customer")

@@ -62,18 +62,6 @@ def key_range(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     return df.where((F.col(key) >= start) & (F.col(key) < stop))
 
 
-def take(df: DataFrame, key: str, wanted: list[int]) -> DataFrame:
-    """The rows of the wanted keys with their place in the request (a bounded list); keys may repeat."""
-    spark = df.sparkSession
-    request = spark.createDataFrame(list(enumerate(wanted)), f"place long, {key} long")
-    return F.broadcast(request).join(df, key)
-
-
-def gather(ids: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """ids with their vector and `ok`, false where there is none."""
-    return ids.join(vectors.select(key, vector), key, "left").withColumn("ok", F.col(vector).isNotNull())
-
-
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """A column if the table has it, else nulls: an optional column degrades a feature instead of failing."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
