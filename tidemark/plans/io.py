@@ -10,7 +10,7 @@ from tidemark.functions import bpe
 from tidemark.plans.registry import query
 from tidemark.sources import readers, shards, sinks
 from tidemark.sources.tables import table
-from tidemark.streaming import twins
+from tidemark.streaming import keyed, twins
 
 
 @query("src1_parquet_glob", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents")
@@ -241,6 +241,25 @@ def sm1b(s, d):
     return s.read.parquet(last).select("labeller", "item_id", F.col("x.grade").alias("grade"))
 
 
+@query("sm1b_keyed_labels", """WITH e AS (SELECT user_id AS labeller, event_id % 50 AS item_id, ts, event_id, event_id % 3 AS grade, lag(event_id % 3) OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts, event_id) AS before FROM events)
+SELECT labeller, item_id, arg_max(grade, (ts, event_id)) AS grade, count(*) FILTER (WHERE grade <> before) AS n_changes FROM e GROUP BY labeller, item_id""")
+def sm1e(s, d):
+    # each key keeps its own state; what is written is a version of a key for each micro-batch that changes it
+    path = sinks.scratch(s)
+    log = twins.events(s, d, stream=True).select(F.col("user_id").alias("labeller"), (F.col("event_id") % 50).alias("item_id"), "ts", "event_id", (F.col("event_id") % 3).alias("grade"), F.col("value").cast("double").alias("seconds"))
+    keyed.played(log, keyed.labels, f"{path}/out", f"{path}/checkpoint")
+    return keyed.current(s.read.parquet(f"{path}/out")).select("labeller", "item_id", "grade", "n_changes")
+
+
+@query("db35b_hand_outs_stream")
+def db35b(s, d):
+    # users ask for slots of five pools; a view is a label, which keeps what its user holds
+    path = sinks.scratch(s)
+    asks = twins.events(s, d, stream=True).select((F.col("user_id") % 5).alias("pool"), F.col("user_id").alias("who"), "ts", "event_id", (F.col("event_type") != "view").alias("asks"))
+    keyed.played(asks, keyed.hand_outs, f"{path}/out", f"{path}/checkpoint")
+    return s.read.schema(keyed.HANDED).parquet(f"{path}/out").withColumn("at", F.unix_timestamp("at"))
+
+
 @query("ud3_reply_rows", "SELECT event_id, kv AS k FROM (SELECT event_id, unnest(regexp_extract_all(props, '[0-9]+')) AS kv FROM events)")
 def ud3(s, d):
     return table(s, d, "events").select("event_id", F.explode(F.regexp_extract_all("props", F.lit("[0-9]+"), F.lit(0))).alias("k"))
