@@ -14,7 +14,7 @@ once for each set, in columns of numbers, not rows.
 Links serve components, so pairs within one component are not looked for. In each posting the others are compared with
 its leader, the set with the fewest shingles of its own, so a group of near copies takes a comparison each; postings that
 still hold several components get other leaders, and at last their members are joined across components, where only
-pairs with enough shared prefix leave the join.
+pairs with enough shared prefix, and sketches of all their shingles that are close enough, leave the join.
 """
 
 from __future__ import annotations
@@ -32,10 +32,15 @@ from .shingles import mix, shingle_sets
 
 #: Shingles for each part that counts them, and for each part that builds prefixes, about.
 PART_SHINGLES = 1 << 20
+#: Bytes that a shingle is sent in. Its part is known, which is as many bits more as there are parts, so that no two of a
+#: part's shingles are likely to be taken for one, whatever the size of the input.
+GRAM_BYTES = 6
 #: Cost of comparing one shingle of two sets, in postings read.
 VERIFY = 1 / 16
+#: Bits of a set's sketch: of each, whether an odd number of its shared shingles fall on it.
+SKETCH_BITS = 512
 #: Rounds of leaders before postings are joined across components.
-LEADERS = 3
+LEADERS = 4
 _SALT, _TURN = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)
 _ASK = "part long, nodes binary, sizes binary, counts binary, grams binary"
 _REPLY = "area long, nodes binary, sizes binary, counts binary, grams binary, sets binary"
@@ -72,12 +77,22 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(x)))
 
 
-def _packed(*columns: np.ndarray) -> list[pa.Array]:
-    return [pa.array([c.tobytes()], pa.binary()) for c in columns]
+def _packed(*columns: np.ndarray, width: int = 8) -> list[pa.Array]:
+    """Longs as bytes of one significance after the other (the shuffle's compression then finds their runs); of the last column `width` bytes each."""
+    out = []
+    for i, c in enumerate(columns):
+        planes = np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        out.append(pa.array([planes[:, : width if i == len(columns) - 1 else 8].T.tobytes()], pa.binary()))
+    return out
 
 
-def _unpacked(table: pa.Table, **types: type) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in types.items()]
+def _unpacked(column: pa.ChunkedArray, width: int = 8) -> np.ndarray:
+    parts = [np.zeros(0, np.uint64)]
+    for raw in column.to_pylist():
+        planes = np.zeros((len(raw) // width, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+        parts.append(planes.reshape(-1).view("<u8"))
+    return np.concatenate(parts)
 
 
 def _ask(words: int, parts: int):
@@ -89,22 +104,23 @@ def _ask(words: int, parts: int):
                 node = batch.column(0).to_numpy()
                 owner, h, _ = shingle_sets(*text_buffer(_lowered(batch.column(1))), words)
                 size = np.bincount(owner, minlength=len(node))
-                part = (h % np.uint64(parts)).astype(np.int64)
+                part, rest = (h % np.uint64(parts)).astype(np.int64), h // np.uint64(parts)
                 order = np.argsort(part, kind="stable")
-                part, owner, h = part[order], owner[order], h[order]
+                part, owner, rest = part[order], owner[order], rest[order]
                 for at, n in zip(*_runs(part)):
                     start, times = _runs(owner[at : at + n])
                     who = owner[at + start]
-                    yield pa.record_batch([pa.array(part[at : at + 1]), *_packed(node[who], size[who], times.astype(np.int32), h[at : at + n])], names=["part", "nodes", "sizes", "counts", "grams"])
+                    yield pa.record_batch([pa.array(part[at : at + 1]), *_packed(node[who], size[who], times, rest[at : at + n], width=GRAM_BYTES)], names=["part", "nodes", "sizes", "counts", "grams"])
 
     return run
 
 
-def _count(areas: int):
+def _count(parts: int):
     """All blocks of a part as blocks for each area of nodes: the shingles that at least two nodes hold, and how many do."""
 
     def run(blocks: pa.Table) -> pa.Table:
-        nodes, sizes, counts, grams = _unpacked(blocks, nodes=np.int64, sizes=np.int64, counts=np.int32, grams=np.uint64)
+        nodes, sizes, counts = (_unpacked(blocks.column(c)).astype(np.int64) for c in ("nodes", "sizes", "counts"))
+        grams = _unpacked(blocks.column("grams"), GRAM_BYTES) * np.uint64(parts) + np.uint64(blocks.column("part")[0].as_py())
         node, size = np.repeat(nodes, counts), np.repeat(sizes, counts)
         order = np.lexsort((node, grams))
         node, size, grams = node[order], size[order], grams[order]
@@ -114,13 +130,13 @@ def _count(areas: int):
         _, times = _runs(grams)
         held = np.repeat(times, times)
         node, size, grams, held = (c[held > 1] for c in (node, size, grams, held))
-        area = (mix(node.view(np.uint64)) % np.uint64(areas)).astype(np.int64)
+        area = (mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((node, area))
         area, node, size, grams, held = (c[order] for c in (area, node, size, grams, held))
         out = []
         for at, n in zip(*_runs(area)):
             start, times = _runs(node[at : at + n])
-            out.append([pa.array(area[at : at + 1]), *_packed(node[at + start], size[at + start], times.astype(np.int32), grams[at : at + n], held[at : at + n])])
+            out.append([pa.array(area[at : at + 1]), *_packed(node[at + start], size[at + start], times, grams[at : at + n], held[at : at + n])])
         names = ["area", "nodes", "sizes", "counts", "grams", "sets"]
         kinds = [pa.int64()] + [pa.binary()] * 5
         return pa.Table.from_batches([pa.record_batch(c, names=names) for c in out], pa.schema(list(zip(names, kinds, strict=True))))
@@ -145,7 +161,8 @@ def _prefixes(percent: int):
     """All blocks of an area as a row for each node that can have a partner: node, size, own, match, length, grams by order."""
 
     def run(blocks: pa.Table) -> pa.Table:
-        nodes, sizes, counts, grams, held = _unpacked(blocks, nodes=np.int64, sizes=np.int64, counts=np.int32, grams=np.uint64, sets=np.int64)
+        nodes, sizes, counts, grams, held = (_unpacked(blocks.column(c)) for c in ("nodes", "sizes", "counts", "grams", "sets"))
+        nodes, sizes, counts, held = (c.astype(np.int64) for c in (nodes, sizes, counts, held))
         node, size = np.repeat(nodes, counts), np.repeat(sizes, counts)
         order = np.lexsort((grams, held, node))
         node, size, grams, held = (c[order] for c in (node, size, grams, held))
@@ -154,10 +171,12 @@ def _prefixes(percent: int):
             s = int(size[at])
             if 100 * n >= percent * s:
                 match, length = prefix(s, held[at : at + n], percent)
-                out.append((int(node[at]), s, s - int(n), match, length, grams[at : at + n].view(np.int64)))
-        names = ["node", "size", "own", "match", "length", "grams"]
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds, strict=True)], names=names)
+                own = grams[at : at + n]
+                odd = np.bincount((mix(own) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                out.append((int(node[at]), s, s - int(n), match, length, own.view(np.int64), np.packbits(odd).view(np.int64)))
+        names = ["node", "size", "own", "match", "length", "grams", "sketch"]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds, strict=True)], names=names)
 
     return run
 
@@ -178,6 +197,12 @@ def _fits(percent: int) -> Column:
     return 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
 
 
+def _alike(percent: int) -> Column:
+    """Whether sketches allow the threshold: bits that differ are shingles that one of the two has alone, some of which hide each other."""
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.col("own_a") + F.col("own_b"))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+
+
 def _verified(percent: int) -> Column:
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     return 100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)
@@ -190,25 +215,26 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leads(rows: DataFrame, turn: int, tasks: int) -> DataFrame:
-    """A leader of each posting: the set with the fewest own shingles first, then others by chance."""
-    rank = F.struct("own", "node", "label") if not turn else F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "own", "node", "label")
-    lead = rows.groupBy("gram").agg(F.min(rank).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return cut(lead.select("gram", F.col("r.node").alias("lead"), F.col("r.label").alias("of")).coalesce(tasks))
+    """A leader of each posting with several components: the set with the fewest own shingles first, then those of others by chance."""
+    chance = F.lit(0) if not turn else F.xxhash64("label", F.lit(turn))
+    lead = rows.groupBy("gram").agg(F.min(F.struct(chance.alias("h"), "own", "node", "label")).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return cut(lead.select("gram", "r").coalesce(tasks))
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs of components (a, b) with a link within a posting, of postings that hold several components.
 
     One side are the sets outside a posting's largest component; a pair is taken in the first shingle its prefixes share.
+    Sketches keep all but the pairs near the threshold inside the join.
     """
     per = rows.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").select("gram", "main")
     mixed = rows.join(cut(per.coalesce(tasks)), "gram").join(sets.drop("own"), "node")
-    mixed = cut(mixed.select("gram", "main", "label", "node", "own", "size", "match", "length", F.slice("grams", 1, F.col("length").cast("int")).alias("grams")))
+    mixed = cut(mixed.select("gram", "main", "label", "node", "own", "size", "match", "length", "sketch", F.slice("grams", 1, F.col("length").cast("int")).alias("grams")))
     a, b = _side(mixed.where("label <> main").drop("main"), "a"), _side(mixed.drop("main"), "b")
     ahead = (F.col("label_b") != F.col("label_a")) & ((F.col("label_b") == F.col("main")) | (F.col("label_a") < F.col("label_b")))
     b = b.join(mixed.select(F.col("gram").alias("gram_b"), "main").distinct(), "gram_b")
     first = F.array_min(F.array_intersect("grams_a", "grams_b")) == F.col("gram_a")
-    pairs = a.join(b, F.col("gram_a") == F.col("gram_b")).where(ahead & _fits(percent)).where(first & _shares_prefix())
+    pairs = a.join(b, F.col("gram_a") == F.col("gram_b")).where(ahead & _fits(percent) & _alike(percent)).where(first & _shares_prefix())
     pairs = cut(pairs.select("node_a", "node_b", F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")))
     return _links(pairs, sets, percent).select("a", "b").distinct()
 
@@ -225,7 +251,9 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         lead = _leads(placed, turn, tasks)
         if lead.isEmpty():
             break
-        pairs = placed.join(lead, "gram").where("label <> of").select(F.col("node").alias("node_a"), F.col("lead").alias("node_b"), F.least("label", "of").alias("a"), F.greatest("label", "of").alias("b")).distinct()
+        # a set is compared with the first of its postings' leaders
+        pairs = placed.join(lead, "gram").where(F.col("label") != F.col("r.label")).groupBy("node", "label").agg(F.min("r").alias("r"))
+        pairs = pairs.select(F.col("node").alias("node_a"), F.col("r.node").alias("node_b"), F.least("label", "r.label").alias("a"), F.greatest("label", "r.label").alias("b"))
         links = cut(_links(cut(pairs), sets, percent).select("a", "b").distinct().coalesce(tasks))
         labels = _joined(labels if labels is not None else links.select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("label")).limit(0), links, tasks)
         placed = rows.join(labels, "node", "left").select("gram", "node", "own", F.coalesce("label", "node").alias("label"))
@@ -256,16 +284,14 @@ def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = slim.where(F.col("_key").isNotNull()).groupBy("_key", "_th").agg(F.min("_text").alias("_text"))
     texts = texts.join(held.select("rep._key", "rep._th", "node"), ["_key", "_th"]).select("node", "_text")
     replies = texts.mapInArrow(_ask(words, parts), _ASK).groupBy("part").applyInArrow(_count(parts), _REPLY)
-    sets = cut(replies.groupBy("area").applyInArrow(_prefixes(percent), "node long, size long, own long, match long, length long, grams array<long>"))
+    sets = cut(replies.groupBy("area").applyInArrow(_prefixes(percent), "node long, size long, own long, match long, length long, grams array<long>, sketch array<long>"))
     labels = linked(sets, percent)
-    named = signed.withColumn("_none", F.col("_key"))
-    if labels is None:
-        return named.select(F.col("_key").alias(key), F.col("size").alias("n_shingles"), F.col("_none").alias("component_id"))
-    placed = cut(held.select("f1", "f2", "node", F.col("rep._key").alias("rep")).join(labels, "node"))
-    names = cut(placed.groupBy("label").agg(F.min("rep").alias("least")))
-    linked_sets = placed.join(names, "label").select("f1", "f2", "least")
-    folded = held.select("f1", "f2", F.col("rep._key").alias("rep")).join(linked_sets, ["f1", "f2"], "left")
-    folded = cut(folded.select("f1", "f2", F.coalesce("least", "rep").alias("component_id")))
+    folded = held.select("f1", "f2", F.col("rep._key").alias("component_id"))
+    if labels is not None:
+        placed = cut(held.select("f1", "f2", "node", F.col("rep._key").alias("rep")).join(labels, "node"))
+        names = cut(placed.groupBy("label").agg(F.min("rep").alias("least")))
+        linked_sets = placed.join(names, "label").select("f1", "f2", "least")
+        folded = cut(folded.join(linked_sets, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("least", "component_id").alias("component_id")))
     out = signed.join(folded, ["f1", "f2"], "left")
     mine = F.when(F.col("_key").isNotNull() & (F.col("size") > 0), F.col("component_id")).otherwise(F.col("_key"))
     return out.select(F.col("_key").alias(key), F.col("size").alias("n_shingles"), mine.alias("component_id"))
