@@ -285,9 +285,14 @@ def db30(s, d):
     return first.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("i", "stratum")) - 1).alias("place"), "doc_id", "stratum")  # 60 rows
 
 
-@query("db31_block_schedule", "SELECT b AS block, s AS slot, 20 * (s % 6) + b AS item FROM range(0, 20) a(b), range(0, 12) c(s)")
+@query("db31_block_schedule", """WITH f AS (SELECT row_number() OVER (ORDER BY md5('block|' || doc_id::VARCHAR), doc_id) - 1 AS place, doc_id FROM labels), w AS (SELECT (count(*) + 19) // 20 AS w FROM f)
+SELECT place % 20 AS block, place // 20 + w * k AS slot, doc_id FROM f, w, range(0, 2) r(k)""")
 def db31(s, d):
-    return s.range(20).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("slot")).select("block", "slot", labels.block_item(F.col("slot"), 20, 6, F.col("block")).alias("item"))
+    # twenty blocks go twice over all labelled documents, a step of twenty apart, each from its own offset
+    items = running.ranks(table(s, d, "labels").select("doc_id").withColumn("h", sampling.order_hash("block", "doc_id")), [], [F.col("h"), F.col("doc_id")], "place").select("doc_id", (F.col("place") - 1).alias("item"))
+    width = -(-items.count() // 20)
+    slots = s.range(20 * 2 * width).select((F.col("id") % 20).alias("block"), F.expr("id div 20").alias("slot"))
+    return slots.withColumn("item", labels.block_item(F.col("slot"), 20, max(1, width), F.col("block"))).join(items, "item").select("block", "slot", "doc_id")
 
 
 @query("db32_repeat_order", "WITH f AS (SELECT row_number() OVER (ORDER BY md5('once|' || doc_id::VARCHAR), doc_id) - 1 AS place, doc_id FROM labels) SELECT place, doc_id, 1 AS pass FROM f UNION ALL SELECT place // 4 + (SELECT count(*) FROM f), doc_id, 2 FROM f WHERE place % 4 = 0")

@@ -187,11 +187,12 @@ def snk5(s, d):
     return s.read.parquet(sinks.current(s, path))
 
 
-@query("snk6_append_absent", "SELECT * FROM (VALUES ('a', 1), ('b', 2)) v(name, x)")
+@query("snk6_append_absent", "SELECT n_name AS name, CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END AS x FROM nation WHERE n_regionkey < 3")
 def snk6(s, d):
-    path = sinks.scratch(s)
-    for name, x in (("a", 1), ("b", 2), ("a", 3)):
-        sinks.append_absent(s.createDataFrame([(name, x)], "name string, x long"), path, ["name"])
+    # the second time, names that are there already stay as they are
+    path, n = sinks.scratch(s), table(s, d, "nation")
+    for x, regions in enumerate(((0, 1), (1, 2))):
+        sinks.append_absent(n.where(F.col("n_regionkey").isin(*regions)).select(F.col("n_name").alias("name"), F.lit(x).cast("long").alias("x")), path, ["name"])
     return s.read.parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.functions import config
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -162,11 +163,14 @@ def prj21(s, d):
     return s.createDataFrame([(t, c, c in table(s, d, t).columns) for t, c in need], "tbl string, col string, present boolean")
 
 
-@query("prj22_config_errors", "SELECT * FROM (VALUES ('family', 'is not a list'), ('n', 'is not positive')) v(key, error)")
-def prj22(s, d):
-    from tidemark.functions.config import errors
+#: A configuration as text for each part: n may be missing or not positive, seed may be no number, and a key may be unknown.
+_CONFIG = """to_json(map_filter(map('n', if(p_size % 3 = 0, null, string(p_size - 25)), 'seed', if(p_size % 4 = 0, 'a', '3'), 'typo', if(p_size % 5 = 0, '1', null)), (k, v) -> v IS NOT NULL))"""
+
 
-    return s.createDataFrame(errors({"family": "x", "n": -1, "seed": 3}, {"family": list, "n": int, "seed": int}), "key string, error string")
+@query("prj22_config_errors", """SELECT p_partkey, 'n' AS key, CASE WHEN p_size % 3 = 0 THEN 'is missing' ELSE 'is not positive' END AS error FROM part WHERE p_size % 3 = 0 OR p_size <= 25
+UNION ALL SELECT p_partkey, 'seed', 'is not an int' FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'typo', 'is unknown' FROM part WHERE p_size % 5 = 0""")
+def prj22(s, d):
+    return table(s, d, "part").select("p_partkey", F.explode(config.listed(F.expr(_CONFIG), ["n", "seed"])).alias("e")).select("p_partkey", "e.key", "e.error")
 
 
 @query("prj23_text_starts_with_title", "SELECT count(*) FILTER (WHERE NOT starts_with(source || ': ' || text, source)) AS broken, count(*) AS n FROM documents WHERE source IS NOT NULL")

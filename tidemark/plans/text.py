@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import english, text as tx
-from tidemark.operators import automaton, dictionary, fuzzy, ranking
+from tidemark.operators import automaton, dictionary, fuzzy, ranking, running
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -250,9 +250,14 @@ def fn34(s, d):
     return table(s, d, "part").groupBy("p_type", F.col("p_type").rlike("(?i)steel|brass|tin").alias("metal")).agg(F.count("*").alias("n"))
 
 
-@query("fn35_binomial_tail", "WITH lf AS (SELECT n, coalesce(sum(ln(greatest(n, 1)::DOUBLE)) OVER (ORDER BY n), 0) AS lf FROM range(0, 31) t(n)) SELECT a.n AS k, round((SELECT sum(exp((SELECT lf FROM lf WHERE n = 30) - x.lf - y.lf - 30 * ln(2))) FROM lf x JOIN lf y ON y.n = 30 - x.n WHERE x.n <= a.n), 6) AS tail FROM lf a")
+@query("fn35_binomial_tail", """WITH g AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS k FROM lineitem GROUP BY 1), lf AS (SELECT n, sum(ln(greatest(n, 1)::DOUBLE)) OVER (ORDER BY n) AS lf FROM range(0, (SELECT max(n) + 1 FROM g)) t(n))
+SELECT l_suppkey, g.n, g.k, round(sum(exp(a.lf - b.lf - c.lf - g.n * ln(2))), 6) AS tail FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM g) g JOIN lf a ON a.n = g.n JOIN lf b ON b.n = g.i JOIN lf c ON c.n = g.n - g.i GROUP BY ALL""")
 def fn35(s, d):
-    lf = s.range(31).select(F.col("id").alias("k"), F.sum(F.log(F.greatest("id", F.lit(1)).cast("double"))).over(Window.orderBy("id")).alias("lf"))
-    whole = lf.where("k = 30").select(F.col("lf").alias("all"))
-    p = lf.join(lf.select((30 - F.col("k")).alias("k"), F.col("lf").alias("rest")), "k").crossJoin(F.broadcast(whole))  # one row
-    return p.select("k", F.round(F.sum(F.exp(F.col("all") - F.col("lf") - F.col("rest") - 30 * F.log(F.lit(2.0)))).over(Window.orderBy("k")), 6).alias("tail"))
+    # for each supplier the chance of at most as many returns among its lines, were half of all returned; logarithms of factorials are running totals
+    g = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    most = g.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    lf = running.totals(s.range(most + 1), [F.col("id")], {"lf": F.log(F.greatest("id", F.lit(1)).cast("double"))})
+    of = lambda key, name: lf.select(F.col("id").alias(key), F.col("lf").alias(name))
+    terms = g.join(of("n", "all"), "n").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k")))).withColumn("j", F.col("n") - F.col("i"))
+    part = F.exp(F.col("all") - F.col("own") - F.col("rest") - F.col("n") * F.log(F.lit(2.0)))
+    return terms.join(of("i", "own"), "i").join(of("j", "rest"), "j").groupBy("l_suppkey", "n", "k").agg(F.round(F.sum(part), 6).alias("tail"))
