@@ -66,6 +66,34 @@ def _ruled_out(rows: DataFrame, touches: DataFrame, s: _State) -> DataFrame:
     return places.distinct()
 
 
+def _usable(touches: DataFrame, rules: Rules) -> DataFrame:
+    """touches less the pool documents that a candidate guards or has as gold; one of several pools serves the first. Pools get ranks `r`."""
+    held = touches.where(F.col("role").isin("gold", "guard"))
+    pool = touches.where(~F.col("role").isin("gold", "guard")).join(held.select("place", "doc"), ["place", "doc"], "left_anti")
+    pool = pool.groupBy("place", "id", "doc").agg(F.min("role").alias("role"))
+    ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("place", "role").orderBy(rules.pick, "doc")))
+    return held.withColumn("r", F.lit(0)).unionByName(ranked)
+
+
+def _need(rules: Rules) -> Column:
+    return F.coalesce(*[F.when(F.col("role") == k, F.lit(n)) for k, n in rules.needs.items()], F.lit(0))
+
+
+def _within_reach(touches: DataFrame, s: _State, rules: Rules) -> DataFrame:
+    """touches less the pool documents that a candidate will not come to.
+
+    A document that no earlier undecided candidate touches and no earlier choice holds is certain; behind as many certain
+    ones as a pool needs, none can be taken.
+    """
+    first = touches.groupBy("doc").agg(F.min("place").alias("first"))
+    gone = s.roles.select("doc", "by").unionByName(s.forbidden).groupBy("doc").agg(F.min("by").alias("by"))
+    rows = touches.join(first, "doc").join(gone, "doc", "left")
+    certain = ((F.col("first") == F.col("place")) & (F.col("by").isNull() | (F.col("by") > F.col("place")))).cast("int")
+    before = Window.partitionBy("place", "role").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_n", F.coalesce(F.sum(certain).over(before), F.lit(0)))
+    return rows.where((F.col("r") == 0) | (F.col("_n") < _need(rules))).select(*touches.columns)
+
+
 def _first(rows: DataFrame, touches: DataFrame) -> DataFrame:
     """The rows that no earlier undecided one could clash with: in a mark, or in a document that either might take."""
     marks = _marks(rows)
@@ -79,16 +107,10 @@ def _first(rows: DataFrame, touches: DataFrame) -> DataFrame:
 def _decided(free: DataFrame, touches: DataFrame, s: _State, rules: Rules) -> DataFrame:
     """(place, doc, role, id) of the documents that accepted rows of `free` take: the gold and their share of each pool."""
     own = touches.join(free.select("place"), "place")
-    guard = own.where("role = 'guard'").select("place", "doc")
-    pool = own.where(~F.col("role").isin("gold", "guard")).join(guard, ["place", "doc"], "left_anti")
-    # a document in several pools serves the first; the gold serves none
-    pool = pool.join(own.where("role = 'gold'").select("place", "doc"), ["place", "doc"], "left_anti")
     taken = s.roles.select("doc", "by").unionByName(s.forbidden).groupBy("doc").agg(F.min("by").alias("by"))
-    pool = pool.join(taken, "doc", "left").where("by IS NULL OR by > place").drop("by")
-    pool = pool.withColumn("_w", F.row_number().over(Window.partitionBy("place", "doc").orderBy("role"))).where("_w = 1")
-    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy("place", "role").orderBy(rules.pick, "doc")))
-    need = F.coalesce(*[F.when(F.col("role") == k, F.lit(n)) for k, n in rules.needs.items()])
-    share = ranked.where(F.col("_r") <= need)
+    pool = own.where("r > 0").join(taken, "doc", "left").where("by IS NULL OR by > place")
+    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy("place", "role").orderBy("r")))
+    share = ranked.where(F.col("_r") <= _need(rules))
     full = share.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") == sum(rules.needs.values())).select("place")
     gold = own.where("role = 'gold'").join(full, "place")
     return gold.select("place", "doc", "role", "id").unionByName(share.join(full, "place").select("place", "doc", "role", "id"))
@@ -109,12 +131,13 @@ def accept(candidates: DataFrame, details: DataFrame, rules: Rules, limit: int,
         last = slice_.agg(F.max("place")).first()[0]
         if last is None:
             break
-        own = cut(touch(details.join(slice_.select("place"), "place")).join(slice_.select("id", "place"), "id").select("place", "id", "doc", "role").distinct())
+        own = touch(details.join(slice_.select("place"), "place")).join(slice_.select("id", "place"), "id").select("place", "id", "doc", "role").distinct()
+        own = cut(_usable(cut(own), rules))
         if after is None:
             s = _State.empty(slice_, own)
         live = cut(slice_.join(_ruled_out(slice_, own, s), "place", "left_anti"))
         while not live.isEmpty():
-            mine = own.join(live.select("place"), "place")
+            mine = cut(_within_reach(own.join(live.select("place"), "place"), s, rules))
             free = cut(_first(live, mine))
             taken = cut(_decided(free, mine, s, rules))
             good = free.join(taken.select("place").distinct(), "place")
