@@ -182,6 +182,7 @@ class Matcher:
                 found.append((self.templates[-hit[1]][0], hit[0], unit, at, n))
         words = _Words([[] if o else _WORD.findall(line.lower()) for line, o in zip(lines, owned, strict=True)], self.index)
         near = self._near(words)
+        whole = list(found)  # a notice within a line does not stand for the run that begins with it
         near_by: list[tuple[int, int]] = []  # places of the windows named so far, none over another
         best = np.zeros(len(lines))
         for _, d, _, at, n in found:
@@ -192,9 +193,10 @@ class Matcher:
             if best[line] < dice and (k == 0 or near_by[k - 1][1] <= at) and (k == len(near_by) or near_by[k][0] >= span[1]):
                 near_by.insert(k, span)
                 found.append((self.templates[t][0], dice, "words", line, 1))
-        for dice, t, at, n in self._runs(words, near, [x[3:] for x in found if x[1] == 1.0]):
-            if not any(d >= dice and a < at + n and at < a + m for _, d, _, a, m in found):
-                found.append((self.templates[t][0], dice, "run", at, n))
+        for dice, t, at, n in self._runs(words, near, [x[3:] for x in whole if x[1] == 1.0]):
+            if not any(d >= dice and a < at + n and at < a + m for _, d, _, a, m in whole):
+                whole.append((self.templates[t][0], dice, "run", at, n))
+                found.append(whole[-1])
         return found
 
     def _near(self, words: _Words) -> list[int]:
