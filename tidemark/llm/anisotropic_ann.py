@@ -2,9 +2,11 @@
 
 Vectors are cut into two-dimensional parts, each coded by one of 16 centres. Codes and centres minimise
 |r|^2 + (eta - 1) (r . x/|x|)^2 of the residual r, so the residual along the vector, which is what moves large inner
-products, costs eta times as much. Codes are stored two to a byte. A block of queries meets a block of codes in one
-task: each query scores the block by look-ups in its tables and keeps the best few; the best of all blocks are reranked
-with exact distances. Vectors and queries stay in DataFrames; only the sample that the centres are fitted on is gathered.
+products, costs eta times as much. Codes are stored two to a byte, with the length of the residual. A block of queries meets a block
+of codes in one task: each query scores the block by look-ups in its tables and compares the best few exactly. Their k-th
+distance is a bound: a row cannot be nearer than its code less its residual, so rows beyond the bound are left out and the
+others are compared too. Nothing is lost, however the vectors lie; where codes tell little, more is compared. Vectors and
+queries stay in DataFrames; only the sample that the centres are fitted on is gathered.
 """
 
 from __future__ import annotations
@@ -110,7 +112,7 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _encoded(book: Book):
-    """Rows (id, v) as (id, norm, code): two parts' codes to a byte, the first in the low half."""
+    """Rows (id, v) as (id, norm, off, code, v): norm and residual of the coded vector, two parts' codes to a byte, the first in the low half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,39 +120,59 @@ def _encoded(book: Book):
                 continue
             x = matrix(batch.column(1))
             codes = encode(book, x)
+            held = book.centres[np.arange(codes.shape[1]), codes]
+            off = np.sqrt(((_parts(x, codes.shape[1]) - held) ** 2).sum((1, 2)))
             if codes.shape[1] % 2:
                 codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
             packed = codes[:, ::2] | codes[:, 1::2] << 4
             code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array((x**2).sum(1).astype(np.float32)), code], names=["id", "norm", "code"])
+            yield pa.record_batch([batch.column(0), pa.array((held**2).sum((1, 2))), pa.array(off), code, batch.column(1)], names=["id", "norm", "off", "code", "v"])
 
     return run
 
 
-def _scan(book: Book, rerank: int):
-    """A block of queries (id, v) and a block of codes (id, norm, code): each query's `rerank` best by the tables."""
+def _distances(query: np.ndarray, x: np.ndarray) -> np.ndarray:
+    d = x - query
+    return np.sqrt(np.einsum("nd,nd->n", d, d))
+
+
+def _scan(book: Book, k: int, rerank: int):
+    """A block of queries (id, v) and a block of rows (id, norm, off, code, v): each query's k nearest, and what is as near but for rounding."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("approx", pa.float32())])
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("approx", pa.float64())])
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
         queries, ids = matrix(asked.column("v")), asked.column("id").to_numpy()
         own = held.column("id").to_numpy()
         order = np.argsort(own, kind="stable")
-        own, norms = own[order], held.column("norm").to_numpy()[order]
+        own, norms, off, x = own[order], held.column("norm").to_numpy()[order], held.column("off").to_numpy()[order], matrix(held.column("v"))[order]
         codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(own), -1)[order].T.copy()
-        tables = -2 * np.einsum("qmd,mcd->qmc", _parts(queries, len(book.centres)), book.centres).astype(np.float32)
+        tables = -2 * np.einsum("qmd,mcd->qmc", _parts(queries, len(book.centres)), book.centres)
         if tables.shape[1] % 2:
-            tables = np.concatenate([tables, np.zeros((len(tables), 1, CENTRES), np.float32)], 1)
+            tables = np.concatenate([tables, np.zeros((len(tables), 1, CENTRES))], 1)
         pairs = (tables[:, ::2, None, :] + tables[:, 1::2, :, None]).reshape(len(tables), -1, CENTRES * CENTRES)
         out = []
         for q in range(len(ids)):
-            approx = norms.copy()
+            square = (queries[q] ** 2).sum()
+            approx = norms + square
             for m in range(len(codes)):
                 approx += pairs[q, m].take(codes[m])
-            near = _top(approx, rerank + 1)
+            approx[own == ids[q]] = np.inf
+            near = _top(approx, max(k, rerank))
             near = near[own[near] != ids[q]]
-            out.append((np.full(len(near), ids[q]), own[near], approx[near]))
+            far = _distances(queries[q], x[near])
+            if len(far) >= k:
+                bound = np.partition(far, k - 1)[k - 1]
+                # squares of sums are off by rounding; whatever is not surely beyond the bound is compared (NaN is not)
+                slack = 1e-12 * (norms + square)
+                rest = ~(approx - slack > (bound * (1 + 1e-9) + off) ** 2)
+                rest[near] = False
+                rest = np.flatnonzero(rest & (own != ids[q]))
+                near, far = np.concatenate([near, rest]), np.concatenate([far, _distances(queries[q], x[rest])])
+                keep = ~(far > np.partition(far, k - 1)[k - 1] * (1 + 1e-9))
+                near, far = near[keep], far[keep]
+            out.append((np.full(len(near), ids[q]), own[near], far))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     return run
@@ -163,7 +185,8 @@ def nearest(
     """Each query's k nearest other rows by Euclidean distance: query_id, rank (from 1), the key and score.
 
     is_query: a condition on the column `id`. Centres are fitted on about sample_rows rows (by a hash of key and
-    vector); every row is coded and scanned, and each query's best `rerank` rows of all are compared exactly. Nulls,
+    vector); every row is coded and scanned. In each block a query's best `rerank` rows are compared exactly, and then those
+    that the codes' error does not rule out, so the k are the true ones. Nulls,
     zero vectors, null or non-finite components and vectors of another length than the commonest take no part; equal
     distances go to the smaller key; rows with the query's key are never its neighbours; a repeated query key is one
     query (its smallest vector), and a repeated neighbour is one neighbour for each vector it has; without usable rows
@@ -183,7 +206,7 @@ def nearest(
     asked = cut(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     # of equal vectors only the k + 1 smallest keys can be answers, so copies do not crowd the rest out
     rows = cut(rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r"))
-    codes = cut(rows.mapInArrow(_encoded(book), "id long, norm float, code binary"))
+    codes = cut(rows.mapInArrow(_encoded(book), "id long, norm double, off double, code binary, v array<double>"))
     # tiles: every block of queries with every block of codes, at least two for each shuffle partition
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     across = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -192,9 +215,10 @@ def nearest(
     left = asked.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("_d", number(down))
     right = codes.withColumn("_d", F.pmod(F.xxhash64("code", "id"), F.lit(down))).withColumn("_a", number(across))
     tile = [F.col("_a").cast("long"), F.col("_d").cast("long")]
-    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_scan(book, rerank), "query_id long, id long, approx float")
-    first = Window.partitionBy("query_id").orderBy("approx", "id")
-    best = cut(found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "id").distinct())
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_scan(book, k, rerank), "query_id long, id long, approx double")
+    first = Window.partitionBy("query_id").orderBy("approx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = found.withColumn("edge", F.coalesce(F.nth_value("approx", k).over(first), F.lit(float("inf"))) * (1 + 1e-9))
+    best = cut(best.where("approx <= edge OR isnan(edge)").select("query_id", "id").distinct())
     exact = best.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = exact.select("query_id", "id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
