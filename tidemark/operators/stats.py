@@ -58,10 +58,12 @@ def cluster_bootstrap(rows: DataFrame, draws: int, cluster: str, value: str) ->
     """(r, mean): means over clusters drawn with replacement, as weights on cluster sums."""
     per = rows.groupBy(cluster).agg(F.sum(value).alias("x"), F.count("*").alias("k"))
     placed = totals(per, [F.col(cluster)], {"_at": F.lit(1)}).withColumn("i", (F.col("_at") - 1).cast("int")).drop("_at")
-    n = per.agg(F.count("*").alias("n"))
-    drawn = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    drawn = drawn.withColumn("i", (hash32(F.col("r").cast("string"), F.col("j").cast("string")) % F.col("n")).cast("int"))
-    return drawn.join(placed, "i").groupBy("r").agg((F.sum("x") / F.sum("k")).alias("mean"))
+    n = placed.count()
+    # a number for each draw, dealt over the tasks; counted before they meet the clusters, and never broadcast
+    drawn = rows.sparkSession.range(draws * n).select(F.expr(f"CAST(id DIV {max(n, 1)} AS INT)").alias("r"), (F.col("id") % F.lit(max(n, 1))).alias("j"))
+    drawn = drawn.withColumn("i", (hash32(F.col("r").cast("string"), F.col("j").cast("string")) % F.lit(n)).cast("int"))
+    times = drawn.groupBy("r", "i").agg(F.count("*").alias("times"))
+    return times.hint("shuffle_merge").join(placed.hint("shuffle_merge"), "i").groupBy("r").agg((F.sum(F.col("x") * F.col("times")) / F.sum(F.col("k") * F.col("times"))).alias("mean"))
 
 
 def mcnemar(table: DataFrame, b: str = "b", c: str = "c") -> DataFrame:
