@@ -138,7 +138,7 @@ def src15(s, d):
 
 @query("src16_vector_gather", "SELECT doc_id, vec_id IS NOT NULL AS ok, round(embedding[1], 2) AS first FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def src16(s, d):
-    path = _shards(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", batch=1000, half="embedding")
+    path = _shards(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", batch=1000)  # whole: half floats round to other hundredths
     ids = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"))
     return shards.gather(s, path, ids, "vec_id", ["embedding"]).select(F.col("vec_id").alias("doc_id"), "ok", F.round(F.get("embedding", F.lit(0)), 2).alias("first"))
 
