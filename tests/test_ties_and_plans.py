@@ -22,7 +22,7 @@ def test_nearest_core_point_by_rounded_distance(spark, tmp_path):
     rng = np.random.default_rng(8)
     x = np.round(rng.normal(size=(40, 2)), 2).tolist()
     # core points so near that squares round alike, the smaller key not the nearest
-    rows = [(i, i % 4, [a + d, b]) for i, (a, b, d) in enumerate((a, b, d) for a, b in x for d in (3e-5, 2e-5, 1e-5))] + [(1000 + i, 9, [a, b]) for i, (a, b) in enumerate(x)]
+    rows = [(i, i % 4, [a + d, b]) for i, (a, b, d) in enumerate((a, b, d) for a, b in x for d in (3e-5, 2e-5, 1e-5))] + [(1000 + i, 9, [a, b + (i > 30) * 1e-3]) for i, (a, b) in enumerate(x)]
     got, want = against_sql(spark, tmp_path, "mp4_outlier_absorb", embeddings=spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
     assert got == want
 
