@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_index import ask, corpus, full
 from tidemark.operators import inverted, live, ranking, running, tiles
-from tidemark.plans import fixtures
+from tidemark.plans import fixtures, retrieval
 
 ODD = ["", "a", "b1-c", "É", "abc", "", "def", "x" * 300, "K2 K3 İz", "été2ß9", "  ", "A\nB\x00c", "7"]
 
@@ -90,3 +90,16 @@ def test_the_leaders_of_all_tiles_together(spark):
         best = sorted((-round(s, 5), d) for p, d, s in found if p == q)[:20]
         assert {(q, d) for _, d in best} <= got
     assert len(got) < 120
+
+
+def _nodes(plan):
+    below = plan.children()
+    return [plan, *(x for i in range(below.size()) for x in _nodes(below.apply(i)))]
+
+
+def test_texts_and_postings_stay_out_of_joins(spark, sf):
+    """Lost documents brought their texts through a join, and the set baseline all postings of the terms asked for."""
+    plan = lambda df: _nodes(df._jdf.queryExecution().optimizedPlan())
+    lost = [x.output().mkString(",") for x in plan(retrieval.mt13(spark, sf)) if x.nodeName() == "Join"]
+    assert lost and not any("text#" in x for x in lost)
+    assert not any("inline(" in x.simpleString(1000) for x in plan(retrieval.mt4(spark, sf)))
