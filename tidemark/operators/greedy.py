@@ -12,7 +12,7 @@ left in the shared folder, and the ranges after the target are not read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -124,7 +124,25 @@ def accept(candidates: DataFrame, details: DataFrame, rules: Rules, limit: int,
     unused, its gold is neither in a role nor guarded by an accepted one, no guarded document of its own is in a role, and each
     pool, without guarded and used documents, has as many as it needs; those are then in a role.
     """
-    out, left, after = None, limit, None
+    return accept_ranges([(candidates, details, touch)], rules, limit)
+
+
+def accept_ranges(ranges: Iterable[tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]], rules: Rules, limit: int) -> DataFrame:
+    """As accept, of candidates in ranges of their order, one after the other: (candidates, details, touch) each. Ranges after the limit are not asked for."""
+    s, left = None, limit
+    for candidates, details, touch in ranges:
+        s, left = _accepted(candidates, details, rules, limit, left, touch, s)
+        if left <= 0:
+            break
+    if s is None:
+        return touch(details).select("id", "doc", "role").limit(0)
+    kept = s.roles.where("role = 'gold'").orderBy("by").limit(limit).select("id")
+    return s.roles.join(kept, "id").select("id", "doc", "role")
+
+
+def _accepted(candidates: DataFrame, details: DataFrame, rules: Rules, limit: int, left: int, touch: Callable[[DataFrame], DataFrame], s: _State | None) -> tuple[_State | None, int]:
+    """What is held, and how many are still wanted, after the candidates."""
+    after = None
     while left > 0:
         rest = candidates if after is None else candidates.where(F.col("place") > after)
         slice_ = cut(rest.orderBy("place").limit(SLICE * left))
@@ -133,7 +151,7 @@ def accept(candidates: DataFrame, details: DataFrame, rules: Rules, limit: int,
             break
         own = touch(details.join(slice_.select("place"), "place")).join(slice_.select("id", "place"), "id").select("place", "id", "doc", "role").distinct()
         own = cut(_usable(cut(own), rules))
-        if after is None:
+        if s is None:
             s = _State.empty(slice_, own)
         live = cut(slice_.join(_ruled_out(slice_, own, s), "place", "left_anti"))
         while not live.isEmpty():
@@ -148,12 +166,9 @@ def accept(candidates: DataFrame, details: DataFrame, rules: Rules, limit: int,
             )
             live = live.join(free.select("place"), "place", "left_anti")
             live = cut(live.join(_ruled_out(live, mine, s), "place", "left_anti"))
-        out, after = s.roles, last
-        left = limit - out.where("role = 'gold'").count()
-    if out is None:
-        return touch(details).select("id", "doc", "role").limit(0)
-    kept = out.where("role = 'gold'").orderBy("by").limit(limit).select("id")
-    return out.join(kept, "id").select("id", "doc", "role")
+        after = last
+        left = limit - s.roles.where("role = 'gold'").count()
+    return s, left
 
 
 def _paced(budget: float, target: int):

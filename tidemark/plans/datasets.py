@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable, Iterator
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators import batches, closure, greedy, labels, running, sampling
 from tidemark.operators.running import cut
@@ -77,20 +80,42 @@ def db7(s, d):
 DB8_QUERIES, DB8_NEEDS, DB8_SEEDS = 25, {"same_key": 3, "same_value": 2}, ("one", "two")
 
 
-def pair_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (key, value) with one gold document, and what each touches: supplier and part, with the orders that hold both.
+#: Lines in the first range of an order by hash, about; how much longer each next end lies; pairs that are sent to all tasks, at most.
+DB8_FIRST, DB8_GROWTH, DB8_SENT = 2 * greedy.SLICE * DB8_QUERIES, 16, 100_000
+
+
+def pair_candidates(s: SparkSession, d: str, some: Column, without: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (key, value) with one gold document, of those for which `some` holds, and what each touches: supplier and part, with the orders that hold both.
 
     Guarded are the other orders of the supplier with a part of the same brand. The pools are the supplier's and the part's
-    other orders; a candidate needs enough of both outside its guard.
+    other orders; a candidate needs enough of both outside its guard. Only lines of these suppliers and parts are written.
     """
-    held = cut(table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("value"), "p_brand", F.col("l_orderkey").alias("doc")).distinct())
-    gold = held.groupBy("key", "value", "p_brand").agg(F.count("*").alias("n"), F.min("doc").alias("gold")).where("n = 1").drop("n")
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("value"), F.col("l_orderkey").alias("doc"))
+    brands = table(s, d, "part").select(F.col("p_partkey").alias("value"), "p_brand")
+    pairs = lines.where(some) if without is None else lines.where(some).join(without, "key", "left_anti")
+    gold = cut(pairs.distinct().join(brands, "value").distinct().groupBy("key", "value", "p_brand").agg(F.count("*").alias("n"), F.min("doc").alias("gold")).where("n = 1").drop("n"))
+    few = F.broadcast if gold.count() <= DB8_SENT else lambda df: df  # at most DB8_SENT rows are sent
+    near = [lines.join(few(gold.select(c).distinct()), c, "left_semi").select("key", "value", "doc") for c in ("key", "value")]
+    held = cut(near[0].unionByName(near[1]).distinct().join(brands, "value").select("key", "value", "p_brand", "doc").distinct())
     per = held.groupBy("key").agg(F.countDistinct("doc").alias("k")), held.groupBy("value").agg(F.countDistinct("doc").alias("v")), held.groupBy("key", "p_brand").agg(F.countDistinct("doc").alias("g"))
     # a bound from counts: what the guard leaves of the supplier's orders, and the part's orders but the gold and the guard
     wide = gold.join(per[0], "key").join(per[1], "value").join(per[2], ["key", "p_brand"]).where((F.col("k") - F.col("g") >= DB8_NEEDS["same_key"]) & (F.col("v") - 1 >= DB8_NEEDS["same_value"]))
     return wide.select("key", "value", "p_brand", "gold"), held
 
 
+def pair_ranges(s: SparkSession, d: str, seed: str, without: DataFrame | None) -> Iterator[tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """The candidates in the order by hash, in ranges of it that grow until all are looked at, as greedy.accept_ranges takes them."""
+    at = sampling.order_hash(seed, "key", "value")
+    low, end = "", DB8_FIRST / max(1, table(s, d, "lineitem").count())
+    while low is not None:
+        high = f"{int(end * 16**12):012x}" if end < 1 else None  # hashes are hexadecimal, so their order is that of numbers
+        wide, held = pair_candidates(s, d, (at >= low) & (at < high) if high else at >= low, without)
+        order = wide.withColumn("id", F.struct("key", "value")).withColumn("place", F.concat(at, F.lit("|"), F.format_string("%012d|%012d", "key", "value")))
+        order = cut(order.withColumn("marks", F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("v"), "value"))))
+        yield order.select("id", "place", "marks"), order, partial(touched, held=held)
+        low, end = high, end * DB8_GROWTH
+
+
 def touched(some: DataFrame, held: DataFrame) -> DataFrame:
     """(id, doc, role) of candidates (id, key, value, p_brand, gold)."""
     by_key = some.join(held.select("key", F.col("p_brand").alias("b"), "doc"), "key").where("doc <> gold")
@@ -102,14 +127,10 @@ def touched(some: DataFrame, held: DataFrame) -> DataFrame:
 
 @query("db8_greedy_accept")
 def db8(s, d):
-    wide, held = pair_candidates(s, d)
     used, out = None, None
     for seed in DB8_SEEDS:  # an instance uses no key of an earlier one
-        free = wide if used is None else wide.join(used, "key", "left_anti")
-        # ranks of an order by hash are its places; only those that the slices read are looked at
-        order = free.withColumn("id", F.struct("key", "value")).withColumn("place", F.concat(sampling.order_hash(seed, "key", "value"), F.lit("|"), F.format_string("%012d|%012d", "key", "value")))
-        order = cut(order.withColumn("marks", F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("v"), "value"))))
-        got = cut(greedy.accept(order.select("id", "place", "marks"), order, greedy.Rules(DB8_NEEDS, F.md5(F.concat_ws("|", F.lit(seed), F.col("id.key"), F.col("id.value"), F.col("doc")))), DB8_QUERIES, touch=lambda some: touched(some, held)))
+        rules = greedy.Rules(DB8_NEEDS, F.md5(F.concat_ws("|", F.lit(seed), F.col("id.key"), F.col("id.value"), F.col("doc"))))
+        got = cut(greedy.accept_ranges(pair_ranges(s, d, seed, used), rules, DB8_QUERIES))
         keys = got.select(F.col("id.key").alias("key")).distinct()
         used = keys if used is None else used.unionByName(keys)
         rows = got.select(F.lit(seed).alias("instance"), "id.key", "id.value", "doc", "role")
